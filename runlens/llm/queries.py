@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import exact_dedup, quality_rules, simhash
+from runlens.llm import bpe, exact_dedup, packing, quality_rules, simhash, token_counts
 from runlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(ledger).drop("policy")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
@@ -73,7 +85,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_packing": op5_packing,
+    "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
