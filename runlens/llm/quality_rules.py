@@ -15,7 +15,7 @@ RULES = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     ("longest_word", "max_word_chars > 1000"),
 )

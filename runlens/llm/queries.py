@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import bpe, exact_dedup, packing, quality_rules, simhash, token_counts
+from runlens.llm import bpe, exact_dedup, language, packing, quality_rules, simhash, token_counts
 from runlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(ledger).drop("policy")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ WITH d AS (
   SELECT *, ((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
     | (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
     | (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
-    | (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+    | (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
     | (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END)
     | (CASE WHEN max_word_chars > 1000 THEN 32 ELSE 0 END))::BIGINT AS fail_bits
   FROM m
@@ -85,6 +89,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
