@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import bpe, exact_dedup, language, packing, quality_rules, simhash, token_counts
+from runlens.llm import bpe, exact_dedup, language, packing, pitman_yor, quality_rules, simhash, token_counts
 from runlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.rule_ledger(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(ledger).drop("policy")
@@ -88,6 +92,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_lm_scores": op2_lm_scores,
     "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
