@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runlens.llm.common import fold, ship
 
@@ -189,7 +190,7 @@ def _portions(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[list[int]]
         yield part
 
 
-def _measured(docs: DataFrame, model: Model, schema: str, give) -> DataFrame:
+def _measured(docs: DataFrame, model: Model, schema: str | StructType, give) -> DataFrame:
     """Runs give(model, batch, bits, counts, has letters, squares) over (id, text, ...) batches with the model broadcast."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -265,6 +266,16 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_grams
     return model
 
 
+def decided(m: Model, bits: np.ndarray, counts: np.ndarray, letters: np.ndarray, tolerance: float) -> tuple[np.ndarray, ...]:
+    """(best language, its bits a character, whether the text has letters, whether the prediction is accepted)."""
+    best = bits.argmin(axis=1) if len(bits) else np.zeros(0, np.int64)
+    n = np.maximum(counts, 1)
+    ce = bits[np.arange(len(best)), best] / n
+    mean, between, within = m.limits[best].T if len(best) else (np.zeros(0),) * 3
+    known = letters & (counts > 0)
+    return best, ce, known, known & (ce <= mean + tolerance * (between + within / np.sqrt(n)))
+
+
 def posterior(bits: np.ndarray, kappa: float) -> np.ndarray:
     """Weights of the languages, 0 to 1, from their bits."""
     x = -kappa * np.log(2) * (bits - bits.min(axis=1, keepdims=True))
@@ -294,15 +305,26 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return rows.select("doc_id", held, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
 
     def give(m, b, bits, counts, letters, squares):
-        best = bits.argmin(axis=1) if len(bits) else np.zeros(0, np.int64)
-        n = np.maximum(counts, 1)
-        ce = bits[np.arange(len(best)), best] / n
-        mean, between, within = m.limits[best].T if len(best) else (np.zeros(0),) * 3
-        known = letters & (counts > 0)
-        ok = known & (ce <= mean + tolerance * (between + within / np.sqrt(n)))
+        best, ce, known, ok = decided(m, bits, counts, letters, tolerance)
         score = np.where(known, posterior(bits, m.kappa).max(axis=1), 0.0) if len(best) else np.zeros(0)
         names = np.where(known, np.array(m.langs, object)[best], UNKNOWN) if len(best) else np.zeros(0, object)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(np.where(known, ce, np.nan), from_pandas=True), pa.array(ok)], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
 
     out = _measured(rows, model, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, accepted boolean", give)
     return out.select("doc_id", held, "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 4_000_000, calibration_docs: int = 2000, tolerance: float = 8.0) -> DataFrame:
+    """The rows whose texts get an accepted prediction (see identify_language), with all their columns; without any
+    labelled row there is nothing to accept by, and all texts stay. No row is joined or shuffled."""
+    ship(docs.sparkSession)
+    model = train(docs, id_col, text_col, lang_col, most_grams, calibration_docs)
+    if not model.langs:
+        return docs
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+    def give(m, b, bits, counts, letters, squares):
+        ok = decided(m, bits, counts, letters, tolerance)[3]
+        return pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(ok, pa.bool_()))], names=["row"])
+
+    return _measured(rows, model, StructType([rows.schema["row"]]), give).select("row.*")

@@ -103,6 +103,12 @@ def apply_policy(ledger: DataFrame, policy: int = 2) -> DataFrame:
     return ledger.withColumn("base_failed", failed(1)).withColumn("kept", ~failed(1) & ~failed(policy)).withColumn("policy", F.lit(policy))
 
 
+def keep_passing(docs: DataFrame, text_col: str = "text", policy: int = 2) -> DataFrame:
+    """The rows whose texts pass the policy, with all their columns; the row rides through the ledger, so nothing is joined."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"))
+    return apply_policy(rule_ledger(row, "_row", "_text"), policy).where("kept").select("doc_id.*")
+
+
 def ablations(ledger: DataFrame) -> DataFrame:
     """For each policy and rule: rows that fail the rule, rows that fail nothing else in the policy, rows kept with and without it.
 

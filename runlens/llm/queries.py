@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import bpe, exact_dedup, language, packing, pitman_yor, quality_rules, simhash, token_counts
+from runlens.llm import bpe, exact_dedup, html_text, language, packing, pitman_yor, quality_rules, range_coder, simhash, token_counts
 from runlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
@@ -92,6 +100,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
     "op2_lm_scores": op2_lm_scores,
     "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
@@ -99,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
