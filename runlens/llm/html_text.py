@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from runlens.llm.common import cut, ship
+from runlens.llm.common import ship
 
 #: Element names by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -121,12 +122,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return [(INSIDE if number == best and not shut else OUTSIDE, t) for shut, number, t in out]
 
 
-def host_of(url: str | None) -> str:
-    """The host of a URL in lower case; empty if there is none."""
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+#: The host of a URL, between the scheme's slashes (and a user's name) and the port or path.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class HostStream:
@@ -224,7 +221,7 @@ def removals(pages: list[list[tuple[int, str]]], far: np.ndarray, far_outside: n
     return result
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 4096, copy_share: float = 0.6) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, copy_share: float = 0.6) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, removed_words.
 
     Pages are cut into blocks and zones by their structure (see `blocks_of`). Then each host's streams are searched
@@ -233,8 +230,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host's pages (`notice_share`, 5 pages at least) have outside of their articles; what articles share among
     themselves, copies and passages, stays. A stream holds a page's blocks outside of the article, all blocks
     of pages without one, and the article's blocks of up to `notice_words` words (longer ones are never notices).
-    A host with more than `pages_per_part` pages is dealt in parts; what the parts share is found by grouping the
-    prints of their runs, so nothing depends on where a page lies, and no task holds a whole large host.
+
+    The blocks of a page move once, compressed, to their host's group. A host with more than `pages_per_part` pages is
+    dealt in parts by a hash of the page; what parts share is found first, by a window over the prints of their runs,
+    and each part gets those of its own prints that others have too. So nothing depends on where a page lies, and no
+    task holds a whole large host; the pages of such hosts are parsed twice.
 
     Null html is empty and gives the empty text. A null URL has the empty host. Pages without tags are one block.
     Repeated rows and null identifiers are kept, each row as its own page. An empty table gives no rows. Other columns
@@ -243,76 +243,71 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     spark = pages.sparkSession
     ship(spark)
     kind = pages.schema[id_col].dataType.simpleString()
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), HOST, 1), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).alias("_h"))
+    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / pages_per_part).cast("int").alias("parts"), F.greatest(F.lit(5.0), F.count("*") * notice_share).alias("least"))
+    large = sizes.where("parts > 1")
+    dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks_of(x.as_py()) for x in b.column(2)]
+            found = [blocks_of(x.as_py()) for x in b.column(3)]
             zones = [bytes(z for z, _ in p) for p in found]
-            texts = [[t for z, t in p] for p in found]
-            hosts = [host_of(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(zones, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "zones", "texts"])
-
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("_h"))
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, zones binary, texts array<string>")
-    parsed = cut(parsed.withColumn("key", F.monotonically_increasing_id()))
+            packed = [zlib.compress("\n".join(t for _, t in p).encode("utf-8", "surrogatepass"), 1) for p in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(zones, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "zones", "blocks"])
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, texts, zones = [], [], []
-            for z, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                own = [k for k, x in enumerate(z) if x != INSIDE or t[k].count(" ") < notice_words]
-                places.append(own)
-                texts.append([t[k] for k in own])
-                zones.append(bytes(z[k] for k in own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.binary())], names=["key", "host", "places", "texts", "zones"])
-
-    flow = parsed.select("key", "host", "zones", "texts").mapInArrow(streams, "key long, host string, places array<int>, texts array<string>, zones binary")
-    parts = parsed.groupBy("host").agg(F.ceil(F.count("*") / pages_per_part).cast("int").alias("parts"), F.greatest(F.lit(5.0), F.count("*") * notice_share).alias("least"))
-    flow = flow.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+            flows = [_flow(blocks_of(x.as_py()), notice_words)[1] for x in b.column(3)]
+            zones = [bytes(z for z, _ in p) for p in flows]
+            packed = [zlib.compress("\n".join(t for _, t in p).encode("utf-8", "surrogatepass"), 1) for p in flows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(zones, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "zones", "blocks"])
+
+    schema = f"page_id {kind}, url string, host string, zones binary, blocks binary"
 
     def prints(t: pa.Table) -> pa.Table:
         s = HostStream(_pages(t))
         group, _, outside = s._groups() if len(s.rank) else (np.zeros(0, np.int64),) * 3
         u, first = np.unique(s.print[s.whole], return_index=True)
         n = outside[group[s.whole][first]]
-        return pa.table({"host": pa.array([t["host"][0].as_py()] * len(u), pa.string()), "print": pa.array(u.view(np.int64)), "outside": pa.array(n, pa.int64())})
+        key = lambda c, k: pa.array([t[c][0].as_py()] * len(u), k)
+        return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(u.view(np.int64)), "outside": pa.array(n, pa.int64())})
 
-    large = flow.where("parts > 1")
-    shared = large.groupBy("host", "part").applyInArrow(prints, "host string, print long, outside long")
-    shared = shared.groupBy("host", "print").agg(F.count("*").alias("n"), F.sum("outside").alias("outside")).where("n > 1")
-    far = shared.join(parts.where("parts > 1"), "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "print", (F.col("outside") >= F.col("least")).alias("outside"))
+    of_large = rows.join(large.select("host"), "host", "left_semi").select("page_id", "url", "host", "_h").mapInArrow(streams, schema)
+    found = of_large.join(large, "host").withColumn("part", dealt).groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, outside long")
+    same = Window.partitionBy("host", "print")
+    shared = found.withColumns({"n": F.count("*").over(same), "outside": F.sum("outside").over(same)}).where("n > 1")
+    far = shared.select("host", "part", "print", "outside")
 
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
-        prints_ = known["print"].to_numpy().view(np.uint64)
-        outside = prints_[known["outside"].to_numpy(zero_copy_only=False).astype(bool)]
-        keys, cuts = [], []
+        texts, gone = [], []
         if t.num_rows:
-            for key, places, own in zip(t["key"].to_pylist(), t["places"].to_pylist(), removals(_pages(t), prints_, outside, copy_share, t["least"][0].as_py())):
-                if own:
-                    keys.append(key)
-                    cuts.append([x for b, a, z in own for x in (places[b], a, z)])
-        return pa.table({"key": pa.array(keys, pa.int64()), "cuts": pa.array(cuts, pa.list_(pa.int32()))})
+            least = t["least"][0].as_py()
+            prints_ = known["print"].to_numpy().view(np.uint64)
+            outside = prints_[known["outside"].to_numpy() >= least]
+            whole = _pages(t)
+            flows = [_flow(p, notice_words) for p in whole]
+            for p, (places, _), own in zip(whole, flows, removals([f for _, f in flows], prints_, outside, copy_share, least)):
+                words: dict[int, list[str | None]] = {}
+                for block, a, z in own:
+                    w = words.setdefault(places[block], list(p[places[block]][1].split(" ")))
+                    w[a:z] = [None] * (z - a)
+                done = [" ".join(x for x in words[k] if x is not None) if k in words else t_ for k, (zone, t_) in enumerate(p) if zone != OUTSIDE]
+                texts.append("\n".join(x for x in done if x))
+                gone.append(sum(z - a for _, a, z in own))
+        columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())]
+        return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words"])
 
-    cuts = flow.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, "key long, cuts array<int>")
+    parsed = rows.mapInArrow(parse, schema).join(sizes, "host").withColumn("part", dealt).select("page_id", "url", "host", "part", "least", "zones", "blocks")
+    return parsed.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars long, removed_words long")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone = [], []
-            for zones, blocks, cut_ in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                n = 0
-                for k in range(0, len(cut_ or ()), 3):
-                    block, a, z = cut_[k : k + 3]
-                    words = blocks[block].split(" ") if isinstance(blocks[block], str) else blocks[block]
-                    blocks[block] = [*words[:a], *[None] * (z - a), *words[z:]]
-                    n += z - a
-                done = [x if isinstance(x, str) else " ".join(w for w in x if w is not None) for z, x in zip(zones, blocks) if z != OUTSIDE]
-                texts.append("\n".join(x for x in done if x))
-                gone.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "removed_words"])
 
-    whole = parsed.select("key", "page_id", "url", "zones", "texts").join(cuts, "key", "left")
-    return whole.select("page_id", "url", "zones", "texts", "cuts").mapInArrow(finish, f"page_id {kind}, url string, text string, n_chars long, removed_words long")
+def _flow(page: list[tuple[int, str]], notice_words: int) -> tuple[list[int], list[tuple[int, str]]]:
+    """The blocks that belong to the host's stream, and their places in the page."""
+    places = [k for k, (z, t) in enumerate(page) if z != INSIDE or t.count(" ") < notice_words]
+    return places, [page[k] for k in places]
 
 
 def _pages(t: pa.Table) -> list[list[tuple[int, str]]]:
-    return [list(zip(z, x)) for z, x in zip(t["zones"].to_pylist(), t["texts"].to_pylist())]
+    blocks = [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in t["blocks"].to_pylist()]
+    return [list(zip(z, x.split("\n"))) for z, x in zip(t["zones"].to_pylist(), blocks)]
