@@ -162,7 +162,7 @@ class HostStream:
         self.whole = (self.left >= self.DEPTH) | (self.at == 0)
 
     def _groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Group of each suffix of equal rank, and of each group the pages that have it at all and outside of articles."""
+        """Group of each suffix of equal rank, and of each group the pages that have it outside of articles or in pages without one, and outside alone."""
         r = self.rank[self.order]
         group = np.empty(len(r), np.int64)
         group[self.order] = np.cumsum(np.concatenate([[True], r[1:] != r[:-1]])) - 1
@@ -171,7 +171,7 @@ class HostStream:
             pairs = np.unique(group[own] * (int(self.page[-1]) + 1) + self.page[own])
             return np.bincount(pairs // (int(self.page[-1]) + 1), minlength=int(group.max()) + 1)
 
-        return group, pages(self.whole), pages(self.whole & (self.zone == OUTSIDE))
+        return group, pages(self.whole & (self.zone != INSIDE)), pages(self.whole & (self.zone == OUTSIDE))
 
     def repeated(self, far: np.ndarray, far_outside: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix: whether its run is found on another page, and whether it stands outside of articles on `least`
@@ -180,7 +180,8 @@ class HostStream:
         if not n:
             return np.zeros(0, bool), np.zeros(0, bool)
         group, pages, outside = self._groups()
-        return (pages[group] > 1) | np.isin(self.print, far), (outside[group] >= least) | np.isin(self.print, far_outside)
+        several = (pages[group] > 1) | np.isin(self.print, far)
+        return several & (self.zone != INSIDE), (outside[group] >= least) | np.isin(self.print, far_outside)
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
         """Tokens within a run that starts at one of the suffixes."""
@@ -221,7 +222,7 @@ def removals(pages: list[list[tuple[int, str]]], far: np.ndarray, far_outside: n
     return result
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, copy_share: float = 0.6) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, large_share: float = 1e-6, copy_share: float = 0.6) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, removed_words.
 
     Pages are cut into blocks and zones by their structure (see `blocks_of`). Then each host's streams are searched
@@ -231,10 +232,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     themselves, copies and passages, stays. A stream holds a page's blocks outside of the article, all blocks
     of pages without one, and the article's blocks of up to `notice_words` words (longer ones are never notices).
 
-    The blocks of a page move once, compressed, to their host's group. A host with more than `pages_per_part` pages is
-    dealt in parts by a hash of the page; what parts share is found first, by a window over the prints of their runs,
-    and each part gets those of its own prints that others have too. So nothing depends on where a page lies, and no
-    task holds a whole large host; the pages of such hosts are parsed twice.
+    The blocks of a page move once, compressed, to their host's group. A host with more than `pages_per_part` pages that
+    has a `large_share` of all pages or more is dealt in parts by a hash of the page. There are at most 1 / large_share
+    such hosts, so their list is broadcast. What parts share is found first, by a window over the prints of the runs
+    that are not in articles, and each part gets those of its own prints that others have too. So nothing depends on
+    where a page lies, and no task holds a whole large host; the pages of such hosts are parsed twice.
 
     Null html is empty and gives the empty text. A null URL has the empty host. Pages without tags are one block.
     Repeated rows and null identifiers are kept, each row as its own page. An empty table gives no rows. Other columns
@@ -245,8 +247,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), HOST, 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).alias("_h"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / pages_per_part).cast("int").alias("parts"), F.greatest(F.lit(5.0), F.count("*") * notice_share).alias("least"))
-    large = sizes.where("parts > 1")
+    total = rows.count()
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n")).where((F.col("n") > pages_per_part) & (F.col("n") >= large_share * total))
+    large = F.broadcast(sizes.select("host", F.ceil(F.col("n") / pages_per_part).cast("int").alias("parts"), F.greatest(F.lit(5.0), F.col("n") * notice_share).alias("least")))  # at most 1 / large_share rows
     dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +261,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flows = [_flow(blocks_of(x.as_py()), notice_words)[1] for x in b.column(3)]
+            flows = [[(z, t) for z, t in blocks_of(x.as_py()) if z != INSIDE] for x in b.column(3)]
             zones = [bytes(z for z, _ in p) for p in flows]
             packed = [zlib.compress("\n".join(t for _, t in p).encode("utf-8", "surrogatepass"), 1) for p in flows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(zones, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "zones", "blocks"])
@@ -274,7 +277,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(u.view(np.int64)), "outside": pa.array(n, pa.int64())})
 
     of_large = rows.join(large.select("host"), "host", "left_semi").select("page_id", "url", "host", "_h").mapInArrow(streams, schema)
-    found = of_large.join(large, "host").withColumn("part", dealt).groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, outside long")
+    found = of_large.join(large, "host").withColumn("part", dealt).select("host", "part", "zones", "blocks").groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, outside long")
     same = Window.partitionBy("host", "print")
     shared = found.withColumns({"n": F.count("*").over(same), "outside": F.sum("outside").over(same)}).where("n > 1")
     far = shared.select("host", "part", "print", "outside")
@@ -282,7 +285,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
         texts, gone = [], []
         if t.num_rows:
-            least = t["least"][0].as_py()
+            least = t["least"][0].as_py() or max(5.0, notice_share * t.num_rows)  # a host that is not large is here as a whole
             prints_ = known["print"].to_numpy().view(np.uint64)
             outside = prints_[known["outside"].to_numpy() >= least]
             whole = _pages(t)
@@ -298,7 +301,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())]
         return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words"])
 
-    parsed = rows.mapInArrow(parse, schema).join(sizes, "host").withColumn("part", dealt).select("page_id", "url", "host", "part", "least", "zones", "blocks")
+    parsed = rows.mapInArrow(parse, schema).join(large, "host", "left").withColumn("part", dealt).select("page_id", "url", "host", "part", "least", "zones", "blocks")
     return parsed.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars long, removed_words long")
 
 
