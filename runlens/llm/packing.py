@@ -52,7 +52,7 @@ def best_pattern(value: np.ndarray, left: np.ndarray, size: int) -> Counter:
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # pattern ((length, copies), ...) and number of sequences
 
 
-def solve(counts: np.ndarray, size: int, rounds: int = 600, step: float = 0.5, eta: float = 4.0, until: float = 0.95) -> list[tuple[tuple[tuple[int, int], ...], float]]:
+def solve(counts: np.ndarray, size: int, rounds: int = 600, step: float = 0.1, eta: float = 16.0, until: float = 0.95) -> list[tuple[tuple[tuple[int, int], ...], float]]:
     """Patterns and how often each is used, fractionally: a near-optimal solution of the configuration linear program.
 
     Multiplicative weights: a length's price is its size times exp(eta * how far its cover lags behind the mean
