@@ -47,7 +47,7 @@ def parse_events(lines: DataFrame, kind: str) -> DataFrame:
     """One typed table of an event kind; lines are filtered by their text before any JSON is decoded, broken lines are dropped."""
     event = F.regexp_extract("value", r'^\s*\{"Event":"([^"]+)"', 1)
     x = lines.where(F.col("value").contains(f"{kind}\"")).where(F.regexp_extract(event, r"(?:SparkListener)?([A-Za-z]+)$", 1) == kind)
-    return x.select("log", "part", F.from_json("value", SCHEMAS[kind]).alias("e")).where("e is not null").select("log", "part", "e.*")
+    return x.select("log", "part", F.from_json("value", f"{SCHEMAS[kind]}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("e")).where("e is not null and e._broken is null").select("log", "part", "e.*").drop("_broken")
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
