@@ -31,6 +31,12 @@ def deep_sample(light: DataFrame, execs: DataFrame, top: int = 50, k: int = 5) -
     return x.select(*SQL, "duration_ms", *names).where(" or ".join(names))
 
 
+def sampled_queries(sample: DataFrame) -> DataFrame:
+    """The deep sample, slowest first."""
+    w = Window.partitionBy("app_id").orderBy(F.desc("duration_ms"), "execution_id")
+    return sample.select(*SQL, "duration_ms", F.row_number().over(w).alias("place"))
+
+
 def top_slow_queries(light: DataFrame, contention: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("app_id").orderBy(F.desc("duration_ms"), "execution_id")
     x = light.where(COMPLETED).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

@@ -20,9 +20,9 @@ SELECT concat('app-', cast(e // 15 as {{string}})) AS app_id, e AS execution_id,
   CASE WHEN NOT (flag = 'R' AND pk % 10 = 0) THEN 'Success' WHEN sk % 4 = 0 THEN 'OutOfMemoryError' WHEN sk % 4 = 1 THEN 'FetchFailed'
     WHEN sk % 4 = 2 THEN 'ExecutorLostFailure' ELSE 'GSS token expired' END AS reason,
   CASE WHEN flag = 'R' AND pk % 10 = 0 AND sk % 4 = 1 THEN concat('host-', cast(pk % 8 as {{string}})) END AS src_host,
-  CASE ln % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'NODE_LOCAL' WHEN 2 THEN 'PROCESS_LOCAL' ELSE 'RACK_LOCAL' END AS locality
+  ok % 10 AS part_idx, CASE ln % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'NODE_LOCAL' WHEN 2 THEN 'PROCESS_LOCAL' ELSE 'RACK_LOCAL' END AS locality
 FROM (
-  SELECT *, {BASE} + ((e * 787) % 3600) * 1000 + si * 120000 + (pk % 100) * 1000 AS launch_ms,
+  SELECT *, task_id // 100 AS ok, {BASE} + ((e * 787) % 3600) * 1000 + si * 120000 + (pk % 100) * 1000 AS launch_ms,
     CASE WHEN si < 2 THEN cents // 2 ELSE 0 END AS write_bytes
   FROM (
     SELECT ok // 25 AS e, (rn - 1) % 3 AS si, ok * 100 + rn AS task_id, sk, pk, ln, flag, cents,
@@ -69,7 +69,16 @@ UNION ALL
 SELECT DISTINCT app_id, 'exec-2', cast({BASE} + 1800000 as bigint), cast(2 as bigint), false FROM v_task
 """
 
-VIEWS = {"v_task": V_TASK, "v_stage": V_STAGE, "v_job": V_JOB, "v_exec": V_EXEC, "v_executor_event": V_EXECUTOR_EVENT}
+#: What applications are configured with; those whose number is a multiple of 3 differ.
+V_CONF = """
+SELECT app_id, key, CASE WHEN cast(substr(app_id, 5) as bigint) % 3 = 0 THEN other ELSE value END AS value
+FROM (SELECT DISTINCT app_id FROM v_task) a, (
+  SELECT 'spark.executor.cores' AS key, '2' AS value, '4' AS other UNION ALL SELECT 'spark.executor.memory', '4g', '512m' UNION ALL SELECT 'spark.executor.instances', '2', '2'
+  UNION ALL SELECT 'spark.sql.adaptive.enabled', 'true', 'false' UNION ALL SELECT 'spark.scheduler.mode', 'FIFO', 'FAIR' UNION ALL SELECT 'spark.eventLog.rolling.enabled', 'TRUE', 'false'
+  UNION ALL SELECT 'spark.sql.adaptive.advisoryPartitionSizeInBytes', '128m', 'x' UNION ALL SELECT 'runlens.threshold.skew.ratio', '6', '7') c
+"""
+
+VIEWS = {"v_task": V_TASK, "v_stage": V_STAGE, "v_job": V_JOB, "v_exec": V_EXEC, "v_executor_event": V_EXECUTOR_EVENT, "v_conf": V_CONF}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

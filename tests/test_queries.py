@@ -7,7 +7,7 @@ import pytest
 
 from runlens.functions import text
 from runlens.operators import intervals
-from runlens.plans.queries import QUERIES, SQL
+from runlens.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +26,7 @@ def test_same_rows(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
     rel = con.sql(SQL[name])
+    assert got or name in ("partial_stages", "starvation_windows")  # these find nothing in the smallest tables
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in rel.fetchall())
