@@ -56,6 +56,7 @@ def plan_features(plan: Column) -> dict[str, Column]:
         "sort_merge_join": plan.contains("SortMergeJoin"),
         "shuffled_hash_join": plan.contains("ShuffledHashJoin"),
         "cartesian": plan.contains("CartesianProduct"),
+        "broadcast_join": plan.contains("BroadcastHashJoin"),
         "nested_loop": plan.contains("BroadcastNestedLoopJoin"),
         "empty_partition_filters": plan.contains("PartitionFilters: []"),
         "adaptive": plan.contains("AdaptiveSparkPlan"),

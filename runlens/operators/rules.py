@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,21 @@ DEFAULTS = {
     "serialization.deser_p95_ms": 5000, "serialization.result_sum_bytes": GI, "serialization.result_task_bytes": 256 * MI,
     "shuffle_write.min_bytes": 10 * GI, "shuffle_write.throughput_bytes_per_s": 50 * MI, "shuffle_write.task_ratio": 0.3,
     "locality.bad_ratio": 0.5, "locality.min_tasks": 200, "scheduler_delay.p50_ms": 1000,
+    "small_files.scan_files": 1000, "small_files.scan_avg_bytes": 8 * MI, "small_files.out_files": 500, "small_files.out_avg_bytes": 16 * MI, "small_files.prune_files": 5000,
+    "memory.peak_risk_ratio": 0.9, "memory.peak_waste_ratio": 0.5, "memory.sizing_factor": 1.25, "cpu.bound_ratio": 0.7, "cpu.io_ratio": 0.3, "serialization.result_ser_ratio": 0.1,
+    "queue.wait_ratio": 0.4, "queue.busy_ratio": 0.85, "driver_gap.ratio": 0.3, "driver_gap.min_duration_ms": 60_000, "fragmentation.min_jobs": 50, "fragmentation.job_median_ms": 3000, "fragmentation.gap_ratio": 0.2,
+    "broadcast.opportunity_bytes": 64 * MI, "broadcast.risk_bytes": 512 * MI, "dangerous_join.bnlj_rows": 100_000_000, "dangerous_join.critical_path_ratio": 0.3, "row_amp.ratio": 10, "row_amp.min_rows": 100_000_000,
+    "codegen.cpu_ratio": 0.7, "codegen.critical_path_ratio": 0.2, "speculation.min_tasks": 50, "regression.ratio": 1.5, "regression.abs_ms": 300_000, "regression.min_samples": 3, "regression.baseline_rounds": 14,
+    "host.score": 1.5, "host.min_tasks": 50, "host.min_stages": 3, "capacity.idle_window_min": 30, "capacity.idle_ratio": 0.2, "capacity.overload_ratio": 0.95, "monopoly.window_min": 10, "monopoly.core_ratio": 0.6, "monopoly.min_concurrent": 3,
+    "systemic.norm_median": 1.4, "systemic.min_concurrent": 3, "io_hotspot.host_throughput_ratio": 0.4, "io_hotspot.min_tasks": 100, "io_hotspot.spill_share": 0.3, "net_matrix.min_fetchfail": 20, "net_matrix.src_row_ratio": 0.5, "net_matrix.rack_block_ratio": 0.5,
+    "oom.waterline_ratio": 0.9, "oom.concurrent_statements": 3, "driver_health.gc_ratio": 0.15, "driver_health.sched_delay_ms": 1000, "driver_health.gap_ratio": 0.25, "driver_health.big_result_n": 10,
+    "storm.fail_ratio": 0.1, "storm.fail_abs": 200, "storm.retry_abs": 20, "restart_win.tail_min": 30, "queue_baseline.global_p50_ratio": 1.3, "queue_baseline.regressed_fraction": 0.3, "queue_baseline.baseline_rounds": 14, "dq.partial_stage_warn": 1, "dq.clock_skew_ms": 5000,
 }
 #: Thresholds at the scale of the fixture views.
 FIXTURE = DEFAULTS | {
     "skew.min_tasks": 10, "skew.abs_ms": 60_000, "skew.bytes_abs": 50_000_000, "spill.ratio": 0.05, "gc.min_runtime_ms": 60_000,
     "fetch_wait.min_shuffle_bytes": 1_000_000, "locality.min_tasks": 10, "partitions.many_tasks": 30, "partitions.tiny_ms": 12_000,
+    "speculation.min_tasks": 2, "fragmentation.min_jobs": 2, "fragmentation.job_median_ms": 200_000, "fragmentation.gap_ratio": 0.02, "driver_gap.ratio": 0.03, "queue.wait_ratio": 0.1, "host.min_tasks": 20, "storm.fail_abs": 2, "capacity.idle_window_min": 5,
 }
 
 
@@ -37,6 +48,7 @@ class Rule:
     when: str  # over the context's columns, with thresholds in braces
     critical: str = "false"
     severity: int = WARN
+    needs: tuple[str, ...] = ()  # capabilities that the context must have
 
 
 STAGE_RULES = (
@@ -50,9 +62,26 @@ STAGE_RULES = (
     Rule("S-11", "fetch_sum >= {fetch_wait.ratio} * run_sum and read_sum >= {fetch_wait.min_shuffle_bytes}"),
     Rule("S-12", "deser_p95 >= {serialization.deser_p95_ms} or result_sum >= {serialization.result_sum_bytes} or result_max >= {serialization.result_task_bytes}"),
     Rule("S-13", "delay_p50 >= {scheduler_delay.p50_ms}"),
-    Rule("S-21", "failed_attempts > 0"),
+    Rule("S-09", "heap_peak_ratio >= {memory.peak_risk_ratio} or heap_peak_ratio <= {memory.peak_waste_ratio}", needs=("STAGE_EXECUTOR_METRICS",)),
+    Rule("S-23", "(write_sum >= {shuffle_write.min_bytes} and write_sum * 1000 <= {shuffle_write.throughput_bytes_per_s} * greatest(write_ms, 1)) or write_max_share >= {shuffle_write.task_ratio}"),
     Rule("S-24", "n >= {locality.min_tasks} and bad_ratio >= {locality.bad_ratio} and input_sum > 0"),
+    Rule("S-29", "codegen_gap and cpu_ratio >= {codegen.cpu_ratio} and path_share >= {codegen.critical_path_ratio}", needs=("PLAN_TEXT",)),
 )
+_WORD = re.compile(r"'[^']*'|[a-z_][a-z_0-9]*(?![a-z_0-9(]| *\()")
+_NOT_COLUMNS = frozenset("and or not is null true false like".split())
+_FLAGS = frozenset("codegen_gap broadcast_error plan_changed systemic_single_host fetch_diffuse compacted in_progress adaptive cartesian nested_loop broadcast_join sort_merge_join shuffled_hash_join empty_partition_filters".split())
+
+
+def inputs(rule: Rule) -> set[str]:
+    """Names of the columns that a rule looks at."""
+    text = re.sub(r"\{[^}]*\}", "0", f"{rule.when} ; {rule.critical}")
+    return {w for w in _WORD.findall(text) if not w.startswith("'")} - _NOT_COLUMNS
+
+
+def completed(contexts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The contexts with a null column for each input that they lack: missing is not 0, such a condition does not hold."""
+    lacking = sorted(set().union(*map(inputs, rules)) - set(contexts.columns))
+    return contexts.withColumns({c: F.lit(None).cast("boolean" if c in _FLAGS else "double") for c in lacking}) if lacking else contexts
 
 
 def filled(text: str, thresholds: dict[str, float]) -> str:
@@ -66,17 +95,22 @@ def filled(text: str, thresholds: dict[str, float]) -> str:
 def stage_contexts(tasks: DataFrame, stages: DataFrame, cores: int) -> DataFrame:
     """One wide row a stage with everything that the stage rules look at."""
     x = task_distributions(tasks)
-    m = stage_metrics(tasks, stages).select(*STAGE, "fetch_sum", "cpu_ratio", "wall_ms", "failed_attempts", "extra_attempts")
+    m = stage_metrics(tasks, stages).select(*STAGE, "fetch_sum", "cpu_ratio", "wall_ms", "delay_ms", "failed_attempts", "extra_attempts")
     out = x.join(m, STAGE).join(features.task_scheduler_delay(tasks), STAGE).join(features.result_pressure(tasks).drop("deser_p95"), STAGE)
-    return out.join(features.locality_mix(tasks).select(*STAGE, "bad_ratio"), STAGE).withColumn("cores", F.lit(cores))
+    w = tasks.groupBy(*STAGE).agg(F.sum("shuffle_write_ms").alias("write_ms"), ratio(F.max("shuffle_write_bytes"), F.sum("shuffle_write_bytes")).alias("write_max_share"))
+    return out.join(w, STAGE).join(features.locality_mix(tasks).select(*STAGE, "bad_ratio"), STAGE).withColumn("cores", F.lit(cores))
 
 
 def evaluate_rules(contexts: DataFrame, rules: tuple[Rule, ...], thresholds: dict[str, float], keys: list[str]) -> DataFrame:
-    """Every rule on every context in one pass: keys, rule_id, severity, score. A rule whose inputs are null does not fire.
+    """Every rule on every context in one pass: keys, rule_id, severity, score. A rule whose inputs are null or absent does
+    not fire, nor does one that needs a capability which the context's array `capabilities`, if there is one, lacks.
 
     The score weighs severity (100, 10, 1) by the impact, log10(1 + wall seconds).
     """
-    found = [F.when(F.expr(filled(r.when, thresholds)), F.struct(F.lit(r.id).alias("rule_id"), F.when(F.expr(filled(r.critical, thresholds)), CRITICAL).otherwise(r.severity).alias("severity"))) for r in rules]
+    gated = "capabilities" in contexts.columns
+    contexts = completed(contexts, rules)
+    may = lambda r: F.size(F.array_except(F.array(*map(F.lit, r.needs)), F.col("capabilities"))) == 0 if gated and r.needs else F.lit(True)
+    found = [F.when(may(r) & F.expr(filled(r.when, thresholds)), F.struct(F.lit(r.id).alias("rule_id"), F.when(F.expr(filled(r.critical, thresholds)), CRITICAL).otherwise(r.severity).alias("severity"))) for r in rules]
     x = contexts.select(*keys, "wall_ms", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*keys, "wall_ms", "f.*")
     base = F.when(F.col("severity") == CRITICAL, 100).when(F.col("severity") == WARN, 10).otherwise(1)
     return x.select(*keys, "rule_id", "severity", F.round(base * F.log10(1 + F.greatest("wall_ms", F.lit(0)) / 1000), 6).alias("score"))
@@ -95,16 +129,58 @@ def dominant_bottleneck(findings: DataFrame, execs: DataFrame) -> DataFrame:
     return execs.select("app_id", "execution_id").join(first, ["app_id", "execution_id"], "left").na.fill("none", ["rule_id"])
 
 
-def suppress_findings(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """Marks findings that a suppression names (rule, app; a null app is any) with its reason; nothing is dropped.
+def capability_gate(contexts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules that none of an application's contexts could be tested for, with what is missing. contexts: app_id, capabilities."""
+    need = F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.array(*map(F.lit, r.needs)).alias("needs")) for r in rules if r.needs])).alias("r")
+    x = contexts.select("app_id", "capabilities").distinct().select("app_id", "capabilities", need)
+    x = x.select("app_id", "r.rule_id", "r.needs", F.array_except("r.needs", "capabilities").alias("lacks"))
+    x = x.groupBy("app_id", "rule_id").agg(F.min(F.size("lacks")).alias("n"), F.min_by(F.array_join("lacks", ", "), F.size("lacks")).alias("missing"))
+    return x.where("n > 0").select("app_id", "rule_id", "missing")
+
+
+def finding_evidence(findings: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to each finding the numbers and flags of its context that are known, as a map of texts; whole numbers have no fraction."""
+    names = [c for c, t in contexts.dtypes if c not in keys and not t.startswith(("array", "map", "struct"))]
+
+    def shown(name: str):
+        c = F.col(name)
+        kind = dict(contexts.dtypes)[name]
+        return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string")) if kind in ("double", "float") else c.cast("string")
+
+    all_ = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(shown, names)))
+    known = contexts.select(*keys, F.map_filter(all_, lambda k, v: v.isNotNull()).alias("evidence"))
+    return findings.join(known, keys, "left")
+
+
+def partial_degrade(findings: DataFrame, partial_apps: DataFrame) -> DataFrame:
+    """Confidence and severity of findings whose events are incomplete: medium, and a stage's critical is a warning."""
+    x = findings.join(partial_apps.select("app_id", F.lit(True).alias("_p")).distinct(), "app_id", "left")
+    p = F.coalesce("_p", F.lit(False))
+    s = F.when(p & (F.col("severity") == CRITICAL), WARN).otherwise(F.col("severity"))
+    return x.withColumns({"severity": s, "confidence": F.when(p, "MEDIUM").otherwise("HIGH")}).drop("_p")
+
+
+def suppress_findings(findings: DataFrame, suppressions: DataFrame, day: str) -> DataFrame:
+    """Marks findings that a suppression names with its reason; nothing is dropped.
 
-    Suppressions are written by hand; each finding takes the first match by reason.
+    findings: rule_id, fingerprint, statement_id, table; suppressions: rule, fingerprint, statement_id, table, reason,
+    until. A null selector matches everything, a date before `day` nothing; of several matches the least reason is
+    taken. The join is by rule, so it needs no bound on either side.
     """
-    s = suppressions.select(F.col("rule").alias("_rule"), F.col("app").alias("_app"), "reason")
-    one, all_ = s.where("_app is not null").groupBy("_rule", "_app").agg(F.min("reason").alias("r1")), s.where("_app is null").groupBy("_rule").agg(F.min("reason").alias("r2"))
-    x = findings.join(one, (findings["rule_id"] == one["_rule"]) & (findings["app_id"] == one["_app"]), "left").drop("_rule", "_app")
-    x = x.join(all_, x["rule_id"] == all_["_rule"], "left").drop("_rule")
-    return x.withColumn("reason", F.least("r1", "r2")).withColumn("suppressed", F.col("reason").isNotNull()).drop("r1", "r2")
+    names = ["fingerprint", "statement_id", "table"]
+    s = suppressions.where(F.col("until").isNull() | (F.col("until") >= F.lit(day))).select(F.col("rule").alias("rule_id"), *[F.col(c).alias(f"_{c}") for c in names], "reason")
+    one = s.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.struct("reason", *[f"_{c}" for c in names]))).alias("_s"))
+    x = findings.join(one, "rule_id", "left")
+    fits = lambda m: (m["_fingerprint"].isNull() | m["_fingerprint"].eqNullSafe(F.col("fingerprint"))) & (m["_statement_id"].isNull() | m["_statement_id"].eqNullSafe(F.col("statement_id"))) & (m["_table"].isNull() | m["_table"].eqNullSafe(F.col("table")))
+    hits = F.filter("_s", fits)
+    return x.withColumns({"reason": F.get(hits, F.lit(0))["reason"], "suppressed": F.coalesce(F.size(hits) > 0, F.lit(False))}).drop("_s")
+
+
+def validate_rules(rules: tuple[Rule, ...], thresholds: dict[str, float]) -> dict[str, list[str]]:
+    """Identifiers that are given twice, thresholds that rules name but are missing, and thresholds that no rule names."""
+    ids = [r.id for r in rules]
+    used = {k for r in rules for k in re.findall(r"\{([^}]+)\}", r.when + r.critical)}
+    return {"duplicate": sorted({i for i in ids if ids.count(i) > 1}), "missing": sorted(used - set(thresholds)), "unused": sorted(set(thresholds) - used)}
 
 
 def rule_interactions(findings: DataFrame, partial_apps: DataFrame, storm_apps: DataFrame) -> DataFrame:

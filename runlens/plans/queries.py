@@ -157,7 +157,7 @@ TEMPLATE = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_repl
 register("extract_statement_id", lambda e: e.select("app_id", "execution_id", text.statement_id(F.col("description")).alias("statement_id")), "v_exec", rf"SELECT {E}, nullif(trim(regexp_replace(regexp_extract(description, '(?s)^\s*/\*\s*(.*?)\s*\*/', 1), '\s+', ' ', 'g')), '') AS statement_id FROM v_exec")
 register("sql_template_hash", lambda e: e.select("app_id", "execution_id", text.template_hash(F.col("description")).alias("template")), "v_exec", f"SELECT {E}, md5({TEMPLATE}) AS template FROM v_exec")
 register("redact_text", lambda e: e.select("app_id", "execution_id", text.redact(F.concat(F.lit("hdfs://nn:8020/x?token=abc, "), "description")).alias("masked")), "v_exec", f"SELECT {E}, 'hdfs://***/x?token=***, ' || description AS masked FROM v_exec")
-register("plan_features", lambda e: e.select("app_id", "execution_id", *[c.alias(n) for n, c in text.plan_features(F.col("plan")).items()]), "v_exec", rf"SELECT {E}, contains(plan, 'SortMergeJoin') AS sort_merge_join, contains(plan, 'ShuffledHashJoin') AS shuffled_hash_join, contains(plan, 'CartesianProduct') AS cartesian, contains(plan, 'BroadcastNestedLoopJoin') AS nested_loop, contains(plan, 'PartitionFilters: []') AS empty_partition_filters, contains(plan, 'AdaptiveSparkPlan') AS adaptive, NOT regexp_matches(plan, '\*\(\d+\)|codegen id :|\* \w') AS codegen_gap FROM v_exec")
+register("plan_features", lambda e: e.select("app_id", "execution_id", *[c.alias(n) for n, c in text.plan_features(F.col("plan")).items()]), "v_exec", rf"SELECT {E}, contains(plan, 'SortMergeJoin') AS sort_merge_join, contains(plan, 'ShuffledHashJoin') AS shuffled_hash_join, contains(plan, 'CartesianProduct') AS cartesian, contains(plan, 'BroadcastHashJoin') AS broadcast_join, contains(plan, 'BroadcastNestedLoopJoin') AS nested_loop, contains(plan, 'PartitionFilters: []') AS empty_partition_filters, contains(plan, 'AdaptiveSparkPlan') AS adaptive, NOT regexp_matches(plan, '\*\(\d+\)|codegen id :|\* \w') AS codegen_gap FROM v_exec")
 register("plan_shape", lambda e: e.select("app_id", "execution_id", text.plan_shape(F.col("plan")).alias("shape")), "v_exec", f"SELECT {E}, array_to_string(list_filter([CASE WHEN contains(plan, 'Broadcast') THEN 'broadcast' END, CASE WHEN contains(plan, 'SortMergeJoin') THEN 'sort-merge join' END, CASE WHEN contains(plan, 'Exchange') THEN 'exchange' END, CASE WHEN contains(plan, 'Aggregate') THEN 'aggregate' END, CASE WHEN contains(plan || ' ', 'Sort ') THEN 'sort' END], lambda x: x IS NOT NULL), ', ') AS shape FROM v_exec")
 register("slowest_sql", lambda e: e.where("end_ms > start_ms").groupBy("app_id").agg(F.max_by("execution_id", F.struct(F.col("end_ms") - F.col("start_ms"), -F.col("execution_id"))).alias("execution_id")), "v_exec", "SELECT app_id, execution_id FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY end_ms - start_ms DESC, execution_id) AS r FROM v_exec WHERE end_ms > start_ms) WHERE r = 1")
 
@@ -206,8 +206,8 @@ register("template_regression", lambda e: features.template_regression(_history(
 x AS (SELECT *, sum(p50 * n) OVER w / sum(n) OVER w AS base, count(*) OVER w AS seen FROM p WINDOW w AS (PARTITION BY template ORDER BY run ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) SELECT template, run, p50, round(base, 6) AS base, seen, p50 >= greatest(base * 1.1, base + 1000) AS regressed FROM x WHERE seen >= 3""")
 
 # ---- rules ----
-CTX = f"""WITH m AS ({METRICS}), st AS ({STATS}), dl AS (SELECT {K}, {_q('greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)', 0.5)} AS delay_p50, sum(greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)) AS delay_sum, sum(result_size) AS result_sum, max(result_size) AS result_max, {_ratio(_n('ANY') + ' + ' + _n('RACK_LOCAL'), 'count(*)')} AS bad_ratio FROM v_task GROUP BY {K}),
-ctx AS (SELECT st.*, m.fetch_sum, m.cpu_ratio, m.wall_ms, m.failed_attempts, dl.* EXCLUDE (app_id, execution_id, stage_id), {CORES} AS cores FROM st JOIN m USING ({K}) JOIN dl USING ({K}))"""
+CTX = f"""WITH m AS ({METRICS}), st AS ({STATS}), dl AS (SELECT {K}, {_q('greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)', 0.5)} AS delay_p50, sum(greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)) AS delay_sum, sum(result_size) AS result_sum, max(result_size) AS result_max, sum(shuffle_write_ms) AS write_ms, {_ratio('max(shuffle_write_bytes)', 'sum(shuffle_write_bytes)')} AS write_max_share, {_ratio(_n('ANY') + ' + ' + _n('RACK_LOCAL'), 'count(*)')} AS bad_ratio FROM v_task GROUP BY {K}),
+ctx AS (SELECT st.*, m.fetch_sum, m.cpu_ratio, m.wall_ms, m.delay_ms, m.failed_attempts, m.extra_attempts, dl.* EXCLUDE (app_id, execution_id, stage_id), {CORES} AS cores, NULL::double AS heap_peak_ratio, NULL::boolean AS codegen_gap, NULL::double AS path_share FROM st JOIN m USING ({K}) JOIN dl USING ({K}))"""
 FIND = CTX + ", f AS (" + " UNION ALL ".join(f"SELECT {K}, wall_ms, '{r.id}' AS rule_id, CASE WHEN {rules.filled(r.critical, rules.FIXTURE)} THEN 2 ELSE {r.severity} END AS severity FROM ctx WHERE {rules.filled(r.when, rules.FIXTURE)}" for r in rules.STAGE_RULES) + f"), found AS (SELECT {K}, rule_id, severity, round((CASE severity WHEN 2 THEN 100 WHEN 1 THEN 10 ELSE 1 END) * log10(1 + greatest(wall_ms, 0) / 1000.0), 6) AS score FROM f)"
 
 
