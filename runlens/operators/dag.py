@@ -39,6 +39,28 @@ def ideal_time_ms(stages: DataFrame, tasks: DataFrame, cores: int) -> DataFrame:
     return _longest(_with_parents(stages, tasks), F.expr(f"total div {cores}"), "ideal_ms")
 
 
+def critical_path_stages(stages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The stages on the longest path of each execution with their weight and share; of equal parents the smaller id."""
+    node = F.struct("stage_id", F.col("longest").cast("long").alias("w"), "parent_ids")
+    rows = _with_parents(stages, tasks).groupBy("app_id", "execution_id").agg(F.array_sort(F.collect_list(node)).alias("s"))
+    zero, kind = F.lit(0).cast("long"), "map<bigint,struct<dist:bigint,before:bigint,w:bigint>>"
+
+    def step(m: Column, x: Column) -> Column:
+        known = F.filter(x["parent_ids"], lambda p: F.map_contains_key(m, p))
+        best = F.array_max(F.transform(known, lambda p: F.struct(F.element_at(m, p)["dist"].alias("d"), (-p).alias("p"))))
+        row = F.struct((x["w"] + F.coalesce(best["d"], zero)).alias("dist"), (-best["p"]).alias("before"), x["w"].alias("w"))
+        return F.map_concat(m, F.map_from_arrays(F.array(x["stage_id"]), F.array(row))).cast(kind)
+
+    x = rows.withColumn("m", F.aggregate("s", F.map_from_entries(F.array().cast("array<struct<key:bigint,value:struct<dist:bigint,before:bigint,w:bigint>>>")), step))
+    last = F.array_max(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"]["dist"].alias("d"), (-e["key"]).alias("k"))))
+    x = x.withColumns({"total": last["d"], "last": -last["k"]})
+    walk = lambda a, _: F.when(a["at"].isNull(), a).otherwise(F.struct(F.element_at(F.col("m"), a["at"])["before"].alias("at"), F.concat(a["path"], F.array(a["at"])).alias("path")))
+    path = F.aggregate("s", F.struct(F.col("last").alias("at"), F.array().cast("array<bigint>").alias("path")), walk, lambda a: a["path"])
+    x = x.select("app_id", "execution_id", "m", "total", F.explode(path).alias("stage_id"))
+    w = F.element_at("m", F.col("stage_id"))["w"]
+    return x.select("app_id", "execution_id", "stage_id", w.alias("ms"), F.round(F.when(F.col("total") > 0, w / F.col("total")).otherwise(0.0), 6).alias("share"))
+
+
 def path_deviation(execs: DataFrame, critical: DataFrame) -> DataFrame:
     from runlens.operators.stages import ratio
 

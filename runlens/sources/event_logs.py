@@ -43,11 +43,14 @@ def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.regexp_replace(log, r"^eventlog_v2_|\.(inprogress|zstd|lz4|snappy|lzf)", "").alias("log"), F.coalesce(part.try_cast("int"), F.lit(1 << 30)).alias("part"), "value")
 
 
-def parse_events(lines: DataFrame, kind: str) -> DataFrame:
-    """One typed table of an event kind; lines are filtered by their text before any JSON is decoded, broken lines are dropped."""
+def parse_events(lines: DataFrame, kind: str, schema: str | None = None) -> DataFrame:
+    """One typed table of an event kind; lines are filtered by their text before any JSON is decoded, broken lines are dropped.
+    With a schema of one's own the text of the event stays as `line`."""
     event = F.regexp_extract("value", r'^\s*\{"Event":"([^"]+)"', 1)
     x = lines.where(F.col("value").contains(f"{kind}\"")).where(F.regexp_extract(event, r"(?:SparkListener)?([A-Za-z]+)$", 1) == kind)
-    return x.select("log", "part", F.from_json("value", f"{SCHEMAS[kind]}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("e")).where("e is not null and e._broken is null").select("log", "part", "e.*").drop("_broken")
+    typed = F.from_json("value", f"{schema or SCHEMAS[kind]}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("e")
+    x = x.select("log", "part", *(["value"] if schema else []), typed).where("e is not null and e._broken is null")
+    return x.select("log", "part", *([F.col("value").alias("line")] if schema else []), "e.*").drop("_broken")
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
@@ -110,9 +113,10 @@ def executor_events(lines: DataFrame) -> DataFrame:
 
 
 def skip_unchanged(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Logs whose key (all parts' names, lengths and times) is not in the manifest. files: log, name, length, modified."""
-    key = F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", "name", F.col("length").cast("string"), F.col("modified").cast("string"))))), 256)
-    return files.groupBy("log").agg(key.alias("key")).join(manifest.select("log", "key"), ["log", "key"], "left_anti")
+    """Logs whose key is not in the manifest (log, key). files: log, name, length, modified."""
+    from runlens.sources.reports import log_snapshot_key
+
+    return log_snapshot_key(files).join(manifest.select("log", "key"), ["log", "key"], "left_anti")
 
 
 def attach_thrift_ids(executions: DataFrame, ids: DataFrame) -> DataFrame:
