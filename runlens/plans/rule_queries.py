@@ -124,6 +124,6 @@ def _overrides(spark, d: str) -> DataFrame:
 
 
 SQL["load_thresholds"] = duck("SELECT a.app_id, k.key, coalesce(v.value::double, k.value) AS value FROM (SELECT DISTINCT app_id FROM v_conf) a CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'key': '{k}', 'value': {float(v)}::double}}" for k, v in rules.DEFAULTS.items()) + "], recursive := true)) k LEFT JOIN v_conf v ON v.app_id = a.app_id AND v.key = 'runlens.threshold.' || k.key")
-register("finding_evidence", lambda t, s: rules.finding_evidence(findings(t, s), rules.stage_contexts(t, s, CORES), stages.STAGE).select(*stages.STAGE, "rule_id", F.col("evidence")["run_max"].alias("run_max"), F.col("evidence")["n"].alias("n"), F.col("evidence")["heap_peak_ratio"].alias("heap")), "v_task v_stage", f"{FIND} SELECT {K}, rule_id, run_max::varchar AS run_max, n::varchar AS n, NULL AS heap FROM found JOIN (SELECT {K}, run_max, n FROM ctx) USING ({K})")
+register("finding_evidence", lambda t, s: rules.finding_evidence(findings(t, s), rules.stage_contexts(t, s, CORES), stages.STAGE).select(*stages.STAGE, "rule_id", F.col("evidence")["run_max"].alias("run_max"), F.col("evidence")["n"].alias("n"), F.col("evidence")["heap_peak_ratio"].alias("heap")), "v_task v_stage", f"{FIND} SELECT {K}, rule_id, run_max::varchar AS run_max, n::varchar AS n, NULL::varchar AS heap FROM found JOIN (SELECT {K}, run_max, n FROM ctx) USING ({K})")
 _texts = f"SELECT DISTINCT {E}, severity, rule_id, {_case(0)} || ': ' || {_case(1)} AS a FROM found"
 register("recommendation_digest", lambda t, s: rule_sets.recommendation_digest(findings(t, s), EXEC), "v_task v_stage", f"{FIND}, x AS ({_texts}), y AS (SELECT {E}, rule_id, a, max(severity) AS severity FROM x GROUP BY ALL) SELECT {E}, string_agg(a, '; ' ORDER BY severity DESC, rule_id) AS advice, count(*) FILTER (severity = 2) || ' critical, ' || count(*) FILTER (severity = 1) || ' warnings' AS summary FROM y GROUP BY {E}")
