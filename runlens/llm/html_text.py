@@ -26,6 +26,9 @@ NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoog
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 MAIN_WORDS = frozenset("content article post entry story main".split())
 KEEP = frozenset(("html", "body", "main", "article"))
+#: Words in the class or id of an article element that is not the page's own text.
+NOT_ARTICLES = frozenset("comment ad advert related recommended teaser teasers promo sponsored reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in RAW}
@@ -43,23 +46,26 @@ def _shut(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     main = bool(words & MAIN_WORDS) or found.get("role", "").lower() == "main"
     if name in KEEP:
-        return hidden or (name == "article" and bool(words & {"comment", "ad", "advert", "related", "teaser", "promo", "reply"})), main
+        return hidden or (name == "article" and bool(words & NOT_ARTICLES)), main
     return hidden or found.get("role", "").lower() in NOT_ROLES or bool(words & NOT_WORDS), main
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of every block of a page in its order.
 
-    Zones: INSIDE the article (the longest article element, else main, else an element whose class or id says
-    content), OPEN in a page that has none of these, OUTSIDE for what the structure leaves out. A block is the text
+    Zones: INSIDE the article, OPEN in a page that has none, OUTSIDE for what the structure leaves out. The article
+    is all article elements, else main, else all elements whose class or id says content, in the main element of the
+    longest of them (or outside of main, if that one is), short ones too: comments and teasers go by their class. The
+    headings before these in a main or content element around them belong to the article. A block is the text
     between two block-level tags; inline tags leave no trace, a line break is white space. Character references are
     decoded, white space becomes one space. Unclosed elements end with the element around them.
     """
     page = page or ""
     stack: list[tuple[str, bool, int]] = []  # name, left out, article number
-    out: list[tuple[bool, int, str]] = []
+    out: list[tuple[bool, int, bool, str]] = []  # left out, article number, heading, text
     text: list[str] = []
     kinds: dict[int, int] = {}  # article number -> rank of its kind
+    around: dict[int, int] = {}  # article number -> number of the container around it, 0 for none
     left_out, article, at = False, 0, 0
 
     def flush() -> None:
@@ -67,7 +73,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             t = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if t:
-                out.append((left_out, article, t))
+                out.append((left_out, article, any(x[0] in HEADINGS for x in stack), t))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -107,19 +113,37 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             number = above[2]
             kind = 3 if name == "article" else 2 if name == "main" else 1 if main else 0
             if kind and not (shut or above[1]) and kind > kinds.get(number, 0):
+                around[len(kinds) + 1] = number
                 number = len(kinds) + 1
                 kinds[number] = kind
             stack.append((name, above[1] or shut, number))
         left_out, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
     flush()
     sizes: dict[int, int] = {}
-    for shut, number, t in out:
+    for shut, number, _, t in out:
         if number and not shut:
             sizes[number] = sizes.get(number, 0) + len(t)
     best = max(sizes, key=lambda n: (kinds[n], sizes[n]), default=0)
     if not best:
-        return [(OUTSIDE if shut else OPEN, t) for shut, _, t in out]
-    return [(INSIDE if number == best and not shut else OUTSIDE, t) for shut, number, t in out]
+        return [(OUTSIDE if shut else OPEN, t) for shut, _, _, t in out]
+
+    def containers(n: int) -> list[int]:
+        up = []
+        while n := around[n]:
+            up.append(n)
+        return up
+
+    def main_of(n: int) -> int:
+        return next((u for u in containers(n) if kinds[u] == 2), 0)
+
+    own = {n for n in sizes if kinds[n] == kinds[best] and main_of(n) == main_of(best)}
+    zones, titled = [], set()  # titled: containers around the articles that follow
+    for shut, number, heading, _ in reversed(out):
+        inside = not shut and (number in own or (heading and number in titled))
+        if inside and number in own:
+            titled.update(containers(number))
+        zones.append(INSIDE if inside else OUTSIDE)
+    return [(z, t) for z, (_, _, _, t) in zip(reversed(zones), out)]
 
 
 #: The host of a URL, between the scheme's slashes (and a user's name) and the port or path.

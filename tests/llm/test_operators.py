@@ -262,6 +262,17 @@ def test_html(spark):
         assert all("reserved" not in got[10 + k][0] and f"w{k}x29" in got[10 + k][0] for k in range(4))
 
 
+def test_html_keeps_all_parts_of_an_article():
+    def kept(page):
+        return [t for z, t in html_text.blocks_of(page) if z != html_text.OUTSIDE]
+
+    parts = "<article><p>the longest part of all</p></article><article><p>part two</p></article>"
+    assert kept(f"<body><nav>menu</nav><h4>Site</h4><main><header><h1>Title</h1></header>{parts}<article class='teaser'>next</article><h2>More</h2></main><article>elsewhere</article></body>") == ["Title", "the longest part of all", "part two"]
+    assert kept(f"<body>{parts}<section class='related'><article>other</article></section></body>") == ["the longest part of all", "part two"]
+    assert kept("<body><div>menu</div><div class='post'>one</div><div class='entry'>two and more</div><div class='comments'><div class='post'>hi</div></div></body>") == ["one", "two and more"]
+    assert kept("<div id='content'><h1>Title</h1><article>text</article><h2>Later</h2></div>") == ["Title", "text"]
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (exact_dedup.exact_dedup(empty), quality_rules.apply_policy(quality_rules.rule_ledger(empty)), simhash.simhash_groups(empty), bpe.bpe_encode(empty), packing.pack(empty), token_counts.token_counts(empty), range_coder.round_trip(empty), language.identify_language(empty), pitman_yor.score_texts(empty), html_text.extract_text(pages)):
