@@ -197,15 +197,15 @@ class HostStream:
 
         return group, pages(self.whole & (self.zone != INSIDE)), pages(self.whole & (self.zone == OUTSIDE))
 
-    def repeated(self, far: np.ndarray, far_outside: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix: whether its run is found on another page, and whether it stands outside of articles on `least`
-        pages. far: prints known from other parts of the host; far_outside: those of them that are outside so often."""
+    def repeated(self, far: tuple[np.ndarray, np.ndarray], least: float, least_outside: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix: whether `least` pages have its run in their streams, and whether `least_outside` pages have it
+        outside of articles. far: prints of other parts of the host that have so many pages there, in both senses."""
         n = len(self.rank)
         if not n:
             return np.zeros(0, bool), np.zeros(0, bool)
         group, pages, outside = self._groups()
-        several = (pages[group] > 1) | np.isin(self.print, far)
-        return several & (self.zone != INSIDE), (outside[group] >= least) | np.isin(self.print, far_outside)
+        several = (pages[group] >= least) | np.isin(self.print, far[0])
+        return several & (self.zone != INSIDE), (outside[group] >= least_outside) | np.isin(self.print, far[1])
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
         """Tokens within a run that starts at one of the suffixes."""
@@ -217,15 +217,15 @@ class HostStream:
         return np.cumsum(change[:n]) > 0
 
 
-def removals(pages: list[list[tuple[int, str]]], far: np.ndarray, far_outside: np.ndarray, copy_share: float, least: float) -> list[list[tuple[int, int, int]]]:
+def removals(pages: list[list[tuple[int, str]]], far: tuple[np.ndarray, np.ndarray], least: float, least_outside: float) -> list[list[tuple[int, int, int]]]:
     """(block, first word, word after the last) to remove from each page of a host.
 
-    In pages without an article: words within runs of 8 words, or whole shorter blocks, that another page of the host
-    has too, unless they are `copy_share` or more of the page's text: then the page is a copy, and its text is kept.
-    Of articles: short blocks that are covered whole by runs which `least` pages have outside of their articles.
+    In pages without an article: words within runs of 8 words, or whole shorter blocks, that `least` pages of the host
+    have; a page that would lose every word is a copy like so many others, and keeps its text.
+    Of articles: short blocks that are covered whole by runs which `least_outside` pages have outside of their articles.
     """
     s = HostStream(pages)
-    several, outside = s.repeated(far, far_outside, least)
+    several, outside = s.repeated(far, least, least_outside)
     any_, out = s.covered(several), s.covered(outside)
     ends = np.cumsum(s.lengths)
     result, block = [], 0
@@ -234,7 +234,7 @@ def removals(pages: list[list[tuple[int, str]]], far: np.ndarray, far_outside: n
         block += len(p)
         open_ = [any_[a:z] for (zone, _), (a, z) in zip(p, spans) if zone == OPEN]
         total = sum(map(len, open_))
-        copy = total > 0 and sum(int(x.sum()) for x in open_) >= copy_share * total
+        copy = total > 0 and all(x.all() for x in open_)
         own: list[tuple[int, int, int]] = []
         for k, ((zone, _), (a, z)) in enumerate(zip(p, spans)):
             if zone == INSIDE and out[a:z].all():
@@ -246,12 +246,13 @@ def removals(pages: list[list[tuple[int, str]]], far: np.ndarray, far_outside: n
     return result
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, large_share: float = 1e-6, copy_share: float = 0.6) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, large_share: float = 1e-6) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, removed_words.
 
     Pages are cut into blocks and zones by their structure (see `blocks_of`). Then each host's streams are searched
-    for long runs that distinct pages share, by a suffix array (`HostStream`, `removals`): boilerplate that the
-    structure does not show goes, unique runs stay. Inside an article only a notice goes: a block that half of the
+    for long runs that distinct pages share, by a suffix array (`HostStream`, `removals`). In a page without an article,
+    runs go that half of the host's pages (`notice_share`, 3 pages at least) have in their streams, however much of the
+    page they are; runs of fewer pages are copies, quotations or passages and stay. Inside an article only a notice goes: a block that half of the
     host's pages (`notice_share`, 5 pages at least) have outside of their articles; what articles share among
     themselves, copies and passages, stays. A stream holds a page's blocks outside of the article, all blocks
     of pages without one, and the article's blocks of up to `notice_words` words (longer ones are never notices).
@@ -273,7 +274,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).alias("_h"))
     total = rows.count()
     sizes = rows.groupBy("host").agg(F.count("*").alias("n")).where((F.col("n") > pages_per_part) & (F.col("n") >= large_share * total))
-    large = F.broadcast(sizes.select("host", F.ceil(F.col("n") / pages_per_part).cast("int").alias("parts"), F.greatest(F.lit(5.0), F.col("n") * notice_share).alias("least")))  # at most 1 / large_share rows
+    large = F.broadcast(sizes.select("host", F.ceil(F.col("n") / pages_per_part).cast("int").alias("parts"), F.col("n").alias("of_host")))  # at most 1 / large_share rows
     dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,27 +295,28 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def prints(t: pa.Table) -> pa.Table:
         s = HostStream(_pages(t))
-        group, _, outside = s._groups() if len(s.rank) else (np.zeros(0, np.int64),) * 3
+        group, pages, outside = s._groups() if len(s.rank) else (np.zeros(0, np.int64),) * 3
         u, first = np.unique(s.print[s.whole], return_index=True)
-        n = outside[group[s.whole][first]]
+        of = group[s.whole][first]
         key = lambda c, k: pa.array([t[c][0].as_py()] * len(u), k)
-        return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(u.view(np.int64)), "outside": pa.array(n, pa.int64())})
+        return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(u.view(np.int64)), "pages": pa.array(pages[of], pa.int64()), "outside": pa.array(outside[of], pa.int64())})
 
     of_large = rows.join(large.select("host"), "host", "left_semi").select("page_id", "url", "host", "_h").mapInArrow(streams, schema)
-    found = of_large.join(large, "host").withColumn("part", dealt).select("host", "part", "zones", "blocks").groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, outside long")
+    found = of_large.join(large, "host").withColumn("part", dealt).select("host", "part", "zones", "blocks").groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, pages long, outside long")
     same = Window.partitionBy("host", "print")
-    shared = found.withColumns({"n": F.count("*").over(same), "outside": F.sum("outside").over(same)}).where("n > 1")
-    far = shared.select("host", "part", "print", "outside")
+    shared = found.withColumns({"n": F.count("*").over(same), "pages": F.sum("pages").over(same), "outside": F.sum("outside").over(same)}).where("n > 1")
+    far = shared.select("host", "part", "print", "pages", "outside")
 
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
         texts, gone = [], []
         if t.num_rows:
-            least = t["least"][0].as_py() or max(5.0, notice_share * t.num_rows)  # a host that is not large is here as a whole
+            share = notice_share * (t["of_host"][0].as_py() or t.num_rows)  # a host that is not large is here as a whole
+            least, least_outside = max(3.0, share), max(5.0, share)
             prints_ = known["print"].to_numpy().view(np.uint64)
-            outside = prints_[known["outside"].to_numpy() >= least]
+            far = prints_[known["pages"].to_numpy() >= least], prints_[known["outside"].to_numpy() >= least_outside]
             whole = _pages(t)
             flows = [_flow(p, notice_words) for p in whole]
-            for p, (places, _), own in zip(whole, flows, removals([f for _, f in flows], prints_, outside, copy_share, least)):
+            for p, (places, _), own in zip(whole, flows, removals([f for _, f in flows], far, least, least_outside)):
                 words: dict[int, list[str | None]] = {}
                 for block, a, z in own:
                     w = words.setdefault(places[block], list(p[places[block]][1].split(" ")))
@@ -325,7 +327,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())]
         return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words"])
 
-    parsed = rows.mapInArrow(parse, schema).join(large, "host", "left").withColumn("part", dealt).select("page_id", "url", "host", "part", "least", "zones", "blocks")
+    parsed = rows.mapInArrow(parse, schema).join(large, "host", "left").withColumn("part", dealt).select("page_id", "url", "host", "part", "of_host", "zones", "blocks")
     return parsed.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars long, removed_words long")
 
 

@@ -273,6 +273,20 @@ def test_html_keeps_all_parts_of_an_article():
     assert kept("<div id='content'><h1>Title</h1><article>text</article><h2>Later</h2></div>") == ["Title", "text"]
 
 
+def test_html_tells_boilerplate_from_passages(spark):
+    own = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(9)]
+    menu = " ".join(f"menu{j}" for j in range(60))
+    passage = " ".join(f"quoted{j}" for j in range(50))
+    rows = [(k, "http://o.p/x", f"<body><div>{menu}</div><div>{own[k]}</div>{f'<div>{passage}</div>' if k < 2 else ''}</body>") for k in range(8)]
+    copy = f"<body><div>{own[8]}</div></body>"
+    rows += [(20 + k, "http://q.r/x", copy) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in (512, 2):
+        got = {r.page_id: r.text for r in html_text.extract_text(df, pages_per_part=part).collect()}
+        assert [got[k] for k in range(8)] == [own[k] + (f"\n{passage}" if k < 2 else "") for k in range(8)]
+        assert all(got[20 + k] == own[8] for k in range(6))
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (exact_dedup.exact_dedup(empty), quality_rules.apply_policy(quality_rules.rule_ledger(empty)), simhash.simhash_groups(empty), bpe.bpe_encode(empty), packing.pack(empty), token_counts.token_counts(empty), range_coder.round_trip(empty), language.identify_language(empty), pitman_yor.score_texts(empty), html_text.extract_text(pages)):
