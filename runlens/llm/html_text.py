@@ -246,16 +246,47 @@ def removals(pages: list[list[tuple[int, str]]], far: tuple[np.ndarray, np.ndarr
     return result
 
 
+def edge_keys(page: list[tuple[int, str]]) -> tuple[list[int], np.ndarray]:
+    """Places of the article's blocks, and keys of each block with its distance from the article's start and from its end."""
+    places = [k for k, (z, _) in enumerate(page) if z == INSIDE]
+    h = np.array([xxhash.xxh64_intdigest(page[k][1].encode("utf-8", "surrogatepass")) for k in places], np.uint64)
+    at = np.arange(len(places), dtype=np.uint64)
+    mixed = [(h ^ ((2 * d + side) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) for side, d in ((np.uint64(1), at), (np.uint64(2), at[::-1]))]
+    return places, np.array(mixed)
+
+
+def edge_removals(pages: list[list[tuple[int, str]]], far: np.ndarray, least: float) -> list[list[int]]:
+    """Blocks to remove from the start and the end of each page's article: those in a row from the edge that `least` pages
+    of the host have at the same distance from it, HostStream.DEPTH words together at least. An article that would go
+    as a whole is a copy and stays. far: keys that other parts of the host bring to so many pages."""
+    found = [edge_keys(p) for p in pages]
+    own, n = np.unique(np.concatenate([k.ravel() for _, k in found]), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
+    common = np.concatenate([own[n >= least], far])
+    result = []
+    for p, (places, keys) in zip(pages, found):
+        hit = np.isin(keys, common)
+        front, back = int(np.cumprod(hit[0]).sum()), int(np.cumprod(hit[1][::-1]).sum())
+        gone: list[int] = []
+        if 0 < front + back and front < len(places) > back:
+            for run in (places[:front], places[max(front, len(places) - back) :]):
+                if sum(p[k][1].count(" ") + 1 for k in run) >= HostStream.DEPTH:
+                    gone += run
+        result.append(gone if len(gone) < len(places) else [])
+    return result
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, large_share: float = 1e-6) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, removed_words.
 
     Pages are cut into blocks and zones by their structure (see `blocks_of`). Then each host's streams are searched
     for long runs that distinct pages share, by a suffix array (`HostStream`, `removals`). In a page without an article,
     runs go that half of the host's pages (`notice_share`, 3 pages at least) have in their streams, however much of the
-    page they are; runs of fewer pages are copies, quotations or passages and stay. Inside an article only a notice goes: a block that half of the
-    host's pages (`notice_share`, 5 pages at least) have outside of their articles; what articles share among
-    themselves, copies and passages, stays. A stream holds a page's blocks outside of the article, all blocks
-    of pages without one, and the article's blocks of up to `notice_words` words (longer ones are never notices).
+    page they are; runs of fewer pages are copies, quotations or passages and stay. Inside an
+    article go notices, which are blocks that half of the host's pages (5 pages at least) have outside of their
+    articles, and the blocks in a row from its start or end that so many pages have at the same place (`edge_removals`);
+    what else articles share, copies and passages, stays. A stream holds a page's blocks outside of the article, all
+    blocks of pages without one, and the article's blocks of up to `notice_words` words (longer ones are never
+    notices; edges have no such limit).
 
     The blocks of a page move once, compressed, to their host's group. A host with more than `pages_per_part` pages that
     has a `large_share` of all pages or more is dealt in parts by a hash of the page. There are at most 1 / large_share
@@ -286,10 +317,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flows = [[(z, t) for z, t in blocks_of(x.as_py()) if z != INSIDE] for x in b.column(3)]
+            whole = [blocks_of(x.as_py()) for x in b.column(3)]
+            edges = [edge_keys(p)[1].tobytes() for p in whole]
+            flows = [[(z, t) for z, t in p if z != INSIDE] for p in whole]
             zones = [bytes(z for z, _ in p) for p in flows]
             packed = [zlib.compress("\n".join(t for _, t in p).encode("utf-8", "surrogatepass"), 1) for p in flows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(zones, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "zones", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(zones, pa.binary()), pa.array(packed, pa.binary()), pa.array(edges, pa.binary())], names=["page_id", "url", "host", "zones", "blocks", "edges"])
 
     schema = f"page_id {kind}, url string, host string, zones binary, blocks binary"
 
@@ -298,14 +331,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         group, pages, outside = s._groups() if len(s.rank) else (np.zeros(0, np.int64),) * 3
         u, first = np.unique(s.print[s.whole], return_index=True)
         of = group[s.whole][first]
-        key = lambda c, k: pa.array([t[c][0].as_py()] * len(u), k)
-        return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(u.view(np.int64)), "pages": pa.array(pages[of], pa.int64()), "outside": pa.array(outside[of], pa.int64())})
+        e, n = np.unique(np.frombuffer(b"".join(t["edges"].to_pylist()), np.uint64), return_counts=True)
+        fill = lambda x, a, z: pa.array(np.concatenate([np.zeros(a, np.int64), x, np.zeros(z, np.int64)]), pa.int64())
+        key = lambda c, k: pa.array([t[c][0].as_py()] * (len(u) + len(e)), k)
+        return pa.table({"host": key("host", pa.string()), "part": key("part", pa.int32()), "print": pa.array(np.concatenate([u, e]).view(np.int64)), "pages": fill(pages[of], 0, len(e)), "outside": fill(outside[of], 0, len(e)), "edges": fill(n, len(u), 0)})
 
-    of_large = rows.join(large.select("host"), "host", "left_semi").select("page_id", "url", "host", "_h").mapInArrow(streams, schema)
-    found = of_large.join(large, "host").withColumn("part", dealt).select("host", "part", "zones", "blocks").groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, pages long, outside long")
+    of_large = rows.join(large.select("host"), "host", "left_semi").select("page_id", "url", "host", "_h").mapInArrow(streams, f"{schema}, edges binary")
+    found = of_large.join(large, "host").withColumn("part", dealt).select("host", "part", "zones", "blocks", "edges").groupBy("host", "part").applyInArrow(prints, "host string, part int, print long, pages long, outside long, edges long")
     same = Window.partitionBy("host", "print")
-    shared = found.withColumns({"n": F.count("*").over(same), "pages": F.sum("pages").over(same), "outside": F.sum("outside").over(same)}).where("n > 1")
-    far = shared.select("host", "part", "print", "pages", "outside")
+    shared = found.withColumns({"n": F.count("*").over(same), "pages": F.sum("pages").over(same), "outside": F.sum("outside").over(same), "edges": F.sum("edges").over(same)}).where("n > 1")
+    far = shared.select("host", "part", "print", "pages", "outside", "edges")
 
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
         texts, gone = [], []
@@ -316,14 +351,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             far = prints_[known["pages"].to_numpy() >= least], prints_[known["outside"].to_numpy() >= least_outside]
             whole = _pages(t)
             flows = [_flow(p, notice_words) for p in whole]
-            for p, (places, _), own in zip(whole, flows, removals([f for _, f in flows], far, least, least_outside)):
-                words: dict[int, list[str | None]] = {}
+            edges = edge_removals(whole, prints_[known["edges"].to_numpy() >= least_outside], least_outside)
+            for p, (places, _), own, ends in zip(whole, flows, removals([f for _, f in flows], far, least, least_outside), edges):
+                words: dict[int, list[str | None]] = {k: [None] * (p[k][1].count(" ") + 1) for k in ends}
                 for block, a, z in own:
                     w = words.setdefault(places[block], list(p[places[block]][1].split(" ")))
                     w[a:z] = [None] * (z - a)
                 done = [" ".join(x for x in words[k] if x is not None) if k in words else t_ for k, (zone, t_) in enumerate(p) if zone != OUTSIDE]
                 texts.append("\n".join(x for x in done if x))
-                gone.append(sum(z - a for _, a, z in own))
+                gone.append(sum(x is None for w in words.values() for x in w))
         columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())]
         return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words"])
 

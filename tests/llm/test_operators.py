@@ -287,6 +287,21 @@ def test_html_tells_boilerplate_from_passages(spark):
         assert all(got[20 + k] == own[8] for k in range(6))
 
 
+def test_html_removes_shared_edges_of_articles(spark):
+    ask = " ".join(f"ask{j}" for j in range(50))
+    page = "<article><p>Contents</p><p>{}</p><p>said on every page, in the middle, and so it stays</p><p>{}</p><p>" + ask + "</p><p>Share</p></article>"
+    text = lambda k, c: " ".join(f"{c}{k}x{j}" for j in range(12))
+    rows = [(k, "http://o.p/x", page.format(text(k, "a"), text(k, "b"))) for k in range(8)]
+    rows += [(20 + k, "http://q.r/x", page.format("same", "same")) for k in range(6)]
+    rows += [(30 + k, "http://s.t/x", page.format(text(k, "a"), text(k, "b"))) for k in range(4)]  # too few pages to tell
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in (512, 2):
+        got = {r.page_id: r for r in html_text.extract_text(df, pages_per_part=part).collect()}
+        middle = "said on every page, in the middle, and so it stays"
+        assert all(got[k].text == f"Contents\n{text(k, 'a')}\n{middle}\n{text(k, 'b')}" and got[k].removed_words == 51 for k in range(8))
+        assert all(got[k].text.endswith("Share") and got[k].removed_words == 0 for k in (*range(20, 26), *range(30, 34)))
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (exact_dedup.exact_dedup(empty), quality_rules.apply_policy(quality_rules.rule_ledger(empty)), simhash.simhash_groups(empty), bpe.bpe_encode(empty), packing.pack(empty), token_counts.token_counts(empty), range_coder.round_trip(empty), language.identify_language(empty), pitman_yor.score_texts(empty), html_text.extract_text(pages)):
