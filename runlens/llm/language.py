@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runlens.llm.common import fold, ship
+from runlens.llm.common import fold, ship, stored
 
 ORDER = 4
 UNKNOWN = "und"
+FOLDS = 5  # calibration rows are scored by models without their own fold
 
 
 @lru_cache(maxsize=1)
@@ -217,11 +218,12 @@ def _measured(docs: DataFrame, model: Model, schema: str | StructType, give) ->
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_grams: int, calibration_docs: int) -> Model:
-    """Models of all languages from every labelled row that is not held out, calibrated on a bounded sample of them.
+    """Models of all languages from every labelled row that is not held out, calibrated on a bounded sample of each.
 
     most_grams bounds the (language, gram) pairs that the model may hold (a gram is four characters, so this follows
-    the alphabets, not the input); more raise an error. calibration_docs: labelled rows (those with the smallest
-    hashes of their identifiers) from which the score's sharpness and the limits of rejection are fitted.
+    the alphabets, not the input); more raise an error. calibration_docs: about so many labelled rows of each language
+    (all of a language that has no more, else those whose hashes are in its share) from which the score's sharpness and
+    the limits of rejection are fitted (see `calibrate`), out of sample.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = count_grams(labelled)
@@ -239,13 +241,38 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_grams
         return Model([], [], [], [], [])
     model = kneser_ney(langs, rows)
 
-    order = F.xxhash64("id")
-    last = labelled.select(order.alias("h")).orderBy("h").limit(calibration_docs).agg(F.max("h")).first()[0]
+    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, calibration_docs / n)) for x, n in have.items()], "lang string, share double")
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    part = F.pmod(F.xxhash64("text", "id"), F.lit(FOLDS)).cast("int")
+    sample = stored(labelled.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("id", "text", "lang", part.alias("fold")), "lang-calibration")
 
     def give(m, b, bits, counts, letters, squares):
         return pa.RecordBatch.from_arrays([b.column(2), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(counts), pa.array(squares)], names=["lang", "bits", "n", "squares"])
 
-    got = _measured(labelled.where(order <= F.lit(last)), model, "lang string, bits array<double>, n long, squares double", give).where("n > 0").limit(2 * calibration_docs).collect()
+    got = []
+    for k in range(FOLDS):
+        fold_ = sample.where(F.col("fold") == k)
+        out = count_grams(fold_).toArrow()  # of the fold's rows, at most what the whole model holds
+        lang, key, n = out["lang"].to_numpy(zero_copy_only=False), out["key"].to_numpy().view(np.uint64), out["n"].to_numpy()
+        rest = []
+        for x, (u, c) in zip(langs, rows):
+            own = np.flatnonzero(lang == x)
+            c = c.copy()
+            c[np.searchsorted(u, key[own])] -= n[own]
+            rest.append((u[c > 0], c[c > 0]))
+        got += _measured(fold_, kneser_ney(langs, rest), "lang string, bits array<double>, n long, squares double", give).where("n > 0").collect()
+    return calibrate(model, got)
+
+
+def calibrate(model: Model, got: Sequence) -> Model:
+    """Fits the score's sharpness and the limits of rejection on rows (lang, bits, n, squares) that the model has not learned.
+
+    A language's mean and spreads come from its own rows, those it wins; its spread between texts is not below that of
+    all languages' texts around their own means, and is widened as its mean rests on few rows. A language that wins
+    none, as one of a single row, accepts whatever is not worse than chance.
+    """
+    langs = model.langs
     model.limits = np.tile([[np.log2(1 / model.floor), 0.0, 0.0]], (len(langs), 1))
     if got:
         bits, n = np.array([r["bits"] for r in got]), np.array([r["n"] for r in got])
@@ -257,12 +284,19 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_grams
             return -np.log(np.maximum(p[np.arange(len(true)), true], 1e-6)).mean()
 
         model.kappa = min(grid, key=loss)
+        won = true == bits.argmin(axis=1)
         for j in range(len(langs)):
-            own = (true == j) & (bits.argmin(axis=1) == j)
+            own = won & (true == j)
             if own.any():
                 ce = bits[own, j] / n[own]
                 within = np.sqrt(np.maximum(0, (sq[own].sum() / n[own].sum()) - (bits[own, j].sum() / n[own].sum()) ** 2))
                 model.limits[j] = [bits[own, j].sum() / n[own].sum(), ce[n[own] >= 200].std() if (n[own] >= 200).any() else 0.0, within]
+        long = won & (n >= 200)
+        pooled = np.sqrt(((bits[long, true[long]] / n[long] - model.limits[true[long], 0]) ** 2).mean()) if long.any() else 0.0
+        of = np.bincount(true[won], minlength=len(langs))
+        some = of > 0
+        model.limits[some, 1] = np.maximum(model.limits[some, 1], pooled) * np.sqrt(1 + 1 / of[some])
+        model.limits[some, 2] = np.maximum(model.limits[some, 2], np.median(model.limits[some, 2]))
     return model
 
 
@@ -289,7 +323,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Learns from the labelled rows whose crc32(identifier) mod 5 is not 0; a prediction uses the text alone. The
     language of lowest cross-entropy (bits a character) wins, of equal ones the first by name. score is its share of
     the sharpened likelihoods. accepted is false for `und` and for texts whose cross-entropy lies `tolerance`
-    spreads above what the calibration texts of that language have: mean + tolerance * (spread between texts +
+    spreads above what calibration texts of that language have that its model has not learned: mean + tolerance * (spread between texts +
     spread within a text / sqrt(characters)).
 
     Null text, empty text and text without a letter: lang_pred `und`, score 0, not accepted. Without any labelled row

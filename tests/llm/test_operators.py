@@ -231,6 +231,20 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify_language(df.withColumn("lang", df.lang.substr(9, 9)).where("lang is null")).collect()} == {"und"}
 
 
+def test_language_accepts_clean_texts_of_a_rare_language(spark):
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwxyz"}
+    words = {l: ["".join(rng.choices(x, k=rng.randint(3, 8))) for _ in range(400)] for l, x in letters.items()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    rare = [d for d in range(1000, 1100) if held(d)][:10] + [d for d in range(1000, 1100) if not held(d)][:3]
+    rows = [(d, " ".join(rng.choices(words[l], k=300)), l) for d, l in [*((k, ["aa", "bb"][k % 2]) for k in range(300)), *((d, "cc") for d in rare)]]
+    rows += [(2000, " ".join("".join(rng.choices("qrstuvwxyz" + "\u03b1\u03b2\u03b3\u03b4" * 9, k=6)) for _ in range(300)), None)]
+    got = {r.doc_id: r for r in language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[d].lang_pred == "cc" and got[d].accepted for d in rare)
+    assert all(got[d].lang_pred == l and got[d].accepted for d, _, l in rows[:300])
+    assert not got[2000].accepted
+
+
 def test_kneser_ney_sums_to_one():
     keys = np.unique(language.grams(["abracadabra", "abba cab"])[0], return_counts=True)
     m = language.kneser_ney(["x"], [keys])
