@@ -9,9 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from runlens.llm.common import fold, ship, stored
 
@@ -29,7 +29,8 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all ORDER-grams of texts laid end to end, and how many each text has.
 
     Letters are lower-cased, each run of other characters is one space, and a text starts after ORDER - 1 spaces.
-    A key packs the last 16 bits of each character, the oldest first, so its low bits are the shorter grams.
+    A key packs 16 bits of each character, the oldest first, so its low bits are the shorter grams; letters beyond 16 bits
+    are hashed into values that no letter below has (surrogates and private use), so they never look like one of those.
     """
     pad = " " * (ORDER - 1)
     text = pad + pad.join(texts)
@@ -37,7 +38,7 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) if t.isascii() else len(t.lower()) for t in texts], np.int64)
     begins = np.cumsum(lengths + ORDER - 1) - lengths
     letter = _letters()[codes]
-    codes = np.where(letter, codes & 0xFFFF, 32).astype(np.uint64)
+    codes = np.where(letter, np.where(codes > 0xFFFF, 0xD800 + codes % 8448, codes), 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     inside = np.ones(len(codes), bool)
@@ -179,7 +180,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _portions(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[list[int]]:
+def _portions(texts: Sequence[str], chars: int = 1 << 18) -> Iterator[list[int]]:
     part, size = [], 0
     for k, t in enumerate(texts):
         part.append(k)
@@ -191,78 +192,79 @@ def _portions(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[list[int]]
         yield part
 
 
-def _measured(docs: DataFrame, model: Model, schema: str | StructType, give) -> DataFrame:
+def _scored(m: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(places, bits, characters, has letters, squares) of portions of a column of texts; memory follows a portion."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 18), prepend=0))  # texts that reach the next portion
+    for places in np.split(np.arange(len(sizes)), cuts):
+        if not len(places):
+            continue
+        texts = [x or "" for x in column.slice(int(places[0]), len(places)).to_pylist()]
+        letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+        bits, counts, squares = np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        part = np.flatnonzero(letters)
+        if len(part):
+            key, n = grams([texts[k] for k in part.tolist()])
+            got, each = m.bits(key, n)
+            bits[part], counts[part] = got, n
+            sq = each[np.arange(len(each)), np.repeat(got.argmin(axis=1), n)].astype(np.float64) ** 2
+            squares[part] = np.add.reduceat(sq, np.cumsum(n) - n) if len(sq) else 0
+        yield places, bits, counts, letters, squares
+
+
+def _measured(docs: DataFrame, model: Model, schema: str, give) -> DataFrame:
     """Runs give(model, batch, bits, counts, has letters, squares) over (id, text, ...) batches with the model broadcast."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            bits, counts, squares = np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            for part in _portions(texts):
-                part = [k for k in part if letters[k]]
-                if not part:
-                    continue
-                key, n = grams([texts[k] for k in part])
-                got, each = m.bits(key, n)
-                bits[part], counts[part] = got, n
-                best = np.repeat(got.argmin(axis=1), n)
-                sq = each[np.arange(len(each)), best].astype(np.float64) ** 2
-                squares[part] = np.add.reduceat(sq, np.cumsum(n) - n) if len(sq) else 0
-            yield give(m, b, bits, counts, letters, squares)
+            for places, bits, counts, letters, squares in _scored(sent.value, b.column(1)):
+                yield give(sent.value, b.slice(int(places[0]), len(places)), bits, counts, letters, squares)
 
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_grams: int, calibration_docs: int) -> Model:
-    """Models of all languages from every labelled row that is not held out, calibrated on a bounded sample of each.
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, calibration_docs: int) -> Model:
+    """Models of all languages, fitted on a bounded sample of each language's labelled rows that are not held out.
 
-    most_grams bounds the (language, gram) pairs that the model may hold (a gram is four characters, so this follows
-    the alphabets, not the input); more raise an error. calibration_docs: about so many labelled rows of each language
-    (all of a language that has no more, else those whose hashes are in its share) from which the score's sharpness and
-    the limits of rejection are fitted (see `calibrate`), out of sample.
+    train_docs: about so many rows of each language (all of a language that has no more, else those whose hashes are in
+    its share) are learned, whole texts; so the model that is broadcast follows the languages and this number, not the
+    input. About calibration_docs of them fit the score's sharpness and the limits of rejection (see `calibrate`), each
+    scored by models without the row's fold.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = count_grams(labelled)
-    table = counts.limit(most_grams + 1).toArrow()  # a bound, not a cut: more is an error
-    if table.num_rows > most_grams:
-        raise ValueError(f"the models need more than {most_grams} grams")
-    lang, key, n = table["lang"].to_numpy(zero_copy_only=False), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    langs = sorted(set(lang.tolist()))
-    rows = []
-    for x in langs:
-        own = np.flatnonzero(lang == x)
-        own = own[np.argsort(key[own])]
-        rows.append((key[own], n[own]))
+    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    langs = sorted(have)
     if not langs:
         return Model([], [], [], [], [])
-    model = kneser_ney(langs, rows)
-
-    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, calibration_docs / n)) for x, n in have.items()], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / n), min(1.0, calibration_docs / n)) for x, n in have.items()], "lang string, share double, tested double")
     chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
     part = F.pmod(F.xxhash64("text", "id"), F.lit(FOLDS)).cast("int")
-    sample = stored(labelled.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("id", "text", "lang", part.alias("fold")), "lang-calibration")
+    sample = labelled.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("text", "lang", part.alias("fold"), (chance < F.col("tested")).alias("tested"))
+    sample = stored(sample, "lang-sample")
+    name = F.concat_ws("/", F.col("fold").cast("string"), F.col("lang"))  # folds are counted apart, in one pass
+    table = count_grams(sample.select(name.alias("lang"), "text")).toArrow()
+    of, key, n = table["lang"].combine_chunks().dictionary_encode(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    names, of = of.dictionary.to_pylist(), of.indices.to_numpy()
+    del table
+
+    def rows(without: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for x in langs:
+            use = np.isin(of, [k for k, f in enumerate(names) if f.split("/", 1)[1] == x and f.split("/", 1)[0] != str(without)])
+            u, back = np.unique(key[use], return_inverse=True)
+            out.append((u, np.bincount(back, n[use], len(u))))
+        return out
 
     def give(m, b, bits, counts, letters, squares):
         return pa.RecordBatch.from_arrays([b.column(2), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(counts), pa.array(squares)], names=["lang", "bits", "n", "squares"])
 
     got = []
     for k in range(FOLDS):
-        fold_ = sample.where(F.col("fold") == k)
-        out = count_grams(fold_).toArrow()  # of the fold's rows, at most what the whole model holds
-        lang, key, n = out["lang"].to_numpy(zero_copy_only=False), out["key"].to_numpy().view(np.uint64), out["n"].to_numpy()
-        rest = []
-        for x, (u, c) in zip(langs, rows):
-            own = np.flatnonzero(lang == x)
-            c = c.copy()
-            c[np.searchsorted(u, key[own])] -= n[own]
-            rest.append((u[c > 0], c[c > 0]))
-        got += _measured(fold_, kneser_ney(langs, rest), "lang string, bits array<double>, n long, squares double", give).where("n > 0").collect()
-    return calibrate(model, got)
+        tested = sample.where((F.col("fold") == k) & F.col("tested")).select(F.lit(0).alias("id"), "text", "lang")
+        got += _measured(tested, kneser_ney(langs, rows(k)), "lang string, bits array<double>, n long, squares double", give).where("n > 0").collect()
+    return calibrate(kneser_ney(langs, rows(None)), got)
 
 
 def calibrate(model: Model, got: Sequence) -> Model:
@@ -317,10 +319,11 @@ def posterior(bits: np.ndarray, kappa: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 4_000_000, calibration_docs: int = 2000, tolerance: float = 8.0) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 10_000, calibration_docs: int = 2000, tolerance: float = 8.0) -> DataFrame:
     """Predicted language of every whole text: doc_id, held_out, lang_pred, score, cross_entropy, accepted.
 
-    Learns from the labelled rows whose crc32(identifier) mod 5 is not 0; a prediction uses the text alone. The
+    Learns from labelled rows whose crc32(identifier) mod 5 is not 0, about `train_docs` of each language (the bound of
+    the classifier's sample, see `train`); a prediction uses the text alone. The
     language of lowest cross-entropy (bits a character) wins, of equal ones the first by name. score is its share of
     the sharpened likelihoods. accepted is false for `und` and for texts whose cross-entropy lies `tolerance`
     spreads above what calibration texts of that language have that its model has not learned: mean + tolerance * (spread between texts +
@@ -328,10 +331,11 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null text, empty text and text without a letter: lang_pred `und`, score 0, not accepted. Without any labelled row
     every text is `und`. Null labels are not learned. Repeated rows count as often as they occur. An empty table gives
-    no rows. Other columns are ignored. Two passes over the texts; only gram counts are shuffled.
+    no rows. Other columns are ignored. A very long text is scored as a whole in memory that follows its own length.
+    Texts are read for the sample and for scoring; only the sample's gram counts are shuffled.
     """
     ship(docs.sparkSession)
-    model = train(docs, id_col, text_col, lang_col, most_grams, calibration_docs)
+    model = train(docs, id_col, text_col, lang_col, train_docs, calibration_docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     held = (fold("doc_id", 5) == 0).alias("held_out")
@@ -348,17 +352,20 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select("doc_id", held, "lang_pred", "score", "cross_entropy", "accepted")
 
 
-def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 4_000_000, calibration_docs: int = 2000, tolerance: float = 8.0) -> DataFrame:
+def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 10_000, calibration_docs: int = 2000, tolerance: float = 8.0) -> DataFrame:
     """The rows whose texts get an accepted prediction (see identify_language), with all their columns; without any
     labelled row there is nothing to accept by, and all texts stay. No row is joined or shuffled."""
     ship(docs.sparkSession)
-    model = train(docs, id_col, text_col, lang_col, most_grams, calibration_docs)
+    model = train(docs, id_col, text_col, lang_col, train_docs, calibration_docs)
     if not model.langs:
         return docs
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def give(m, b, bits, counts, letters, squares):
-        ok = decided(m, bits, counts, letters, tolerance)[3]
-        return pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(ok, pa.bool_()))], names=["row"])
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            m, out = sent.value, np.zeros(len(column), bool)
+            for part, bits, counts, letters, _ in _scored(m, column):
+                out[part] = decided(m, bits, counts, letters, tolerance)[3]
+            yield pa.array(out)
 
-    return _measured(rows, model, StructType([rows.schema["row"]]), give).select("row.*")
+    return docs.where(F.arrow_udf(accepted, "boolean", F.ArrowUDFType.SCALAR_ITER)(docs[text_col]))
