@@ -24,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, where the session has no limit of its own: long texts do not fill a worker's memory.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once for each application, so that tasks can import it."""
+    if int(spark.conf.get(BATCH_BYTES[0]).rstrip("bB")) > BATCH_BYTES[1]:
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

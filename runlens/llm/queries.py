@@ -46,7 +46,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_coder.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+    return range_coder.round_trip(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,209 +11,224 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from runlens.llm.common import checkpoint_dir, ship
+from runlens.llm.common import checkpoint_dir, ship, stored
 from runlens.llm.tokens import byte_encoder, vocabulary_path
 
 U = np.uint64
-MAGIC = b"TIDS0001"
-BLOCK, LANES = 1 << 14, 256
+MAGIC = b"TIDS0002"
+BLOCK = 1 << 20  # ids of a block; all its lanes share one set of tables, which starts empty
+LANES, LEAST_STEPS = 4096, 64  # lanes of a block at most, and the ids that each has at least where there are so many
 SCALE = 24  # a step of the coder shares out 2**24
 ORDER0 = 18  # the order-0 distribution shares out 2**18
-RENEW = 1 << 11  # order-0 shares are computed anew after so many ids of a block
-SLOTS = 1 << 15  # contexts of order 2 in a block
+SLOTS = 18
 LEVELS = 16  # confidence of a prediction
-LEAST = 1 << 10  # of 2**16: weight that order 0 always has, so that each id has a part of one unit at least
+LEAST = 1 << 18  # weight that order 0 always has, so that each id has a part of one unit at least
+TOP = U(1 << 32)
+NULL = (1 << 32) - 1  # in place of a length: a null identifier
 
 
 class _Mixer:
-    """The state of many blocks side by side: one lane a block, each with tables of its own that start empty.
+    """The model of one block, shared by its lanes, which hold consecutive stretches of the block and move side by side.
 
-    Order 1 and 2 each predict one id, the last that followed the same one or two ids, with a confidence that counts
-    its hits in a row. How often predictions of a confidence have come true in this block is its weight; the order-0
-    shares of all ids (counts of the block so far, renewed every RENEW ids) get the rest of the weight.
+    Order 1 and 2 each predict one id, the last that followed the same one or two ids, with a confidence that grows
+    with its hits in a row. How often the two have come true in this block at their joint confidence gives their
+    weights; order 0 (counts of the block so far, renewed when the steps have doubled) has the rest of the weight. An
+    id's part is the sum of what the three give it. All is integer arithmetic, so both sides see the same numbers.
     """
 
     def __init__(self, lanes: int, alphabet: int):
-        self.lane, self.alphabet = np.arange(lanes), alphabet
-        self.one = np.zeros(lanes * alphabet, np.int32)  # (id + 1) * LEVELS + confidence
-        self.two = np.zeros(lanes * SLOTS, np.int32)
-        self.trust1 = np.full(lanes * LEVELS, 1 << 13, np.int32)  # of 2**16
-        self.trust2 = np.full(lanes * LEVELS, 1 << 14, np.int32)
-        self.counts = np.zeros((lanes, alphabet), np.int32)
-        self.shares = np.zeros((lanes, alphabet + 1), np.int32)
-        self.flat = None
+        self.alphabet = alphabet
+        self.one = np.zeros(alphabet, np.int32)  # id * LEVELS + confidence; confidence 0: nothing seen
+        self.two = np.zeros(1 << SLOTS, np.int32)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        kinds = 2 * LEVELS * LEVELS  # joint confidence, and whether the two agree
+        self.hits = np.zeros(3 * kinds, np.int64)  # neither, order 1 alone, order 2
+        self.kinds = kinds
+        self.counts = np.zeros(alphabet, np.int64)
         self.seen: list[np.ndarray] = []
-        self.total = 0
-        self._renew(lanes)
+        self.steps, self.renew_at = 0, 1
+        self._renew()
 
-    def _renew(self, k: int) -> None:
-        for t in self.seen:
-            self.counts.reshape(-1)[self.lane[: len(t)] * self.alphabet + t] += 1
-        self.total += len(self.seen)
+    def _renew(self) -> None:
+        if self.seen:
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.alphabet)
         self.seen = []
-        rest = (1 << ORDER0) - self.alphabet
-        c = self.shares[:k, 1:]
-        np.cumsum(1 + (self.counts[:k].astype(np.int64) * rest) // max(self.total, 1) if self.total else np.ones((k, self.alphabet), np.int64), axis=1, out=c, dtype=np.int32)
-        c[:, -1] = 1 << ORDER0
-        self.flat = None
+        total, rest = int(self.counts.sum()), (1 << ORDER0) - self.alphabet
+        size = 1 + (self.counts * rest) // total if total else np.ones(self.alphabet, np.int64)
+        size[int(size.argmax())] += (1 << ORDER0) - int(size.sum())
+        self.shares = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        self.holder = np.repeat(np.arange(self.alphabet, dtype=np.int32), size)  # the id of each unit of order 0
+
+    def _weigh(self) -> None:
+        """Weights of order 2 and 1 at each joint confidence, of 2**SCALE."""
+        h = self.hits.reshape(3, self.kinds)
+        n = h.sum(axis=0) + 2
+        room = (1 << SCALE) - LEAST
+        w2, w1 = (2 * h[2] + 1) * room // (2 * n), (2 * h[1] + 1) * room // (2 * n)
+        half = self.kinds // 2
+        w1[half:] = 0  # where they agree there is one prediction
+        w2[0] = w2[half] = w1[0] = 0
+        self.w2_of, self.w1_of = w2, w1
 
     def predict(self, k: int) -> None:
-        """For the first k lanes: predicted ids p1, p2 (-1: none) and the weights w0, w1, w2, which add up to 2**SCALE."""
-        lane = self.lane[:k]
-        self.at1 = lane * self.alphabet + self.last[:k]
-        self.at2 = lane * SLOTS + ((self.last[:k] * 40503 + self.last2[:k] * 30011) & (SLOTS - 1))
+        """For the first k lanes: predicted ids p1, p2 and the weights w0, w1, w2, which add up to 2**SCALE."""
+        if not self.steps & 3 or self.steps < 16:
+            self._weigh()
+        self.at1 = self.last[:k]
+        self.at2 = ((self.at1 * 0x9E3779B1 + self.last2[:k]) * 0x2545F491 & 0xFFFFFFFF) >> (32 - SLOTS)
         e1, e2 = self.one[self.at1], self.two[self.at2]
         self.c1, self.c2 = e1 & (LEVELS - 1), e2 & (LEVELS - 1)
-        self.p1, self.p2 = (e1 >> 4).astype(np.int64) - 1, (e2 >> 4).astype(np.int64) - 1
-        self.t1, self.t2 = lane * LEVELS + self.c1, lane * LEVELS + self.c2
-        w2 = np.where(self.p2 >= 0, self.trust2[self.t2], 0).astype(np.int64)
-        w1 = np.where(self.p1 >= 0, np.minimum(((1 << 16) - w2) * self.trust1[self.t1] >> 16, (1 << 16) - w2 - LEAST), 0)
-        self.w1, self.w2 = w1 << (SCALE - 16), w2 << (SCALE - 16)
+        self.p1, self.p2 = e1 >> 4, e2 >> 4
+        self.kind = (self.c2 << 4) + self.c1 + (self.p1 == self.p2) * (LEVELS * LEVELS)
+        self.w1, self.w2 = self.w1_of[self.kind], self.w2_of[self.kind]
         self.w0 = (1 << SCALE) - self.w1 - self.w2
 
-    def start(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """Where the share of order 0 begins for each id, in units of 2**SCALE."""
-        return self.shares.reshape(-1)[self.lane[:k] * (self.alphabet + 1) + ids] * self.w0 >> ORDER0
-
-    def interval(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of each id's part of 2**SCALE."""
-        low = self.start(ids, k)
-        size = self.start(ids + 1, k) - low + self.w1 * (self.p1 == ids) + self.w2 * (self.p2 == ids)
-        low += self.w1 * ((self.p1 < ids) & (self.p1 >= 0)) + self.w2 * ((self.p2 < ids) & (self.p2 >= 0))
+        low = self.shares[ids] * self.w0 >> ORDER0
+        size = (self.shares[ids + 1] * self.w0 >> ORDER0) - low
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        size += self.w1 * self.hit1 + self.w2 * self.hit2
+        low += self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
         return low, size
 
-    def find(self, v: np.ndarray, k: int) -> np.ndarray:
-        """The id whose part holds v."""
-        if self.flat is None or len(self.flat) < k * (self.alphabet + 1):
-            self.flat = (self.shares + (self.lane[:, None] << ORDER0).astype(np.int32)).reshape(-1)
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose part holds v, with the part's begin and size."""
         swap = self.p1 > self.p2
         a, b = np.where(swap, self.p2, self.p1), np.where(swap, self.p1, self.p2)
         wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
-        out = np.full(k, -1, np.int64)
-        for p, w in ((a, wa), (b, wb)):
-            q = np.maximum(p, 0)
-            begin = self.start(q, k)
-            inside = (out < 0) & (p >= 0) & (v >= begin) & (v < self.start(q + 1, k) + w)
-            out = np.where(inside, p, out)
-            v = np.where((out < 0) & (p >= 0) & (v >= begin), v - w, v)
-        rest = np.flatnonzero(out < 0)
-        if len(rest):
-            y = (((v[rest] + 1) << ORDER0) - 1) // self.w0[rest]
-            key = y + (self.lane[rest] << ORDER0)
-            out[rest] = np.searchsorted(self.flat, key.astype(self.flat.dtype), side="right") - 1 - rest * (self.alphabet + 1)
-        return out
+        over_a = v >= (self.shares[a + 1] * self.w0 >> ORDER0) + wa
+        v = v - wa * over_a
+        start_b = self.shares[b] * self.w0 >> ORDER0
+        in_a = ~over_a & (v >= self.shares[a] * self.w0 >> ORDER0)
+        over_b = v >= (self.shares[b + 1] * self.w0 >> ORDER0) + wb
+        in_b = over_a & ~over_b & (v >= start_b)
+        v = v - wb * (over_b & over_a)
+        ids = self.holder[np.minimum((((v + 1) << ORDER0) - 1) // self.w0, (1 << ORDER0) - 1)]
+        ids = np.where(in_a, a, np.where(in_b, b, ids))
+        return (ids, *self.interval(ids))
 
     def learn(self, ids: np.ndarray, k: int) -> None:
-        for p, c, t, at, trust, entries in ((self.p1, self.c1, self.t1, self.at1, self.trust1, self.one), (self.p2, self.c2, self.t2, self.at2, self.trust2, self.two)):
-            hit, old = p == ids, trust[t]
-            trust[t] = np.where(p >= 0, old + (((hit * 63_000) - old) >> 5), old)
-            entries[at] = (ids + 1) * LEVELS + np.where(hit, np.minimum(c + 1, LEVELS - 1), 0)
+        self.hits += np.bincount(self.kind + self.kinds * np.where(self.hit2, 2, self.hit1), minlength=3 * self.kinds)
+        new = ids.astype(np.int32) << 4
+        self.one[self.at1] = new + np.where(self.hit1, np.minimum(self.c1 + 1, LEVELS - 1), 1)
+        self.two[self.at2] = new + np.where(self.hit2, np.minimum(self.c2 + 1, LEVELS - 1), 1)
         self.last2[:k] = self.last[:k]
         self.last[:k] = ids
         self.seen.append(ids)
-        if len(self.seen) == RENEW:
-            self._renew(k)
+        self.steps += 1
+        if self.steps == self.renew_at:
+            self._renew()
+            self.renew_at = self.renew_at * 3 // 2 + 1
 
 
-def _active(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(step, lanes that still run); lanes are sorted by falling length, and lengths differ by one at most."""
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        yield t, int((lengths > t).sum()) if t >= lengths[-1] else len(lengths)
+def _lanes(n: int) -> np.ndarray:
+    """Lengths of the lanes of a block of n ids; the longer ones come first, and they differ by one at most."""
+    lanes = max(1, min(LANES, n // LEAST_STEPS))
+    return n // lanes + (np.arange(lanes) < n % lanes)
 
 
-def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Codes blocks of ids side by side; lengths must not rise and differ by one at most."""
-    lanes, lengths = len(blocks), np.array([len(b) for b in blocks])
-    ids = np.zeros((int(lengths.max()), lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
+def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
+    """One block: the 32-bit words of each lane (their numbers come first), coded with a model that starts empty."""
+    lengths = _lanes(len(ids))
+    lanes, steps = len(lengths), int(lengths[0])
+    begin = np.cumsum(lengths) - lengths
     mixer = _Mixer(lanes, alphabet)
     low, size = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    out, used = np.zeros((lanes, 2 * len(ids) + 8), "<u2"), np.zeros(lanes, np.int64)
-    for t, k in _active(lengths):
+    out, used = np.zeros((lanes, steps + 2), "<u4"), np.zeros(lanes, np.int64)
+    for t in range(steps):
+        k = lanes if t < lengths[-1] else int((lengths > t).sum())
+        own = ids[begin[:k] + t].astype(np.int64)
         mixer.predict(k)
-        begin, part = mixer.interval(ids[t, :k], k)
-        r = size[:k] >> U(SCALE)
-        low[:k] += begin.astype(U) * r
-        size[:k] = part.astype(U) * r
-        for w in _shift(low, size, k):
-            out[w, used[w]] = (low[w] >> U(48)).astype(np.uint16)
-            used[w] += 1
-        mixer.learn(ids[t, :k], k)
-    for _ in range(4):
-        out[np.arange(lanes), used] = (low >> U(48)).astype(np.uint16)
-        used += 1
-        low <<= U(16)
-    return [out[k, : used[k]].tobytes() for k in range(lanes)]
-
-
-def _shift(low: np.ndarray, size: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Lanes whose first 16 bits are settled (or whose part has become too small, which is then cut at a 32-bit edge);
-    after the caller has dealt with them they move on by 16 bits."""
-    w = np.arange(k)
-    while True:
-        l, s = low[w], size[w]
-        settled = (l ^ (l + s)) < U(1 << 48)
-        small = ~settled & (s < U(1 << 32))
-        go = settled | small
-        if not go.any():
-            return
-        size[w[small]] = (~l[small] + U(1)) & U((1 << 32) - 1)
-        w = w[go]
-        yield w
-        low[w] <<= U(16)
-        size[w] <<= U(16)
-
-
-def decode_blocks(coded: list[bytes], lengths: np.ndarray, alphabet: int) -> list[np.ndarray]:
-    """The ids of blocks coded by encode_blocks; lengths must not rise and differ by one at most."""
-    lanes = len(coded)
-    width = max(len(c) for c in coded) // 2 + 8
-    words, used = np.zeros((lanes, width), np.uint16), np.full(lanes, 4)
-    for k, c in enumerate(coded):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    code = np.zeros(lanes, U)
-    for j in range(4):
-        code = code << U(16) | words[:, j].astype(U)
+        a, part = mixer.interval(own)
+        l, s = low[:k], size[:k]
+        r = s >> U(SCALE)
+        a = a.view(U) * r
+        l += a
+        np.multiply(part.view(U), r, out=s)
+        for w in np.flatnonzero(l < a).tolist():  # a carry goes into the words that are out
+            at = int(used[w]) - 1
+            while out[w, at] == 0xFFFFFFFF:
+                out[w, at] = 0
+                at -= 1
+            out[w, at] += 1
+        w = np.flatnonzero(s < TOP)
+        out[w, used[w]] = l[w] >> U(32)
+        used[w] += 1
+        l[w] <<= U(32)
+        s[w] <<= U(32)
+        mixer.learn(own, k)
+    last = low + U(0xFFFFFFFF)  # the end of each lane: a word whose number lies in the lane's last part
+    for w in np.flatnonzero(last < low).tolist():
+        at = int(used[w]) - 1
+        while out[w, at] == 0xFFFFFFFF:
+            out[w, at] = 0
+            at -= 1
+        out[w, at] += 1
+    out[np.arange(lanes), used] = last >> U(32)
+    used += 1
+    return used.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].tobytes()
+
+
+def decode_block(coded: bytes, n: int, alphabet: int) -> np.ndarray:
+    """The n ids of a block coded by encode_block."""
+    lengths = _lanes(n)
+    lanes, steps = len(lengths), int(lengths[0])
+    begin = np.cumsum(lengths) - lengths
+    many = np.frombuffer(coded, "<u4", lanes).astype(np.int64)
+    words = np.append(np.frombuffer(coded, "<u4", offset=4 * lanes), np.zeros(2, "<u4")).astype(U)
+    at = np.cumsum(many) - many
+    end = at + many
+    words[-2:] = 0
+
+    def take(w: np.ndarray | slice) -> np.ndarray:
+        got = np.where(at[w] < end[w], words[np.minimum(at[w], len(words) - 1)], U(0))
+        at[w] += 1
+        return got
+
+    code = take(slice(None)) << U(32)
+    code |= take(slice(None))
     mixer = _Mixer(lanes, alphabet)
-    low, size = np.zeros(lanes, U), np.full(lanes, ~U(0))
-    out = np.zeros((int(lengths.max()), lanes), np.int64)
-    for t, k in _active(lengths):
+    size = np.full(lanes, ~U(0))
+    out = np.zeros(n, np.uint32)
+    for t in range(steps):
+        k = lanes if t < lengths[-1] else int((lengths > t).sum())
         mixer.predict(k)
-        r = size[:k] >> U(SCALE)
-        v = np.minimum((code[:k] - low[:k]) // r, U((1 << SCALE) - 1)).astype(np.int64)
-        ids = mixer.find(v, k)
-        begin, part = mixer.interval(ids, k)
-        low[:k] += begin.astype(U) * r
-        size[:k] = part.astype(U) * r
-        for w in _shift(low, size, k):
-            code[w] = code[w] << U(16) | words[w, used[w]].astype(U)
-            used[w] += 1
+        c, s = code[:k], size[:k]
+        r = s >> U(SCALE)
+        v = np.minimum(c // r, U((1 << SCALE) - 1)).astype(np.int64)
+        ids, a, part = mixer.find(v)
+        c -= a.view(U) * r
+        np.multiply(part.view(U), r, out=s)
+        w = np.flatnonzero(s < TOP)
+        c[w] = c[w] << U(32) | take(w)
+        s[w] <<= U(32)
         mixer.learn(ids, k)
-        out[t, :k] = ids
-    return [out[: lengths[k], k].astype(np.uint32) for k in range(lanes)]
+        out[begin[:k] + t] = ids
+    return out
 
 
-def write_stream(ids: np.ndarray, docs: list[tuple[str, int]], alphabet: int) -> bytes:
-    """One file: the documents' identifiers (as text; a null one has the first byte 0) and lengths, then the blocks.
+def write_stream(ids: np.ndarray, docs: list[tuple[str | None, int]], alphabet: int) -> bytes:
+    """One file: the documents' identifiers (as text, or null) and lengths, then the blocks.
 
     Each block has its number of ids and bytes and the checksums of both, and is coded without regard to the others.
     """
     n_blocks = -(-len(ids) // BLOCK)
-    blocks = np.array_split(ids, n_blocks) if n_blocks else []  # the longer ones come first
-    index = zlib.compress(b"".join(struct.pack("<IQ", len(i), n) + i for i, n in ((d.encode(), n) for d, n in docs)))
+    blocks = np.array_split(ids, n_blocks) if n_blocks else []
+    names = ((NULL, n, b"") if d is None else (len(i := d.encode()), n, i) for d, n in docs)
+    index = zlib.compress(b"".join(struct.pack("<IQ", wide, n) + i for wide, n, i in names))
     parts = [MAGIC, struct.pack("<IQIQI", alphabet, len(docs), n_blocks, len(index), zlib.crc32(index)), index]
-    for a in range(0, n_blocks, LANES):
-        group = blocks[a : a + LANES]
-        for b, c in zip(group, encode_blocks(group, alphabet)):
-            parts += [struct.pack("<IIII", len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4"))), c]
+    for b in blocks:
+        c = encode_block(b, alphabet)
+        parts += [struct.pack("<IIII", len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4"))), c]
     return b"".join(parts)
 
 
-def read_stream(raw: bytes) -> tuple[list[tuple[str, int]], np.ndarray]:
+def read_stream(raw: bytes | pa.Buffer) -> tuple[list[tuple[str | None, int]], np.ndarray]:
     """The documents and ids of a file; a wrong checksum raises ValueError."""
+    raw = memoryview(raw)
     if raw[:8] != MAGIC:
         raise ValueError("not a token-id file")
     alphabet, n_docs, n_blocks, size, crc = struct.unpack_from("<IQIQI", raw, 8)
@@ -223,25 +238,19 @@ def read_stream(raw: bytes) -> tuple[list[tuple[str, int]], np.ndarray]:
     index, docs, p = zlib.decompress(raw[at : at + size]), [], 0
     for _ in range(n_docs):
         wide, n = struct.unpack_from("<IQ", index, p)
-        docs.append((index[p + 12 : p + 12 + wide].decode(), n))
-        p += 12 + wide
+        docs.append((None if wide == NULL else index[p + 12 : p + 12 + wide].decode(), n))
+        p += 12 + (0 if wide == NULL else wide)
     at += size
-    heads, coded = [], []
+    out = []
     for k in range(n_blocks):
-        head = struct.unpack_from("<IIII", raw, at)
-        at += 16
-        coded.append(raw[at : at + head[1]])
-        at += head[1]
-        if zlib.crc32(coded[-1]) != head[2]:
+        n, wide, crc, of_ids = struct.unpack_from("<IIII", raw, at)
+        coded = raw[at + 16 : at + 16 + wide]
+        at += 16 + wide
+        if zlib.crc32(coded) != crc:
             raise ValueError(f"block {k} is damaged")
-        heads.append(head)
-    out = []
-    for a in range(0, n_blocks, LANES):
-        part = heads[a : a + LANES]
-        for k, b in enumerate(decode_blocks(coded[a : a + LANES], np.array([h[0] for h in part]), alphabet)):
-            if zlib.crc32(b.astype("<u4")) != part[k][3]:
-                raise ValueError(f"block {a + k} decodes to other ids")
-            out.append(b)
+        out.append(decode_block(coded, n, alphabet))
+        if zlib.crc32(out[-1].astype("<u4")) != of_ids:
+            raise ValueError(f"block {k} decodes to other ids")
     return docs, np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -265,7 +274,7 @@ def write_token_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col
         system, folder = fs.FileSystem.from_uri(to)
         part, made = TaskContext.get().partitionId(), []
         ids: list[np.ndarray] = []
-        held: list[tuple[str, int]] = []
+        held: list[tuple[str | None, int]] = []
 
         def put() -> None:
             name = f"{part:06d}-{len(made):06d}.ids"
@@ -283,7 +292,7 @@ def write_token_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, t, x in zip(b.column(0).cast(pa.string()).to_pylist(), texts, encoder.batch(texts)):
                 ids.append(np.append(x, np.uint32(end_id)))
-                held.append(("\0" if i is None else i, len(x) + 1))
+                held.append((i, len(x) + 1))
                 chars += len(t)
                 if chars >= file_chars:
                     put()
@@ -294,45 +303,70 @@ def write_token_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs_in, pa.int64()), pa.array(n, pa.int64())], names=["file", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    order = F.col("doc_id").asc_nulls_first()
-    dealt = rows.repartitionByRange(files, order) if files else rows.repartitionByRange(order)
-    return dealt.sortWithinPartitions(order).mapInArrow(run, "file string, n_docs long, n_ids long")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("_t")]  # equal identifiers may be dealt to several files
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, "file string, n_docs long, n_ids long")
+
 
+def file_starts(written: DataFrame) -> DataFrame:
+    """(file, first): the number of ids in all files before, in the order of their names. Running sums are taken within
+    groups of a thousand ranges, then over the groups' sums, so no window holds more than a thousandth of the files."""
+    rows = written.select("file", "n_ids", F.expr("cast(substring(file, 1, position('-' in file) - 1) as long) div 1000").alias("group"))
+    before = F.sum("n_ids").over(Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    groups = rows.groupBy("group").agg(F.sum("n_ids").alias("n"))
+    of_group = groups.select("group", F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)).alias("g"))
+    return rows.withColumn("own", before).join(of_group, "group").select("file", (F.coalesce("own", F.lit(0)) + F.coalesce("g", F.lit(0))).alias("first"))
 
-def read_token_files(spark: SparkSession, folder: str, starts: dict[str, int], kind: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of all documents in the files; starts: ids before each file."""
+
+def read_token_files(spark: SparkSession, folder: str, starts: DataFrame, kind: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of all documents in the files; starts: (file, first), see `file_starts`.
+
+    Files are dealt by their bytes, as Spark reads them; a task holds one file at a time. with_ids=False leaves out ids."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                docs, ids = read_stream(raw.as_py())
-                n = np.array([n for _, n in docs])
+                docs, ids = read_stream(raw.as_buffer())
+                n = np.array([n for _, n in docs], np.int64)
                 at = np.cumsum(n) - n
-                crc = [zlib.crc32(ids[a : a + m].astype("<u4")) for a, m in zip(at.tolist(), n.tolist())]
-                names = [None if i == "\0" else i for i, _ in docs]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at + starts[name.rsplit("/", 1)[-1]]), pa.array(n), pa.array(crc, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                crc = [zlib.crc32(ids[a : a + m]) for a, m in zip(at.tolist(), n.tolist())]
+                columns = [pa.array([i for i, _ in docs], pa.string()), pa.array([name.rsplit("/", 1)[-1]] * len(docs), pa.string()), pa.array(at), pa.array(n), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "at", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
-    files = files.repartition(max(1, len(starts)), "path") if len(starts) > 1 else files
-    out = files.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long, ids array<int>")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = files.mapInArrow(run, "doc_id string, file string, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.join(starts, "file").select(F.col("doc_id").cast(kind), (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *["ids"][: int(with_ids)])
+
+
+def file_system_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark's configuration gives it, as the executors' file writer names it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(conf).makeQualified(path).toUri().toString()
+    scheme, rest = uri.split(":", 1)
+    names = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3a": "s3", "s3": "s3", "gs": "gs", "abfss": "abfss"}
+    if scheme not in names:
+        raise ValueError(f"token files cannot be written to {scheme} folders")
+    rest = rest if rest.startswith("//") else f"//{rest}"
+    return f"{names[scheme]}:{rest}"
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Writes the token-id files of all documents and reads them back: doc_id, start, n_tokens, ids_crc32, ids.
 
     start counts the ids of all documents before in ascending order of the identifier. Files go to `folder`, else to
     the shared checkpoint folder. Null and empty texts are the end id alone. A null identifier comes first and is
-    null again; repeated rows are written each. An empty table gives no rows. Other columns are ignored.
+    null again; repeated rows are written each, equal identifiers in the order of their texts' hashes. An empty table
+    gives no rows. Other columns are ignored. A very long text is coded in many blocks; memory follows its own length.
     """
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    done = sorted((r["file"], r["n_ids"]) for r in write_token_files(docs, folder, id_col, text_col, path, end_id).collect())  # a row for each file
+    folder = file_system_uri(spark, folder or f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}")
+    written = stored(write_token_files(docs, folder, id_col, text_col, path, end_id), "token-files")
     kind = docs.schema[id_col].dataType.simpleString()
-    if not done:
-        return spark.createDataFrame([], f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids array<int>")
-    at = np.cumsum([n for _, n in done]).tolist()
-    return read_token_files(spark, folder, {f: a - n for (f, n), a in zip(done, at)}, kind)
+    columns = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    if written.isEmpty():
+        return spark.createDataFrame([], columns)
+    return read_token_files(spark, folder, file_starts(written), kind, with_ids)
