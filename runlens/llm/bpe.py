@@ -176,7 +176,7 @@ class WordEncoder:
             text = unicodedata.normalize("NFC", text)
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
-    def batch(self, texts: Sequence[str], chars: int = 1 << 20) -> list[np.ndarray]:
+    def batch(self, texts: Sequence[str], chars: int = 1 << 18) -> list[np.ndarray]:
         """uint32 ids of whole texts."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         held: list[tuple[int, str]] = []
@@ -206,10 +206,10 @@ class WordEncoder:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         lengths = np.array([len(t) for _, t in held])
         firsts = np.cumsum(lengths) - lengths
-        start, end, h = self.splitter.split(codes, firsts)
+        start, end = self.splitter.split(codes, firsts)
         if not len(start):
             return
-        pool, at, n = self.pieces.look_up(text, start, end, h)
+        pool, at, n = self.pieces.look_up(codes, text, start, end)
         ids = spread(pool, at, n)
         done = np.concatenate([[0], np.cumsum(n)])
         cuts = done[np.searchsorted(start, np.append(firsts, len(codes)))]

@@ -62,7 +62,7 @@ class ByteEncoder:
         ids = [self.ranks.encode_ordinary(p) for p in pieces]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def batch(self, texts: Sequence[str], chars: int = 1 << 20) -> list[np.ndarray]:
+    def batch(self, texts: Sequence[str], chars: int = 1 << 18) -> list[np.ndarray]:
         """uint32 ids of whole texts; texts are laid together up to about `chars` characters."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         held, size = [], 0
@@ -86,8 +86,8 @@ class ByteEncoder:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         lengths = np.array([len(texts[k]) for k in held])
         firsts = np.cumsum(lengths) - lengths
-        start, end, h = self.splitter.split(codes, firsts)
-        pool, at, n = self.table.look_up(text, start, end, h)
+        start, end = self.splitter.split(codes, firsts)
+        pool, at, n = self.table.look_up(codes, text, start, end)
         ids = spread(pool, at, n)
         done = np.concatenate([[0], np.cumsum(n)])
         cuts = done[np.searchsorted(start, np.append(firsts, len(codes)))]

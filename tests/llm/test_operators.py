@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from runlens.llm import bpe, exact_dedup, html_text, language, packing, pitman_yor, quality_rules, range_coder, simhash, token_counts, tokens
+from runlens.llm import bpe, exact_dedup, html_text, language, packing, pieces, pitman_yor, quality_rules, range_coder, simhash, token_counts, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -176,6 +176,29 @@ def test_token_counts(docs):
         assert [r.n_tokens for r in rows] == want.tolist()
 
 
+def test_pieces_with_equal_hashes_keep_their_own_ids():
+    words = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(2048)) for flip in (0, 1)]  # no hash modulo 2**64 tells these apart
+    byte, word = tokens.byte_encoder(tokens.vocabulary_path()), bpe.word_encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_path("word_bpe_49k.json"))
+    for texts in ([words[0], words[1]], [" ".join(words * 2)], words[::-1]):
+        for t, a, b in zip(texts, byte.batch(texts), word.batch(texts)):
+            assert a.tolist() == byte.library.encode(t, add_special_tokens=False).ids
+            assert b.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_pools_that_are_full_start_anew():
+    table = pieces.PieceTable(lambda x: (np.array([ord(c) for t in x for c in t], np.uint32), np.array([len(t) for t in x])), slots=64, pool=40)
+    rng = random.Random(2)
+    splitter = pieces.Splitter(keep_space=True)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        start, end = splitter.split(codes, np.array([0]))
+        assert "".join(map(chr, pieces.spread(*table.look_up(codes, text, start, end)))) == text
+
+
 def test_majority_goes_to_the_earlier_of_equal_sections():
     section, crossing = token_counts.attribute(np.array([0, 2, 5]), np.array([2, 6, 9]), np.array([0, 4, 6]), "majority")
     assert section.tolist() == [0, 0, 2] and crossing.tolist() == [False, True, True]
