@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,62 +23,126 @@ def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(a, size) for a in range(first, n, size)]
 
 
-def best_pattern(value: np.ndarray, left: np.ndarray, size: int) -> Counter:
-    """The multiset of lengths of most value that fits into `size`: an unbounded knapsack by dynamic programming.
+Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
+Plan = list[tuple[Pattern, int]]  # pattern and number of sequences
 
-    value[l]: price of length l; only lengths with left[l] > 0 count. Copies beyond left[l] are cut off afterwards.
-    """
-    price = np.where(left > 0, value, -np.inf)
-    best = np.zeros(size + 1)
-    chosen = np.zeros(size + 1, np.int64)
-    back = price[::-1]  # back[size - l] = price[l]
-    for c in range(1, size + 1):
-        got = best[:c] + back[size - c : size]  # index j: length c - j on top of the best for j
-        j = int(got.argmax())
-        if got[j] > best[c - 1]:
-            best[c], chosen[c] = got[j], c - j
-        else:
-            best[c], chosen[c] = best[c - 1], 0
-    out: Counter = Counter()
-    c = size
-    while c > 0:
-        if chosen[c]:
-            out[int(chosen[c])] += 1
-            c -= int(chosen[c])
-        else:
-            c -= 1
-    return Counter({l: min(k, int(np.ceil(left[l]))) for l, k in out.items()})
-
-
-Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # pattern ((length, copies), ...) and number of sequences
-
-
-def solve(counts: np.ndarray, size: int, rounds: int = 600, step: float = 0.1, eta: float = 16.0, until: float = 0.95) -> list[tuple[tuple[tuple[int, int], ...], float]]:
-    """Patterns and how often each is used, fractionally: a near-optimal solution of the configuration linear program.
-
-    Multiplicative weights: a length's price is its size times exp(eta * how far its cover lags behind the mean
-    cover), so what is left keeps the mixture of the whole. Each round finds the pattern of most value (a knapsack)
-    and uses it for `step` of what its scarcest length allows. It ends when `until` of all tokens are covered, or
-    after `rounds` rounds; the work depends on the number of lengths, not on the counts.
+
+class Knapsack:
+    """The pricing problem: pieces of most value for every room up to `size`, by dynamic programming over the lengths."""
+
+    def __init__(self, price: np.ndarray, lengths: np.ndarray, size: int):
+        self.size, self.lengths, self.price = size, lengths, price[lengths]
+        worth = np.full(size + 1, -np.inf)
+        worth[lengths] = self.price
+        back = worth[::-1]  # back[size - l] = price[l]
+        best = self.best = np.zeros(size + 1)
+        for c in range(1, size + 1):
+            best[c] = max(best[c - 1], (best[:c] + back[size - c : size]).max())  # index j: length c - j on top of the best for j
+
+    def draw(self, room: np.ndarray, weight: np.ndarray, counts: np.ndarray, slack: float, rng: np.random.Generator) -> np.ndarray:
+        """For each room one filling, as copies by length, drawn from those whose value is the best up to `slack`.
+
+        One length after the other is drawn with the given weights from those that keep the value; of one that
+        leaves room for more, a quarter of what fits is taken at once, so the steps are few.
+        """
+        out, room, alive = np.zeros((len(room), self.size + 1), np.int32), room.copy(), np.arange(len(room))
+        weight = weight[self.lengths]
+        while len(alive):
+            c = room[alive]
+            rest = c[:, None] - self.lengths
+            ok = rest >= 0
+            lost = self.best[c][:, None] - self.price - self.best[np.maximum(rest, 0)]
+            w = np.cumsum(np.where(ok & (lost <= slack), weight, 0.0), axis=1)
+            go = w[:, -1] > 0
+            alive, c, w = alive[go], c[go], w[go]
+            k = (w < rng.random((len(w), 1)) * w[:, -1:]).sum(axis=1)
+            k = np.minimum(k, len(self.lengths) - 1)
+            l = self.lengths[k]
+            many = np.minimum(np.maximum(c // l // 4, 1), np.maximum(counts[l], 1))
+            several = (many > 1) & (self.best[c] - many * self.price[k] - self.best[np.maximum(c - many * l, 0)] <= slack)
+            many = np.where(several, many, 1)
+            out[alive, l] += many
+            room[alive] -= l * many
+        return out
+
+
+@dataclass
+class Solution:
+    """Patterns with how often each is used, as fractions that cover every length alike, and what that is worth."""
+
+    patterns: np.ndarray  # rows of copies by length
+    uses: np.ndarray
+    value: float  # sequences that the fractions need to cover all
+    bound: float  # no packing has fewer sequences: the best dual value
+
+
+def solve(counts: np.ndarray, size: int, rounds: int = 24, steps: int = 120, gap: float = 0.01, eta: float = 0.02, slack: float = 0.0006, seed: int = 3) -> Solution:
+    """The configuration linear program (cover all pieces by as few patterns as can be) by multiplicative weights.
+
+    A length's price is its size times exp(eta * lag of its cover behind the mean). Each round solves the pricing
+    knapsack; each length whose cover lags gets a column, drawn from the patterns that hold it and whose value is
+    the best up to `slack` (many are: the draw by what is not covered yet spreads the use over all lengths). Columns
+    are used by what their length lacks, an equal share of all tokens a round. Then the columns' uses are evened out in
+    `steps` of the same kind over all columns at once (`even_out`). Prices over the best pattern's value are a dual
+    solution, which bounds the number of sequences from below; `gap` below it, the steps end. The work depends on the
+    number of lengths, not on the counts.
     """
-    need = counts.astype(float)
-    left = need.copy()
-    length = np.arange(size + 1)
-    total = (need * length).sum()
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        rest = (left * length).sum()
-        if rest <= (1 - until) * total:
+    lengths, sizes, rng = np.flatnonzero(counts), np.arange(size + 1), np.random.default_rng(seed)
+    if not len(lengths):
+        return Solution(np.zeros((0, size + 1), np.int16), np.zeros(0), 0.0, 0.0)
+    need, tokens = counts.astype(float), float((counts * sizes).sum())
+    cover, bound = np.zeros(size + 1), 0.0
+    rows, uses = [], []
+    for r in range(rounds):
+        mean = (cover * need * sizes).sum() / tokens
+        price = sizes / size * np.exp(np.maximum(eta * (mean - cover), -20))
+        sack = Knapsack(price, lengths, size)
+        bound = max(bound, float((need * price).sum() / sack.best[size]))
+        lag = np.maximum((r + 1) / rounds - cover[lengths], 0)
+        worth = price[lengths] + sack.best[size - lengths]
+        own = np.flatnonzero((lag > 0) & (worth >= sack.best[size] - slack))
+        if len(own) < 8 or not r:  # a column for each length at first, and where no best pattern holds those that lag
+            own = np.flatnonzero(lag > 0)
+        weight = need * sizes * np.maximum((r + 1.5) / rounds - cover, 0.02 / rounds)
+        columns = sack.draw(size - lengths[own], weight, counts, slack, rng)
+        columns[np.arange(len(own)), lengths[own]] += 1
+        fits = (columns <= counts).all(axis=1)
+        own, columns = own[fits], columns[fits]
+        if not len(own):
+            continue
+        use = need[lengths[own]] * lag[own] / columns[np.arange(len(own)), lengths[own]]
+        use *= tokens / rounds / max((use * (columns @ sizes)).sum(), 1e-9)
+        rows.append(columns.astype(np.int16))
+        uses.append(use)
+        cover += (use @ columns) / np.maximum(need, 1)
+    for l in np.flatnonzero((sum(x.any(axis=0) for x in rows) if rows else np.zeros(size + 1)) == 0):
+        if counts[l]:  # no column holds it yet: one of its own
+            rows.append((sizes == l)[None].astype(np.int16))
+            uses.append(np.full(1, 1e-6))
+    patterns, x = np.concatenate(rows), np.concatenate(uses)
+    x, value = even_out(patterns, x, counts, size, bound, steps, gap)
+    return Solution(patterns, x, value, bound)
+
+
+def even_out(patterns: np.ndarray, x: np.ndarray, counts: np.ndarray, size: int, bound: float, steps: int, gap: float) -> tuple[np.ndarray, float]:
+    """Uses of the given columns after multiplicative steps, scaled to the bound's number of sequences, and the value of
+    the cover of all lengths that they give: a column's use follows what its pieces are worth at the prices
+    size * exp(beta * (1 - cover)), with beta growing from step to step."""
+    column, l = np.nonzero(patterns)
+    k, need, lengths = patterns[column, l].astype(float), np.maximum(counts, 1).astype(float), np.flatnonzero(counts)
+    best, x, value = x, x + 1e-6, np.inf
+    for step in range(steps):
+        cover = np.bincount(l, k * x[column], size + 1) / need
+        now = x.sum() / max(cover[lengths].min(), 1e-12)
+        if now < value:
+            best, value = x, now
+        if value <= (1 + gap) * bound:
             break
-        cover = 1 - left / np.maximum(need, 1e-12)
-        price = length / size * np.exp(eta * (1 - rest / total - cover))
-        pattern = best_pattern(price, np.where(left > 1e-9, left, 0), size)
-        often = step * min(left[l] / n for l, n in pattern.items())
-        key = tuple(sorted(pattern.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + often
-        for l, n in pattern.items():
-            left[l] = max(0.0, left[l] - n * often)
-    return list(used.items())
+        price = np.arange(size + 1) / size * np.exp(np.clip((4 + 0.1 * step) * (1 - cover), -6, 6))
+        worth = np.bincount(column, k * price[l], len(x))
+        x = x * np.clip((worth * x.sum() / (x * worth).sum()) ** 0.3, 0.7, 1.4)
+        x = x * bound / x.sum()
+    return best * bound / best.sum(), value
 
 
 def best_fit(counts: np.ndarray, size: int) -> Plan:
@@ -105,17 +170,55 @@ def best_fit(counts: np.ndarray, size: int) -> Plan:
     return [(pattern, n) for stack in room for pattern, n in stack if pattern]
 
 
-def rounded(counts: np.ndarray, patterns: list, size: int) -> Plan:
-    """Whole numbers of sequences: patterns as often as their floor says, then best fit for all that remains."""
+def rounded(counts: np.ndarray, solution: Solution, size: int) -> tuple[Plan, np.ndarray]:
+    """Whole numbers of sequences from the program's fractions, and the counts that are left.
+
+    Whole parts are taken first; then the fractions are shared out: the patterns go, those of the largest fractions
+    first, as often as their fraction rounded up, while all their pieces are there.
+    """
     left = counts.astype(np.int64).copy()
     out: Plan = []
-    for pattern, x in patterns:
-        n = min([int(x + 1e-6), *(int(left[l]) // k for l, k in pattern)])
-        if n:
-            out.append((pattern, n))
-            for l, k in pattern:
-                left[l] -= k * n
-    return out + best_fit(left, size)
+    whole = np.floor(solution.uses).astype(np.int64)
+    order = np.argsort(-(solution.uses - whole), kind="stable")
+    for k, n in [*((k, int(whole[k])) for k in np.flatnonzero(whole).tolist()), *((k, 1) for k in order.tolist())]:
+        row = solution.patterns[k]
+        at = np.flatnonzero(row)
+        n = min(n, int((left[at] // row[at]).min()))
+        if n > 0:
+            out.append((tuple(zip(at[::-1].tolist(), row[at][::-1].tolist())), n))
+            left[at] -= n * row[at].astype(np.int64)
+    return out, left
+
+
+def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.999, margin: float = 0.005) -> tuple[Plan, int]:
+    """(plan, tokens that the program's patterns hold) for pieces by length.
+
+    The program is solved and rounded; what is left is solved and rounded again, while that places pieces, at most
+    `passes` times. Patterns that are less than `fill` full are given back, as others may use their pieces better, and
+    best fit packs what no pattern holds. Where lengths leave no full patterns (most above half of `size`) that
+    gives more sequences than best fit alone; if those are over `margin` more, best fit alone is the plan.
+    """
+    out: Plan = []
+    left = counts.astype(np.int64).copy()
+    for k in range(passes):
+        got, rest = rounded(left, solve(left, size, rounds=24 if not k else 10), size)
+        placed = False
+        for p, n in got:
+            if sum(l * c for l, c in p) >= fill * size:
+                out.append((p, n))
+                placed = True
+            else:
+                for l, c in p:
+                    rest[l] += n * c
+        left = rest
+        if not placed or not left.any():
+            break
+    held = sum(n * l * c for p, n in out for l, c in p)
+    out += best_fit(left, size)
+    plain = best_fit(counts, size)
+    if sum(n for _, n in out) > (1 + margin) * sum(n for _, n in plain) + 1:
+        return plain, 0
+    return out, held
 
 
 def slots(plan: list, size: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
@@ -158,7 +261,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     Each document is its ids and `end_id`; only longer ones are cut, into pieces of `size` tokens of which the first
     may be shorter. Only the histogram of lengths (at most `size` numbers) reaches the driver. There the
-    configuration linear program is solved (see `solve`) and rounded (`rounded`); the plan, bounded by the number of
+    configuration linear program is solved (see `solve`) and rounded (`plan`); the plan, bounded by the number of
     lengths too, goes to the tasks, which give the k-th piece of a length the k-th place for that length. Ranks come
     from windows over (length, salt) and a prefix sum over the salts, so a length that a third of all pieces have
     is dealt over `salts` keys.
@@ -173,7 +276,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         counts[r["length"]] = r["n"]
     whole, counts[size] = int(counts[size]), 0
-    where, base = slots(rounded(counts, solve(counts, size), size), size, 0)
+    where, base = slots(plan(counts, size)[0], size, 0)
     where[size] = (np.array([0]), np.array([base]), np.array([1]), np.array([0]))
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))

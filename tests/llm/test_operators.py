@@ -141,21 +141,71 @@ def test_packing(docs):
     assert sequences <= 1.1 * total / 64 + 1
 
 
-def test_plan_covers_every_length():
-    counts = np.zeros(65, np.int64)
-    counts[1:64] = np.random.default_rng(2).integers(0, 5000, 63) // np.arange(1, 64) * 8  # few long ones, so full sequences exist
-    plan = packing.rounded(counts, packing.solve(counts, 64), 64)
-    cover = np.zeros(65, np.int64)
+def plan_of(counts, size):
+    plan, held = packing.plan(counts, size)
+    cover = np.zeros(size + 1, np.int64)
     for pattern, n in plan:
-        assert sum(l * k for l, k in pattern) <= 64
+        assert sum(l * k for l, k in pattern) <= size
         for l, k in pattern:
             cover[l] += k * n
     assert np.array_equal(cover, counts)
-    assert sum(n for _, n in plan) <= 1.01 * (counts * np.arange(65)).sum() / 64 + 1
+    return sum(n for _, n in plan), held
+
+
+def test_plan_covers_every_length():
+    counts = np.zeros(65, np.int64)
+    counts[1:64] = np.random.default_rng(2).integers(0, 5000, 63) // np.arange(1, 64) * 8  # few long ones, so full sequences exist
+    n, held = plan_of(counts, 64)
+    total = (counts * np.arange(65)).sum()
+    assert n <= 1.005 * total / 64 + 1 and held >= 0.9 * total
     uniform = np.zeros(65, np.int64)
     uniform[1:64] = np.random.default_rng(2).integers(0, 5000, 63)
-    plan = packing.rounded(uniform, packing.solve(uniform, 64), 64)
-    assert sum(n for _, n in plan) <= 1.01 * sum(n for _, n in packing.best_fit(uniform, 64))
+    assert plan_of(uniform, 64)[0] <= 1.005 * sum(n for _, n in packing.best_fit(uniform, 64)) + 1
+    for few in ({10: 1000}, {64: 3}, {33: 7, 31: 7}, {}):
+        counts = np.zeros(65, np.int64)
+        counts[list(few)] = list(few.values())
+        plan_of(counts, 64)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_programs_patterns_hold_most_tokens(sf):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    folder = pathlib.Path("/root/testdata") / sf / "documents.parquet"
+    if not folder.exists():
+        pytest.skip("the given tables are absent")
+    encoder, size = tokens.byte_encoder(tokens.vocabulary_path()), 2048
+    counts = np.zeros(size + 1, np.int64)
+    for ids in encoder.batch([t or "" for t in pq.read_table(folder, columns=["text"])["text"].to_pylist()]):
+        for _, n in packing.pieces_of(len(ids) + 1, size):
+            counts[n] += 1
+    counts[size] = 0
+    solution = packing.solve(counts, size)
+    assert solution.bound <= solution.value <= 1.03 * solution.bound  # the duality gap
+    n, held = plan_of(counts, size)
+    assert held >= 0.9 * (counts * np.arange(size + 1)).sum()
+    assert n <= 1.001 * solution.bound + 1
+
+
+def brute_bound(counts, size):
+    """Least number of sequences of a few pieces, by trying all."""
+    pieces_ = [l for l in range(size, 0, -1) for _ in range(int(counts[l]))]
+
+    def fits(k, rooms):
+        return k == len(pieces_) or any(fits(k + 1, [*rooms[:i], r - pieces_[k], *rooms[i + 1 :]]) for i, r in enumerate(rooms) if r >= pieces_[k])
+
+    return next(n for n in range(len(pieces_) + 1) if fits(0, [size] * n))
+
+
+def test_bound_is_below_the_best_packing():
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        counts = np.bincount(rng.integers(1, 12, 8), minlength=13)
+        best = brute_bound(counts, 12)
+        solution = packing.solve(counts, 12)
+        assert solution.bound <= best + 1e-9 and best <= plan_of(counts, 12)[0] <= best + 1
 
 
 def test_token_counts(docs):
