@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.operators.intervals import SQL
-from runlens.operators.stages import STAGE, half_up, ratio
+from runlens.operators.stages import STAGE, half_up, micros, percentile_of, ratio
 
 
 def p(column: str, q: float):
@@ -77,7 +77,7 @@ def normalised_task_time(tasks: DataFrame) -> DataFrame:
 
 
 def host_score(tasks: DataFrame, score: float = 1.5, min_tasks: int = 20, min_stages: int = 3) -> DataFrame:
-    x = normalised_task_time(tasks).groupBy("app_id", "host").agg(F.round(F.percentile("norm", F.lit(0.5)), 6).alias("score"), F.count("*").alias("tasks"), F.count_distinct("stage_id").alias("stages"))
+    x = normalised_task_time(tasks).groupBy("app_id", "host").agg(percentile_of(micros("norm"), 0.5).alias("score"), F.count("*").alias("tasks"), F.count_distinct("stage_id").alias("stages"))
     return x.withColumn("outlier", (F.col("score") >= score) & (F.col("tasks") >= min_tasks) & (F.col("stages") >= min_stages))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.operators.stages import ratio
+from runlens.operators.stages import mean_of, micros, ratio
 
 SQL = ["app_id", "execution_id"]
 
@@ -172,4 +172,4 @@ def occupancy_rollup(tasks: DataFrame, execs: DataFrame, cores: int, widths: tup
     b = bucket_utilization(tasks, execs, cores, base)
     x = b.select("app_id", "bucket_ms", "utilization", F.explode(F.array(*map(F.lit, widths))).alias("width_ms"))
     x = x.withColumn("bucket_ms", F.expr("bucket_ms div width_ms * width_ms"))
-    return x.groupBy("app_id", "width_ms", "bucket_ms").agg(F.round(F.avg("utilization"), 6).alias("mean"), F.max("utilization").alias("peak"), ratio(F.count_if(F.col("utilization") >= 0.85), F.count("*")).alias("busy_ratio"))
+    return x.groupBy("app_id", "width_ms", "bucket_ms").agg(mean_of(micros("utilization")).alias("mean"), F.max("utilization").alias("peak"), ratio(F.count_if(F.col("utilization") >= 0.85), F.count("*")).alias("busy_ratio"))

@@ -20,6 +20,22 @@ def ratio(a: Column, b: Column) -> Column:
     return F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
 
 
+def micros(column: str) -> Column:
+    """A value of six digits in whole millionths, so that means and percentiles of it are rounded alike everywhere."""
+    return F.round(F.col(column) * 1_000_000).cast("long")
+
+
+def mean_of(x: Column) -> Column:
+    """Mean of whole millionths, rounded half up in whole numbers."""
+    return F.floor((F.sum(x) * 2 + F.count(x)) / (F.count(x) * 2)) / 1_000_000.0
+
+
+def percentile_of(x: Column, q: float) -> Column:
+    """Interpolated percentile (q in twentieths) of whole millionths; between two values it is a whole number of
+    twentieths, rounded half up."""
+    return F.floor((F.round(F.percentile(x, F.lit(q)) * 20).cast("long") + 10) / 20) / 1_000_000.0
+
+
 def task_distributions(tasks: DataFrame, exact: bool = True) -> DataFrame:
     """Per stage count, min, quantiles, max and sum of each metric; negatives count as 0.
 

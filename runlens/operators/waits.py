@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from runlens.operators.features import normalised_task_time
 from runlens.operators.intervals import SQL, _edges, cut_tasks, runs_of_buckets
-from runlens.operators.stages import STAGE, ratio
+from runlens.operators.stages import STAGE, mean_of, micros, percentile_of, ratio
 
 
 def buckets_of(execs: DataFrame, width: int = 60_000) -> DataFrame:
@@ -43,7 +43,7 @@ def sql_queue_context(execs: DataFrame, utilization: DataFrame, width: int = 60_
     n = x.groupBy("app_id", "b").agg(F.count("*").alias("n"))
     u = utilization.select("app_id", F.expr(f"bucket_ms div {width}").alias("b"), "utilization").join(n, ["app_id", "b"])
     return x.join(u, ["app_id", "b"]).groupBy(*SQL).agg(
-        F.round(F.avg("utilization"), 6).alias("mean_busy"), F.round(F.percentile("utilization", F.lit(0.95)), 6).alias("p95_busy"), F.round(F.avg("n"), 6).alias("mean_active"))
+        mean_of(micros("utilization")).alias("mean_busy"), percentile_of(micros("utilization"), 0.95).alias("p95_busy"), mean_of(F.col("n") * 1_000_000).alias("mean_active"))
 
 
 def sql_bucket_core_ms(tasks: DataFrame, cores: int, width: int = 60_000) -> DataFrame:

@@ -128,7 +128,7 @@ register("starvation_windows", lambda *v: _contention(*v).where("limited and own
 register("top_resource_hogs", lambda *v: queue.top_resource_hogs(_contention(*v)), ALL, f"{CONT} SELECT {E}, place, own_core_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY own_core_ms DESC, execution_id) AS place FROM cont) WHERE place <= 10")
 register("contention_report", lambda t, s, j, e: queue.contention_report(_contention(t, s, j, e), _util(t, e)), ALL, f"{CONT}, {UTIL[len(SWEEP) + 2:]} SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, (SELECT count(*) FROM util u WHERE u.app_id = cont.app_id AND utilization >= 0.95) AS hot_buckets FROM cont GROUP BY app_id")
 register("latency_timeline", intervals.latency_timeline, "v_exec", "SELECT app_id, start_ms // 300000 * 300000 AS bucket_ms, count(*) AS completed, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, quantile_disc(end_ms - start_ms, 0.99) AS p99 FROM v_exec WHERE end_ms > start_ms GROUP BY ALL")
-register("occupancy_rollup", lambda t, e: intervals.occupancy_rollup(t, e, CORES), "v_task v_exec", f"WITH {UTIL} SELECT app_id, w AS width_ms, bucket_ms // w * w AS bucket_ms, round(avg(utilization), 6) AS mean, max(utilization) AS peak, {_ratio('count(*) FILTER (utilization >= 0.85)', 'count(*)')} AS busy_ratio FROM util, (SELECT unnest([60000, 300000, 900000]) AS w) GROUP BY app_id, w, bucket_ms // w * w")
+register("occupancy_rollup", lambda t, e: intervals.occupancy_rollup(t, e, CORES), "v_task v_exec", f"WITH {UTIL} SELECT app_id, w AS width_ms, bucket_ms // w * w AS bucket_ms, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean, max(utilization) AS peak, {_ratio('count(*) FILTER (utilization >= 0.85)', 'count(*)')} AS busy_ratio FROM util, (SELECT unnest([60000, 300000, 900000]) AS w) GROUP BY app_id, w, bucket_ms // w * w")
 
 # ---- stage graphs and estimates ----
 _path = lambda w, name: f"""WITH RECURSIVE n AS (SELECT {E}, stage_id, {w} AS w, any_value(parent_ids) AS ps FROM v_stage JOIN v_task USING ({K}) GROUP BY {K}), d AS (SELECT {E}, stage_id, w AS dist FROM n UNION ALL SELECT n.app_id, n.execution_id, n.stage_id, d.dist + n.w FROM d JOIN n ON n.app_id = d.app_id AND n.execution_id = d.execution_id AND list_contains(n.ps, d.stage_id))
@@ -188,7 +188,7 @@ register("result_pressure", features.result_pressure, "v_task", f"SELECT {K}, su
 register("failure_classes", features.failure_classes, "v_task", f"SELECT {E}, CASE WHEN reason LIKE '%OutOfMemory%' THEN 'OOM' WHEN reason LIKE '%FetchFailed%' THEN 'FETCH_FAILED' WHEN reason LIKE '%ExecutorLost%' THEN 'EXECUTOR_LOST' WHEN reason LIKE '%GSS%' THEN 'AUTH' ELSE 'EXCEPTION' END AS class, count(*) AS n FROM v_task WHERE failed GROUP BY ALL")
 NORM = f"SELECT t.*, {_ratio('t.run_ms', 'greatest(med, 1)')} AS norm FROM v_task t JOIN (SELECT {K}, {_q('run_ms', 0.5)} AS med FROM v_task GROUP BY {K}) USING ({K})"
 register("normalised_task_time", lambda t: features.normalised_task_time(t).select("app_id", "task_id", "norm"), "v_task", f"WITH x AS ({NORM}) SELECT app_id, task_id, norm FROM x")
-register("host_score", features.host_score, "v_task", f"WITH x AS ({NORM}), y AS (SELECT app_id, host, round(quantile_cont(norm, 0.5), 6) AS score, count(*) AS tasks, count(DISTINCT stage_id) AS stages FROM x GROUP BY ALL) SELECT *, score >= 1.5 AND tasks >= 20 AND stages >= 3 AS outlier FROM y")
+register("host_score", features.host_score, "v_task", f"WITH x AS ({NORM}), y AS (SELECT app_id, host, ((round(quantile_cont((round(norm * 1000000)::BIGINT), 0.5) * 20)::BIGINT + 10) // 20) / 1000000.0::DOUBLE AS score, count(*) AS tasks, count(DISTINCT stage_id) AS stages FROM x GROUP BY ALL) SELECT *, score >= 1.5 AND tasks >= 20 AND stages >= 3 AS outlier FROM y")
 register("host_io", features.host_io, "v_task", f"WITH x AS (SELECT app_id, host, count(*) AS tasks, {_ratio('sum(shuffle_write_bytes) * 1000.0', 'sum(shuffle_write_ms)')} AS bytes_per_s, sum(disk_spill_bytes) AS spill FROM v_task GROUP BY ALL), m AS (SELECT app_id, quantile_cont(bytes_per_s, 0.5) AS median, sum(spill) AS total FROM x GROUP BY app_id) SELECT app_id, host, tasks, bytes_per_s, {_ratio('bytes_per_s', 'median')} AS of_median, {_ratio('spill', 'total')} AS spill_share FROM x JOIN m USING (app_id)")
 register("fetch_matrix", features.fetch_matrix, "v_task", "SELECT app_id, src_host, host, count(*) AS failures, sum(fetch_wait_ms)::bigint AS wait_ms FROM v_task WHERE src_host IS NOT NULL GROUP BY GROUPING SETS ((app_id, src_host, host), (app_id, src_host), (app_id))")
 register("executor_loss_impact", features.executor_loss_impact, "v_executor_event v_exec", "SELECT g.app_id, g.executor_id, e.execution_id, g.time_ms FROM v_executor_event g JOIN v_exec e ON e.app_id = g.app_id AND e.start_ms <= g.time_ms AND (e.end_ms > g.time_ms OR e.end_ms <= 0) WHERE NOT g.added")

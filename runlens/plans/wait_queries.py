@@ -25,7 +25,7 @@ HOLES = f"""busy AS (SELECT {E}, min(a) AS first, max(z) AS last, sum(l)::bigint
 register("sql_queue_wait", lambda t, s, j, e: waits.sql_queue_wait(e, t, _contention(t, s, j, e), 0.1), ALL, f"""{CONT}, {HOLES}, w AS (SELECT {E}, pool_utilization, greatest(first - start_ms, 0) + greatest(last - first - busy, 0) AS wait_ms, end_ms - start_ms AS wall FROM v_exec JOIN busy USING ({E}) JOIN cont USING ({E})),
 r AS (SELECT {E}, pool_utilization, wait_ms::bigint AS wait_ms, {_ratio('wait_ms', 'wall')} AS wait_ratio FROM w) SELECT *, CASE WHEN wait_ratio < 0.1 THEN 'SELF' WHEN pool_utilization >= 0.85 THEN 'SLOW_DUE_TO_QUEUE' ELSE 'SCHEDULING_ANOMALY' END AS verdict FROM r""")
 EB = f"eb AS (SELECT {E}, unnest(range(start_ms // 60000, (end_ms - 1) // 60000 + 1)) AS b FROM v_exec WHERE end_ms > start_ms)"
-register("sql_queue_context", lambda t, e: waits.sql_queue_context(e, _util(t, e)), "v_task v_exec", f"WITH {UTIL}, {EB}, act AS (SELECT app_id, b, count(*) AS n FROM eb GROUP BY ALL) SELECT {E}, round(avg(utilization), 6) AS mean_busy, round(quantile_cont(utilization, 0.95), 6) AS p95_busy, round(avg(n), 6) AS mean_active FROM eb JOIN act USING (app_id, b) JOIN util ON util.app_id = eb.app_id AND bucket_ms = b * 60000 GROUP BY eb.app_id, execution_id".replace(f"SELECT {E}, round(avg", "SELECT eb.app_id, execution_id, round(avg"))
+register("sql_queue_context", lambda t, e: waits.sql_queue_context(e, _util(t, e)), "v_task v_exec", f"WITH {UTIL}, {EB}, act AS (SELECT app_id, b, count(*) AS n FROM eb GROUP BY ALL) SELECT {E}, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean_busy, ((round(quantile_cont((round(utilization * 1000000)::BIGINT), 0.95) * 20)::BIGINT + 10) // 20) / 1000000.0::DOUBLE AS p95_busy, ((2 * sum((n * 1000000))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean_active FROM eb JOIN act USING (app_id, b) JOIN util ON util.app_id = eb.app_id AND bucket_ms = b * 60000 GROUP BY eb.app_id, execution_id".replace(f"SELECT {E}, ((2 *", "SELECT eb.app_id, execution_id, ((2 *"))
 OWN = f"""c AS ({CUT}), ed AS (SELECT {E}, b, t, sum(d) AS d FROM (SELECT {E}, b, a AS t, 1 AS d FROM c UNION ALL SELECT {E}, b, z, -1 FROM c) GROUP BY ALL),
 own AS (SELECT {E}, b, sum(least(n, {CORES}) * (z - t))::bigint AS core_ms FROM (SELECT *, sum(d) OVER w AS n, lead(t) OVER w AS z FROM ed WINDOW w AS (PARTITION BY {E}, b ORDER BY t)) WHERE z IS NOT NULL GROUP BY ALL)"""
 register("sql_bucket_core_ms", lambda t: waits.sql_bucket_core_ms(t, CORES), "v_task", f"WITH {OWN} SELECT * FROM own")

@@ -34,6 +34,18 @@ def test_same_rows(spark, name):
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["occupancy_rollup", "host_score", "sql_queue_context"])
+def test_same_values_to_the_last_digit(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    df = QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    rel = con.sql(SQL[name])
+    at = [rel.columns.index(c) for c in columns]
+    assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(str(r[k]) for k in at) for r in rel.fetchall())
+
+
 def test_sweep_against_brute_force(spark):
     rng = random.Random(3)
     tasks = []
