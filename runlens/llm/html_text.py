@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, then a suffix array over each host's token streams."""
+"""Main text of web pages: a suffix array over each host's token streams, with the page's structure as its prior."""
 
 from __future__ import annotations
 
@@ -23,31 +23,37 @@ RAW = frozenset("script style title textarea noscript iframe noembed noframes xm
 NOT_TEXT = frozenset("nav footer aside form button select option datalist dialog menu head label audio video map".split())
 #: Words in class and id, and roles, that name what is not the article.
 NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion banner sidebar sidenav menu menubar submenu nav navbar navigation navi breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations teaser widget widgets toolbar pagination pager copyright disclaimer masthead topbar skip".split())
+#: Words that may stand beside these in a compound name without changing what it names.
+WITH_THEM = frozenset("a all area articles bar block body bottom box btn button buttons center container content count div fixed form global grid group header head holder icons inner item items left line links link list main module nav new next none overlay page panel popular post posts pre primary prev region right row s secondary section share site slot small stories sticky sub text thread title top unit wrap wrapper".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 MAIN_WORDS = frozenset("content article post entry story main".split())
 KEEP = frozenset(("html", "body", "main", "article"))
 #: Words in the class or id of an article element that is not the page's own text.
 NOT_ARTICLES = frozenset("comment ad advert related recommended teaser teasers promo sponsored reply replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A tag's attributes: values in quotes may hold any character, values without may hold stray quotes; a quote that is never closed is an ordinary character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']?+))*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in RAW}
 INSIDE, OPEN, OUTSIDE = 0, 1, 2  # in the article, in a page without one, structurally left out
 
 
 def _shut(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element's content is left out, and whether its class or id names the main content."""
+    """Whether an element's content is left out, and whether its class or id names the main content. A compound name
+    (share-buttons, site-footer) counts only if all its words say so: share-price and related-work are content."""
     if name in NOT_TEXT or (name == "header" and not in_article):
         return True, False
     if not attrs or attrs.isspace():
         return False, False
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    parts = [[w for w in re.split(r"[^a-z]+", n) if w] for n in names]
+    words = {w for p in parts for w in p}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     main = bool(words & MAIN_WORDS) or found.get("role", "").lower() == "main"
     if name in KEEP:
         return hidden or (name == "article" and bool(words & NOT_ARTICLES)), main
-    return hidden or found.get("role", "").lower() in NOT_ROLES or bool(words & NOT_WORDS), main
+    return hidden or found.get("role", "").lower() in NOT_ROLES or any(p[0] in NOT_WORDS | WITH_THEM and NOT_WORDS.issuperset(set(p) - WITH_THEM) and NOT_WORDS & set(p) for p in parts if p), main
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
@@ -151,10 +157,13 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class HostStream:
-    """Token streams of a host's pages laid end to end, with the order of all suffixes by their first DEPTH tokens.
+    """Token streams of a host's pages laid end to end, their suffix array and longest common prefixes.
 
-    Ranks come from prefix doubling (1, 2, 4, 8 tokens); a suffix is cut at the end of its block. Suffixes of equal rank
-    share DEPTH tokens, or all up to the block's end; the array of suffixes in rank order is `order`.
+    A suffix is cut at the end of its block, which sorts before every token. Ranks come from prefix doubling, to the
+    length of the longest block; the common prefix of neighbours in the array comes from the ranks of each level.
+    `order` is the suffix array, `lcp[i]` the tokens that order[i] shares with order[i - 1], an end counted as one.
+    Suffixes whose neighbours share DEPTH tokens, or all up to the block's end, are one group: a run of DEPTH tokens or
+    more repeats if and only if the suffixes at all its windows of DEPTH tokens lie in groups of several.
     """
 
     DEPTH = 8
@@ -171,25 +180,51 @@ class HostStream:
         first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.at = np.arange(n) - first
         self.left = np.repeat(self.lengths, self.lengths) - self.at  # tokens to the end of the block
-        rank, h = tokens, 1
         self.print = digests[tokens] if n else np.zeros(0, np.uint64)
         base = power = np.full(1, 0x9E3779B97F4A7C15, np.uint64)
-        while h < self.DEPTH:
+        rank, h, levels = tokens, 1, [tokens]
+        longest = int(self.left.max()) if n else 0
+        while h < max(self.DEPTH, longest + 1):
             later = np.minimum(np.arange(n) + h, max(n - 1, 0))
             inside = self.left > h
             rank = np.unique(rank * (n + 2) + np.where(inside, rank[later], 0), return_inverse=True)[1] + 1
-            self.print = self.print + np.where(inside, self.print[later], np.uint64(0)) * power
-            power, h = power * power, 2 * h
+            levels.append(rank)
+            if h < self.DEPTH:
+                self.print = self.print + np.where(inside, self.print[later], np.uint64(0)) * power
+                power = power * power
+            h *= 2
+            if h >= self.DEPTH and n and int(rank.max()) == n:
+                break
         self.print ^= np.minimum(self.left, self.DEPTH).astype(np.uint64) * base
-        self.rank, self.order = rank, np.argsort(rank, kind="stable")
+        self.order = np.argsort(rank, kind="stable")
+        self.lcp = self._common(levels)
         #: Suffixes that count: a full window, or a whole block that is shorter.
         self.whole = (self.left >= self.DEPTH) | (self.at == 0)
 
+    def _common(self, levels: list[np.ndarray]) -> np.ndarray:
+        """Longest common prefixes of neighbours in the array: from the highest level down, a level's rank that both share
+        moves both on by as many tokens."""
+        n = len(self.order)
+        shared = np.zeros(n, np.int64)
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        rest_a, rest_b, done = self.left[a].copy(), self.left[b].copy(), np.zeros(max(n - 1, 0), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same = np.flatnonzero((rest_a > 0) & (rest_b > 0))
+            same = same[levels[k][a[same]] == levels[k][b[same]]]
+            step = np.minimum(1 << k, rest_a[same])
+            done[same] += step
+            for at, rest in ((a, rest_a), (b, rest_b)):
+                at[same] = np.minimum(at[same] + step, n - 1)
+                rest[same] -= step
+        done += (rest_a == 0) & (rest_b == 0)  # equal to the end of both blocks
+        shared[1:] = done
+        return shared
+
     def _groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Group of each suffix of equal rank, and of each group the pages that have it outside of articles or in pages without one, and outside alone."""
-        r = self.rank[self.order]
-        group = np.empty(len(r), np.int64)
-        group[self.order] = np.cumsum(np.concatenate([[True], r[1:] != r[:-1]])) - 1
+        """Group of each suffix, and of each group the pages that have it outside of articles or in pages without one, and outside alone."""
+        left = self.left[self.order]
+        group = np.empty(len(left), np.int64)
+        group[self.order] = np.cumsum((self.lcp < np.minimum(self.DEPTH, left + 1)) | (np.arange(len(left)) == 0)) - 1
 
         def pages(own: np.ndarray) -> np.ndarray:
             pairs = np.unique(group[own] * (int(self.page[-1]) + 1) + self.page[own])
@@ -197,15 +232,24 @@ class HostStream:
 
         return group, pages(self.whole & (self.zone != INSIDE)), pages(self.whole & (self.zone == OUTSIDE))
 
-    def repeated(self, far: tuple[np.ndarray, np.ndarray], least: float, least_outside: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix: whether `least` pages have its run in their streams, and whether `least_outside` pages have it
-        outside of articles. far: prints of other parts of the host that have so many pages there, in both senses."""
-        n = len(self.rank)
-        if not n:
-            return np.zeros(0, bool), np.zeros(0, bool)
+    def run_lengths(self) -> np.ndarray:
+        """For each suffix the longest run from there that another page's stream has too, as far as its neighbours in the array tell."""
+        n, out = len(self.order), np.zeros(len(self.order), np.int64)
+        page = self.page[self.order]
+        other = np.flatnonzero(page[1:] != page[:-1]) + 1
+        common = np.minimum(self.lcp[other], self.left[self.order[other]])
+        for side in (other, other - 1):
+            np.maximum.at(out, self.order[side], common)
+        return out if n else out
+
+    def repeated(self, far: tuple[np.ndarray, np.ndarray, np.ndarray], least: float, least_outside: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each suffix whether, in their streams, `least` pages have its run, `least_outside` pages have it outside of
+        articles, and two pages have it. far: prints that other parts of the host bring to so many pages, in these senses."""
+        if not len(self.order):
+            return (np.zeros(0, bool),) * 3
         group, pages, outside = self._groups()
         several = (pages[group] >= least) | np.isin(self.print, far[0])
-        return several & (self.zone != INSIDE), (outside[group] >= least_outside) | np.isin(self.print, far[1])
+        return several & (self.zone != INSIDE), (outside[group] >= least_outside) | np.isin(self.print, far[1]), (pages[group] >= 2) | np.isin(self.print, far[2])
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
         """Tokens within a run that starts at one of the suffixes."""
@@ -217,16 +261,19 @@ class HostStream:
         return np.cumsum(change[:n]) > 0
 
 
-def removals(pages: list[list[tuple[int, str]]], far: tuple[np.ndarray, np.ndarray], least: float, least_outside: float) -> list[list[tuple[int, int, int]]]:
-    """(block, first word, word after the last) to remove from each page of a host.
+def removals(pages: list[list[tuple[int, str]]], far: tuple[np.ndarray, np.ndarray, np.ndarray], least: float, least_outside: float) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
+    """(block, first word, word after the last) to remove from each page of a host, and each page's longest repeated run.
 
-    In pages without an article: words within runs of 8 words, or whole shorter blocks, that `least` pages of the host
-    have; a page that would lose every word is a copy like so many others, and keeps its text.
-    Of articles: short blocks that are covered whole by runs which `least_outside` pages have outside of their articles.
+    Where the structure already speaks against a block, outside of articles: words within runs of 8 words, or whole
+    shorter blocks, that two pages have. In pages without an article: those that `least` pages of the host have; a page that
+    would lose every word is a copy like so many others, and keeps its text. Of articles: short blocks that are covered
+    whole by runs which `least_outside` pages have outside of their articles.
     """
     s = HostStream(pages)
-    several, outside = s.repeated(far, least, least_outside)
-    any_, out = s.covered(several), s.covered(outside)
+    several, outside, two = s.repeated(far, least, least_outside)
+    any_, out, twice = s.covered(several), s.covered(outside), s.covered(two)
+    longest = np.zeros(len(pages), np.int64)
+    np.maximum.at(longest, s.page, np.where(twice & (s.zone != INSIDE), s.run_lengths(), 0))
     ends = np.cumsum(s.lengths)
     result, block = [], 0
     for p in pages:
@@ -237,13 +284,14 @@ def removals(pages: list[list[tuple[int, str]]], far: tuple[np.ndarray, np.ndarr
         copy = total > 0 and all(x.all() for x in open_)
         own: list[tuple[int, int, int]] = []
         for k, ((zone, _), (a, z)) in enumerate(zip(p, spans)):
+            hit = twice[a:z] if zone == OUTSIDE else any_[a:z]
             if zone == INSIDE and out[a:z].all():
                 own.append((k, 0, z - a))
-            elif zone == OPEN and not copy and any_[a:z].any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], any_[a:z], [False]]).astype(np.int8)))
+            elif (zone == OUTSIDE or (zone == OPEN and not copy)) and hit.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 own += [(k, int(b), int(e)) for b, e in zip(edge[::2], edge[1::2])]
         result.append(own)
-    return result
+    return result, longest
 
 
 def edge_keys(page: list[tuple[int, str]]) -> tuple[list[int], np.ndarray]:
@@ -276,10 +324,12 @@ def edge_removals(pages: list[list[tuple[int, str]]], far: np.ndarray, least: fl
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", notice_words: int = 40, notice_share: float = 0.5, pages_per_part: int = 512, large_share: float = 1e-6) -> DataFrame:
-    """Main text of every page: page_id, url, text, n_chars, removed_words.
+    """Main text of every page: page_id, url, text, n_chars, removed_words, structure_words, longest_run.
 
-    Pages are cut into blocks and zones by their structure (see `blocks_of`). Then each host's streams are searched
-    for long runs that distinct pages share, by a suffix array (`HostStream`, `removals`). In a page without an article,
+    Pages are cut into blocks and zones by their structure (see `blocks_of`), the prior. Then each host's streams are searched
+    for long runs that distinct pages share, by a suffix array (`HostStream`, `removals`). Outside of articles, runs go
+    that two pages have (removed_words counts the words that go as repeated runs, structure_words those that go
+    because the structure alone says so, longest_run is the longest run that the page shares). In a page without an article,
     runs go that half of the host's pages (`notice_share`, 3 pages at least) have in their streams, however much of the
     page they are; runs of fewer pages are copies, quotations or passages and stay. Inside an
     article go notices, which are blocks that half of the host's pages (5 pages at least) have outside of their
@@ -328,7 +378,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def prints(t: pa.Table) -> pa.Table:
         s = HostStream(_pages(t))
-        group, pages, outside = s._groups() if len(s.rank) else (np.zeros(0, np.int64),) * 3
+        group, pages, outside = s._groups() if len(s.order) else (np.zeros(0, np.int64),) * 3
         u, first = np.unique(s.print[s.whole], return_index=True)
         of = group[s.whole][first]
         e, n = np.unique(np.frombuffer(b"".join(t["edges"].to_pylist()), np.uint64), return_counts=True)
@@ -343,16 +393,18 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     far = shared.select("host", "part", "print", "pages", "outside", "edges")
 
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
-        texts, gone = [], []
+        texts, gone, rest, runs = [], [], [], []
         if t.num_rows:
             share = notice_share * (t["of_host"][0].as_py() or t.num_rows)  # a host that is not large is here as a whole
             least, least_outside = max(3.0, share), max(5.0, share)
             prints_ = known["print"].to_numpy().view(np.uint64)
-            far = prints_[known["pages"].to_numpy() >= least], prints_[known["outside"].to_numpy() >= least_outside]
+            far = prints_[known["pages"].to_numpy() >= least], prints_[known["outside"].to_numpy() >= least_outside], prints_[known["pages"].to_numpy() >= 2]
             whole = _pages(t)
             flows = [_flow(p, notice_words) for p in whole]
             edges = edge_removals(whole, prints_[known["edges"].to_numpy() >= least_outside], least_outside)
-            for p, (places, _), own, ends in zip(whole, flows, removals([f for _, f in flows], far, least, least_outside), edges):
+            spans, longest = removals([f for _, f in flows], far, least, least_outside)
+            runs += longest.tolist()
+            for p, (places, _), own, ends in zip(whole, flows, spans, edges):
                 words: dict[int, list[str | None]] = {k: [None] * (p[k][1].count(" ") + 1) for k in ends}
                 for block, a, z in own:
                     w = words.setdefault(places[block], list(p[places[block]][1].split(" ")))
@@ -360,11 +412,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 done = [" ".join(x for x in words[k] if x is not None) if k in words else t_ for k, (zone, t_) in enumerate(p) if zone != OUTSIDE]
                 texts.append("\n".join(x for x in done if x))
                 gone.append(sum(x is None for w in words.values() for x in w))
-        columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64())]
-        return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words"])
+                rest.append(sum(t_.count(" ") + 1 for zone, t_ in p if zone == OUTSIDE) - sum(x is None for k, w in words.items() if p[k][0] == OUTSIDE for x in w))
+        columns = [t["page_id"], t["url"], pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(x) for x in texts], gone, rest, runs))]
+        return pa.Table.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "removed_words", "structure_words", "longest_run"])
 
     parsed = rows.mapInArrow(parse, schema).join(large, "host", "left").withColumn("part", dealt).select("page_id", "url", "host", "part", "of_host", "zones", "blocks")
-    return parsed.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars long, removed_words long")
+    return parsed.groupBy("host", "part").cogroup(far.groupBy("host", "part")).applyInArrow(decide, f"page_id {kind}, url string, text string, n_chars long, removed_words long, structure_words long, longest_run long")
 
 
 def _flow(page: list[tuple[int, str]], notice_words: int) -> tuple[list[int], list[tuple[int, str]]]:

@@ -405,6 +405,78 @@ def test_html_removes_shared_edges_of_articles(spark):
         assert all(got[k].text.endswith("Share") and got[k].removed_words == 0 for k in (*range(20, 26), *range(30, 34)))
 
 
+def streams(rng, pages, words, blocks, size):
+    return [[(rng.choice([html_text.INSIDE, html_text.OPEN, html_text.OUTSIDE]), " ".join(rng.choices(words, k=rng.randint(1, size)))) for _ in range(rng.randint(1, blocks))] for _ in range(pages)]
+
+
+def test_suffix_array_against_plain_search():
+    rng = random.Random(6)
+    for _ in range(25):
+        pages = streams(rng, rng.randint(1, 6), ["a", "b", "c"][: rng.randint(1, 3)], 4, rng.choice([5, 40]))
+        s = html_text.HostStream(pages)
+        flat = [t.split() for p in pages for _, t in p]
+        suffixes = [w[k:] for w in flat for k in range(len(w))]
+        names = [tuple(x) for x in suffixes]
+        number = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for x in flat for w in x))}
+        keys = [tuple(number[w] for w in x) for x in names]
+        assert [keys[k] for k in s.order] == sorted(keys)
+        for i in range(1, len(names)):
+            x, y = names[s.order[i - 1]], names[s.order[i]]
+            n = next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+            assert s.lcp[i] == n + (len(x) == len(y) == n)
+
+
+def test_repeated_runs_against_plain_search():
+    rng = random.Random(7)
+    for _ in range(25):
+        pages = streams(rng, 5, ["a", "b"], 3, 25)
+        for least in (2, 3):
+            s = html_text.HostStream(pages)
+            group, _, _ = s._groups()
+            seen = collections.defaultdict(set)
+            for p, blocks in enumerate(pages):
+                for _, t in blocks:
+                    w = t.split()
+                    for k in range(max(1, len(w) - 7)):
+                        seen[len(w) < 8, tuple(w[k : k + 8])].add(p)
+            want = []
+            for blocks in pages:
+                for _, t in blocks:
+                    w = t.split()
+                    hit = [False] * len(w)
+                    for k in range(max(1, len(w) - 7)):
+                        if len(seen[len(w) < 8, tuple(w[k : k + 8])]) >= least:
+                            hit[k : k + 8] = [True] * len(w[k : k + 8])
+                    want += hit
+            of = collections.defaultdict(set)
+            for k in np.flatnonzero(s.whole):
+                of[group[k]].add(s.page[k])
+            assert s.covered(np.array([len(of[g]) >= least for g in group])).tolist() == want
+
+
+def test_html_quotes_and_compound_names():
+    def kept(page):
+        return [t for z, t in html_text.blocks_of(page) if z != html_text.OUTSIDE]
+
+    assert kept("<p>one <a href=/don't>link</a> two</p><p>three</p>") == ["one link two", "three"]
+    assert kept('<p class="x>Hello there</p>') == ["Hello there"]
+    assert kept("<p title='a > b' data-x=\"it's\">text</p>") == ["text"]
+    parts = "<div class='share-price'>Price</div><section id='related-work'>Work</section><div class='share-buttons'>Share</div><div id='site-footer'>Foot</div><div class='cookie-notice-bar'>Cookies</div><p>End</p>"
+    assert kept(f"<article>{parts}</article>") == ["Price", "Work", "End"]
+
+
+def test_array_removes_most_of_what_structure_would(spark):
+    """On the given pages, with the choice of the article left out, what is not a repeated run is nearly the article."""
+    import pathlib
+
+    folder = pathlib.Path("/root/testdata/sf0.1/pages.parquet")
+    if not folder.exists():
+        pytest.skip("the given tables are absent")
+    rows = html_text.extract_text(spark.read.parquet(str(folder))).collect()
+    removed, rest, kept = (sum(x) for x in zip(*((r.removed_words, r.structure_words, r.text.count(" ") + r.text.count("\n") + 1) for r in rows)))
+    assert removed > 0.6 * (removed + rest) and rest < 0.03 * kept and max(r.longest_run for r in rows) >= html_text.HostStream.DEPTH
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (exact_dedup.exact_dedup(empty), quality_rules.apply_policy(quality_rules.rule_ledger(empty)), simhash.simhash_groups(empty), bpe.bpe_encode(empty), packing.pack(empty), token_counts.token_counts(empty), range_coder.round_trip(empty), language.identify_language(empty), pitman_yor.score_texts(empty), html_text.extract_text(pages)):
