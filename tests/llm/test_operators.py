@@ -301,10 +301,95 @@ def test_lm_base_and_counts(docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_seatings_follow_the_exact_law():
-    draws = pitman_yor.seat(np.full(20_000, 5), np.full(20_000, 0.8), 0.4, np.random.default_rng(1))
-    law = np.exp(pitman_yor.stirling(0.4, 5)[5, 1:6] + np.log(0.8) * np.arange(1, 6))
-    assert np.abs(np.bincount(draws, minlength=6)[1:6] / 20_000 - law / law.sum()).max() < 0.02
+def test_log_gamma():
+    x = np.array([1e-3, 0.1, 0.5, 1, 2.5, 7, 100, 1e6])
+    assert np.allclose(pitman_yor.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
+
+
+@pytest.mark.parametrize("c, theta, p, d", [(5, 2.0, 0.1, 0.4), (40, 30.0, 0.02, 0.7), (90, 5.0, 0.3, 0.5)])
+def test_seatings_follow_the_exact_law(c, theta, p, d):
+    law = {1: 1.0}  # weights of t tables after each customer
+    for j in range(1, c):
+        new: dict = {}
+        for t, x in law.items():
+            new[t] = new.get(t, 0) + x * (j - d * t) / c
+            new[t + 1] = new.get(t + 1, 0) + x * (theta + d * t) * p / c
+        law = new
+    total, n, rng = sum(law.values()), 20_000, np.random.default_rng(1)
+    row = lambda x: np.full(n, x)
+    now = pitman_yor.walk(row(c), row(theta), row(p), d, rng)
+    for _ in range(40):
+        now = pitman_yor.gibbs(now, row(theta), row(p), d, rng)
+    share = np.bincount(now.tables(), minlength=c + 1) / n
+    assert max(abs(share[t] - x / total) for t, x in law.items()) < 0.015
+
+
+def plain_model(docs, theta, sweeps, burn_in, rng):
+    """Customers one by one, with every table's dish and size: averaged P(word | word before) of training pairs."""
+    pairs = [(u, w) for ws in docs for u, w in zip(["."] + ws[:-1], ws)]
+    counts = collections.Counter(pairs)
+    share = lambda xs: min(0.9, max(0.1, xs.count(1) / max(xs.count(1) + 2 * xs.count(2), 1)))
+    d, v, d0 = share(list(counts.values())), len({w for _, w in pairs}), 0.5
+    low = collections.defaultdict(list)  # (context, word) -> sizes of tables
+    top = collections.defaultdict(list)
+    out = collections.Counter()
+
+    def p_root(w):
+        customers, tables = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(top[w]) - d0 * len(top[w]) + (theta + d0 * tables) / (v + 1)) / (theta + customers)
+
+    def sit(sizes, disc, new):
+        k = rng.choices(range(len(sizes) + 1), [*(x - disc for x in sizes), new])[0]
+        if k == len(sizes):
+            sizes.append(0)
+        sizes[k] += 1
+        return k == len(sizes) - 1 and sizes[k] == 1
+
+    def leave(sizes):
+        k = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if sweep and leave(low[u, w]):
+                leave(top[w])
+            tables = sum(len(x) for (c, _), x in low.items() if c == u)
+            if sit(low[u, w], d, (theta + d * tables) * p_root(w)):
+                sit(top[w], d0, (theta + d0 * sum(map(len, top.values()))) / (v + 1))
+        d0 = share([sum(x) for x in top.values()])
+        if sweep >= burn_in:
+            for u, w in counts:
+                c, t = (sum(f(x) for (y, _), x in low.items() if y == u) for f in (sum, len))
+                out[u, w] += (sum(low[u, w]) - d * len(low[u, w]) + (theta + d * t) * p_root(w)) / (theta + c) / (sweeps - burn_in)
+    return out
+
+
+def test_scores_against_a_plain_sampler(spark):
+    rng = random.Random(9)
+    texts = {}
+    for k in range(400):
+        w = [rng.choice("abcd")]
+        while len(w) < 6:
+            w.append(rng.choice({"a": "bbbc", "b": "aad", "c": "cca", "d": "abcd"}[w[-1]]))
+        if zlib.crc32(str(k).encode()) % 10 and len(texts) < 12:
+            texts[k] = w
+    model = plain_model([[*w, "."] for w in texts.values()], 1.0, 400, 100, rng)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    for chars, hot in ((1 << 20, 1 << 20), (30, 5)):
+        got = {r.doc_id: r.score for r in pitman_yor.score_texts(df, chars=chars, hot=hot, sweeps=9, burn_in=3).collect()}
+        want = {k: sum(math.log10(model[u, x]) for u, x in zip([".", *w], [*w, "."])) for k, w in texts.items()}
+        assert abs(sum(got.values()) - sum(want.values())) < 0.03 * abs(sum(want.values()))
+        assert all(abs(got[k] - want[k]) < 0.12 * abs(want[k]) for k in texts)
+
+
+def test_long_words_are_told_apart():
+    words = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(2048)) for flip in (0, 1)]
+    h, n = pitman_yor.WordHasher().words([" ".join(words), "A a"])
+    assert n.tolist() == [3, 3] and len(set(h.tolist())) == 4 and h[3] == h[4]
 
 
 def test_language(spark):
