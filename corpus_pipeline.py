@@ -35,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("language_id", languages), ("exact_dedup", exact), ("simhash_near_dedup", near), ("best_fit_packing", packed)]
 
-#: SQL cannot express SimHash components, the character models or the packing; tests hold each stage against brute force.
+#: SQL cannot express SimHash components, the character models or the packing; tests hold the operators behind the stages against plain versions.
 ORACLE_SQL = None
 
 
