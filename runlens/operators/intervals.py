@@ -27,12 +27,14 @@ def peak_cores(events: DataFrame, configured: int) -> DataFrame:
     return core_timeline(events).groupBy("app_id").agg(F.greatest(F.max("cores"), F.lit(configured)).cast("long").alias("cores"))
 
 
-def capacity_core_ms(execs: DataFrame, events: DataFrame) -> DataFrame:
-    """Cores integrated over each execution's window. Segments are few an application, so the overlap join is an equi join by application."""
+def capacity_core_ms(execs: DataFrame, events: DataFrame, configured: int = 4) -> DataFrame:
+    """Cores integrated over each execution's window; `configured` cores where an application's log has no executor events.
+    Segments are few an application, so the overlap join is an equi join by application."""
     done = execs.where("end_ms > start_ms")
     seg = core_timeline(events).select("app_id", F.col("start_ms").alias("s"), F.coalesce("end_ms", F.lit(1 << 60)).alias("z"), "cores")
     part = F.greatest(F.least("end_ms", "z") - F.greatest("start_ms", "s"), F.lit(0)) * F.col("cores")
-    return done.join(seg, "app_id").groupBy(*SQL).agg(F.sum(part).alias("capacity_core_ms"))
+    flat = (F.col("end_ms") - F.col("start_ms")) * configured
+    return done.join(seg, "app_id", "left").groupBy(*SQL).agg(F.sum(F.when(F.col("s").isNull(), flat).otherwise(part)).alias("capacity_core_ms"))
 
 
 def core_utilization(execs: DataFrame, events: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -26,22 +26,23 @@ def whatif_cores(metrics: DataFrame, cores: int, factors: tuple[float, ...] = (0
 
 
 def whatif_partitions(stats: DataFrame, cores: int, memory: int, factors: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0, 4.0)) -> DataFrame:
-    """Best number of shuffle partitions of every stage that reads a shuffle, and which way the present one is off.
+    """Best number of shuffle partitions of every stage with a shuffle, and which way the present one is off.
 
     T(p) = ceil(p / cores) * (overhead + bytes per task / rate + spill); a fifth of the median task is overhead, the
-    rest gives the rate; what exceeds a task's memory is written and read once more. Stages whose skew is 5 or more
-    are limited by that, so they get no estimate.
+    rest gives the rate; what exceeds a task's memory is written and read once more. The bytes are those read or those
+    written, whichever are more. Stages whose skew in time or in bytes read is 5 or more are limited by that, so they
+    get no estimate.
     """
     now = F.col("n")
-    s = stats.withColumns({"median": F.greatest("run_p50", F.lit(1)), "skew": F.when(F.col("run_p50") > 0, F.col("run_max") / F.col("run_p50")).otherwise(0.0)})
+    s = stats.withColumns({"median": F.greatest("run_p50", F.lit(1)), "skew": F.greatest(*[F.when(F.col(f"{m}_p50") > 0, F.col(f"{m}_max") / F.col(f"{m}_p50")).otherwise(0.0) for m in ("run", "read")]), "bytes": F.greatest("read_sum", "write_sum")})
     options = F.array_distinct(F.concat(F.array(*[F.greatest(half_up(now * f), F.lit(1)) for f in factors]), F.array(*[F.lit(cores * k).cast("long") for k in (1, 2, 4)])))
-    x = s.where("read_sum > 0 and skew < 5").select("app_id", "execution_id", "stage_id", "n", "median", "read_sum", F.posexplode(options).alias("place", "p"))
-    rate = (F.col("read_sum") / now) / (0.8 * F.col("median"))
-    b = F.col("read_sum") / F.col("p")
+    x = s.where("bytes > 0 and skew < 5").select("app_id", "execution_id", "stage_id", "n", "median", "bytes", F.posexplode(options).alias("place", "p"))
+    rate = (F.col("bytes") / now) / (0.8 * F.col("median"))
+    b = F.col("bytes") / F.col("p")
     cost = F.ceil(F.col("p") / cores) * (0.2 * F.col("median") + b / rate + 2 * F.greatest(b - memory, F.lit(0.0)) / rate)
     x = x.withColumn("ms", half_up(cost))
     best = x.groupBy("app_id", "execution_id", "stage_id", "n").agg(F.min_by(F.struct("p", "ms"), F.struct("ms", "place")).alias("best"), F.min(F.when(F.col("p") == now, F.col("ms"))).alias("now_ms"))
     way = F.when(F.col("best.p") > now, "FASTER_IF_INCREASED").when(F.col("best.p") < now, "FASTER_IF_DECREASED").otherwise("ALREADY_OPTIMAL")
     found = best.select("app_id", "execution_id", "stage_id", now.alias("partitions"), F.col("best.p").alias("best_partitions"), F.col("best.ms").alias("best_ms"), "now_ms", way.alias("direction"))
-    rest = s.where("not (read_sum > 0 and skew < 5)").select("app_id", "execution_id", "stage_id", now.alias("partitions"), F.lit(None).cast("long").alias("best_partitions"), F.lit(None).cast("long").alias("best_ms"), F.lit(None).cast("long").alias("now_ms"), F.when((F.col("skew") >= 5) & (F.col("read_sum") > 0), "SKEW_LIMITED").otherwise("ALREADY_OPTIMAL").alias("direction"))
+    rest = s.where("not (bytes > 0 and skew < 5)").select("app_id", "execution_id", "stage_id", now.alias("partitions"), F.lit(None).cast("long").alias("best_partitions"), F.lit(None).cast("long").alias("best_ms"), F.lit(None).cast("long").alias("now_ms"), F.when(F.col("skew") >= 5, "SKEW_LIMITED").otherwise("ALREADY_OPTIMAL").alias("direction"))
     return found.unionByName(rest)

@@ -77,7 +77,7 @@ CORE_TL = """WITH n AS (SELECT app_id, time_ms, sum(CASE WHEN added THEN cores E
 tl AS (SELECT app_id, time_ms AS start_ms, lead(time_ms) OVER w AS end_ms, sum(d) OVER w AS cores FROM n WINDOW w AS (PARTITION BY app_id ORDER BY time_ms))"""
 register("core_timeline", intervals.core_timeline, "v_executor_event", f"{CORE_TL} SELECT app_id, start_ms, end_ms, cores::bigint AS cores FROM tl")
 register("peak_cores", lambda x: intervals.peak_cores(x, CORES), "v_executor_event", f"{CORE_TL} SELECT app_id, greatest(max(cores), {CORES})::bigint AS cores FROM tl GROUP BY app_id")
-CAP = f"{CORE_TL}, cap AS (SELECT e.app_id, e.execution_id, sum(greatest(least(e.end_ms, coalesce(t.end_ms, 1152921504606846976)) - greatest(e.start_ms, t.start_ms), 0) * cores)::bigint AS capacity_core_ms FROM v_exec e JOIN tl t USING (app_id) WHERE e.end_ms > e.start_ms GROUP BY ALL)"
+CAP = f"{CORE_TL}, cap AS (SELECT e.app_id, e.execution_id, sum(CASE WHEN t.start_ms IS NULL THEN {CORES} * (e.end_ms - e.start_ms) ELSE greatest(least(e.end_ms, coalesce(t.end_ms, 1152921504606846976)) - greatest(e.start_ms, t.start_ms), 0) * cores END)::bigint AS capacity_core_ms FROM v_exec e LEFT JOIN tl t USING (app_id) WHERE e.end_ms > e.start_ms GROUP BY ALL)"
 register("capacity_core_ms", intervals.capacity_core_ms, "v_exec v_executor_event", f"{CAP} SELECT * FROM cap")
 register("core_utilization", intervals.core_utilization, "v_exec v_executor_event v_task", f"{CAP}, r AS (SELECT {E}, sum(run_ms)::bigint AS task_ms FROM v_task GROUP BY {E}) SELECT {E}, task_ms, capacity_core_ms, {_ratio('task_ms', 'capacity_core_ms')} AS utilization FROM cap JOIN r USING ({E})")
 EDGES = "SELECT {k}, t, sum(d)::bigint AS d FROM (SELECT {k}, launch_ms AS t, 1 AS d FROM v_task WHERE finish_ms > launch_ms UNION ALL SELECT {k}, finish_ms, -1 FROM v_task WHERE finish_ms > launch_ms) GROUP BY ALL"
@@ -144,13 +144,13 @@ SQL["path_deviation"] = duck(_body("max(run_ms)", "critical_ms").replace(f"SELEC
 register("whatif_cores", lambda t, s: whatif.whatif_cores(stages.stage_metrics(t, s), CORES), "v_task v_stage", f"""WITH m AS ({METRICS}), x AS (SELECT {E}, c AS cores, sum(greatest(run_max, floor(ceil(attempts::double / c) * run_sum / attempts + 0.5)))::bigint AS estimate_ms FROM m, (SELECT unnest([1, 2, 4, 6, 8, 16]) AS c) GROUP BY {E}, c),
 y AS (SELECT *, lead(estimate_ms) OVER (PARTITION BY {E} ORDER BY cores) AS nx FROM x) SELECT {E}, cores, estimate_ms, coalesce(min(CASE WHEN (estimate_ms - nx)::double / estimate_ms < 0.05 THEN cores END) OVER (PARTITION BY {E}), 16) AS knee_cores FROM y""")
 MEMORY = 1_000_000
-register("whatif_partitions", lambda t: whatif.whatif_partitions(stages.task_distributions(t), CORES, MEMORY), "v_task", f"""WITH s AS (SELECT *, greatest(run_p50, 1) AS med, CASE WHEN run_p50 > 0 THEN run_max::double / run_p50 ELSE 0 END AS skew FROM ({STATS})),
-o AS (SELECT {K}, n, med, read_sum, unnest([0.25, 0.5, 1, 2, 4]::double[]) AS f, unnest([0, 1, 2, 3, 4]) AS place FROM s WHERE read_sum > 0 AND skew < 5),
-p AS (SELECT {K}, n, med, read_sum, greatest(floor(n * f + 0.5), 1)::bigint AS p, place FROM o UNION ALL SELECT DISTINCT {K}, n, med, read_sum, k * {CORES}, 4 + k FROM o, (SELECT unnest([1, 2, 4]) AS k)),
-c AS (SELECT *, floor(ceil(p::double / {CORES}) * (0.2 * med + (read_sum::double / p) / ((read_sum::double / n) / (0.8 * med)) + 2 * greatest(read_sum::double / p - {MEMORY}, 0) / ((read_sum::double / n) / (0.8 * med))) + 0.5)::bigint AS ms FROM p),
+register("whatif_partitions", lambda t: whatif.whatif_partitions(stages.task_distributions(t), CORES, MEMORY), "v_task", f"""WITH s AS (SELECT *, greatest(run_p50, 1) AS med, greatest(CASE WHEN run_p50 > 0 THEN run_max::double / run_p50 ELSE 0 END, CASE WHEN read_p50 > 0 THEN read_max::double / read_p50 ELSE 0 END) AS skew, greatest(read_sum, write_sum) AS bytes FROM ({STATS})),
+o AS (SELECT {K}, n, med, bytes, unnest([0.25, 0.5, 1, 2, 4]::double[]) AS f, unnest([0, 1, 2, 3, 4]) AS place FROM s WHERE bytes > 0 AND skew < 5),
+p AS (SELECT {K}, n, med, bytes, greatest(floor(n * f + 0.5), 1)::bigint AS p, place FROM o UNION ALL SELECT DISTINCT {K}, n, med, bytes, k * {CORES}, 4 + k FROM o, (SELECT unnest([1, 2, 4]) AS k)),
+c AS (SELECT *, floor(ceil(p::double / {CORES}) * (0.2 * med + (bytes::double / p) / ((bytes::double / n) / (0.8 * med)) + 2 * greatest(bytes::double / p - {MEMORY}, 0) / ((bytes::double / n) / (0.8 * med))) + 0.5)::bigint AS ms FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY ms, place) AS k, min(CASE WHEN p = n THEN ms END) OVER (PARTITION BY {K}) AS now_ms FROM c)
 SELECT {K}, n AS partitions, p AS best_partitions, ms AS best_ms, now_ms, CASE WHEN p > n THEN 'FASTER_IF_INCREASED' WHEN p < n THEN 'FASTER_IF_DECREASED' ELSE 'ALREADY_OPTIMAL' END AS direction FROM r WHERE k = 1
-UNION ALL SELECT {K}, n, NULL, NULL, NULL, CASE WHEN skew >= 5 AND read_sum > 0 THEN 'SKEW_LIMITED' ELSE 'ALREADY_OPTIMAL' END FROM s WHERE NOT (read_sum > 0 AND skew < 5)""")
+UNION ALL SELECT {K}, n, NULL, NULL, NULL, CASE WHEN skew >= 5 THEN 'SKEW_LIMITED' ELSE 'ALREADY_OPTIMAL' END FROM s WHERE NOT (bytes > 0 AND skew < 5)""")
 
 # ---- texts ----
 TEMPLATE = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(description, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '''(?:[^'']|'''')*''', '?', 'g'), '\b\d+\b', '?', 'g'), '\s+', ' ', 'g')))"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions import text
 from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
 from runlens.plans.fixtures import duck, view
 from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _contention, _light, _util, findings, register
@@ -85,3 +86,60 @@ def _queue_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: Dat
 flat = lambda df, keys: df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("report"))
 register("write_sql_report", lambda *v: flat(_sql_report(*v), ["app_id", "execution_id"]), ALL)
 register("write_queue_report", lambda *v: flat(_queue_report(*v), ["app_id"]), QVIEWS)
+
+
+# ---- logs as files, late ids, heaps and backlogs ----
+def _read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that were written as text files and are read as logs: how many there are of each kind."""
+    at = executions.shared_folder(spark, "logs")
+    event_lines(spark, d).select("value").write.text(at)
+    kind = F.regexp_extract("value", r'"Event":"(?:[\w.]+\.)?SparkListener([A-Za-z]+)"', 1).alias("kind")
+    return L.read_event_logs(spark, at).select(kind).groupBy("kind").agg(F.count("*").alias("lines")).where(F.col("kind").isin("TaskEnd", "StageCompleted", "JobStart", "JobEnd", "SQLExecutionStart", "SQLExecutionEnd"))
+
+
+QUERIES["read_event_logs"] = _read_back
+SQL["read_event_logs"] = duck("SELECT 'TaskEnd' AS kind, count(*) AS lines FROM v_task UNION ALL SELECT 'StageCompleted', count(*) FROM v_stage UNION ALL SELECT 'JobStart', count(*) FROM v_job UNION ALL SELECT 'JobEnd', count(*) FROM v_job UNION ALL SELECT 'SQLExecutionStart', count(*) FROM v_exec UNION ALL SELECT 'SQLExecutionEnd', count(*) FROM v_exec WHERE end_ms > 0")
+
+
+def _files(t: DataFrame) -> DataFrame:
+    """Log parts of the views: one for each host of an application."""
+    return t.groupBy(F.col("app_id").alias("log"), F.col("host").alias("name")).agg(F.sum("result_size").alias("length"), F.max("launch_ms").alias("modified"))
+
+
+def _unchanged(t: DataFrame) -> DataFrame:
+    keys = reports.log_snapshot_key(_files(t))
+    return L.skip_unchanged(_files(t), keys.where("log not like '%3'").unionAll(keys.select("log", F.lit("old").alias("key"))))
+
+
+def _claimed(e: DataFrame) -> DataFrame:
+    known = e.select(F.col("app_id").alias("log"), "execution_id", "start_ms", F.when(F.col("execution_id") % 3 == 0, F.concat(F.lit("s"), "execution_id")).alias("statement_id"))
+    late = e.where("execution_id % 2 = 0").select(F.col("app_id").alias("log"), F.col("end_ms").alias("time_ms"), F.concat(F.lit("t"), "execution_id").alias("id"))
+    return L.attach_thrift_ids(known, late).select("log", "execution_id", "statement_id")
+
+
+def _heap_lines(t: DataFrame) -> DataFrame:
+    x = t.groupBy(F.col("app_id").alias("log"), "executor_id", "stage_id").agg((F.max("result_size") * 20_000).alias("heap"))
+    value = F.to_json(F.struct(F.lit("SparkListenerStageExecutorMetrics").alias("Event"), F.col("executor_id").alias("Executor ID"), F.col("stage_id").alias("Stage ID"), F.struct(F.col("heap").alias("JVMHeapMemory")).alias("Executor Metrics")))
+    return x.select("log", F.lit(1).alias("part"), value.alias("value"))
+
+
+def _heaps(t: DataFrame, c: DataFrame) -> DataFrame:
+    memory = c.where("key = 'spark.executor.memory'").select(F.col("app_id").alias("log"), text.size_bytes(F.col("value"), 0).alias("memory_bytes"))
+    return plans.heap_headroom(_heap_lines(t), memory)
+
+
+def _backlog(e: DataFrame) -> DataFrame:
+    found = e.select(F.col("app_id").alias("log"), "execution_id", F.explode(F.array_compact(F.array(F.when(F.col("execution_id") % 4 == 0, "S-05"), F.when(F.col("execution_id") % 5 == 0, "S-06"), F.lit("S-01")))).alias("rule_id"))
+    return plans.small_file_backlog(found, e.select(F.col("app_id").alias("log"), "execution_id", F.concat(F.lit("FileScan parquet db.t"), F.col("execution_id") % 12, F.lit(" Scan parquet db.u")).alias("plan")))
+
+
+KEYS = "SELECT app_id AS log, sha256(array_to_string(list_sort(list(host || ':' || length || ':' || modified)), '|')) AS key FROM (SELECT app_id, host, sum(result_size)::bigint AS length, max(launch_ms) AS modified FROM v_task GROUP BY ALL) GROUP BY app_id"
+register("log_snapshot_key", lambda t: reports.log_snapshot_key(_files(t)), "v_task", KEYS)
+register("skip_unchanged_logs", _unchanged, "v_task", f"SELECT * FROM ({KEYS}) WHERE log LIKE '%3'")
+register("attach_thrift_ids", _claimed, "v_exec", """WITH o AS (SELECT app_id, execution_id, row_number() OVER (PARTITION BY app_id ORDER BY start_ms, execution_id) AS k FROM v_exec WHERE execution_id % 3 <> 0),
+i AS (SELECT app_id, 't' || execution_id AS id, row_number() OVER (PARTITION BY app_id ORDER BY end_ms, 't' || execution_id) AS k FROM v_exec WHERE execution_id % 2 = 0)
+SELECT app_id AS log, execution_id, id AS statement_id FROM o LEFT JOIN i USING (app_id, k) UNION ALL SELECT app_id, execution_id, 's' || execution_id FROM v_exec WHERE execution_id % 3 = 0""")
+register("heap_headroom", _heaps, "v_task v_conf", """WITH m AS (SELECT app_id, regexp_extract(value, '[0-9]+')::bigint * CASE WHEN value LIKE '%g' THEN 1073741824 ELSE 1048576 END AS memory_bytes FROM v_conf WHERE key = 'spark.executor.memory'),
+x AS (SELECT app_id, executor_id, stage_id, max(result_size) * 20000 AS peak_bytes FROM v_task GROUP BY ALL)
+SELECT app_id AS log, executor_id, stage_id::int AS stage_id, peak_bytes, memory_bytes, round(peak_bytes / memory_bytes::double, 6) AS heap_peak_ratio, floor(peak_bytes * 1.25)::bigint AS suggested_bytes FROM x JOIN m USING (app_id)""")
+register("small_file_backlog", _backlog, "v_exec", "WITH f AS (SELECT execution_id, 'S-05' AS rule_id FROM v_exec WHERE execution_id % 4 = 0 UNION ALL SELECT execution_id, 'S-06' FROM v_exec WHERE execution_id % 5 = 0), t AS (SELECT *, 'db.t' || execution_id % 12 AS \"table\" FROM f UNION ALL SELECT *, 'db.u' FROM f) SELECT \"table\", rule_id, count(*) AS executions FROM t GROUP BY ALL")

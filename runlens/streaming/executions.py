@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,8 +64,10 @@ def read_snapshot(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares, or in a temporary one where none is named, as in tests."""
+    """A new folder in the one that the cluster shares, or in a temporary one where none is named, in local sessions only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/{name}-{uuid.uuid4().hex}"
 
 
