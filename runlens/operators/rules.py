@@ -117,8 +117,10 @@ def evaluate_rules(contexts: DataFrame, rules: tuple[Rule, ...], thresholds: dic
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
-    """Place of each finding in its application: score, then severity, then rule and stage."""
-    w = Window.partitionBy("app_id").orderBy(F.desc("score"), F.desc("severity"), "rule_id", "stage_id")
+    """Place of each finding in its application: those that are not suppressed first (where that is known), then score, then
+    severity, then rule and stage."""
+    hidden = [F.col("suppressed").cast("int")] if "suppressed" in findings.columns else []
+    w = Window.partitionBy("app_id").orderBy(*hidden, F.desc("score"), F.desc("severity"), "rule_id", "stage_id")
     return findings.withColumn("place", F.row_number().over(w))
 
 

@@ -143,3 +143,17 @@ register("heap_headroom", _heaps, "v_task v_conf", """WITH m AS (SELECT app_id,
 x AS (SELECT app_id, executor_id, stage_id, max(result_size) * 20000 AS peak_bytes FROM v_task GROUP BY ALL)
 SELECT app_id AS log, executor_id, stage_id::int AS stage_id, peak_bytes, memory_bytes, round(peak_bytes / memory_bytes::double, 6) AS heap_peak_ratio, floor(peak_bytes * 1.25)::bigint AS suggested_bytes FROM x JOIN m USING (app_id)""")
 register("small_file_backlog", _backlog, "v_exec", "WITH f AS (SELECT execution_id, 'S-05' AS rule_id FROM v_exec WHERE execution_id % 4 = 0 UNION ALL SELECT execution_id, 'S-06' FROM v_exec WHERE execution_id % 5 = 0), t AS (SELECT *, 'db.t' || execution_id % 12 AS \"table\" FROM f UNION ALL SELECT *, 'db.u' FROM f) SELECT \"table\", rule_id, count(*) AS executions FROM t GROUP BY ALL")
+
+
+def _forms(t: DataFrame) -> DataFrame:
+    """Paths of log files of the views: each application rolled by host, every second one also as one file, every third still being written."""
+    roll = t.select(F.concat_ws("/", F.lit("file:/logs"), F.concat(F.lit("eventlog_v2_"), "app_id"), F.concat(F.lit("events_"), F.substring("host", 6, 1), F.lit("_"), "app_id", F.lit(".zstd"))).alias("file"), "app_id").distinct()
+    apps = t.select("app_id").distinct()
+    one = apps.where("app_id rlike '[02468]$'").select(F.concat(F.lit("file:/logs/"), "app_id", F.lit(".lz4")).alias("file"), "app_id")
+    late = apps.where("app_id rlike '[0369]$'").select(F.concat(F.lit("file:/logs/"), "app_id", F.lit(".inprogress")).alias("file"), "app_id")
+    return roll.where("app_id rlike '[0-4]$'").unionAll(one).unionAll(late).select("file")
+
+
+register("resolve_log_parts", lambda t: L.resolve_log_parts(_forms(t)), "v_task", """WITH a AS (SELECT DISTINCT app_id, host, right(app_id, 1)::int AS k FROM v_task)
+SELECT DISTINCT 'file:/logs/' || CASE WHEN k <= 4 THEN 'eventlog_v2_' || app_id || '/events_' || substr(host, 6, 1) || '_' || app_id || '.zstd' WHEN k % 2 = 0 THEN app_id || '.lz4' ELSE app_id || '.inprogress' END AS file, app_id AS log,
+  CASE WHEN k <= 4 THEN substr(host, 6, 1)::int ELSE 1073741824 END AS part FROM a WHERE k <= 4 OR k % 2 = 0 OR k % 3 = 0""")

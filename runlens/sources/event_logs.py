@@ -27,20 +27,37 @@ SCHEMAS = {
 }
 
 
-def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, log, part, value): the lines of all logs below a path, single files and rolled ones, also compressed ones.
-
-    A rolled log's parts are numbered in their names (`events_<n>_`); status files and parts that are still being
-    written in compressed form are left out, as they cannot be read as text.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    file = F.col("_metadata.file_path")
-    rows = lines.select(file.alias("file"), "value")
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    rows = rows.where(~name.startswith("appstatus_") & ~name.rlike(r"\.(zstd|lz4|snappy|lzf)\.inprogress$"))
+def log_of(file: Column) -> tuple[Column, Column, Column]:
+    """(log, part, rank) of a log file's path. A rolled log's parts are numbered in their names (`events_<n>_`) and lie in a
+    folder `eventlog_v2_<log>`; of several forms of one log the least rank counts: rolled, whole, being written."""
+    name = F.regexp_extract(file, r"([^/]+)$", 1)
     part = F.regexp_extract(name, r"^events_(\d+)_", 1)
-    log = F.when(part != "", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).otherwise(name)
-    return rows.select("file", F.regexp_replace(log, r"^eventlog_v2_|\.(inprogress|zstd|lz4|snappy|lzf)", "").alias("log"), F.coalesce(part.try_cast("int"), F.lit(1 << 30)).alias("part"), "value")
+    own = F.when(part != "", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)).otherwise(name)
+    log = F.regexp_replace(own, r"^eventlog_v2_|(\.(inprogress|zstd|lz4|snappy|lzf))+$", "")
+    codec = F.regexp_extract(own, r"\.(zstd|lz4|snappy|lzf)", 1)
+    rank = F.when(part != "", F.lit("0")).when(name.endswith(".inprogress"), F.lit("2")).otherwise(F.lit("1"))
+    return log, F.coalesce(part.try_cast("int"), F.lit(1 << 30)), F.concat_ws(" ", rank, codec)
+
+
+def resolve_log_parts(files: DataFrame) -> DataFrame:
+    """(file, log, part): the files to read of each log. files: file. If a log is there as rolled parts, as one file, as one
+    that is still being written or in several codecs, one form alone is read, so no event counts twice. Status
+    files and files that are still being written in compressed form are left out, as they cannot be read as text."""
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    rows = files.where(~name.startswith("appstatus_") & ~name.rlike(r"\.(zstd|lz4|snappy|lzf)\.inprogress$"))
+    log, part, rank = log_of(F.col("file"))
+    rows = rows.select("file", log.alias("log"), part.alias("part"), rank.alias("rank"))
+    return rows.join(rows.groupBy("log").agg(F.min("rank").alias("rank")), ["log", "rank"]).select("file", "log", "part")
+
+
+def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, log, part, value): the lines of all logs below a path, single files and rolled ones, also compressed ones; the
+    files are listed first (their contents are not read for that) and chosen by `resolve_log_parts`."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    same = lambda c: F.regexp_replace(c, r"^([a-z0-9]+:)/+", "$1/")  # noqa: E731 - the two readers write a scheme's slashes differently
+    chosen = resolve_log_parts(listed).withColumn("_at", same(F.col("file")))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(same(F.col("_metadata.file_path")).alias("_at"), "value")
+    return lines.join(chosen, "_at").select("file", "log", "part", "value")
 
 
 def parse_events(lines: DataFrame, kind: str, schema: str | None = None) -> DataFrame:
