@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runlens.llm.common import fold, ship, stored
+from runlens.llm.common import checkpoint_dir, fold, ship, stored
 
 U = np.uint64
 END = 1  # the hash of the end token; hashes of words are made even
@@ -123,10 +123,11 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chars: int, modulus: in
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Written as a table in the warehouse, dealt into buckets by a key, so that later groupings by it move only the other side."""
+    """Written as a table in the shared checkpoint folder, dealt into buckets by a key, so that later groupings by it move only
+    the other side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{checkpoint_dir(spark)}/{table}").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
     return spark.table(table)
 
 
