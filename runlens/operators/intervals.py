@@ -162,16 +162,35 @@ def longest_run_of_buckets(buckets: DataFrame, width: int = 60_000, idle: float
     return apps.join(i, "app_id", "left").join(o, "app_id", "left").na.fill(0.0)
 
 
-def latency_timeline(execs: DataFrame, width: int = 300_000) -> DataFrame:
-    """Per bucket of start time: completed executions and nearest-rank quantiles of their durations."""
+def latency_timeline(execs: DataFrame, tasks: DataFrame, cores: int, width: int = 300_000) -> DataFrame:
+    """Per bucket of an application's window, empty ones too: completed executions that started in it, nearest-rank
+    quantiles of their durations, utilisation, and the task times and attempts of the bucket."""
     d = execs.where("end_ms > start_ms").select("app_id", F.expr(f"start_ms div {width} * {width}").alias("bucket_ms"), (F.col("end_ms") - F.col("start_ms")).alias("d"))
     q = lambda p: F.expr(f"percentile_disc({p}) within group (order by d)").cast("long")
-    return d.groupBy("app_id", "bucket_ms").agg(F.count("*").alias("completed"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    d = d.groupBy("app_id", "bucket_ms").agg(F.count("*").alias("completed"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    x = bucket_utilization(tasks, execs, cores, width).join(d, ["app_id", "bucket_ms"], "left").join(bucket_task_metrics(tasks, width), ["app_id", "bucket_ms"], "left")
+    return x.na.fill(0, ["completed", "run_ms", "cpu_ns", "fetch_ms", "gc_ms", "attempts", "failed", "speculative"])
 
 
-def occupancy_rollup(tasks: DataFrame, execs: DataFrame, cores: int, widths: tuple[int, ...] = (60_000, 300_000, 900_000), base: int = 60_000) -> DataFrame:
-    """Base buckets rolled up to wider ones: mean and maximum utilisation and the share of busy buckets."""
-    b = bucket_utilization(tasks, execs, cores, base)
-    x = b.select("app_id", "bucket_ms", "utilization", F.explode(F.array(*map(F.lit, widths))).alias("width_ms"))
-    x = x.withColumn("bucket_ms", F.expr("bucket_ms div width_ms * width_ms"))
-    return x.groupBy("app_id", "width_ms", "bucket_ms").agg(mean_of(micros("utilization")).alias("mean"), F.max("utilization").alias("peak"), ratio(F.count_if(F.col("utilization") >= 0.85), F.count("*")).alias("busy_ratio"))
+def occupancy_rollup(tasks: DataFrame, execs: DataFrame, jobs: DataFrame, cores: int, widths: tuple[int, ...] = (60_000, 300_000, 900_000), base: int = 10_000) -> DataFrame:
+    """Base buckets rolled up to wider ones: mean and maximum utilisation and the share of busy buckets; executions
+    submitted (by start), completed and failed (by the last bucket they touch), active ones (each once a bucket that it
+    touches; one without an end stays active to the end of the window), and bytes that the tasks launched there read.
+
+    Everything is summed by base bucket first, so only these sums are dealt to the widths.
+    """
+    wide = F.explode(F.array(*[F.lit(w).cast("long") for w in widths])).alias("width_ms")
+    here = lambda t: F.expr(f"{t} div width_ms * width_ms")
+    key = ["app_id", "width_ms", "bucket_ms"]
+    use = bucket_utilization(tasks, execs, cores, base).select("app_id", F.col("bucket_ms").alias("t"), "utilization", wide)
+    use = use.groupBy("app_id", "width_ms", here("t").alias("bucket_ms")).agg(mean_of(micros("utilization")).alias("mean"), F.max("utilization").alias("peak"), ratio(F.count_if(F.col("utilization") >= 0.85), F.count("*")).alias("busy_ratio"))
+    done = execs.where("end_ms > start_ms").join(jobs.groupBy(*SQL).agg(F.bool_or("failed").alias("failed")), SQL, "left")
+    marks = {"submitted": F.lit(0), "completed": F.lit(0), "failed": F.lit(0), "bytes": F.lit(0)}
+    row = lambda df, t, **c: df.select("app_id", F.expr(f"({t}) div {base} * {base}").alias("t"), *[x.cast("long").alias(k) for k, x in (marks | c).items()])
+    x = row(execs, "start_ms", submitted=F.lit(1)).unionByName(row(done, "end_ms - 1", completed=F.lit(1), failed=F.coalesce("failed", F.lit(False)).cast("int")))
+    x = x.unionByName(row(tasks, "launch_ms", bytes=F.col("input_bytes") + F.col("shuffle_read_bytes")))
+    sums = lambda df, *by: df.groupBy("app_id", *by).agg(*[F.sum(k).alias(k) for k in marks])
+    events = sums(sums(x, "t").select("*", wide), "width_ms", here("t").alias("bucket_ms"))
+    e = execs.join(queue_window(execs, tasks), "app_id").select("app_id", "start_ms", F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms")).otherwise(F.col("window_end")).alias("z"), wide).where("z > start_ms")
+    active = e.select("app_id", "width_ms", F.explode(F.expr("sequence(start_ms div width_ms, (z - 1) div width_ms)")).alias("b")).groupBy("app_id", "width_ms", (F.col("b") * F.col("width_ms")).alias("bucket_ms")).agg(F.count("*").alias("active"))
+    return use.join(events, key, "left").join(active, key, "left").na.fill(0, [*marks, "active"])

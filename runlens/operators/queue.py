@@ -48,9 +48,10 @@ def top_resource_hogs(contention: DataFrame, n: int = 10) -> DataFrame:
     return contention.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*SQL, "place", "own_core_ms")
 
 
-def template_stats(light: DataFrame, execs: DataFrame, n: int = 20) -> DataFrame:
-    """Runs, time and bytes of every statement template, the costliest `n` an application."""
-    x = light.where(COMPLETED).join(execs.select(*SQL, template_hash(F.col("description")).alias("template")), SQL)
+def template_stats(light: DataFrame, execs: DataFrame, own: DataFrame, n: int = 20) -> DataFrame:
+    """Runs, time and bytes of every statement template, the costliest `n` an application. Core time is what an execution
+    holds itself (own: app_id, execution_id, own_core_ms), where that is unknown its task time."""
+    x = light.where(COMPLETED).join(own, SQL, "left").withColumn("task_ms", F.coalesce("own_core_ms", "task_ms")).join(execs.select(*SQL, template_hash(F.col("description")).alias("template")), SQL)
     x = x.groupBy("app_id", "template").agg(F.count("*").alias("queries"), F.sum("duration_ms").alias("duration_ms"), F.sum("task_ms").alias("core_ms"), F.sum("input_bytes").alias("input_bytes"), F.sum("read_bytes").alias("read_bytes"))
     w = Window.partitionBy("app_id").orderBy(F.desc("core_ms"), F.desc("duration_ms"), "template")
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
@@ -91,6 +92,28 @@ def contention_report(contention: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def throughput_leaderboards(light: DataFrame, execs: DataFrame) -> DataFrame:
-    """Completed and failed executions an hour, with a total for each application (hour null)."""
+    """Submitted, completed and failed executions an hour and the share of completed ones without a failed job, with a
+    total for each application (hour null). `leaders` and `template_failures` have the boards themselves."""
     x = light.join(execs.select(*SQL, F.expr("start_ms div 3600000 * 3600000").alias("hour_ms")), SQL)
-    return x.groupingSets([["app_id", "hour_ms"], ["app_id"]], "app_id", "hour_ms").agg(F.count("*").alias("submitted"), F.count_if(F.expr(COMPLETED)).alias("completed"), F.count_if("failed").alias("failed"))
+    done = F.expr(COMPLETED)
+    x = x.groupingSets([["app_id", "hour_ms"], ["app_id"]], "app_id", "hour_ms").agg(F.count("*").alias("submitted"), F.count_if(done).alias("completed"), F.count_if("failed").alias("failed"), F.count_if(done & ~F.coalesce("failed", F.lit(False))).alias("good"))
+    return x.withColumn("success_rate", ratio(F.col("good"), F.col("completed"))).drop("good")
+
+
+def leaders(light: DataFrame, waiting: DataFrame, n: int = 20) -> DataFrame:
+    """The `n` slowest, costliest (task time) and longest queued executions of each application: board, place, value.
+
+    Places are cut at `n` in every partition before the shuffle, so a very large application sends few rows to its task.
+    """
+    slow = light.where(COMPLETED).select(*SQL, F.lit("slow").alias("board"), F.col("duration_ms").alias("value"))
+    costly = light.where("task_ms > 0").select(*SQL, F.lit("costly").alias("board"), F.col("task_ms").alias("value"))
+    queued = waiting.where("wait_ms > 0").select(*SQL, F.lit("queued").alias("board"), F.col("wait_ms").alias("value"))
+    w = Window.partitionBy("app_id", "board").orderBy(F.desc("value"), "execution_id")
+    return slow.unionByName(costly).unionByName(queued).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def template_failures(classes: DataFrame, execs: DataFrame) -> DataFrame:
+    """Failed attempts by class and statement template, with totals by class and by application. classes: app_id, execution_id, class, n."""
+    x = classes.join(execs.select(*SQL, template_hash(F.col("description")).alias("template")), SQL)
+    sets = [["app_id", "class", "template"], ["app_id", "class"], ["app_id"]]
+    return x.groupingSets(sets, "app_id", "class", "template").agg(F.sum("n").alias("failures"), F.count_distinct("execution_id").alias("executions"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 STAGE = ["app_id", "execution_id", "stage_id"]
-METRICS = {"run": "run_ms", "read": "shuffle_read_bytes", "write": "shuffle_write_bytes", "input": "input_bytes", "spill": "disk_spill_bytes", "gc": "gc_ms", "deser": "deser_ms"}
+METRICS = {"run": "run_ms", "read": "shuffle_read_bytes", "write": "shuffle_write_bytes", "input": "input_bytes", "output": "output_bytes", "spill": "disk_spill_bytes", "mem": "memory_spill_bytes", "gc": "gc_ms", "deser": "deser_ms"}
 POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
@@ -108,7 +108,7 @@ def sql_light_metrics(metrics: DataFrame, jobs: DataFrame, execs: DataFrame) ->
     return e.join(total, key, "left").join(failed, key, "left").withColumn("fetch_ratio", ratio(F.col("fetch_ms"), F.col("task_ms")))
 
 
-def app_summary(execs: DataFrame, jobs: DataFrame, stages: DataFrame) -> DataFrame:
-    """Counts of executions, jobs and stages, and the time from the first start to the last end."""
+def app_summary(execs: DataFrame, jobs: DataFrame, stages: DataFrame, cores: DataFrame) -> DataFrame:
+    """Counts of executions, jobs and stages, the time from the first start to the last end, and the peak of cores (app_id, cores)."""
     a = execs.groupBy("app_id").agg(F.count("*").alias("n_sql"), (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"))
-    return a.join(jobs.groupBy("app_id").agg(F.count("*").alias("n_jobs")), "app_id").join(stages.groupBy("app_id").agg(F.count("*").alias("n_stages")), "app_id")
+    return a.join(jobs.groupBy("app_id").agg(F.count("*").alias("n_jobs")), "app_id").join(stages.groupBy("app_id").agg(F.count("*").alias("n_stages")), "app_id").join(cores, "app_id", "left")

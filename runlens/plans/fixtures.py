@@ -14,7 +14,8 @@ SELECT concat('app-', cast(e // 15 as {{string}})) AS app_id, e AS execution_id,
   CASE WHEN si = 2 THEN run_ms * (sk % 5) // 10 ELSE 0 END AS fetch_wait_ms, (sk % 10) * 10 AS deser_ms,
   CASE WHEN si = 2 THEN cents * (CASE WHEN pk % 41 = 0 THEN 50 ELSE 1 END) ELSE 0 END AS shuffle_read_bytes,
   write_bytes AS shuffle_write_bytes, CASE WHEN si < 2 THEN cents ELSE 0 END AS input_bytes,
-  CASE WHEN pk % 11 = 0 THEN cents // 4 ELSE 0 END AS disk_spill_bytes,
+  CASE WHEN pk % 11 = 0 THEN cents // 4 ELSE 0 END AS disk_spill_bytes, CASE WHEN pk % 11 = 0 THEN cents ELSE 0 END AS memory_spill_bytes,
+  CASE WHEN si = 2 THEN cents // 3 ELSE 0 END AS output_bytes,
   (flag = 'R' AND pk % 10 = 0) AS failed, pk % 50 = 1 AS speculative,
   write_bytes // (1000 + 9000 * (sk % 3)) AS shuffle_write_ms, 1000 + pk * 37 AS result_size,
   CASE WHEN NOT (flag = 'R' AND pk % 10 = 0) THEN 'Success' WHEN sk % 4 = 0 THEN 'OutOfMemoryError' WHEN sk % 4 = 1 THEN 'FetchFailed'

@@ -70,7 +70,7 @@ def _light(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
 
 
 register("sql_light_metrics", _light, "v_task v_stage v_job v_exec", f"{WITH_LIGHT} SELECT * FROM light")
-register("app_summary", stages.app_summary, "v_exec v_job v_stage", "SELECT app_id, count(*) AS n_sql, max(end_ms) - min(start_ms) AS duration_ms, (SELECT count(*) FROM v_job j WHERE j.app_id = e.app_id) AS n_jobs, (SELECT count(*) FROM v_stage s WHERE s.app_id = e.app_id) AS n_stages FROM v_exec e GROUP BY app_id")
+register("app_summary", lambda e, j, s, x: stages.app_summary(e, j, s, intervals.peak_cores(x, CORES)), "v_exec v_job v_stage v_executor_event", "WITH c AS (SELECT app_id, sum(sum(CASE WHEN added THEN cores ELSE -cores END)) OVER (PARTITION BY app_id ORDER BY time_ms) AS c FROM v_executor_event GROUP BY app_id, time_ms) SELECT app_id, count(*) AS n_sql, max(end_ms) - min(start_ms) AS duration_ms, (SELECT count(*) FROM v_job j WHERE j.app_id = e.app_id) AS n_jobs, (SELECT count(*) FROM v_stage s WHERE s.app_id = e.app_id) AS n_stages, (SELECT greatest(max(c), 4) FROM c WHERE c.app_id = e.app_id)::bigint AS cores FROM v_exec e GROUP BY app_id")
 
 # ---- intervals ----
 CORE_TL = """WITH n AS (SELECT app_id, time_ms, sum(CASE WHEN added THEN cores ELSE -cores END)::bigint AS d FROM v_executor_event GROUP BY ALL),
@@ -127,8 +127,15 @@ register("query_contention", _contention, ALL, f"{CONT} SELECT * FROM cont")
 register("starvation_windows", lambda *v: _contention(*v).where("limited and own_share <= 0.2").select("app_id", "execution_id", "own_share"), ALL, f"{CONT} SELECT {E}, own_share FROM cont WHERE limited AND own_share <= 0.2")
 register("top_resource_hogs", lambda *v: queue.top_resource_hogs(_contention(*v)), ALL, f"{CONT} SELECT {E}, place, own_core_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY own_core_ms DESC, execution_id) AS place FROM cont) WHERE place <= 10")
 register("contention_report", lambda t, s, j, e: queue.contention_report(_contention(t, s, j, e), _util(t, e)), ALL, f"{CONT}, {UTIL[len(SWEEP) + 2:]} SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, (SELECT count(*) FROM util u WHERE u.app_id = cont.app_id AND utilization >= 0.95) AS hot_buckets FROM cont GROUP BY app_id")
-register("latency_timeline", intervals.latency_timeline, "v_exec", "SELECT app_id, start_ms // 300000 * 300000 AS bucket_ms, count(*) AS completed, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, quantile_disc(end_ms - start_ms, 0.99) AS p99 FROM v_exec WHERE end_ms > start_ms GROUP BY ALL")
-register("occupancy_rollup", lambda t, e: intervals.occupancy_rollup(t, e, CORES), "v_task v_exec", f"WITH {UTIL} SELECT app_id, w AS width_ms, bucket_ms // w * w AS bucket_ms, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean, max(utilization) AS peak, {_ratio('count(*) FILTER (utilization >= 0.85)', 'count(*)')} AS busy_ratio FROM util, (SELECT unnest([60000, 300000, 900000]) AS w) GROUP BY app_id, w, bucket_ms // w * w")
+_fill = ", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in "completed run_ms cpu_ns fetch_ms gc_ms attempts failed speculative".split())
+register("latency_timeline", lambda t, e: intervals.latency_timeline(e, t, CORES), "v_task v_exec", f"""WITH {UTIL.replace('60000', '300000')}, y AS ({BUCKETS.replace('60000', '300000')}), d AS (SELECT app_id, start_ms // 300000 * 300000 AS bucket_ms, count(*) AS completed, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, quantile_disc(end_ms - start_ms, 0.99) AS p99 FROM v_exec WHERE end_ms > start_ms GROUP BY ALL)
+SELECT app_id, bucket_ms, busy_core_ms, utilization, p50, p95, p99, {_fill}, CASE WHEN y.run_ms IS NULL THEN NULL ELSE least(1.0, {_ratio('y.cpu_ns / 1e6', 'y.run_ms')})::double END AS cpu_efficiency FROM util LEFT JOIN d USING (app_id, bucket_ms) LEFT JOIN y USING (app_id, bucket_ms)""")
+_wide = "(SELECT unnest([60000, 300000, 900000])::bigint AS w)"
+_zero = ", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in "submitted completed failed active bytes".split())
+register("occupancy_rollup", lambda t, j, e: intervals.occupancy_rollup(t, e, j, CORES), "v_task v_job v_exec", f"""WITH {UTIL.replace('60000', '10000')}, k AS (SELECT app_id, w, bucket_ms // w * w AS b, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean, max(utilization) AS peak, {_ratio('count(*) FILTER (utilization >= 0.85)', 'count(*)')} AS busy_ratio FROM util, {_wide} GROUP BY app_id, w, bucket_ms // w * w),
+su AS (SELECT app_id, w, start_ms // w * w AS b, count(*) AS submitted FROM v_exec, {_wide} GROUP BY ALL), co AS (SELECT app_id, w, (end_ms - 1) // w * w AS b, count(*) AS completed, count(*) FILTER (f) AS failed FROM v_exec LEFT JOIN (SELECT {E}, bool_or(failed) AS f FROM v_job GROUP BY {E}) USING ({E}), {_wide} WHERE end_ms > start_ms GROUP BY ALL),
+rd AS (SELECT app_id, w, launch_ms // w * w AS b, sum(input_bytes + shuffle_read_bytes) AS bytes FROM v_task, {_wide} GROUP BY ALL), ac AS (SELECT k.app_id, k.w, k.b, count(*) AS active FROM k JOIN (SELECT v.app_id, start_ms, CASE WHEN end_ms > start_ms THEN end_ms ELSE win.z END AS z FROM v_exec v JOIN win USING (app_id)) e ON e.app_id = k.app_id AND e.start_ms < k.b + k.w AND e.z > k.b AND e.z > e.start_ms GROUP BY ALL)
+SELECT app_id, w AS width_ms, b AS bucket_ms, mean, peak, busy_ratio, {_zero} FROM k LEFT JOIN su USING (app_id, w, b) LEFT JOIN co USING (app_id, w, b) LEFT JOIN rd USING (app_id, w, b) LEFT JOIN ac USING (app_id, w, b)""")
 
 # ---- stage graphs and estimates ----
 _path = lambda w, name: f"""WITH RECURSIVE n AS (SELECT {E}, stage_id, {w} AS w, any_value(parent_ids) AS ps FROM v_stage JOIN v_task USING ({K}) GROUP BY {K}), d AS (SELECT {E}, stage_id, w AS dist FROM n UNION ALL SELECT n.app_id, n.execution_id, n.stage_id, d.dist + n.w FROM d JOIN n ON n.app_id = d.app_id AND n.execution_id = d.execution_id AND list_contains(n.ps, d.stage_id))
@@ -168,11 +175,11 @@ register("deep_sample", lambda t, s, j, e: queue.deep_sample(_light(t, s, j, e),
 y AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY duration_ms DESC, execution_id) <= 3 AS slow, {_stratum('spill_bytes > 0', 2)} AS spill, {_stratum('fetch_ratio >= 0.2', 2)} AS "fetch", {_stratum('max_gc >= 0.1', 2)} AS gc, {_stratum('max_skew >= 5', 2)} AS skew, row_number() OVER (PARTITION BY app_id, template ORDER BY duration_ms DESC, execution_id) = 1 AS tf FROM x),
 z AS (SELECT *, tf AND row_number() OVER (PARTITION BY app_id, tf ORDER BY duration_ms DESC, execution_id) <= 2 AS template_first FROM y) SELECT {E}, duration_ms, slow, spill, "fetch", gc, skew, template_first FROM z WHERE slow OR spill OR "fetch" OR gc OR skew OR template_first""")
 register("top_slow_queries", lambda t, s, j, e: queue.top_slow_queries(_light(t, s, j, e), _contention(t, s, j, e)), ALL, f"{CONT} SELECT {E}, place, duration_ms, pool_utilization, own_share, limited, inefficient FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY duration_ms DESC, execution_id) AS place FROM light WHERE {DONE}) LEFT JOIN cont USING ({E}) WHERE place <= 5")
-register("template_stats", lambda t, s, j, e: queue.template_stats(_light(t, s, j, e), e), ALL, f"{WITH_LIGHT}, x AS (SELECT app_id, md5({TEMPLATE}) AS template, count(*) AS queries, sum(duration_ms)::bigint AS duration_ms, sum(task_ms)::bigint AS core_ms, sum(input_bytes)::bigint AS input_bytes, sum(read_bytes)::bigint AS read_bytes FROM light JOIN v_exec USING ({E}) WHERE {DONE} GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY core_ms DESC, duration_ms DESC, template) AS place FROM x) WHERE place <= 20")
+register("template_stats", lambda t, s, j, e: queue.template_stats(_light(t, s, j, e), e, intervals.sql_own_core_ms(t, CORES)), ALL, f"{CONT}, ts AS (SELECT app_id, md5({TEMPLATE}) AS template, count(*) AS queries, sum(duration_ms)::bigint AS duration_ms, sum(coalesce(own, task_ms))::bigint AS core_ms, sum(input_bytes)::bigint AS input_bytes, sum(read_bytes)::bigint AS read_bytes FROM light JOIN v_exec USING ({E}) LEFT JOIN own USING ({E}) WHERE {DONE} GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY core_ms DESC, duration_ms DESC, template) AS place FROM ts) WHERE place <= 20")
 register("dominant_shuffle_stage", lambda t, s: queue.dominant_shuffle_stage(stages.stage_metrics(t, s)), "v_task v_stage", f"WITH m AS ({METRICS}) SELECT {E}, stage_id, greatest(read_sum, write_sum) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY {E} ORDER BY greatest(read_sum, write_sum) DESC, stage_id) AS r FROM m) WHERE r = 1")
 register("queue_summary", lambda t, s, j, e, x: queue.queue_summary(_light(t, s, j, e), intervals.queue_window(e, t), intervals.peak_cores(x, CORES)), f"{ALL} v_executor_event", f"{WITH_LIGHT}, win AS (SELECT app_id, min(start_ms) AS window_start, greatest(max(end_ms), (SELECT max(finish_ms) FROM v_task t WHERE t.app_id = e.app_id)) AS window_end FROM v_exec e GROUP BY app_id), {CORE_TL[5:]} SELECT app_id, count(*) AS queries, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (running) AS running, count(*) FILTER (failed) AS failed, any_value(window_start) AS window_start, any_value(window_end) AS window_end, (SELECT greatest(max(cores), {CORES}) FROM tl WHERE tl.app_id = light.app_id)::bigint AS cores FROM light JOIN win USING (app_id) GROUP BY app_id")
 register("resource_metrics", lambda *v: queue.resource_metrics(_light(*v)), ALL, f"{WITH_LIGHT}, x AS (SELECT *, floor(coalesce(max_gc, 0) * 10000 + 0.5)::bigint AS bp FROM light) SELECT app_id, sum(spill_bytes)::bigint AS spill_bytes, round(avg(bp), 6) AS gc_mean_bp, quantile_disc(bp, 0.95) AS gc_p95_bp, max(bp) AS gc_max_bp, {_ratio('sum(failed_attempts)', 'sum(failed_attempts + extra_attempts + greatest(1, n_stages))')} AS failed_ratio, {_ratio('sum(extra_attempts)', 'sum(failed_attempts + extra_attempts + greatest(1, n_stages))')} AS extra_ratio FROM x GROUP BY app_id")
-register("throughput_leaderboards", lambda t, s, j, e: queue.throughput_leaderboards(_light(t, s, j, e), e), ALL, f"{WITH_LIGHT}, x AS (SELECT l.*, start_ms // 3600000 * 3600000 AS hour_ms FROM light l JOIN v_exec USING ({E})) SELECT app_id, hour_ms, count(*) AS submitted, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (failed) AS failed FROM x GROUP BY GROUPING SETS ((app_id, hour_ms), (app_id))")
+register("throughput_leaderboards", lambda t, s, j, e: queue.throughput_leaderboards(_light(t, s, j, e), e), ALL, f"{WITH_LIGHT}, x AS (SELECT l.*, start_ms // 3600000 * 3600000 AS hour_ms FROM light l JOIN v_exec USING ({E})) SELECT app_id, hour_ms, count(*) AS submitted, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (failed) AS failed, {_ratio(f'count(*) FILTER ({DONE} AND failed IS NOT TRUE)', f'count(*) FILTER ({DONE})')} AS success_rate FROM x GROUP BY GROUPING SETS ((app_id, hour_ms), (app_id))")
 
 # ---- features ----
 register("task_scheduler_delay", features.task_scheduler_delay, "v_task", f"WITH x AS (SELECT *, greatest(finish_ms - launch_ms - run_ms - deser_ms, 0) AS delay FROM v_task) SELECT {K}, {_q('delay', 0.5)} AS delay_p50, sum(delay)::bigint AS delay_sum FROM x GROUP BY {K}")

@@ -29,7 +29,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, e, j, s, x = v("v_task"), v("v_exec"), v("v_job"), v("v_stage"), v("v_executor_event")
     info = st(*at(Task_ID=c("task_id"), Launch_Time=c("launch_ms"), Finish_Time=c("finish_ms"), Executor_ID=c("executor_id")), c("host").alias("Host"), c("locality").alias("Locality"), c("speculative").alias("Speculative")).alias("Task Info")
     read = st(*at(Fetch_Wait_Time=c("fetch_wait_ms"), Remote_Bytes_Read=c("shuffle_read_bytes")), F.lit(0).alias("Local Bytes Read"))
-    metrics = st(*at(Executor_Run_Time=c("run_ms"), Executor_CPU_Time=c("cpu_ns"), JVM_GC_Time=c("gc_ms"), Executor_Deserialize_Time=c("deser_ms"), Result_Size=c("result_size"), Disk_Bytes_Spilled=c("disk_spill_bytes")), read.alias("Shuffle Read Metrics"), st(*at(Shuffle_Bytes_Written=c("shuffle_write_bytes"))).alias("Shuffle Write Metrics"), st(*at(Bytes_Read=c("input_bytes"))).alias("Input Metrics")).alias("Task Metrics")
+    metrics = st(*at(Executor_Run_Time=c("run_ms"), Executor_CPU_Time=c("cpu_ns"), JVM_GC_Time=c("gc_ms"), Executor_Deserialize_Time=c("deser_ms"), Result_Size=c("result_size"), Disk_Bytes_Spilled=c("disk_spill_bytes"), Memory_Bytes_Spilled=c("memory_spill_bytes")), read.alias("Shuffle Read Metrics"), st(*at(Shuffle_Bytes_Written=c("shuffle_write_bytes"), Shuffle_Write_Time=c("shuffle_write_ms") * 1_000_000)).alias("Shuffle Write Metrics"), st(*at(Bytes_Read=c("input_bytes"))).alias("Input Metrics"), st(*at(Bytes_Written=c("output_bytes"))).alias("Output Metrics")).alias("Task Metrics")
     stage = st(*at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0), Number_of_Tasks=c("num_tasks"), Parent_IDs=c("parent_ids"), Submission_Time=c("submission_ms"), Completion_Time=c("completion_ms"))).alias("Stage Info")
     ui, sl = "org.apache.spark.sql.execution.ui.SparkListener", "SparkListener"
     apps = e.groupBy("app_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("z"))
@@ -63,7 +63,7 @@ from_lines("build_apps", lambda x: L.build_apps(x).withColumn("cores", F.col("co
 from_lines("build_executions", L.build_executions, "SELECT app_id AS log, execution_id, start_ms, CASE WHEN end_ms > 0 THEN end_ms END AS end_ms, description, plan, end_ms <= 0 AS incomplete FROM v_exec")
 from_lines("build_jobs", lambda x: L.build_jobs(x).withColumn("stage_ids", F.array_join(F.col("stage_ids").cast("array<string>"), ",")), "SELECT app_id AS log, job_id::int AS job_id, execution_id, array_to_string(stage_ids, ',') AS stage_ids, submission_ms, completion_ms, failed FROM v_job")
 from_lines("build_stages", lambda x: L.build_stages(x).select("log", "stage_id", "num_tasks", F.size("parent_ids").alias("parents"), "submission_ms", "completion_ms"), "SELECT app_id AS log, stage_id::int AS stage_id, num_tasks::int AS num_tasks, len(parent_ids)::int AS parents, submission_ms, completion_ms FROM v_stage")
-from_lines("build_task_attempts", lambda x: L.build_task_attempts(x).drop("attempt"), "SELECT app_id AS log, stage_id::int AS stage_id, task_id, executor_id, host, locality, launch_ms, finish_ms, run_ms, cpu_ns, gc_ms, deser_ms, result_size, disk_spill_bytes, fetch_wait_ms, shuffle_write_bytes, input_bytes, shuffle_read_bytes, speculative, reason, failed FROM v_task")
+from_lines("build_task_attempts", lambda x: L.build_task_attempts(x).drop("attempt"), "SELECT app_id AS log, stage_id::int AS stage_id, task_id, executor_id, host, locality, launch_ms, finish_ms, run_ms, cpu_ns, gc_ms, deser_ms, result_size, disk_spill_bytes, memory_spill_bytes, shuffle_write_ms * 1000000 AS shuffle_write_ns, fetch_wait_ms, shuffle_write_bytes, input_bytes, output_bytes, shuffle_read_bytes, speculative, reason, failed FROM v_task")
 from_lines("executor_events", L.executor_events, "SELECT app_id AS log, executor_id, time_ms, cores::int AS cores, added FROM v_executor_event")
 from_lines("plan_drift", lambda x: plans.plan_drift(x).select("log", "execution_id", "changed"), "SELECT app_id AS log, execution_id, execution_id % 6 = 0 AS changed FROM v_exec")
 from_lines("log_completeness", lambda x: reports.log_completeness(L.build_apps(x), x.select("log", F.concat("log", F.when(F.col("log").endswith("2"), ".inprogress").otherwise("")).alias("name")).distinct()), "SELECT DISTINCT app_id AS log, app_id LIKE '%1' OR app_id LIKE '%2' AS incomplete, app_id LIKE '%2' AS in_progress, false AS compacted FROM v_exec")

@@ -20,7 +20,7 @@ SCHEMAS = {
     "StageSubmitted": f"`Stage Info` struct<{_STAGE.replace('` ', '`:')}>",
     "StageCompleted": f"`Stage Info` struct<{_STAGE.replace('` ', '`:')}>",
     "TaskEnd": "`Stage ID` int, `Stage Attempt ID` int, `Task End Reason` struct<Reason:string>, `Task Info` struct<`Task ID`:long,Index:int,Attempt:int,`Launch Time`:long,`Finish Time`:long,`Executor ID`:string,Host:string,Locality:string,Speculative:boolean,Failed:boolean,Killed:boolean>, "
-    "`Task Metrics` struct<`Executor Run Time`:long,`Executor CPU Time`:long,`JVM GC Time`:long,`Executor Deserialize Time`:long,`Result Size`:long,`Disk Bytes Spilled`:long,`Memory Bytes Spilled`:long,`Shuffle Read Metrics`:struct<`Fetch Wait Time`:long,`Remote Bytes Read`:long,`Local Bytes Read`:long>,`Shuffle Write Metrics`:struct<`Shuffle Bytes Written`:long,`Shuffle Write Time`:long>,`Input Metrics`:struct<`Bytes Read`:long>>",
+    "`Task Metrics` struct<`Executor Run Time`:long,`Executor CPU Time`:long,`JVM GC Time`:long,`Executor Deserialize Time`:long,`Result Size`:long,`Disk Bytes Spilled`:long,`Memory Bytes Spilled`:long,`Shuffle Read Metrics`:struct<`Fetch Wait Time`:long,`Remote Bytes Read`:long,`Local Bytes Read`:long>,`Shuffle Write Metrics`:struct<`Shuffle Bytes Written`:long,`Shuffle Write Time`:long>,`Input Metrics`:struct<`Bytes Read`:long>,`Output Metrics`:struct<`Bytes Written`:long>>",
     "SQLExecutionStart": "executionId long, description string, details string, physicalPlanDescription string, time long",
     "SQLExecutionEnd": "executionId long, time long",
     "SQLAdaptiveExecutionUpdate": "executionId long, physicalPlanDescription string",
@@ -115,7 +115,7 @@ def build_task_attempts(lines: DataFrame) -> DataFrame:
     return x.select(
         "log", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("attempt"), F.col(f"{i}Task ID").alias("task_id"), F.col(f"{i}Executor ID").alias("executor_id"), F.col(f"{i}Host").alias("host"), F.col(f"{i}Locality").alias("locality"),
         F.col(f"{i}Launch Time").alias("launch_ms"), F.col(f"{i}Finish Time").alias("finish_ms"), F.greatest(F.col(f"{m}Executor Run Time"), F.lit(0)).alias("run_ms"),
-        *[_at_least_0(f"{m}{c}").alias(a) for c, a in (("Executor CPU Time", "cpu_ns"), ("JVM GC Time", "gc_ms"), ("Executor Deserialize Time", "deser_ms"), ("Result Size", "result_size"), ("Disk Bytes Spilled", "disk_spill_bytes"), ("Shuffle Read Metrics.Fetch Wait Time", "fetch_wait_ms"), ("Shuffle Write Metrics.Shuffle Bytes Written", "shuffle_write_bytes"), ("Input Metrics.Bytes Read", "input_bytes"))],
+        *[_at_least_0(f"{m}{c}").alias(a) for c, a in (("Executor CPU Time", "cpu_ns"), ("JVM GC Time", "gc_ms"), ("Executor Deserialize Time", "deser_ms"), ("Result Size", "result_size"), ("Disk Bytes Spilled", "disk_spill_bytes"), ("Memory Bytes Spilled", "memory_spill_bytes"), ("Shuffle Write Metrics.Shuffle Write Time", "shuffle_write_ns"), ("Shuffle Read Metrics.Fetch Wait Time", "fetch_wait_ms"), ("Shuffle Write Metrics.Shuffle Bytes Written", "shuffle_write_bytes"), ("Input Metrics.Bytes Read", "input_bytes"), ("Output Metrics.Bytes Written", "output_bytes"))],
         (_at_least_0(f"{m}Shuffle Read Metrics.Remote Bytes Read") + _at_least_0(f"{m}Shuffle Read Metrics.Local Bytes Read")).alias("shuffle_read_bytes"),
         F.col(f"{i}Speculative").alias("speculative"), F.col("Task End Reason.Reason").alias("reason"), (~F.col("Task End Reason.Reason").contains("Success")).alias("failed"),
     )
