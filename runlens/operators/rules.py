@@ -54,12 +54,12 @@ class Rule:
 STAGE_RULES = (
     Rule("S-01", "n >= {skew.min_tasks} and run_max >= {skew.abs_ms} and run_max >= {skew.ratio} * greatest(run_p50, 1000)", "run_max >= 10 * greatest(run_p50, 1000)"),
     Rule("S-02", "read_max >= {skew.bytes_abs} and read_max >= {skew.bytes_ratio} * greatest(read_p50, 1048576)"),
-    Rule("S-03", "n >= {partitions.many_tasks} and run_p50 <= {partitions.tiny_ms} and delay_sum + deser_sum >= {partitions.overhead_ratio} * run_sum"),
+    Rule("S-03", "n >= {partitions.many_tasks} and run_p50 <= {partitions.tiny_ms} and run_sum > 0 and delay_sum + deser_sum >= {partitions.overhead_ratio} * run_sum"),
     Rule("S-04", "read_p50 >= {partitions.huge_bytes} or (run_p50 >= 600000 and n < cores)"),
     Rule("S-07", "spill_sum >= {spill.abs_bytes} or spill_sum >= {spill.ratio} * greatest(write_sum + input_sum, 1)", "spill_sum >= 2 * {spill.abs_bytes}"),
     Rule("S-08", "run_sum >= {gc.min_runtime_ms} and gc_sum >= {gc.warn} * run_sum", "gc_sum >= {gc.crit} * run_sum"),
     Rule("S-10", "cpu_ratio is not null", severity=INFO),
-    Rule("S-11", "fetch_sum >= {fetch_wait.ratio} * run_sum and read_sum >= {fetch_wait.min_shuffle_bytes}"),
+    Rule("S-11", "run_sum > 0 and fetch_sum >= {fetch_wait.ratio} * run_sum and read_sum >= {fetch_wait.min_shuffle_bytes}"),
     Rule("S-12", "deser_p95 >= {serialization.deser_p95_ms} or result_sum >= {serialization.result_sum_bytes} or result_max >= {serialization.result_task_bytes}"),
     Rule("S-13", "delay_p50 >= {scheduler_delay.p50_ms}"),
     Rule("S-09", "heap_peak_ratio >= {memory.peak_risk_ratio} or heap_peak_ratio <= {memory.peak_waste_ratio}", needs=("STAGE_EXECUTOR_METRICS",)),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text
 from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
+from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck, view
 from runlens.streaming import buckets
 
@@ -214,8 +215,8 @@ x AS (SELECT *, sum(p50 * n) OVER w / sum(n) OVER w AS base, count(*) OVER w AS
 
 # ---- rules ----
 CTX = f"""WITH m AS ({METRICS}), st AS ({STATS}), dl AS (SELECT {K}, {_q('greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)', 0.5)} AS delay_p50, sum(greatest(finish_ms - launch_ms - run_ms - deser_ms, 0)) AS delay_sum, sum(result_size) AS result_sum, max(result_size) AS result_max, sum(shuffle_write_ms) AS write_ms, {_ratio('max(shuffle_write_bytes)', 'sum(shuffle_write_bytes)')} AS write_max_share, {_ratio(_n('ANY') + ' + ' + _n('RACK_LOCAL'), 'count(*)')} AS bad_ratio FROM v_task GROUP BY {K}),
-ctx AS (SELECT st.*, m.fetch_sum, m.cpu_ratio, m.wall_ms, m.delay_ms, m.failed_attempts, m.extra_attempts, dl.* EXCLUDE (app_id, execution_id, stage_id), {CORES} AS cores, NULL::double AS heap_peak_ratio, NULL::boolean AS codegen_gap, NULL::double AS path_share FROM st JOIN m USING ({K}) JOIN dl USING ({K}))"""
-FIND = CTX + ", f AS (" + " UNION ALL ".join(f"SELECT {K}, wall_ms, '{r.id}' AS rule_id, CASE WHEN {rules.filled(r.critical, rules.FIXTURE)} THEN 2 ELSE {r.severity} END AS severity FROM ctx WHERE {rules.filled(r.when, rules.FIXTURE)}" for r in rules.STAGE_RULES) + f"), found AS (SELECT {K}, rule_id, severity, round((CASE severity WHEN 2 THEN 100 WHEN 1 THEN 10 ELSE 1 END) * log10(1 + greatest(wall_ms, 0) / 1000.0), 6) AS score FROM f)"
+ctx AS (SELECT st.*, m.fetch_sum, m.cpu_ratio, m.wall_ms, m.delay_ms, m.failed_attempts, m.extra_attempts, dl.* EXCLUDE (app_id, execution_id, stage_id), {CORES} AS cores FROM st JOIN m USING ({K}) JOIN dl USING ({K}))"""
+FIND = f"{CTX}, found AS ({rule_sql.found(rule_sql.STAGE, 'ctx', K)})"
 
 
 def findings(t: DataFrame, s: DataFrame) -> DataFrame:

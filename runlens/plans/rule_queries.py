@@ -8,35 +8,24 @@ from pyspark.sql import functions as F
 from runlens.functions import text
 from runlens.operators import dag, intervals, rule_sets, rules, stages, waits
 from runlens.operators.intervals import SQL as EXEC
+from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck
 from runlens.plans.queries import ALL, CONT, CORES, CTX, E, FIND, K, QUERIES, SQL, _contention, _light, _util, findings, register
+from runlens.plans.rule_sql import found
 from runlens.plans.wait_queries import STMT
 
 T = rules.FIXTURE
 
 
-def found(rule_set: tuple[rules.Rule, ...], ctx: str, keys: str, thresholds: dict[str, float] = T) -> str:
-    """SQL of the findings of rules over the relation ctx, which must have all their columns."""
-    each = [f"SELECT {keys}, wall_ms, '{r.id}' AS rule_id, CASE WHEN {rules.filled(r.critical, thresholds)} THEN 2 ELSE {r.severity} END AS severity FROM {ctx} WHERE {rules.filled(r.when, thresholds)}" for r in rule_set]
-    return f"SELECT {keys}, rule_id, severity, round((CASE severity WHEN 2 THEN 100 WHEN 1 THEN 10 ELSE 1 END) * log10(1 + greatest(wall_ms, 0) / 1000.0), 6) AS score FROM ({' UNION ALL '.join(each)})"
-
-
-def blank(rule_set: tuple[rules.Rule, ...], known: str) -> str:
-    """Null columns for what the fixture does not measure."""
-    lacking = sorted(set().union(*map(rules.inputs, rule_set)) - set(known.split()))
-    return ", ".join(f"NULL::{'boolean' if c in rules._FLAGS else 'double'} AS {c}" for c in lacking)
-
-
 # ---- executions ----
 def sql_findings(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
     wait = waits.sql_queue_wait(e, t, _contention(t, s, j, e))
     return rules.evaluate_rules(rule_sets.sql_contexts(t, e, j, wait, dag.critical_path_ms(s, t)), rule_sets.SQL_RULES, T, EXEC)
 
 
-_known = "wall_ms gap_ratio jobs job_p50 wait_ratio critical_ms failed_tasks speculative speculative_killed sort_merge_join shuffled_hash_join cartesian nested_loop empty_partition_filters adaptive"
-SCTX = f"""WITH sctx AS (SELECT g.app_id, g.execution_id, wall_ms, gap_ratio, jobs, job_p50, wait_ratio, 1 AS critical_ms, failed_tasks, speculative, 0 AS speculative_killed, sort_merge_join, shuffled_hash_join, cartesian, nested_loop, empty_partition_filters, adaptive, {blank(rule_sets.SQL_RULES, _known)}
+SCTX = f"""WITH sctx AS (SELECT g.app_id, g.execution_id, wall_ms, gap_ratio, jobs, job_p50, wait_ratio, 1 AS critical_ms, failed_tasks, speculative, 0 AS speculative_killed, sort_merge_join, shuffled_hash_join, cartesian, nested_loop, empty_partition_filters, adaptive
 FROM ({SQL['driver_gap']}) g JOIN ({SQL['job_fragmentation']}) USING ({E}) JOIN ({SQL['plan_features']}) USING ({E}) LEFT JOIN ({SQL['sql_queue_wait']}) USING ({E}) JOIN (SELECT {E}, count(*) FILTER (failed) AS failed_tasks, count(*) FILTER (speculative) AS speculative FROM v_task GROUP BY {E}) USING ({E}))"""
-register("evaluate_sql_rules", sql_findings, ALL, f"{SCTX} {found(rule_sets.SQL_RULES, 'sctx', E)}")
+register("evaluate_sql_rules", sql_findings, ALL, f"{SCTX} {found(rule_sql.EXECUTION, 'sctx', E)}")
 
 
 # ---- applications ----
@@ -45,8 +34,7 @@ def _queue_ctx(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFr
 
 
 QVIEWS = f"{ALL} v_executor_event v_conf"
-_known = "wall_ms gc_ratio big_results delay_p50 gap_p50 idle_minutes overload_minutes hot_buckets executors_removed config_issues storm_failed storm_ratio stage_retries interrupted tail_submissions host_score host_tasks host_stages io_worst_ratio io_worst_tasks io_spill_share fetch_failures fetch_row_share memory_pressure partial_stages negative_durations"
-QCTX = f"""WITH qctx AS (SELECT d.*, idle_minutes, overload_minutes, hot_buckets, executors_removed, config_issues, storm_failed, storm_ratio, stage_retries, interrupted, tail_submissions, host_score, host_tasks, host_stages, io_worst_ratio, io_worst_tasks, io_spill_share, fetch_failures, fetch_row_share, memory_pressure, partial_stages, negative_durations, window_end - window_start AS wall_ms, {blank(rule_sets.QUEUE_RULES + rule_sets.DQ_RULES, _known)}
+QCTX = f"""WITH qctx AS (SELECT d.*, idle_minutes, overload_minutes, hot_buckets, executors_removed, config_issues, storm_failed, storm_ratio, stage_retries, interrupted, tail_submissions, host_score, host_tasks, host_stages, io_worst_ratio, io_worst_tasks, io_spill_share, fetch_failures, fetch_row_share, memory_pressure, partial_stages, negative_durations, window_end - window_start AS wall_ms
 FROM (SELECT * EXCLUDE (bad) FROM ({SQL['driver_health']})) d LEFT JOIN ({SQL['longest_run_of_buckets']}) USING (app_id)
 LEFT JOIN (SELECT app_id, count(*) FILTER (utilization >= 0.95) AS hot_buckets FROM ({SQL['bucket_utilization']}) GROUP BY app_id) USING (app_id)
 LEFT JOIN (SELECT app_id, count(*) FILTER (NOT added) AS executors_removed FROM v_executor_event GROUP BY app_id) USING (app_id)
@@ -60,12 +48,12 @@ LEFT JOIN (SELECT app_id, count(DISTINCT rule_id || execution_id) AS memory_pres
 LEFT JOIN (SELECT app_id, count(*) AS partial_stages FROM ({SQL['partial_stages']}) GROUP BY app_id) USING (app_id)
 LEFT JOIN (SELECT app_id, count(*) FILTER (finish_ms < launch_ms) AS negative_durations FROM v_task GROUP BY app_id) USING (app_id) LEFT JOIN ({SQL['queue_window']}) USING (app_id))"""
 BOTH = rule_sets.QUEUE_RULES + rule_sets.DQ_RULES
-register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(BOTH, 'qctx', 'app_id')}")
+register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}")
 _case = lambda k: "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{a[k]}'" for r, a in rule_sets.ADVICE.items()) + " END"
-register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(BOTH, 'qctx', 'app_id')})")
+register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})")
 
 # ---- older rules ----
-register("legacy_rules", lambda t, s: rules.evaluate_rules(rules.stage_contexts(t, s, CORES), rule_sets.LEGACY_RULES, {}, stages.STAGE), "v_task v_stage", f"{CTX} {found(rule_sets.LEGACY_RULES, 'ctx', K, {})}")
+register("legacy_rules", lambda t, s: rules.evaluate_rules(rules.stage_contexts(t, s, CORES), rule_sets.LEGACY_RULES, {}, stages.STAGE), "v_task v_stage", f"{CTX} {found(rule_sql.OLD_STAGE, 'ctx', K)}")
 
 
 def _legacy_sql(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame) -> DataFrame:
@@ -74,16 +62,10 @@ def _legacy_sql(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataF
     return rules.evaluate_rules(ctx, rule_sets.LEGACY_SQL_RULES, {}, EXEC)
 
 
-register("legacy_sql_rules", _legacy_sql, f"{ALL} v_executor_event", f"WITH lctx AS (SELECT {E}, duration_ms AS wall_ms, spill_bytes, plan, sort_merge_join, broadcast_join, nested_loop, utilization FROM ({SQL['sql_light_metrics']}) JOIN ({SQL['plan_features']}) USING ({E}) JOIN (SELECT {E}, plan FROM v_exec) USING ({E}) LEFT JOIN (SELECT {E}, utilization FROM ({SQL['core_utilization']})) USING ({E})) {found(rule_sets.LEGACY_SQL_RULES, 'lctx', E, {})}")
+register("legacy_sql_rules", _legacy_sql, f"{ALL} v_executor_event", f"WITH lctx AS (SELECT {E}, duration_ms AS wall_ms, spill_bytes, plan, sort_merge_join, broadcast_join, nested_loop, utilization FROM ({SQL['sql_light_metrics']}) JOIN ({SQL['plan_features']}) USING ({E}) JOIN (SELECT {E}, plan FROM v_exec) USING ({E}) LEFT JOIN (SELECT {E}, utilization FROM ({SQL['core_utilization']})) USING ({E})) {found(rule_sql.OLD_EXECUTION, 'lctx', E)}")
 
 # ---- signals, roll-ups, gates ----
-_t = {k: repr(v) for k, v in T.items()}
-_sig = {
-    "S-01": f"n >= {_t['skew.min_tasks']} AND run_max >= {_t['skew.abs_ms']} AND run_p50 > 0 AND run_max >= {_t['skew.ratio']} * run_p50", "S-02": f"read_max >= {_t['skew.bytes_abs']} AND read_p50 > 0 AND read_max >= {_t['skew.bytes_ratio']} * read_p50",
-    "S-04": f"read_p50 >= {_t['partitions.huge_bytes']}", "S-07": f"spill_sum >= {_t['spill.abs_bytes']} OR spill_sum >= {_t['spill.ratio']} * greatest(write_sum + input_sum, 1)", "S-08": f"run_sum >= {_t['gc.min_runtime_ms']} AND gc_sum >= {_t['gc.warn']} * run_sum",
-    "S-11": f"read_sum >= {_t['fetch_wait.min_shuffle_bytes']} AND run_sum > 0 AND fetch_sum >= {_t['fetch_wait.ratio']} * run_sum", "S-21": "failed_attempts > 0 OR extra_attempts > 0",
-}
-LIGHT_SIG = f"{CTX} " + " UNION ".join(f"SELECT DISTINCT {E}, '{r}' AS rule_id FROM ctx WHERE {w}" for r, w in _sig.items())
+LIGHT_SIG = f"{CTX} " + " UNION ".join(f"SELECT DISTINCT {E}, '{r}' AS rule_id FROM ctx WHERE {w}" for r, w in rule_sql.LIGHT)
 
 
 def _signals(t: DataFrame, s: DataFrame) -> DataFrame:
@@ -100,7 +82,7 @@ def _capable(e: DataFrame) -> DataFrame:
     return e.select("app_id", has.alias("capabilities"))
 
 
-register("capability_gate", lambda e: rules.capability_gate(_capable(e), rule_sets.ALL_RULES), "v_exec", "SELECT DISTINCT app_id, rule_id, missing FROM v_exec CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'rule_id': '{r.id}', 'missing': '{r.needs[0]}'}}" for r in rule_sets.ALL_RULES if r.needs and r.needs[0] not in ("QUEUE_TIMELINE", "PLAN_TEXT")) + "], recursive := true))")
+register("capability_gate", lambda e: rules.capability_gate(_capable(e), rule_sets.ALL_RULES), "v_exec", "SELECT DISTINCT app_id, rule_id, missing FROM v_exec CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'rule_id': '{r}', 'missing': '{m}'}}" for m, ids in rule_sql.LACKING.items() for r in ids) + "], recursive := true))")
 register("partial_degrade", lambda t, s: rules.partial_degrade(findings(t, s), t.where("failed and speculative").select("app_id")), "v_task v_stage", f"{FIND} SELECT {K}, rule_id, score, CASE WHEN p AND severity = 2 THEN 1 ELSE severity END AS severity, CASE WHEN p THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM (SELECT *, app_id IN (SELECT app_id FROM v_task WHERE failed AND speculative) AS p FROM found)")
 
 
