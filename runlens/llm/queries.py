@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import bpe, exact_dedup, html_text, language, packing, pitman_yor, quality_rules, range_coder, simhash, token_counts
+from runlens.llm import bpe, exact_dedup, filter_audit, html_text, language, packing, pitman_yor, quality_rules, range_coder, simhash, token_counts
 from runlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -99,6 +103,55 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), e AS (
+  SELECT t, min(doc_id) AS least FROM d GROUP BY t
+), y AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 200)::INT AS a,
+         (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
+         (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT AS c,
+         regexp_matches(t, '[#$%&*|]')::INT AS x,
+         coalesce(d.doc_id > least, least IS NOT NULL)::INT AS e
+  FROM d JOIN e USING (t) LEFT JOIN y ON y.doc_id = d.doc_id
+), n AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': x, 'E': e} AS f, a + b + c + x + e AS fails,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM m GROUP BY ALL
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v
+), o AS (
+  SELECT p.v || q.v || r.v || s.v || z.v AS filter_order
+  FROM l p JOIN l q ON q.v <> p.v JOIN l r ON r.v NOT IN (p.v, q.v) JOIN l s ON s.v NOT IN (p.v, q.v, r.v)
+  JOIN l z ON z.v NOT IN (p.v, q.v, r.v, s.v)
+), k AS (
+  SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o
+), h AS (
+  SELECT part, filter_order, step, n, good, toxic, fails, substr(filter_order, step, 1) AS v, f[substr(filter_order, step, 1)] AS own,
+         list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''), lambda z: coalesce(f[z], 0))) AS before
+  FROM k, n
+), r AS (
+  SELECT part, filter_order, step, v,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND own = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND own = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN before > 0 AND own = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN own = 1 AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND own = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND own = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM h GROUP BY part, filter_order, step, v
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, v)::BIGINT AS shapley
+FROM r
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_lm_scores": op2_lm_scores,
@@ -110,9 +163,11 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
