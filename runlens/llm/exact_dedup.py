@@ -67,10 +67,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of each group of equal texts that stays, with all its columns; repeated rows leave one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), F.col("n_chars").alias("kept_n"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"_sha": F.sha2(F.translate(text, WHITE, ""), 256), "_n": F.length(text).cast("long")})
-    same = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]) & (rows["_n"] == kept["_n"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(F.translate(text, WHITE, ""), 256).alias("sha"), F.length(text).cast("long").alias("n"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")) & (F.col("n") == F.col("kept_n"))
     left = rows.join(kept, same, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(F.col(id_col), "_sha", "_n").orderBy("_n"))
-    return left.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_sha", "_n")
+    nth = F.row_number().over(Window.partitionBy("id", "sha", "n").orderBy("n"))
+    return left.withColumn("nth", nth).where("nth = 1").select("row.*")

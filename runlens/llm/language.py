@@ -90,14 +90,16 @@ class Model:
         if not hit.all():
             rest = key[~hit]
             c, known = self._find(self.contexts[n], rest >> np.uint64(16))
-            gamma = np.where(known[:, None], self.gammas[n][c], 1.0)
+            gamma = np.ones((len(rest), len(self.langs)))
+            gamma[known] = self.gammas[n][c[known]]
             out[~hit] = gamma * self.prob(rest, n - 1)
         return out
 
     def bits(self, key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text in each language, and the sum of squares of its bits a character in its best one."""
         at, hit = self._find(self.keys[ORDER], key)
-        each = self.logs[at]
+        each = np.empty((len(key), len(self.langs)), np.float32)
+        each[hit] = self.logs[at[hit]]
         if not hit.all():
             own, back = np.unique(key[~hit], return_inverse=True)
             each[~hit] = -np.log2(self.prob(own))[back]
@@ -213,18 +215,66 @@ def _scored(m: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _measured(docs: DataFrame, model: Model, schema: str, give) -> DataFrame:
-    """Runs give(model, batch, bits, counts, has letters, squares) over (id, text, ...) batches with the model broadcast."""
+    """Runs give(model, batch, bits, counts, has letters) over (id, text, ...) batches with the model broadcast."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for places, bits, counts, letters, squares in _scored(sent.value, b.column(1)):
-                yield give(sent.value, b.slice(int(places[0]), len(places)), bits, counts, letters, squares)
+            for places, bits, counts, letters, _ in _scored(sent.value, b.column(1)):
+                yield give(sent.value, b.slice(int(places[0]), len(places)), bits, counts, letters)
 
     return docs.mapInArrow(run, schema)
 
 
+@dataclass
+class Counts:
+    """ORDER-gram counts of the sample by fold and language."""
+
+    langs: list[str]
+    of: np.ndarray  # fold and language of each entry: fold * len(langs) + place of the language
+    key: np.ndarray
+    n: np.ndarray
+
+    def rows(self, without: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of each language, in all folds or all but one."""
+        out = []
+        for j in range(len(self.langs)):
+            use = self.of % len(self.langs) == j
+            if without is not None:
+                use &= self.of // len(self.langs) != without
+            u, back = np.unique(self.key[use], return_inverse=True)
+            out.append((u, np.bincount(back, self.n[use], len(u))))
+        return out
+
+
+def _out_of_sample(tested: DataFrame, counts: Counts) -> list:
+    """(lang, bits, n, squares) of (fold, text, lang), each scored by the models that lack its fold, in one job of a task a fold.
+    Rows of a language that has text in one fold alone are left out: nothing is known of them out of sample."""
+    sent = tested.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model, learned = None, None, set()
+        for b in batches:
+            folds = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(folds)) + 1).tolist(), len(folds)]
+            for x, y in zip(edges, edges[1:]):
+                if x == y:
+                    continue
+                if at != folds[x]:
+                    at = folds[x]
+                    rows = sent.value.rows(int(at))
+                    model, learned = kneser_ney(sent.value.langs, rows), {c for c, (k, _) in zip(sent.value.langs, rows) if len(k)}
+                part = b.slice(x, y - x)
+                for places, bits, n, _, squares in _scored(model, part.column(1)):
+                    langs = part.column(2).slice(int(places[0]), len(places))
+                    use = np.array([c in learned for c in langs.to_pylist()], bool) & (n > 0)
+                    yield pa.RecordBatch.from_arrays([langs, pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(squares)], names=["lang", "bits", "n", "squares"]).filter(pa.array(use))
+
+    rows = tested.repartition(FOLDS, "fold").sortWithinPartitions("fold").select("fold", "text", "lang")
+    return rows.mapInArrow(run, "lang string, bits array<double>, n long, squares double").collect()
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, calibration_docs: int) -> Model:
     """Models of all languages, fitted on a bounded sample of each language's labelled rows that are not held out.
 
@@ -235,8 +285,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    langs = sorted(have)
-    if not langs:
+    if not have:
         return Model([], [], [], [], [])
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / n), min(1.0, calibration_docs / n)) for x, n in have.items()], "lang string, share double, tested double")
     chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
@@ -245,26 +294,16 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs
     sample = stored(sample, "lang-sample")
     name = F.concat_ws("/", F.col("fold").cast("string"), F.col("lang"))  # folds are counted apart, in one pass
     table = count_grams(sample.select(name.alias("lang"), "text")).toArrow()
-    of, key, n = table["lang"].combine_chunks().dictionary_encode(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    names, of = of.dictionary.to_pylist(), of.indices.to_numpy()
+    of = table["lang"].combine_chunks().dictionary_encode()
+    names = [x.split("/", 1) for x in of.dictionary.to_pylist()]
+    langs = sorted({x for _, x in names})  # a language whose texts are all null or empty is not learned
+    if not langs:
+        return Model([], [], [], [], [])
+    place = np.array([int(f) * len(langs) + langs.index(x) for f, x in names])
+    counts = Counts(langs, place[of.indices.to_numpy()], table["key"].to_numpy().view(np.uint64), table["n"].to_numpy())
     del table
-
-    def rows(without: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for x in langs:
-            use = np.isin(of, [k for k, f in enumerate(names) if f.split("/", 1)[1] == x and f.split("/", 1)[0] != str(without)])
-            u, back = np.unique(key[use], return_inverse=True)
-            out.append((u, np.bincount(back, n[use], len(u))))
-        return out
-
-    def give(m, b, bits, counts, letters, squares):
-        return pa.RecordBatch.from_arrays([b.column(2), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(counts), pa.array(squares)], names=["lang", "bits", "n", "squares"])
-
-    got = []
-    for k in range(FOLDS):
-        tested = sample.where((F.col("fold") == k) & F.col("tested")).select(F.lit(0).alias("id"), "text", "lang")
-        got += _measured(tested, kneser_ney(langs, rows(k)), "lang string, bits array<double>, n long, squares double", give).where("n > 0").collect()
-    return calibrate(kneser_ney(langs, rows(None)), got)
+    got = _out_of_sample(sample.where("tested"), counts)
+    return calibrate(kneser_ney(langs, counts.rows()), got)
 
 
 def calibrate(model: Model, got: Sequence) -> Model:
@@ -298,7 +337,8 @@ def calibrate(model: Model, got: Sequence) -> Model:
         of = np.bincount(true[won], minlength=len(langs))
         some = of > 0
         model.limits[some, 1] = np.maximum(model.limits[some, 1], pooled) * np.sqrt(1 + 1 / of[some])
-        model.limits[some, 2] = np.maximum(model.limits[some, 2], np.median(model.limits[some, 2]))
+        if some.any():
+            model.limits[some, 2] = np.maximum(model.limits[some, 2], np.median(model.limits[some, 2]))
     return model
 
 
@@ -329,8 +369,9 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spreads above what calibration texts of that language have that its model has not learned: mean + tolerance * (spread between texts +
     spread within a text / sqrt(characters)).
 
-    Null text, empty text and text without a letter: lang_pred `und`, score 0, not accepted. Without any labelled row
-    every text is `und`. Null labels are not learned. Repeated rows count as often as they occur. An empty table gives
+    Null text, empty text and text without a letter: lang_pred `und`, score 0, not accepted. Null labels are not learned, nor
+    is a language whose labelled texts are all null or empty; when none is left, every text is `und`. A language that has
+    text in one calibration fold alone (one row, copies of one row) accepts whatever is not worse than chance. Repeated rows count as often as they occur. An empty table gives
     no rows. Other columns are ignored. A very long text is scored as a whole in memory that follows its own length.
     Texts are read for the sample and for scoring; only the sample's gram counts are shuffled.
     """
@@ -342,7 +383,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not model.langs:
         return rows.select("doc_id", held, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
 
-    def give(m, b, bits, counts, letters, squares):
+    def give(m, b, bits, counts, letters):
         best, ce, known, ok = decided(m, bits, counts, letters, tolerance)
         score = np.where(known, posterior(bits, m.kappa).max(axis=1), 0.0) if len(best) else np.zeros(0)
         names = np.where(known, np.array(m.langs, object)[best], UNKNOWN) if len(best) else np.zeros(0, object)
