@@ -13,7 +13,7 @@ from runlens.plans.fixtures import duck, view
 from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _contention, _light, _util, findings, register
 from runlens.plans.rule_queries import BOTH, QVIEWS, T, _queue_ctx
 from runlens.sources import event_logs as L
-from runlens.sources import plans, reports
+from runlens.sources import ingest, plans, reports
 from runlens.streaming import executions
 
 
@@ -27,7 +27,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(c("app_id").alias("log"), F.lit(1).alias("part"), F.to_json(st(F.lit(kind).alias("Event"), *fields)).alias("value"))
 
     t, e, j, s, x = v("v_task"), v("v_exec"), v("v_job"), v("v_stage"), v("v_executor_event")
-    info = st(*at(Task_ID=c("task_id"), Launch_Time=c("launch_ms"), Finish_Time=c("finish_ms"), Executor_ID=c("executor_id")), c("host").alias("Host"), c("locality").alias("Locality"), c("speculative").alias("Speculative")).alias("Task Info")
+    info = st(*at(Task_ID=c("task_id"), Launch_Time=c("launch_ms"), Finish_Time=c("finish_ms"), Executor_ID=c("executor_id")), c("host").alias("Host"), c("locality").alias("Locality"), c("speculative").alias("Speculative"), c("part_idx").alias("Index")).alias("Task Info")
     read = st(*at(Fetch_Wait_Time=c("fetch_wait_ms"), Remote_Bytes_Read=c("shuffle_read_bytes")), F.lit(0).alias("Local Bytes Read"))
     metrics = st(*at(Executor_Run_Time=c("run_ms"), Executor_CPU_Time=c("cpu_ns"), JVM_GC_Time=c("gc_ms"), Executor_Deserialize_Time=c("deser_ms"), Result_Size=c("result_size"), Disk_Bytes_Spilled=c("disk_spill_bytes"), Memory_Bytes_Spilled=c("memory_spill_bytes")), read.alias("Shuffle Read Metrics"), st(*at(Shuffle_Bytes_Written=c("shuffle_write_bytes"), Shuffle_Write_Time=c("shuffle_write_ms") * 1_000_000)).alias("Shuffle Write Metrics"), st(*at(Bytes_Read=c("input_bytes"))).alias("Input Metrics"), st(*at(Bytes_Written=c("output_bytes"))).alias("Output Metrics")).alias("Task Metrics")
     stage = st(*at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0), Number_of_Tasks=c("num_tasks"), Parent_IDs=c("parent_ids"), Submission_Time=c("submission_ms"), Completion_Time=c("completion_ms"))).alias("Stage Info")
@@ -42,7 +42,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(e.where("execution_id % 3 = 0"), f"{ui}SQLAdaptiveExecutionUpdate", c("execution_id").alias("executionId"), F.concat("plan", F.when(c("execution_id") % 2 == 0, " final").otherwise("")).alias("physicalPlanDescription")),
         lines(j, f"{sl}JobStart", *at(Job_ID=c("job_id"), Submission_Time=c("submission_ms"), Stage_IDs=c("stage_ids")), F.create_map(F.lit("spark.sql.execution.id"), c("execution_id").cast("string")).alias("Properties")),
         lines(j, f"{sl}JobEnd", *at(Job_ID=c("job_id"), Completion_Time=c("completion_ms")), st(F.when(c("failed"), "JobFailed").otherwise("JobSucceeded").alias("Result")).alias("Job Result")),
-        lines(s, f"{sl}StageCompleted", stage), lines(t, f"{sl}TaskEnd", *at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0)), st(c("reason").alias("Reason")).alias("Task End Reason"), info, metrics),
+        lines(s, f"{sl}StageCompleted", stage), lines(t, f"{sl}TaskEnd", *at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0)), st(c("reason").alias("Reason"), F.when(c("src_host").isNotNull(), st(c("src_host").alias("Host"))).alias("Block Manager Address")).alias("Task End Reason"), info, metrics),
         lines(x.where("added"), f"{sl}ExecutorAdded", c("time_ms").alias("Timestamp"), c("executor_id").alias("Executor ID"), st(F.lit("h").alias("Host"), c("cores").alias("Total Cores")).alias("Executor Info")),
         lines(x.where("not added"), f"{sl}ExecutorRemoved", c("time_ms").alias("Timestamp"), c("executor_id").alias("Executor ID"), F.lit("lost").alias("Removed Reason")),
     ]
@@ -59,11 +59,13 @@ def from_lines(name: str, make: Callable[[DataFrame], DataFrame], sql: str | Non
 
 
 from_lines("parse_events", lambda x: L.parse_events(x, "TaskEnd").groupBy("log").agg(F.count("*").alias("events")), "SELECT app_id AS log, count(*) AS events FROM v_task GROUP BY app_id")
-from_lines("build_apps", lambda x: L.build_apps(x).withColumn("cores", F.col("conf")["spark.executor.cores"]).drop("conf"), "SELECT app_id AS log, app_id, app_id AS app_name, min(start_ms) AS start_ms, CASE WHEN app_id NOT LIKE '%1' THEN max(end_ms) END AS end_ms, app_id LIKE '%1' AS incomplete, (SELECT any_value(value) FROM v_conf c WHERE c.app_id = v_exec.app_id AND key = 'spark.executor.cores') AS cores FROM v_exec GROUP BY app_id")
-from_lines("build_executions", L.build_executions, "SELECT app_id AS log, execution_id, start_ms, CASE WHEN end_ms > 0 THEN end_ms END AS end_ms, description, plan, end_ms <= 0 AS incomplete FROM v_exec")
+from_lines("build_apps", lambda x: L.build_apps(x).withColumn("cores", F.col("conf")["spark.executor.cores"]).drop("conf", "attempt"), "SELECT app_id AS log, app_id, app_id AS app_name, min(start_ms) AS start_ms, CASE WHEN app_id NOT LIKE '%1' THEN max(end_ms) END AS end_ms, app_id LIKE '%1' AS incomplete, (SELECT any_value(value) FROM v_conf c WHERE c.app_id = v_exec.app_id AND key = 'spark.executor.cores') AS cores FROM v_exec GROUP BY app_id")
+from_lines("build_executions", lambda x: L.build_executions(x).withColumn("job_ids", F.array_join(F.col("job_ids").cast("array<string>"), ",")), "SELECT app_id AS log, execution_id, start_ms, CASE WHEN end_ms > 0 THEN end_ms END AS end_ms, description, plan, end_ms <= 0 AS incomplete, (SELECT string_agg(job_id, ',' ORDER BY job_id) FROM v_job j WHERE j.app_id = e.app_id AND j.execution_id = e.execution_id) AS job_ids FROM v_exec e")
 from_lines("build_jobs", lambda x: L.build_jobs(x).withColumn("stage_ids", F.array_join(F.col("stage_ids").cast("array<string>"), ",")), "SELECT app_id AS log, job_id::int AS job_id, execution_id, array_to_string(stage_ids, ',') AS stage_ids, submission_ms, completion_ms, failed FROM v_job")
-from_lines("build_stages", lambda x: L.build_stages(x).select("log", "stage_id", "num_tasks", F.size("parent_ids").alias("parents"), "submission_ms", "completion_ms"), "SELECT app_id AS log, stage_id::int AS stage_id, num_tasks::int AS num_tasks, len(parent_ids)::int AS parents, submission_ms, completion_ms FROM v_stage")
-from_lines("build_task_attempts", lambda x: L.build_task_attempts(x).drop("attempt"), "SELECT app_id AS log, stage_id::int AS stage_id, task_id, executor_id, host, locality, launch_ms, finish_ms, run_ms, cpu_ns, gc_ms, deser_ms, result_size, disk_spill_bytes, memory_spill_bytes, shuffle_write_ms * 1000000 AS shuffle_write_ns, fetch_wait_ms, shuffle_write_bytes, input_bytes, output_bytes, shuffle_read_bytes, speculative, reason, failed FROM v_task")
+from_lines("build_stages", lambda x: L.build_stages(x).withColumn("parents", F.size("parent_ids")).drop("parent_ids", "last_attempt", "attempts"), """SELECT app_id AS log, stage_id, num_tasks::int AS num_tasks, len(parent_ids)::int AS parents, submission_ms, completion_ms, first_launch_ms, failed_attempts, extra_attempts,
+  run_ms, fetch_wait_ms, shuffle_read_bytes, shuffle_write_bytes, input_bytes, output_bytes, disk_spill_bytes
+FROM v_stage JOIN (SELECT app_id, stage_id, sum(run_ms)::bigint AS run_ms, sum(fetch_wait_ms)::bigint AS fetch_wait_ms, sum(shuffle_read_bytes)::bigint AS shuffle_read_bytes, sum(shuffle_write_bytes)::bigint AS shuffle_write_bytes, sum(input_bytes)::bigint AS input_bytes, sum(output_bytes)::bigint AS output_bytes, sum(disk_spill_bytes)::bigint AS disk_spill_bytes FROM v_task GROUP BY ALL) t USING (app_id, stage_id)""")
+from_lines("build_task_attempts", lambda x: L.build_task_attempts(x).drop("attempt"), "SELECT app_id AS log, stage_id, task_id, part_idx::int AS part_idx, executor_id, host, locality, launch_ms, finish_ms, run_ms, cpu_ns, gc_ms, deser_ms, result_size, disk_spill_bytes, memory_spill_bytes, shuffle_write_ms * 1000000 AS shuffle_write_ns, fetch_wait_ms, shuffle_write_bytes, input_bytes, output_bytes, shuffle_read_bytes, speculative, reason, failed, src_host, finish_ms >= launch_ms AS valid FROM v_task")
 from_lines("executor_events", L.executor_events, "SELECT app_id AS log, executor_id, time_ms, cores::int AS cores, added FROM v_executor_event")
 from_lines("plan_drift", lambda x: plans.plan_drift(x).select("log", "execution_id", "changed"), "SELECT app_id AS log, execution_id, execution_id % 6 = 0 AS changed FROM v_exec")
 from_lines("log_completeness", lambda x: reports.log_completeness(L.build_apps(x), x.select("log", F.concat("log", F.when(F.col("log").endswith("2"), ".inprogress").otherwise("")).alias("name")).distinct()), "SELECT DISTINCT app_id AS log, app_id LIKE '%1' OR app_id LIKE '%2' AS incomplete, app_id LIKE '%2' AS in_progress, false AS compacted FROM v_exec")
@@ -107,8 +109,10 @@ def _files(t: DataFrame) -> DataFrame:
 
 
 def _unchanged(t: DataFrame) -> DataFrame:
+    """Logs to read again: those whose key was never seen, and those whose last entry has other parameters."""
     keys = reports.log_snapshot_key(_files(t))
-    return L.skip_unchanged(_files(t), keys.where("log not like '%3'").unionAll(keys.select("log", F.lit("old").alias("key"))))
+    entry = lambda x, key, seq: x.select("log", key.alias("key"), F.when(F.col("log").endswith("7") & F.lit(seq == 2), "old").otherwise("now").alias("parameters"), F.lit(seq).alias("seq"))
+    return ingest.changed_logs(keys, entry(keys, F.lit("old"), 1).unionAll(entry(keys.where("log not like '%3'"), F.col("key"), 2)), "now")
 
 
 def _claimed(e: DataFrame) -> DataFrame:
@@ -135,7 +139,7 @@ def _backlog(e: DataFrame) -> DataFrame:
 
 KEYS = "SELECT app_id AS log, sha256(array_to_string(list_sort(list(host || ':' || length || ':' || modified)), '|')) AS key FROM (SELECT app_id, host, sum(result_size)::bigint AS length, max(launch_ms) AS modified FROM v_task GROUP BY ALL) GROUP BY app_id"
 register("log_snapshot_key", lambda t: reports.log_snapshot_key(_files(t)), "v_task", KEYS)
-register("skip_unchanged_logs", _unchanged, "v_task", f"SELECT * FROM ({KEYS}) WHERE log LIKE '%3'")
+register("skip_unchanged_logs", _unchanged, "v_task", f"SELECT * FROM ({KEYS}) WHERE log LIKE '%3' OR log LIKE '%7'")
 register("attach_thrift_ids", _claimed, "v_exec", """WITH o AS (SELECT app_id, execution_id, row_number() OVER (PARTITION BY app_id ORDER BY start_ms, execution_id) AS k FROM v_exec WHERE execution_id % 3 <> 0),
 i AS (SELECT app_id, 't' || execution_id AS id, row_number() OVER (PARTITION BY app_id ORDER BY end_ms, 't' || execution_id) AS k FROM v_exec WHERE execution_id % 2 = 0)
 SELECT app_id AS log, execution_id, id AS statement_id FROM o LEFT JOIN i USING (app_id, k) UNION ALL SELECT app_id, execution_id, 's' || execution_id FROM v_exec WHERE execution_id % 3 = 0""")
@@ -157,3 +161,47 @@ def _forms(t: DataFrame) -> DataFrame:
 register("resolve_log_parts", lambda t: L.resolve_log_parts(_forms(t)), "v_task", """WITH a AS (SELECT DISTINCT app_id, host, right(app_id, 1)::int AS k FROM v_task)
 SELECT DISTINCT 'file:/logs/' || CASE WHEN k <= 4 THEN 'eventlog_v2_' || app_id || '/events_' || substr(host, 6, 1) || '_' || app_id || '.zstd' WHEN k % 2 = 0 THEN app_id || '.lz4' ELSE app_id || '.inprogress' END AS file, app_id AS log,
   CASE WHEN k <= 4 THEN substr(host, 6, 1)::int ELSE 1073741824 END AS part FROM a WHERE k <= 4 OR k % 2 = 0 OR k % 3 = 0""")
+
+
+# ---- from log files to tables, findings and plan metrics ----
+def _folders(spark: SparkSession, rows: DataFrame, at: str, mode: str = "error") -> None:
+    """Event lines as log files: one folder a log."""
+    rows.select("log", "value").repartition("log").write.mode(mode).partitionBy("log").text(at)
+
+
+def ingested(spark: SparkSession, d: str) -> tuple[str, str]:
+    """(logs, store): the views as log files, ingested."""
+    at = executions.shared_folder(spark, "ingest")
+    _folders(spark, event_lines(spark, d), f"{at}/logs")
+    ingest.ingest(spark, f"{at}/logs", f"{at}/store", {"form": 1})
+    return f"{at}/logs", f"{at}/store"
+
+
+def _ingests(spark: SparkSession, d: str) -> DataFrame:
+    """What four ingests read: all logs, none as nothing changed, those that got another part, one kind with new parameters."""
+    logs, store = ingested(spark, d)
+    runs = [ingest.manifest(spark, store)]
+    runs.append(ingest.ingest(spark, logs, store, {"form": 1}))
+    more = view(spark, d, "v_exec").where("app_id like '%7'").select(F.col("app_id").alias("log"), F.to_json(F.struct(F.lit("SparkListenerBlockManagerAdded").alias("Event"), F.col("start_ms").alias("Timestamp"))).alias("value"))
+    _folders(spark, more, logs, "append")
+    runs.append(ingest.ingest(spark, logs, store, {"form": 1}))
+    runs.append(ingest.ingest(spark, logs, store, {"form": 2}))
+    each = [r.select(F.lit(k + 1).alias("run"), "log", "lines") for k, r in enumerate(runs)]
+    return each[0].unionAll(each[1]).unionAll(each[2]).unionAll(each[3])
+
+
+QUERIES["ingest_logs"] = _ingests
+SQL["ingest_logs"] = duck("""WITH n AS (SELECT app_id, sum(n)::bigint AS lines FROM (
+  SELECT app_id, count(*) AS n FROM v_task GROUP BY 1 UNION ALL SELECT app_id, count(*) FROM v_stage GROUP BY 1 UNION ALL SELECT app_id, 2 * count(*) FROM v_job GROUP BY 1 UNION ALL SELECT app_id, count(*) FROM v_executor_event GROUP BY 1
+  UNION ALL SELECT app_id, count(*) + count(*) FILTER (end_ms > 0) + count(*) FILTER (execution_id % 3 = 0) FROM v_exec GROUP BY 1 UNION ALL SELECT DISTINCT app_id, 2 + (app_id NOT LIKE '%1')::int FROM v_exec) GROUP BY app_id),
+m AS (SELECT app_id, lines + CASE WHEN app_id LIKE '%7' THEN (SELECT count(*) FROM v_exec e WHERE e.app_id = n.app_id) ELSE 0 END AS lines FROM n)
+SELECT 1 AS run, app_id AS log, lines FROM n UNION ALL SELECT 3, app_id, lines FROM m WHERE app_id LIKE '%7' UNION ALL SELECT 4, app_id, lines FROM m""")
+
+
+def _logs_to_findings(spark: SparkSession, d: str) -> DataFrame:
+    v = ingest.telemetry(spark, ingested(spark, d)[1])
+    return rules.rank_findings(findings(v["v_task"], v["v_stage"]))
+
+
+QUERIES["logs_to_findings"] = _logs_to_findings
+SQL["logs_to_findings"] = SQL["rank_findings"]

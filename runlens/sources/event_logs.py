@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 KINDS = ("ApplicationStart", "ApplicationEnd", "EnvironmentUpdate", "ExecutorAdded", "ExecutorRemoved", "JobStart", "JobEnd", "StageSubmitted", "StageCompleted", "TaskEnd", "SQLExecutionStart", "SQLExecutionEnd", "SQLAdaptiveExecutionUpdate")
 _STAGE = "`Stage ID` int, `Stage Attempt ID` int, `Number of Tasks` int, `Parent IDs` array<int>, `Submission Time` long, `Completion Time` long"
 SCHEMAS = {
-    "ApplicationStart": "`App ID` string, `App Name` string, Timestamp long",
+    "ApplicationStart": "`App ID` string, `App Attempt ID` string, `App Name` string, Timestamp long",
     "ApplicationEnd": "Timestamp long",
     "EnvironmentUpdate": "`Spark Properties` map<string,string>",
     "ExecutorAdded": "Timestamp long, `Executor ID` string, `Executor Info` struct<Host:string,`Total Cores`:int>",
@@ -19,7 +19,7 @@ SCHEMAS = {
     "JobEnd": "`Job ID` int, `Completion Time` long, `Job Result` struct<Result:string>",
     "StageSubmitted": f"`Stage Info` struct<{_STAGE.replace('` ', '`:')}>",
     "StageCompleted": f"`Stage Info` struct<{_STAGE.replace('` ', '`:')}>",
-    "TaskEnd": "`Stage ID` int, `Stage Attempt ID` int, `Task End Reason` struct<Reason:string>, `Task Info` struct<`Task ID`:long,Index:int,Attempt:int,`Launch Time`:long,`Finish Time`:long,`Executor ID`:string,Host:string,Locality:string,Speculative:boolean,Failed:boolean,Killed:boolean>, "
+    "TaskEnd": "`Stage ID` int, `Stage Attempt ID` int, `Task End Reason` struct<Reason:string,`Class Name`:string,`Block Manager Address`:struct<Host:string>>, `Task Info` struct<`Task ID`:long,Index:int,Attempt:int,`Launch Time`:long,`Finish Time`:long,`Executor ID`:string,Host:string,Locality:string,Speculative:boolean,Failed:boolean,Killed:boolean>, "
     "`Task Metrics` struct<`Executor Run Time`:long,`Executor CPU Time`:long,`JVM GC Time`:long,`Executor Deserialize Time`:long,`Result Size`:long,`Disk Bytes Spilled`:long,`Memory Bytes Spilled`:long,`Shuffle Read Metrics`:struct<`Fetch Wait Time`:long,`Remote Bytes Read`:long,`Local Bytes Read`:long>,`Shuffle Write Metrics`:struct<`Shuffle Bytes Written`:long,`Shuffle Write Time`:long>,`Input Metrics`:struct<`Bytes Read`:long>,`Output Metrics`:struct<`Bytes Written`:long>>",
     "SQLExecutionStart": "executionId long, description string, details string, physicalPlanDescription string, time long",
     "SQLExecutionEnd": "executionId long, time long",
@@ -29,44 +29,62 @@ SCHEMAS = {
 
 def log_of(file: Column) -> tuple[Column, Column, Column]:
     """(log, part, rank) of a log file's path. A rolled log's parts are numbered in their names (`events_<n>_`) and lie in a
-    folder `eventlog_v2_<log>`; of several forms of one log the least rank counts: rolled, whole, being written."""
+    folder `eventlog_v2_<log>`; lines that Spark itself wrote, one folder `log=<log>` a log, count as rolled. Of several forms of
+    one log the least rank counts: rolled, whole, being written."""
     name = F.regexp_extract(file, r"([^/]+)$", 1)
-    part = F.regexp_extract(name, r"^events_(\d+)_", 1)
-    own = F.when(part != "", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)).otherwise(name)
-    log = F.regexp_replace(own, r"^eventlog_v2_|(\.(inprogress|zstd|lz4|snappy|lzf))+$", "")
+    folder = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
+    part = F.coalesce(F.nullif(F.regexp_extract(name, r"^events_(\d+)_", 1), F.lit("")), F.when(folder.startswith("log="), F.regexp_extract(name, r"^part-(\d+)", 1)))
+    own = F.when(part.isNotNull(), folder).otherwise(name)
+    log = F.regexp_replace(own, r"^(eventlog_v2_|log=)|(\.(inprogress|zstd|lz4|snappy|lzf))+$", "")
     codec = F.regexp_extract(own, r"\.(zstd|lz4|snappy|lzf)", 1)
-    rank = F.when(part != "", F.lit("0")).when(name.endswith(".inprogress"), F.lit("2")).otherwise(F.lit("1"))
+    rank = F.when(part.isNotNull(), F.lit("0")).when(name.endswith(".inprogress"), F.lit("2")).otherwise(F.lit("1"))
     return log, F.coalesce(part.try_cast("int"), F.lit(1 << 30)), F.concat_ws(" ", rank, codec)
 
 
+def list_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, length, modified) of all files below a path; their contents are not read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return x.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.unix_millis("modificationTime").alias("modified"))
+
+
 def resolve_log_parts(files: DataFrame) -> DataFrame:
-    """(file, log, part): the files to read of each log. files: file. If a log is there as rolled parts, as one file, as one
+    """(file, log, part, ...): the files to read of each log. files: file, ... If a log is there as rolled parts, as one file, as one
     that is still being written or in several codecs, one form alone is read, so no event counts twice. Status
     files and files that are still being written in compressed form are left out, as they cannot be read as text."""
     name = F.regexp_extract("file", r"([^/]+)$", 1)
-    rows = files.where(~name.startswith("appstatus_") & ~name.rlike(r"\.(zstd|lz4|snappy|lzf)\.inprogress$"))
+    rows = files.where(~name.startswith("appstatus_") & ~name.rlike(r"\.(zstd|lz4|snappy|lzf)\.inprogress$") & ~name.rlike(r"^[_.]"))
     log, part, rank = log_of(F.col("file"))
-    rows = rows.select("file", log.alias("log"), part.alias("part"), rank.alias("rank"))
-    return rows.join(rows.groupBy("log").agg(F.min("rank").alias("rank")), ["log", "rank"]).select("file", "log", "part")
+    rows = rows.withColumns({"log": log, "part": part, "rank": rank})
+    return rows.join(rows.groupBy("log").agg(F.min("rank").alias("rank")), ["log", "rank"]).select("file", "log", "part", *[c for c in files.columns if c != "file"])
+
+
+def read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(log, part, value): the lines of these log files, and no others. Each line's log and part come from its file's path, so
+    nothing is shuffled, and a long plain file is split."""
+    if not paths:
+        return spark.createDataFrame([], "log string, part int, value string")
+    log, part, _ = log_of(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    return spark.read.option("recursiveFileLookup", "true").text(paths).select(log.alias("log"), part.alias("part"), "value")
 
 
 def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, log, part, value): the lines of all logs below a path, single files and rolled ones, also compressed ones; the
-    files are listed first (their contents are not read for that) and chosen by `resolve_log_parts`."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
-    same = lambda c: F.regexp_replace(c, r"^([a-z0-9]+:)/+", "$1/")  # noqa: E731 - the two readers write a scheme's slashes differently
-    chosen = resolve_log_parts(listed).withColumn("_at", same(F.col("file")))
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(same(F.col("_metadata.file_path")).alias("_at"), "value")
-    return lines.join(chosen, "_at").select("file", "log", "part", "value")
+    """(log, part, value): the lines of all logs below a path, single files and rolled ones, also compressed ones. The files are
+    listed first and chosen by `resolve_log_parts`; only these are opened. The driver holds their names, as for any read."""
+    return read_parts(spark, [r["file"] for r in resolve_log_parts(list_logs(spark, path)).select("file").collect()])
+
+
+def kind_of(value: Column) -> Column:
+    """The event kind of a line, from its text alone; empty where the line names none."""
+    return F.regexp_extract(F.regexp_extract(value, r'^\s*\{"Event":"([^"]+)"', 1), r"(?:SparkListener)?([A-Za-z]+)$", 1)
 
 
 def parse_events(lines: DataFrame, kind: str, schema: str | None = None) -> DataFrame:
-    """One typed table of an event kind; lines are filtered by their text before any JSON is decoded, broken lines are dropped.
-    With a schema of one's own the text of the event stays as `line`."""
-    event = F.regexp_extract("value", r'^\s*\{"Event":"([^"]+)"', 1)
-    x = lines.where(F.col("value").contains(f"{kind}\"")).where(F.regexp_extract(event, r"(?:SparkListener)?([A-Za-z]+)$", 1) == kind)
+    """One typed table of an event kind; lines are filtered by their text (or the column `kind` that stored lines are
+    partitioned by) before any JSON is decoded, broken lines are dropped. With a schema of one's own the text of the event
+    stays as `line`."""
+    of = F.col("kind") == kind if "kind" in lines.columns else F.col("value").contains(f"{kind}\"") & (kind_of(F.col("value")) == kind)
     typed = F.from_json("value", f"{schema or SCHEMAS[kind]}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("e")
-    x = x.select("log", "part", *(["value"] if schema else []), typed).where("e is not null and e._broken is null")
+    x = lines.where(of).select("log", "part", *(["value"] if schema else []), typed).where("e is not null and e._broken is null")
     return x.select("log", "part", *([F.col("value").alias("line")] if schema else []), "e.*").drop("_broken")
 
 
@@ -77,17 +95,20 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 
 def build_apps(lines: DataFrame) -> DataFrame:
     """One row for each log: application, times, conf (first wins) and whether its end is missing."""
-    s = parse_events(lines, "ApplicationStart").groupBy("log").agg(F.min_by("App ID", "part").alias("app_id"), F.min_by("App Name", "part").alias("app_name"), F.min("Timestamp").alias("start_ms"))
+    s = parse_events(lines, "ApplicationStart").groupBy("log").agg(F.min_by("App ID", "part").alias("app_id"), F.min_by("App Attempt ID", "part").alias("attempt"), F.min_by("App Name", "part").alias("app_name"), F.min("Timestamp").alias("start_ms"))
     e = parse_events(lines, "ApplicationEnd").groupBy("log").agg(F.max("Timestamp").alias("end_ms"))
     c = parse_events(lines, "EnvironmentUpdate").groupBy("log").agg(F.min_by("Spark Properties", "part").alias("conf"))
     return s.join(e, "log", "left").join(c, "log", "left").withColumn("incomplete", F.col("end_ms").isNull())
 
 
 def build_executions(lines: DataFrame) -> DataFrame:
+    """One row an execution, with the ids of its jobs; incomplete where its start or end is missing."""
     s = parse_events(lines, "SQLExecutionStart").groupBy("log", "executionId").agg(F.min("time").alias("start_ms"), F.min_by("description", "time").alias("description"), F.min_by("physicalPlanDescription", "time").alias("plan"))
     e = parse_events(lines, "SQLExecutionEnd").groupBy("log", "executionId").agg(F.max("time").alias("end_ms"))
-    x = s.join(e, ["log", "executionId"], "full")
-    return x.select("log", F.col("executionId").alias("execution_id"), "start_ms", "end_ms", "description", "plan", (F.col("start_ms").isNull() | F.col("end_ms").isNull()).alias("incomplete"))
+    own = parse_events(lines, "JobStart").select("log", F.col("Properties")["spark.sql.execution.id"].try_cast("long").alias("executionId"), F.col("Job ID").cast("long").alias("id"))
+    own = own.where("executionId is not null").groupBy("log", "executionId").agg(F.sort_array(F.collect_set("id")).alias("job_ids"))
+    x = s.join(e, ["log", "executionId"], "full").join(own, ["log", "executionId"], "left")
+    return x.select("log", F.col("executionId").alias("execution_id"), "start_ms", "end_ms", "description", "plan", F.coalesce("job_ids", F.array().cast("array<bigint>")).alias("job_ids"), (F.col("start_ms").isNull() | F.col("end_ms").isNull()).alias("incomplete"))
 
 
 def build_jobs(lines: DataFrame) -> DataFrame:
@@ -96,12 +117,20 @@ def build_jobs(lines: DataFrame) -> DataFrame:
     return s.join(e, ["log", "job_id"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
 
 
-def build_stages(lines: DataFrame) -> DataFrame:
-    """One row a stage over all its attempts; times of the last state seen."""
+def build_stages(lines: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """One row a stage over all its attempts: times of the last state seen, its first launch, failed attempts, attempts beyond its
+    number of tasks, and the totals of its tasks. tasks: build_task_attempts, where they are there already. A stage that only tasks
+    or only stage events know of has a row too."""
     x = parse_events(lines, "StageSubmitted").unionByName(parse_events(lines, "StageCompleted")).select("log", F.col("Stage Info").alias("i"))
-    return x.groupBy("log", F.col("i.Stage ID").alias("stage_id")).agg(
+    x = x.groupBy("log", F.col("i.Stage ID").cast("long").alias("stage_id")).agg(
         F.max("i.Number of Tasks").alias("num_tasks"), F.max("i.Parent IDs").cast("array<bigint>").alias("parent_ids"), F.min("i.Submission Time").alias("submission_ms"), F.max("i.Completion Time").alias("completion_ms"), F.max("i.Stage Attempt ID").alias("last_attempt"),
     )
+    t = (build_task_attempts(lines) if tasks is None else tasks).groupBy("log", "stage_id").agg(
+        F.min(F.when(F.col("launch_ms") > 0, F.col("launch_ms"))).alias("first_launch_ms"), F.count_if("failed").alias("failed_attempts"), F.count("*").alias("attempts"),
+        *[F.sum(c).alias(c) for c in ("run_ms", "fetch_wait_ms", "shuffle_read_bytes", "shuffle_write_bytes", "input_bytes", "output_bytes", "disk_spill_bytes")],
+    )
+    x = x.join(t, ["log", "stage_id"], "full")
+    return x.withColumns({"failed_attempts": F.coalesce("failed_attempts", F.lit(0)), "extra_attempts": F.greatest(F.coalesce("attempts", F.lit(0)) - F.coalesce("num_tasks", F.lit(0)), F.lit(0))})
 
 
 def _at_least_0(c: str) -> Column:
@@ -109,15 +138,18 @@ def _at_least_0(c: str) -> Column:
 
 
 def build_task_attempts(lines: DataFrame) -> DataFrame:
-    """One row for each task end; attempts without metrics keep null times, so that they count but enter no distribution."""
+    """One row for each task end. Attempts without metrics keep a null run time, so that they count but enter no distribution.
+    valid: launched and finished, in this order; only such attempts take part in sweeps over time."""
     x = parse_events(lines, "TaskEnd")
     m, i = "Task Metrics.", "Task Info."
+    launch, finish = F.col(f"{i}Launch Time"), F.col(f"{i}Finish Time")
     return x.select(
-        "log", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("attempt"), F.col(f"{i}Task ID").alias("task_id"), F.col(f"{i}Executor ID").alias("executor_id"), F.col(f"{i}Host").alias("host"), F.col(f"{i}Locality").alias("locality"),
-        F.col(f"{i}Launch Time").alias("launch_ms"), F.col(f"{i}Finish Time").alias("finish_ms"), F.greatest(F.col(f"{m}Executor Run Time"), F.lit(0)).alias("run_ms"),
+        "log", F.col("Stage ID").cast("long").alias("stage_id"), F.col("Stage Attempt ID").alias("attempt"), F.col(f"{i}Task ID").alias("task_id"), F.col(f"{i}Index").alias("part_idx"), F.col(f"{i}Executor ID").alias("executor_id"), F.col(f"{i}Host").alias("host"), F.col(f"{i}Locality").alias("locality"),
+        launch.alias("launch_ms"), finish.alias("finish_ms"), F.when(F.col("Task Metrics").isNotNull(), _at_least_0(f"{m}Executor Run Time")).alias("run_ms"),
         *[_at_least_0(f"{m}{c}").alias(a) for c, a in (("Executor CPU Time", "cpu_ns"), ("JVM GC Time", "gc_ms"), ("Executor Deserialize Time", "deser_ms"), ("Result Size", "result_size"), ("Disk Bytes Spilled", "disk_spill_bytes"), ("Memory Bytes Spilled", "memory_spill_bytes"), ("Shuffle Write Metrics.Shuffle Write Time", "shuffle_write_ns"), ("Shuffle Read Metrics.Fetch Wait Time", "fetch_wait_ms"), ("Shuffle Write Metrics.Shuffle Bytes Written", "shuffle_write_bytes"), ("Input Metrics.Bytes Read", "input_bytes"), ("Output Metrics.Bytes Written", "output_bytes"))],
         (_at_least_0(f"{m}Shuffle Read Metrics.Remote Bytes Read") + _at_least_0(f"{m}Shuffle Read Metrics.Local Bytes Read")).alias("shuffle_read_bytes"),
-        F.col(f"{i}Speculative").alias("speculative"), F.col("Task End Reason.Reason").alias("reason"), (~F.col("Task End Reason.Reason").contains("Success")).alias("failed"),
+        F.coalesce(f"{i}Speculative", F.lit(False)).alias("speculative"), F.concat_ws(": ", "Task End Reason.Reason", "Task End Reason.Class Name").alias("reason"), (~F.coalesce("Task End Reason.Reason", F.lit("")).contains("Success")).alias("failed"),
+        F.col("Task End Reason.Block Manager Address.Host").alias("src_host"), F.coalesce((launch > 0) & (finish >= launch), F.lit(False)).alias("valid"),
     )
 
 
@@ -129,13 +161,6 @@ def executor_events(lines: DataFrame) -> DataFrame:
     return a.unionByName(gone)
 
 
-def skip_unchanged(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Logs whose key is not in the manifest (log, key). files: log, name, length, modified."""
-    from runlens.sources.reports import log_snapshot_key
-
-    return log_snapshot_key(files).join(manifest.select("log", "key"), ["log", "key"], "left_anti")
-
-
 def attach_thrift_ids(executions: DataFrame, ids: DataFrame) -> DataFrame:
     """The k-th unclaimed statement id of a log goes to its k-th execution without one, both by time."""
     w = Window.partitionBy("log").orderBy("start_ms", "execution_id")

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.sources.event_logs import build_stages, parse_events
 
-_NODE = "array<struct<node:string,metric:string,id:bigint,kind:string>>"
+#: What a walk of a plan tree looks at, in the order of the text: a node's name, and its metrics, which Spark writes after the
+#: node's children. Quotes within a JSON text are escaped, so neither pattern can match inside of one.
+_TOKEN = r'''"nodeName":"((?:[^"\\]|\\.)*+)"|"metrics":(\[[^\]"]*+(?:"(?:[^"\\]|\\.)*+"[^\]"]*+)*+\])'''
+_METRICS = "array<struct<name:string,accumulatorId:bigint,metricType:string>>"
+
+
+def plan_walk(tree: str) -> Column:
+    """(node, depth, metrics) of every node of a plan tree of any depth, as an array; metrics is still text.
 
+    Built-in functions alone: the tree's text is cut into names and lists of metrics, and one pass over these keeps the
+    open nodes on a stack. A name opens a node; a list of metrics closes the last one that is open.
+    """
+    token = lambda k: F.regexp_extract_all(tree, F.lit(_TOKEN), F.lit(k))
+    tokens = F.arrays_zip(token(1).alias("name"), token(2).alias("metrics"))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<node:string,depth:int,metrics:string>>").alias("nodes"))
 
-def _nodes(text: str | None) -> list[dict]:
-    """All metrics of a plan tree of any depth."""
-    out, open_ = [], [json.loads(text)] if text else []
-    while open_:
-        n = open_.pop()
-        open_ += n.get("children") or []
-        out += [{"node": n.get("nodeName"), "metric": m.get("name"), "id": m.get("accumulatorId"), "kind": m.get("metricType")} for m in n.get("metrics") or []]
-    return out
+    def step(s: Column, t: Column) -> Column:
+        n = F.size(s["open"])
+        closed = F.struct(F.get(s["open"], n - 1).alias("node"), n.alias("depth"), t["metrics"].alias("metrics"))
+        is_name = t["metrics"] == ""
+        return F.struct(
+            F.when(is_name, F.concat(s["open"], F.array(t["name"]))).otherwise(F.slice(s["open"], 1, F.greatest(n - 1, F.lit(0)))).alias("open"),
+            F.when(is_name | (n == 0), s["nodes"]).otherwise(F.concat(s["nodes"], F.array(closed))).alias("nodes"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: s["nodes"])
 
 
 def plan_nodes(lines: DataFrame) -> DataFrame:
-    """(log, execution_id, node, metric, id, kind) of the first and all adaptive plans; a small Arrow helper walks the tree,
-    as its depth has no bound."""
-    walk = F.pandas_udf(lambda s: pd.Series([_nodes(t) for t in s]), _NODE)
-    tree = lambda kind: parse_events(lines, kind, "executionId long").select("log", F.col("executionId").alias("execution_id"), F.get_json_object("line", "$.sparkPlanInfo").alias("tree"))
-    x = tree("SQLExecutionStart").unionByName(tree("SQLAdaptiveExecutionUpdate"))
-    return x.select("log", "execution_id", F.explode(walk("tree")).alias("m")).select("log", "execution_id", "m.*").distinct()
+    """(log, execution_id, node, depth, metric, id, kind) of the first and all adaptive plans, each metric once."""
+    tree = lambda kind: parse_events(lines, kind, "executionId long, sparkPlanInfo string").select("log", F.col("executionId").alias("execution_id"), F.col("sparkPlanInfo").alias("tree"))
+    x = tree("SQLExecutionStart").unionByName(tree("SQLAdaptiveExecutionUpdate")).where("tree is not null")
+    x = x.select("log", "execution_id", F.explode(plan_walk("tree")).alias("n")).select("log", "execution_id", "n.node", "n.depth", F.explode(F.from_json("n.metrics", _METRICS)).alias("m"))
+    x = x.select("log", "execution_id", "node", "depth", F.col("m.name").alias("metric"), F.col("m.accumulatorId").alias("id"), F.col("m.metricType").alias("kind"))
+    return x.groupBy("log", "execution_id", "node", "metric", "id", "kind").agg(F.min("depth").alias("depth"))
 
 
 def accumulators(lines: DataFrame) -> DataFrame:
@@ -43,7 +55,7 @@ def accumulators(lines: DataFrame) -> DataFrame:
 
 def plan_metrics(lines: DataFrame) -> DataFrame:
     """Every measured metric of every plan node; an accumulator belongs to one node, so the join is by (log, id)."""
-    return plan_nodes(lines).join(accumulators(lines), ["log", "id"]).select("log", "execution_id", "node", "metric", "kind", "id", "total", "most")
+    return plan_nodes(lines).join(accumulators(lines), ["log", "id"]).select("log", "execution_id", "node", "depth", "metric", "kind", "id", "total", "most")
 
 
 def sql_plan_metrics(metrics: DataFrame) -> DataFrame:
@@ -73,9 +85,14 @@ def plan_drift(lines: DataFrame) -> DataFrame:
 _HEAP = "`Executor ID` string, `Stage ID` int, `Executor Metrics` struct<JVMHeapMemory:bigint>"
 
 
+def heap_peaks(lines: DataFrame) -> DataFrame:
+    """(log, stage_id, executor_id, peak_bytes): the largest heap of each executor in each stage."""
+    return parse_events(lines, "StageExecutorMetrics", _HEAP).groupBy("log", F.col("Stage ID").alias("stage_id"), F.col("Executor ID").alias("executor_id")).agg(F.max("Executor Metrics.JVMHeapMemory").alias("peak_bytes"))
+
+
 def heap_headroom(lines: DataFrame, memory: DataFrame, factor: float = 1.25) -> DataFrame:
     """Largest heap of each executor in each stage over its memory (log, memory_bytes), and the memory that it suggests."""
-    x = parse_events(lines, "StageExecutorMetrics", _HEAP).groupBy("log", F.col("Stage ID").alias("stage_id"), F.col("Executor ID").alias("executor_id")).agg(F.max("Executor Metrics.JVMHeapMemory").alias("peak_bytes"))
+    x = heap_peaks(lines)
     x = x.join(memory, "log").where("memory_bytes > 0")
     return x.withColumns({"heap_peak_ratio": F.round(F.col("peak_bytes") / F.col("memory_bytes"), 6), "suggested_bytes": F.floor(F.col("peak_bytes") * factor).cast("long")})
 

@@ -1,11 +1,12 @@
-"""A log that Spark itself wrote: plan metrics, heaps, streams."""
+"""Small logs made by hand: plan metrics, heaps, streams."""
 
 import json
 
 from pyspark.sql import functions as F
 
 from runlens.sources import event_logs as L
-from runlens.sources import plans
+from runlens.sources import ingest, plans
+from runlens.sources.reports import log_snapshot_key
 from runlens.streaming import executions
 
 UI = "org.apache.spark.sql.execution.ui.SparkListener"
@@ -59,8 +60,8 @@ def test_streams(spark, tmp_path):
 
 def test_snapshot_key_changes_with_any_part(spark):
     files = spark.createDataFrame([("a", "p1", 1, 1), ("a", "p2", 2, 2), ("b", "q", 1, 1)], "log string, name string, length long, modified long")
-    from runlens.sources.reports import log_snapshot_key
-
-    done = log_snapshot_key(files)
-    assert L.skip_unchanged(files, done).count() == 0
-    assert [r.log for r in L.skip_unchanged(files.withColumn("length", F.when(F.col("name") == "p2", 3).otherwise(F.col("length"))), done).collect()] == ["a"]
+    done = log_snapshot_key(files).select("log", "key", F.lit("x").alias("parameters"), F.lit(1).alias("seq"))
+    assert ingest.changed_logs(log_snapshot_key(files), done, "x").count() == 0
+    assert ingest.changed_logs(log_snapshot_key(files), done, "y").count() == 2
+    other = log_snapshot_key(files.withColumn("length", F.when(F.col("name") == "p2", 3).otherwise(F.col("length"))))
+    assert [r.log for r in ingest.changed_logs(other, done, "x").collect()] == ["a"]
