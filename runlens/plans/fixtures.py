@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = 1704067200000  # fixed value: the first millisecond of the fixture applications
@@ -79,7 +81,19 @@ FROM (SELECT DISTINCT app_id FROM v_task) a, (
   UNION ALL SELECT 'spark.sql.adaptive.advisoryPartitionSizeInBytes', '128m', 'x' UNION ALL SELECT 'runlens.threshold.skew.ratio', '6', '7') c
 """
 
-VIEWS = {"v_task": V_TASK, "v_stage": V_STAGE, "v_job": V_JOB, "v_exec": V_EXEC, "v_executor_event": V_EXECUTOR_EVENT, "v_conf": V_CONF}
+#: Measurements of plan nodes, k numbering a plan's metrics; the join's rows are counted by its tasks, all others by the driver.
+V_NODE = """
+SELECT app_id, execution_id, k, node, metric, CASE k WHEN 1 THEN (e % 7) * 500 WHEN 2 THEN (e % 7) * 500 * (e % 3 + 1) * 4194304 WHEN 3 THEN (e % 11) * 16777216
+  WHEN 4 THEN (e % 13) * 67108864 WHEN 6 THEN 1 + (e % 5) * 40000 WHEN 7 THEN (e % 6) * 200 ELSE (e % 6) * 200 * (e % 4) * 8388608 END AS total
+FROM (SELECT app_id, execution_id, execution_id AS e FROM v_exec) x, (
+  SELECT cast(1 as bigint) AS k, 'Scan parquet' AS node, 'number of files read' AS metric UNION ALL SELECT 2, 'Scan parquet', 'size of files read' UNION ALL SELECT 6, 'Scan parquet', 'number of output rows'
+  UNION ALL SELECT 3, 'Exchange', 'data size' UNION ALL SELECT 4, 'BroadcastExchange', 'data size'
+  UNION ALL SELECT 7, 'Execute InsertIntoHadoopFsRelationCommand', 'number of written files' UNION ALL SELECT 8, 'Execute InsertIntoHadoopFsRelationCommand', 'written output') m
+UNION ALL
+SELECT app_id, execution_id, 5, 'SortMergeJoin', 'number of output rows', cast(sum(run_ms) as bigint) FROM v_task GROUP BY app_id, execution_id
+"""
+
+VIEWS = {"v_task": V_TASK, "v_stage": V_STAGE, "v_job": V_JOB, "v_exec": V_EXEC, "v_executor_event": V_EXECUTOR_EVENT, "v_conf": V_CONF, "v_node": V_NODE}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,14 +101,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace("//", "div").format(string="string", array="array", empty="cast(array() as array<bigint>)")
     if name == "v_task":
         return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return spark.sql(text.replace("v_task", "{v_task}"), v_task=view(spark, sf_dir, "v_task"))
+    needs = [x for x in VIEWS if x != name and re.search(rf"\b{x}\b", text)]
+    for x in needs:
+        text = re.sub(rf"\b{x}\b", "{" + x + "}", text)
+    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in needs})
 
 
 def duck(sql: str) -> str:
     """DuckDB text of a query over the views: they go before it as common table expressions."""
-    parts = []
-    for name, text in VIEWS.items():
-        if name == "v_task" or name in sql or any(name in VIEWS[x] for x in VIEWS if x in sql):
-            parts.append(f"{name} AS ({text.format(string='varchar', array='list_value', empty='[]::bigint[]')})")
+    names = {"v_task"}
+
+    def add(text: str) -> None:
+        for x in VIEWS:
+            if re.search(rf"\b{x}\b", text) and x not in names:
+                names.add(x)
+                add(VIEWS[x])
+
+    add(sql)
+    parts = [f"{x} AS ({text.format(string='varchar', array='list_value', empty='[]::bigint[]')})" for x, text in VIEWS.items() if x in names]
     body = sql.strip()
     return "WITH " + ", ".join(parts) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)

@@ -17,6 +17,18 @@ from runlens.sources import ingest, plans, reports
 from runlens.streaming import executions
 
 
+def plan_trees(e: DataFrame) -> DataFrame:
+    """(app_id, execution_id, tree): plan trees as JSON, up to 43 nodes deep; a text in them holds what a name of a node looks like."""
+    m = lambda *ks: F.concat(F.lit('],"metadata":{},"metrics":['), *[x for i, (k, name, kind) in enumerate(ks) for x in (F.lit(("," if i else "") + '{"name":"' + name + '","accumulatorId":'), F.col("execution_id") * 100 + k, F.lit(',"metricType":"' + kind + '"}'))], F.lit("]}"))
+    node = lambda name, children, metrics: F.concat(F.lit('{"nodeName":"' + name + '","simpleString":"see \\"nodeName\\":\\"x\\" [1]","children":['), *children, metrics)
+    scan = node("Scan parquet", [], m((1, "number of files read", "sum"), (2, "size of files read", "size"), (6, "number of output rows", "sum")))
+    join = node("SortMergeJoin", [node("Exchange", [scan], m((3, "data size", "size"))), F.lit(","), node("BroadcastExchange", [], m((4, "data size", "size")))], m((5, "number of output rows", "sum")))
+    deep = (F.col("execution_id") % 40).cast("int")
+    chain = F.concat(F.repeat(F.lit('{"nodeName":"Project","simpleString":"","children":['), deep), join, F.repeat(F.lit('],"metadata":{},"metrics":[]}'), deep))
+    tree = node("Execute InsertIntoHadoopFsRelationCommand", [chain], m((7, "number of written files", "sum"), (8, "written output", "size")))
+    return e.select("app_id", "execution_id", tree.alias("tree"))
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture views as the lines of event logs, one log an application."""
     v = lambda name: view(spark, sf_dir, name)
@@ -26,8 +38,15 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def lines(df: DataFrame, kind: str, *fields) -> DataFrame:
         return df.select(c("app_id").alias("log"), F.lit(1).alias("part"), F.to_json(st(F.lit(kind).alias("Event"), *fields)).alias("value"))
 
+    def with_tree(df: DataFrame) -> DataFrame:
+        return df.withColumn("value", F.concat(F.expr("left(value, length(value) - 1)"), F.lit(',"sparkPlanInfo":'), "tree", F.lit("}"))).drop("tree")
+
+    def lines_of_plans(df: DataFrame, kind: str, *fields) -> DataFrame:
+        rows = df.join(plan_trees(v("v_exec")), ["app_id", "execution_id"])
+        return with_tree(rows.select(c("app_id").alias("log"), F.lit(1).alias("part"), F.to_json(st(F.lit(kind).alias("Event"), *fields)).alias("value"), "tree"))
+
     t, e, j, s, x = v("v_task"), v("v_exec"), v("v_job"), v("v_stage"), v("v_executor_event")
-    info = st(*at(Task_ID=c("task_id"), Launch_Time=c("launch_ms"), Finish_Time=c("finish_ms"), Executor_ID=c("executor_id")), c("host").alias("Host"), c("locality").alias("Locality"), c("speculative").alias("Speculative"), c("part_idx").alias("Index")).alias("Task Info")
+    info = st(*at(Task_ID=c("task_id"), Launch_Time=c("launch_ms"), Finish_Time=c("finish_ms"), Executor_ID=c("executor_id")), c("host").alias("Host"), c("locality").alias("Locality"), c("speculative").alias("Speculative"), c("part_idx").alias("Index"), F.array(st((c("execution_id") * 100 + 5).alias("ID"), c("run_ms").cast("string").alias("Update"))).alias("Accumulables")).alias("Task Info")
     read = st(*at(Fetch_Wait_Time=c("fetch_wait_ms"), Remote_Bytes_Read=c("shuffle_read_bytes")), F.lit(0).alias("Local Bytes Read"))
     metrics = st(*at(Executor_Run_Time=c("run_ms"), Executor_CPU_Time=c("cpu_ns"), JVM_GC_Time=c("gc_ms"), Executor_Deserialize_Time=c("deser_ms"), Result_Size=c("result_size"), Disk_Bytes_Spilled=c("disk_spill_bytes"), Memory_Bytes_Spilled=c("memory_spill_bytes")), read.alias("Shuffle Read Metrics"), st(*at(Shuffle_Bytes_Written=c("shuffle_write_bytes"), Shuffle_Write_Time=c("shuffle_write_ms") * 1_000_000)).alias("Shuffle Write Metrics"), st(*at(Bytes_Read=c("input_bytes"))).alias("Input Metrics"), st(*at(Bytes_Written=c("output_bytes"))).alias("Output Metrics")).alias("Task Metrics")
     stage = st(*at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0), Number_of_Tasks=c("num_tasks"), Parent_IDs=c("parent_ids"), Submission_Time=c("submission_ms"), Completion_Time=c("completion_ms"))).alias("Stage Info")
@@ -37,9 +56,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(apps, f"{sl}ApplicationStart", c("app_id").alias("App ID"), c("app_id").alias("App Name"), c("a").alias("Timestamp")),
         lines(apps.where("app_id not like '%1'"), f"{sl}ApplicationEnd", c("z").alias("Timestamp")),
         lines(v("v_conf").groupBy("app_id").agg(F.map_from_entries(F.collect_list(st("key", "value"))).alias("m")), f"{sl}EnvironmentUpdate", c("m").alias("Spark Properties")),
-        lines(e, f"{ui}SQLExecutionStart", c("execution_id").alias("executionId"), c("description"), c("plan").alias("physicalPlanDescription"), c("start_ms").alias("time")),
+        lines(v("v_node").where("k <> 5").groupBy("app_id", "execution_id").agg(F.collect_list(F.array(F.expr("execution_id * 100 + k"), c("total"))).alias("u")), f"{ui}DriverAccumUpdates", c("execution_id").alias("executionId"), c("u").alias("accumUpdates")),
+        lines_of_plans(e, f"{ui}SQLExecutionStart", c("execution_id").alias("executionId"), c("description"), c("plan").alias("physicalPlanDescription"), c("start_ms").alias("time")),
         lines(e.where("end_ms > 0"), f"{ui}SQLExecutionEnd", c("execution_id").alias("executionId"), c("end_ms").alias("time")),
-        lines(e.where("execution_id % 3 = 0"), f"{ui}SQLAdaptiveExecutionUpdate", c("execution_id").alias("executionId"), F.concat("plan", F.when(c("execution_id") % 2 == 0, " final").otherwise("")).alias("physicalPlanDescription")),
+        lines_of_plans(e.where("execution_id % 3 = 0"), f"{ui}SQLAdaptiveExecutionUpdate", c("execution_id").alias("executionId"), F.concat("plan", F.when(c("execution_id") % 2 == 0, " final").otherwise("")).alias("physicalPlanDescription")),
         lines(j, f"{sl}JobStart", *at(Job_ID=c("job_id"), Submission_Time=c("submission_ms"), Stage_IDs=c("stage_ids")), F.create_map(F.lit("spark.sql.execution.id"), c("execution_id").cast("string")).alias("Properties")),
         lines(j, f"{sl}JobEnd", *at(Job_ID=c("job_id"), Completion_Time=c("completion_ms")), st(F.when(c("failed"), "JobFailed").otherwise("JobSucceeded").alias("Result")).alias("Job Result")),
         lines(s, f"{sl}StageCompleted", stage), lines(t, f"{sl}TaskEnd", *at(Stage_ID=c("stage_id"), Stage_Attempt_ID=F.lit(0)), st(c("reason").alias("Reason"), F.when(c("src_host").isNotNull(), st(c("src_host").alias("Host"))).alias("Block Manager Address")).alias("Task End Reason"), info, metrics),
@@ -67,6 +87,10 @@ from_lines("build_stages", lambda x: L.build_stages(x).withColumn("parents", F.s
 FROM v_stage JOIN (SELECT app_id, stage_id, sum(run_ms)::bigint AS run_ms, sum(fetch_wait_ms)::bigint AS fetch_wait_ms, sum(shuffle_read_bytes)::bigint AS shuffle_read_bytes, sum(shuffle_write_bytes)::bigint AS shuffle_write_bytes, sum(input_bytes)::bigint AS input_bytes, sum(output_bytes)::bigint AS output_bytes, sum(disk_spill_bytes)::bigint AS disk_spill_bytes FROM v_task GROUP BY ALL) t USING (app_id, stage_id)""")
 from_lines("build_task_attempts", lambda x: L.build_task_attempts(x).drop("attempt"), "SELECT app_id AS log, stage_id, task_id, part_idx::int AS part_idx, executor_id, host, locality, launch_ms, finish_ms, run_ms, cpu_ns, gc_ms, deser_ms, result_size, disk_spill_bytes, memory_spill_bytes, shuffle_write_ms * 1000000 AS shuffle_write_ns, fetch_wait_ms, shuffle_write_bytes, input_bytes, output_bytes, shuffle_read_bytes, speculative, reason, failed, src_host, finish_ms >= launch_ms AS valid FROM v_task")
 from_lines("executor_events", L.executor_events, "SELECT app_id AS log, executor_id, time_ms, cores::int AS cores, added FROM v_executor_event")
+from_lines("plan_metrics", lambda x: plans.plan_metrics(x).select("log", "execution_id", "node", "depth", "metric", "kind", "total"), """SELECT app_id AS log, execution_id, node, (CASE k WHEN 7 THEN 1 WHEN 8 THEN 1 WHEN 5 THEN 2 + execution_id % 40 WHEN 3 THEN 3 + execution_id % 40 WHEN 4 THEN 3 + execution_id % 40 ELSE 4 + execution_id % 40 END)::int AS depth,
+  metric, CASE WHEN k IN (2, 3, 4, 8) THEN 'size' ELSE 'sum' END AS kind, total FROM v_node""")
+from_lines("sql_plan_metrics", lambda x: plans.sql_plan_metrics(plans.plan_metrics(x)).drop("skewed_partitions", "coalesced_partitions", "row_amp"), """SELECT app_id AS log, execution_id, max(total) FILTER (k = 1) AS scan_files, max(total) FILTER (k = 2) AS scan_bytes, max(total) FILTER (k = 7) AS output_files, max(total) FILTER (k = 8) AS output_bytes,
+  max(total) FILTER (k = 4) AS broadcast_bytes, max(total) FILTER (k = 3) AS small_side_bytes, max(total) FILTER (k = 5) AS join_rows, max(total) FILTER (k = 5) AS output_rows FROM v_node GROUP BY app_id, execution_id""")
 from_lines("plan_drift", lambda x: plans.plan_drift(x).select("log", "execution_id", "changed"), "SELECT app_id AS log, execution_id, execution_id % 6 = 0 AS changed FROM v_exec")
 from_lines("log_completeness", lambda x: reports.log_completeness(L.build_apps(x), x.select("log", F.concat("log", F.when(F.col("log").endswith("2"), ".inprogress").otherwise("")).alias("name")).distinct()), "SELECT DISTINCT app_id AS log, app_id LIKE '%1' OR app_id LIKE '%2' AS incomplete, app_id LIKE '%2' AS in_progress, false AS compacted FROM v_exec")
 from_lines("stream_execution_state", executions.run_to_end, "SELECT app_id AS log, execution_id, start_ms, end_ms, false AS incomplete FROM v_exec WHERE end_ms > 0")
@@ -193,7 +217,7 @@ def _ingests(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["ingest_logs"] = _ingests
 SQL["ingest_logs"] = duck("""WITH n AS (SELECT app_id, sum(n)::bigint AS lines FROM (
   SELECT app_id, count(*) AS n FROM v_task GROUP BY 1 UNION ALL SELECT app_id, count(*) FROM v_stage GROUP BY 1 UNION ALL SELECT app_id, 2 * count(*) FROM v_job GROUP BY 1 UNION ALL SELECT app_id, count(*) FROM v_executor_event GROUP BY 1
-  UNION ALL SELECT app_id, count(*) + count(*) FILTER (end_ms > 0) + count(*) FILTER (execution_id % 3 = 0) FROM v_exec GROUP BY 1 UNION ALL SELECT DISTINCT app_id, 2 + (app_id NOT LIKE '%1')::int FROM v_exec) GROUP BY app_id),
+  UNION ALL SELECT app_id, 2 * count(*) + count(*) FILTER (end_ms > 0) + count(*) FILTER (execution_id % 3 = 0) FROM v_exec GROUP BY 1 UNION ALL SELECT DISTINCT app_id, 2 + (app_id NOT LIKE '%1')::int FROM v_exec) GROUP BY app_id),
 m AS (SELECT app_id, lines + CASE WHEN app_id LIKE '%7' THEN (SELECT count(*) FROM v_exec e WHERE e.app_id = n.app_id) ELSE 0 END AS lines FROM n)
 SELECT 1 AS run, app_id AS log, lines FROM n UNION ALL SELECT 3, app_id, lines FROM m WHERE app_id LIKE '%7' UNION ALL SELECT 4, app_id, lines FROM m""")
 
