@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from runlens.llm.common import ship, stored
 from runlens.llm.simhash import connected
@@ -138,54 +137,106 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, percent: int, block:
     return met.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _across(percent: int, most: int | None):
-    """Pairs of one bucket's sets that lie in different components and may be linked by size and signature; of each set
-    the `most` likely ones only, or all."""
-    least = least_agreement(percent)
-
-    def pairs(s: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, (8 << 20) // (len(s) * sig.shape[1]))
-        for a in range(0, len(s), step):
-            agree = (sig[a : a + step, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
-            x, y = n[a : a + step, None], n[None, :]
-            may = (agree >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (comp[a : a + step, None] != comp[None, :])
-            if most is not None and len(s) > most:
-                agree[~may] = -1
-                top = np.argpartition(-agree, most, axis=1)[:, :most]
-                kept = np.zeros_like(may)
-                np.put_along_axis(kept, top, True, axis=1)
-                may &= kept
-            i, j = np.nonzero(may)
-            if len(i):
-                yield s[a + i], s[j]
+def _places(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs work on the rows of each (key, place), which must lie together; a task holds the rows of one place and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            _, comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)
-            if comp.max(initial=0) == 0:
-                return
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            for a, b in pairs(np.array(t["s"].to_pylist(), object), comp, t["n"].to_numpy(), sig):
-                low = [x if x < y else y for x, y in zip(a, b)]
-                high = [y if x < y else x for x, y in zip(a, b)]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
-
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            place, key = held["place"].to_numpy(), held["key"].to_numpy()
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(place) != 0)) + 1
-            for x, y in zip([0, *cuts[:-1]], cuts):
-                yield from give(held.slice(int(x), int(y - x)))
-            held = held.slice(int(cuts[-1])) if len(cuts) else held
-        if held is not None and held.num_rows:
-            yield from give(held)
+            if not b.num_rows:
+                continue
+            place, key = b["place"].to_numpy(), b["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(place) != 0)) + 1).tolist(), b.num_rows]
+            if held and (held[-1]["place"][-1] != b["place"][0] or held[-1]["key"][-1] != b["key"][0]):
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            for x, y in zip(cuts, cuts[1:]):
+                if x:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
+def _components(t: pa.Table) -> np.ndarray:
+    return np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
+
+
+def _open_ends(percent: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """The sets of a place that size and signature do not rule out to be linked with one of another component there."""
+    least = least_agreement(percent)
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        comp = _components(t)
+        if comp.max(initial=0) == 0:
+            return
+        n, sig = t["n"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        step = max(1, (8 << 20) // sig.size)
+        open_ = np.zeros(len(n), bool)
+        for a in range(0, len(n), step):
+            part = slice(a, a + step)
+            agree = (sig[part, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+            low, high = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
+            open_[part] = ((agree >= least) & (100 * low >= percent * high) & (comp[part, None] != comp)).any(axis=1)
+        if open_.any():
+            yield from t.select(["key", "place", "s", "comp"]).filter(pa.array(open_)).combine_chunks().to_batches()
+
+    return work
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two different sets. What one set alone holds is left out, the rest goes through products of
+    blocks of a 0/1 matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    owner, column = owner[use], shared[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        x, y = np.searchsorted(column, (a, a + columns))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[x:y], column[x:y] - a] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _links(width: int, percent: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """Links (a, b) between the components of a place's sets, found on the full sets of their texts: all that are needed to join
+    the components that any link joins, and no more."""
+    words = _Words()
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        comp = _components(t)
+        if comp.max(initial=0) == 0:
+            return
+        sets = [shingles(x.as_py(), width, words) for x in t["text"]]
+        both = overlaps(sets)
+        n = np.array([len(x) for x in sets])
+        i, j = np.nonzero(np.triu((100 * both >= percent * (n[:, None] + n - both)) & (comp[:, None] != comp)))
+        _, first = np.unique(np.minimum(comp[i], comp[j]) * len(n) + np.maximum(comp[i], comp[j]), return_index=True)
+        up = list(range(len(n)))
+        a, b, s = [], [], t["s"].to_pylist()
+        for x, y in zip(i[first].tolist(), j[first].tolist()):
+            p, q = comp[x], comp[y]
+            while up[p] != p:
+                p = up[p]
+            while up[q] != q:
+                q = up[q]
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(s[x])
+                b.append(s[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return work
+
+
 def _dealt(rows: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
     """Rows (key, s, ...) with a `place`: buckets of more than `hot` sets (sizes: key, members) are dealt in parts, and
     each pair of parts is a place of its own; exact, with bounded memory."""
@@ -195,22 +246,21 @@ def _dealt(rows: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
     return rows.withColumn("own", own).withColumn("place", F.explode(places)).drop("own", "parts")
 
 
-def linked_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot: int = 8192) -> DataFrame | None:
+def linked_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot: int) -> DataFrame | None:
     """(fp, root): the smallest set that links of `percent` or more lead to, for all sets (s, least, n, sig, keys) with a link.
 
-    Sets that share a band key are met in its bucket. Links are looked for in rounds, each among sets that are not yet
-    connected, each confirmed on the full sets: first between a set and the first set of the bucket that it shares most
-    bands with, then the first sets of its other buckets, then the most likely pairs within buckets, at last all
-    pairs within buckets that size and signature do not rule out. Groups of many copies are so connected by a few pairs
-    each, and no link between components is left out but by the bands' and the estimate's chance (see near_duplicates).
+    Sets that share a band key meet in its bucket. First each set is held against one other, the first of the bucket that
+    it shares most bands with: groups of copies are mostly connected by that. Then within each bucket all pairs of sets in
+    different components count: sets whose sizes and signatures rule out any such link drop out, the texts of the others go
+    to the bucket, where all pairs are decided at once and only links that join components leave the task. So the rows that
+    are moved follow the sets and their bands, never the pairs, and no link between components is left out but by the
+    bands' and the signatures' chance (see near_duplicates).
     """
     places = sets.select("s", F.explode("keys").alias("key"))
     first = places.groupBy("key").agg(F.min("s").alias("first"), F.count("*").alias("members")).where("members > 1")
     met = stored(places.join(first, "key"), "minmax-buckets")
-    sizes = met.where("s = first").select("key", "members")
-    stars = met.where("s <> first").groupBy(F.col("first").alias("a"), F.col("s").alias("b")).agg(F.count("*").alias("bands"))
-    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bands"), "a"))
-    stars = stored(stars.withColumn("nth", nth), "minmax-stars")
+    stars = met.where("s <> first").groupBy("s", "first").agg(F.count("*").alias("bands"))
+    stars = stars.groupBy("s").agg(F.min(F.struct((-F.col("bands")).alias("bands"), F.col("first").alias("a"))).alias("e")).select("e.a", F.col("s").alias("b"))
 
     wanted = met.select("s").distinct().join(sets.select("s", "least"), "s")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -222,36 +272,24 @@ def linked_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, wi
             yield b.filter(pa.array([xxhash.xxh3_128_digest(shingles(t.as_py(), width, words).tobytes()) == s.as_py() for s, t in zip(b.column(0), b.column(1))], pa.bool_()))
 
     texts = stored(own.mapInArrow(same, "s binary, text string").dropDuplicates(["s"]), "minmax-texts")
-
-    tested: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def component(df: DataFrame, col: str, name: str) -> DataFrame:
-        if roots is None:
-            return df.withColumn(name, F.col(col))
-        return df.join(roots.select(F.col("fp").alias(col), F.col("root").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
-
-    def inside(most: int | None) -> DataFrame:
-        rows = component(met.select("key", "s"), "s", "comp")
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key").join(sizes, "key")
-        rows = _dealt(rows.join(sets.select("s", "n", "sig"), "s"), mixed, hot).repartition("key", "place").sortWithinPartitions("key", "place", "s")
-        found = rows.select("key", "place", "s", "comp", "n", "sig").mapInArrow(_across(percent, most), "a binary, b binary").distinct()
-        return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-
-    def others() -> DataFrame:
-        rows = component(component(stars.where("nth > 1").select("a", "b"), "a", "x"), "b", "y")
-        return rows.where("x <> y").select("a", "b")
-
-    for k, edges in enumerate((lambda: stars.where("nth = 1").select("a", "b"), others, lambda: inside(4), lambda: inside(None))):
-        got = stored(confirm(edges(), texts, width, percent), f"minmax-links-{k}")
-        tested = got if tested is None else tested.unionByName(got)
-        if not got.where("linked").isEmpty():
-            links = tested.where("linked").select(F.col("a").alias("fp"), F.col("b").alias("to"))
-            roots = connected(links)
-    return roots
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT, hot: int = 8192) -> DataFrame:
+    links = stored(confirm(stars, texts, width, percent).where("linked").select(F.col("a").alias("fp"), F.col("b").alias("to")), "minmax-stars")
+    roots = None if links.isEmpty() else connected(links)
+
+    rows = met.select("key", "s")
+    if roots is not None:
+        rows = rows.join(roots.select(F.col("fp").alias("s"), F.col("root").alias("comp")), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
+    else:
+        rows = rows.withColumn("comp", F.col("s"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("key", "members")
+    at_place = lambda x: x.repartition("key", "place").sortWithinPartitions("key", "place", "s")
+    rows = at_place(_dealt(rows.join(sets.select("s", "n", "sig"), "s"), mixed, hot)).select("key", "place", "s", "comp", "n", "sig")
+    open_ = rows.mapInArrow(_places(_open_ends(percent)), "key long, place long, s binary, comp binary")
+    found = at_place(open_.join(texts, "s")).select("key", "place", "s", "comp", "text").mapInArrow(lambda batches: _places(_links(width, percent))(batches), "a binary, b binary")
+    more = stored(found.select(F.col("a").alias("fp"), F.col("b").alias("to")).distinct(), "minmax-links")
+    return roots if more.isEmpty() else connected(links.unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT, hot: int = 1024) -> DataFrame:
     """Components of near-duplicate texts: doc_id, n_shingles, component_id (the smallest identifier reachable), kept.
 
     A text's set holds its distinct shingles of `width` words, lower-cased in A-Z, as 64-bit hashes. Texts link if the
@@ -259,7 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from min-max hashing: of 64 permutations both the minimum and the maximum are kept, 128 values from 64 evaluations,
     each pair of which agrees with a chance of the similarity, and varies less than 128 minima would. 32 bands of four
     values: a pair at 85 % shares none with a chance of (1 - 0.85 ** 4) ** 32 = 6e-11, nearer ones with less. Equal sets
-    are worked on once. Buckets of more than `hot` sets are dealt in parts.
+    are worked on once. Buckets of more than `hot` sets are dealt in parts, each pair of which is worked on by itself.
+    A pair at 85 % agrees in too few of the 128 values with a chance of 1e-9 (`least_agreement`).
 
     Fewer words than `width`: one shingle, the whole sequence. Null, empty and blank texts have no shingle and are linked
     with nothing. A null identifier is never the smallest, unless all of a component are null (then component_id is null).
