@@ -84,12 +84,16 @@ def completed(contexts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return contexts.withColumns({c: F.lit(None).cast("boolean" if c in _FLAGS else "double") for c in lacking}) if lacking else contexts
 
 
-def filled(text: str, thresholds: dict[str, float]) -> str:
-    for key, value in thresholds.items():
-        text = text.replace("{" + key + "}", repr(value))
-    if "{" in text:
-        raise KeyError(f"a threshold is missing: {text}")
-    return text
+def filled(text: str, thresholds: dict[str, float], own: bool = False) -> str:
+    """The condition with numbers for its thresholds; with `own`, a number in the context's map column `thresholds` goes first."""
+
+    def number(m: re.Match) -> str:
+        if m[1] not in thresholds:
+            raise KeyError(f"a threshold is missing: {m[1]} in {text}")
+        value = repr(thresholds[m[1]])
+        return f"coalesce(thresholds['{m[1]}'], {value})" if own else value
+
+    return re.sub(r"\{([^}]+)\}", number, text)
 
 
 def stage_contexts(tasks: DataFrame, stages: DataFrame, cores: int) -> DataFrame:
@@ -105,17 +109,77 @@ def evaluate_rules(contexts: DataFrame, rules: tuple[Rule, ...], thresholds: dic
     """Every rule on every context in one pass: keys, rule_id, severity, score. A rule whose inputs are null or absent does
     not fire, nor does one that needs a capability which the context's array `capabilities`, if there is one, lacks.
 
-    The score weighs severity (100, 10, 1) by the impact, log10(1 + wall seconds).
+    Thresholds are those given, but for keys that the context's map column `thresholds`, if there is one, has: so applications with
+    thresholds of their own are tested in the same pass (with_thresholds). The score weighs severity (100, 10, 1) by the
+    impact, log10(1 + the larger of wall seconds and, where the context has impact_core_ms, core seconds).
     """
-    gated = "capabilities" in contexts.columns
+    gated, own = "capabilities" in contexts.columns, "thresholds" in contexts.columns
     contexts = completed(contexts, rules)
     may = lambda r: F.size(F.array_except(F.array(*map(F.lit, r.needs)), F.col("capabilities"))) == 0 if gated and r.needs else F.lit(True)
-    found = [F.when(may(r) & F.expr(filled(r.when, thresholds)), F.struct(F.lit(r.id).alias("rule_id"), F.when(F.expr(filled(r.critical, thresholds)), CRITICAL).otherwise(r.severity).alias("severity"))) for r in rules]
-    x = contexts.select(*keys, "wall_ms", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*keys, "wall_ms", "f.*")
+    found = [F.when(may(r) & F.expr(filled(r.when, thresholds, own)), F.struct(F.lit(r.id).alias("rule_id"), F.when(F.expr(filled(r.critical, thresholds, own)), CRITICAL).otherwise(r.severity).alias("severity"))) for r in rules]
+    impact = F.greatest("wall_ms", "impact_core_ms") if "impact_core_ms" in contexts.columns else F.col("wall_ms")
+    x = contexts.select(*keys, impact.alias("wall_ms"), F.explode(F.array_compact(F.array(*found))).alias("f")).select(*keys, "wall_ms", "f.*")
     base = F.when(F.col("severity") == CRITICAL, 100).when(F.col("severity") == WARN, 10).otherwise(1)
     return x.select(*keys, "rule_id", "severity", F.round(base * F.log10(1 + F.greatest("wall_ms", F.lit(0)) / 1000), 6).alias("score"))
 
 
+def with_thresholds(contexts: DataFrame, conf: DataFrame, prefix: str = "runlens.threshold.") -> DataFrame:
+    """Contexts with the thresholds that their application's configuration (app_id, key, value) sets, as a map column. Values that
+    are no numbers and keys that no threshold has are left out. The map holds at most as many entries as there are thresholds."""
+    key = F.substr("key", F.lit(len(prefix) + 1))
+    x = conf.where(F.startswith("key", F.lit(prefix))).select("app_id", key.alias("k"), F.col("value").try_cast("double").alias("v"))
+    x = x.where(F.col("v").isNotNull() & F.col("k").isin(*DEFAULTS)).groupBy("app_id", "k").agg(F.max("v").alias("v"))
+    return contexts.join(x.groupBy("app_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("thresholds")), "app_id", "left")
+
+
+def whole_thresholds(values: dict[str, float]) -> dict[str, float]:
+    """Thresholds that replace all defaults, as from a file of one's own: each default key must be there."""
+    lacking = sorted(set(DEFAULTS) - set(values))
+    if lacking:
+        raise KeyError(f"thresholds are missing: {', '.join(lacking)}")
+    return dict(values)
+
+
+_HOST_RULES = ("Q-05", "Q-12", "Q-13")
+
+
+def apply_interactions(executions: DataFrame, queues: DataFrame, busy: DataFrame) -> DataFrame:
+    """Findings after what other findings say: adjusted severity, score rescaled with it, confidence, caveats.
+
+    executions: app_id, execution_id, stage_id, rule_id, severity, score, join_path_share (null: unknown); queues: app_id, rule_id, severity, score;
+    busy: (app_id, execution_id) of executions whose S-14 found a busy pool. First the queue findings of an application, and the
+    rules that its executions fire, become flags; then these join every finding: a busy pool or a storm (Q-16) lowers S-01 to S-13 by a
+    step; missing events (DQ-01) cap S-01, S-02, S-07, S-08 and S-11 at a warning; bad clocks (DQ-02) lower Q-05, Q-12 and Q-13; S-17 off the
+    longest path is information; Q-05 with Q-12, S-28 with Q-05 and Q-14 with S-26 get a caveat.
+    """
+    fired = lambda r, name: F.bool_or(F.col("rule_id") == r).alias(name)
+    flags = queues.groupBy("app_id").agg(fired("Q-16", "storm"), fired("DQ-01", "partial"), fired("DQ-02", "clocks"), fired("Q-05", "bad_host"), fired("Q-12", "bad_io"))
+    amp = executions.where("rule_id = 'S-26'").select("app_id", F.lit(True).alias("row_amp")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    q = queues.select("app_id", none("long").alias("execution_id"), none("long").alias("stage_id"), "rule_id", "severity", "score", none("double").alias("join_path_share"))
+    x = executions.select(*q.columns).unionByName(q).join(flags, "app_id", "left").join(amp, "app_id", "left")
+    x = x.join(busy.select("app_id", "execution_id", F.lit(True).alias("queued")).distinct(), ["app_id", "execution_id"], "left")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    rule, n = F.col("rule_id"), F.regexp_extract("rule_id", r"^S-(\d+)$", 1).try_cast("int")
+    low = is_(n.between(1, 13)) & (is_("queued") | is_("storm"))
+    capped = is_(n.isin(1, 2, 7, 8, 11)) & is_("partial")
+    hosts = rule.isin(*_HOST_RULES) & is_("clocks")
+    off = (rule == "S-17") & (F.coalesce("join_path_share", F.lit(0.0)) <= 0)
+    down = lambda s: F.greatest(s - 1, F.lit(INFO))
+    s = F.when(low, down(F.col("severity"))).otherwise(F.col("severity"))
+    s = F.when(capped, F.least(s, F.lit(WARN))).otherwise(s)
+    s = F.when(hosts, down(s)).otherwise(s)
+    s = F.when(off, INFO).otherwise(s)
+    weight = lambda c: F.when(c == CRITICAL, 100).when(c == WARN, 10).otherwise(1)
+    caveats = F.array_compact(F.array(
+        F.when(low, F.when(is_("queued"), "queue").otherwise("storm")), F.when(capped, "missing events"), F.when(hosts, "clocks"), F.when(off, "off the longest path"),
+        F.when((rule == "Q-05") & is_("bad_io"), "slow by its disks"), F.when((rule == "S-28") & is_("bad_host"), "hides a slow host"), F.when((rule == "Q-14") & is_("row_amp"), "rows multiply"),
+    ))
+    confidence = F.when(hosts, "LOW").when(low | capped, "MEDIUM").otherwise("HIGH")
+    out = x.withColumns({"adjusted": s, "confidence": confidence, "caveats": caveats})
+    return out.select("app_id", "execution_id", "stage_id", "rule_id", "severity", "adjusted", F.round(F.col("score") * weight(F.col("adjusted")) / weight(F.col("severity")), 6).alias("score"), "confidence", "caveats")
+
+
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Place of each finding in its application: those that are not suppressed first (where that is known), then score, then
     severity, then rule and stage."""

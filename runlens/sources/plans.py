@@ -97,12 +97,19 @@ def heap_headroom(lines: DataFrame, memory: DataFrame, factor: float = 1.25) ->
     return x.withColumns({"heap_peak_ratio": F.round(F.col("peak_bytes") / F.col("memory_bytes"), 6), "suggested_bytes": F.floor(F.col("peak_bytes") * factor).cast("long")})
 
 
+def heap_trend(heaps: DataFrame, stages: DataFrame, key: str = "log") -> DataFrame:
+    """Slope of an application's hourly heap peaks in bytes an hour, the mean of its first quarter of hours, the last hour's peak.
+    heaps: heap_peaks; stages: completion_ms says which hour a stage's peak belongs to. At most a row an hour is sorted."""
+    hour = stages.where("completion_ms > 0").select(key, F.col("stage_id").cast("long").alias("stage_id"), F.expr("completion_ms div 3600000").alias("hour"))
+    x = heaps.withColumn("stage_id", F.col("stage_id").cast("long")).join(hour, [key, "stage_id"])
+    h = x.groupBy(key, "hour").agg(F.max("peak_bytes").alias("peak")).withColumn("q", F.ntile(4).over(Window.partitionBy(key).orderBy("hour")))
+    first = F.avg(F.when(F.col("q") == 1, F.col("peak")))
+    return h.groupBy(key).agg(F.round(F.regr_slope("peak", "hour"), 6).alias("heap_slope"), F.round(first, 6).alias("heap_first_quartile"), F.max_by("peak", "hour").alias("last_peak"), F.count("*").alias("hours"))
+
+
 def resource_trend(lines: DataFrame) -> DataFrame:
-    """Slope of the hourly heap peaks of each application, and the means of its first and last quartile of hours."""
-    stage = build_stages(lines).select("log", "stage_id", F.expr("completion_ms div 3600000").alias("hour"))
-    x = parse_events(lines, "StageExecutorMetrics", _HEAP).select("log", F.col("Stage ID").alias("stage_id"), F.col("Executor Metrics.JVMHeapMemory").alias("heap")).join(stage, ["log", "stage_id"])
-    h = x.where("hour is not null").groupBy("log", "hour").agg(F.max("heap").alias("peak")).withColumn("q", F.ntile(4).over(Window.partitionBy("log").orderBy("hour")))
-    return h.groupBy("log").agg(F.regr_slope("peak", "hour").alias("heap_slope"), F.avg(F.when(F.col("q") == 1, F.col("peak"))).alias("heap_first_quartile"), F.max_by("peak", "hour").alias("last_peak"), F.count("*").alias("hours"))
+    """heap_trend of event lines."""
+    return heap_trend(heap_peaks(lines), build_stages(lines))
 
 
 def small_file_backlog(findings: DataFrame, plans: DataFrame) -> DataFrame:
