@@ -190,21 +190,38 @@ def rounded(counts: np.ndarray, solution: Solution, size: int) -> tuple[Plan, np
     return out, left
 
 
-def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.999, margin: float = 0.005) -> tuple[Plan, int]:
+def given_back(patterns: Plan, counts: np.ndarray, part: float) -> tuple[Plan, np.ndarray]:
+    """The plan without a part of its sequences, those with the smallest pieces first, and the counts with their pieces."""
+    want, kept, counts = int(np.ceil(part * sum(n for _, n in patterns))), [], counts.copy()
+    for p, n in sorted(patterns, key=lambda x: min(l for l, _ in x[0])):
+        back = min(n, want)
+        want -= back
+        for l, k in p:
+            counts[l] += back * k
+        if n > back:
+            kept.append((p, n - back))
+    return kept, counts
+
+
+def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.99, parts: tuple[float, ...] = (0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1)) -> tuple[Plan, int]:
     """(plan, tokens that the program's patterns hold) for pieces by length.
 
     The program is solved and rounded; what is left is solved and rounded again, while that places pieces, at most
-    `passes` times. Patterns that are less than `fill` full are given back, as others may use their pieces better, and
-    best fit packs what no pattern holds. Where lengths leave no full patterns (most above half of `size`) that
-    gives more sequences than best fit alone; if those are over `margin` more, best fit alone is the plan.
+    `passes` times. Patterns that are less than `fill` as full as the program's sequences are on the whole are given back, as
+    others may use their pieces better, and best fit packs what no pattern holds. Small pieces are what fills gaps, so the
+    rounding is repaired by giving back growing parts of the sequences with the smallest ones: the part that ends in the
+    fewest sequences is taken, of equal ones the smallest. The last part is all of them, so the plan never has more sequences
+    than best fit alone.
     """
     out: Plan = []
-    left = counts.astype(np.int64).copy()
+    left, usual = counts.astype(np.int64).copy(), 0.0
     for k in range(passes):
-        got, rest = rounded(left, solve(left, size, rounds=24 if not k else 10), size)
+        program = solve(left, size, rounds=24 if not k else 10)
+        got, rest = rounded(left, program, size)
+        usual = usual or float((left * np.arange(size + 1)).sum()) / max(program.value, 1)
         placed = False
         for p, n in got:
-            if sum(l * c for l, c in p) >= fill * size:
+            if sum(l * c for l, c in p) >= fill * usual:
                 out.append((p, n))
                 placed = True
             else:
@@ -213,12 +230,12 @@ def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.999, ma
         left = rest
         if not placed or not left.any():
             break
-    held = sum(n * l * c for p, n in out for l, c in p)
-    out += best_fit(left, size)
-    plain = best_fit(counts, size)
-    if sum(n for _, n in out) > (1 + margin) * sum(n for _, n in plain) + 1:
-        return plain, 0
-    return out, held
+    tries = []
+    for part in parts:
+        kept, rest = given_back(out, left, part)
+        tries.append((kept, kept + best_fit(rest, size)))
+    kept, best = min(tries, key=lambda t: sum(n for _, n in t[1]))
+    return best, sum(n * l * c for p, n in kept for l, c in p)
 
 
 def slots(plan: list, size: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
