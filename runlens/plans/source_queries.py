@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from runlens.functions import text
 from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
 from runlens.plans.fixtures import duck, view
-from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _contention, _light, _util, findings, register
+from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _q, _contention, _light, _util, findings, register
 from runlens.plans.rule_queries import BOTH, QVIEWS, T, _queue_ctx
 from runlens.sources import event_logs as L
 from runlens.sources import ingest, plans, reports
-from runlens.streaming import executions
+from runlens.streaming import executions, snapshots
 
 
 def plan_trees(e: DataFrame) -> DataFrame:
@@ -93,7 +93,9 @@ from_lines("sql_plan_metrics", lambda x: plans.sql_plan_metrics(plans.plan_metri
   max(total) FILTER (k = 4) AS broadcast_bytes, max(total) FILTER (k = 3) AS small_side_bytes, max(total) FILTER (k = 5) AS join_rows, max(total) FILTER (k = 5) AS output_rows FROM v_node GROUP BY app_id, execution_id""")
 from_lines("plan_drift", lambda x: plans.plan_drift(x).select("log", "execution_id", "changed"), "SELECT app_id AS log, execution_id, execution_id % 6 = 0 AS changed FROM v_exec")
 from_lines("log_completeness", lambda x: reports.log_completeness(L.build_apps(x), x.select("log", F.concat("log", F.when(F.col("log").endswith("2"), ".inprogress").otherwise("")).alias("name")).distinct()), "SELECT DISTINCT app_id AS log, app_id LIKE '%1' OR app_id LIKE '%2' AS incomplete, app_id LIKE '%2' AS in_progress, false AS compacted FROM v_exec")
-from_lines("stream_execution_state", executions.run_to_end, "SELECT app_id AS log, execution_id, start_ms, end_ms, false AS incomplete FROM v_exec WHERE end_ms > 0")
+STATES = "SELECT app_id AS log, execution_id, start_ms, CASE WHEN end_ms > 0 THEN end_ms END AS end_ms, (SELECT string_agg(job_id, ',' ORDER BY job_id) FROM v_job j WHERE j.app_id = e.app_id AND j.execution_id = e.execution_id) AS job_ids, CASE WHEN end_ms > 0 THEN 'ended' ELSE 'running' END AS status FROM v_exec e"
+from_lines("stream_execution_state", lambda x: executions.run_to_end(x).withColumn("job_ids", F.array_join(F.col("job_ids").cast("array<string>"), ",")), STATES)
+from_lines("stream_snapshot", lambda x: snapshots.execution_percentiles(executions.run_to_end(x)), f"SELECT app_id AS log, count(*) FILTER (end_ms > 0) AS ended, count(*) FILTER (end_ms <= 0) AS running, 0::bigint AS timed_out, {_q('CASE WHEN end_ms > 0 THEN end_ms - start_ms END', 0.5)} AS p50_ms, {_q('CASE WHEN end_ms > 0 THEN end_ms - start_ms END', 0.95)} AS p95_ms FROM v_exec GROUP BY app_id")
 register("critical_path_stages", dag.critical_path_stages, "v_stage v_task")
 SQL["critical_path_stages"] = duck(_body("max(run_ms)", "critical_ms").replace("w AS dist FROM n", "w AS dist, [stage_id] AS path FROM n").replace("d.dist + n.w FROM", "d.dist + n.w, list_append(d.path, n.stage_id) FROM").split(f"\nSELECT {E}, max(dist)")[0] + f", best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY {E} ORDER BY dist DESC, stage_id, path) = 1) SELECT b.app_id, b.execution_id, b.p AS stage_id, n.w AS ms, round(n.w::double / dist, 6) AS share FROM (SELECT *, unnest(path) AS p FROM best) b JOIN n ON n.app_id = b.app_id AND n.stage_id = b.p").replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -229,3 +231,41 @@ def _logs_to_findings(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["logs_to_findings"] = _logs_to_findings
 SQL["logs_to_findings"] = SQL["rank_findings"]
+
+
+# ---- streams ----
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by log that a stream of log parts sees; every third log also lies there as one file, which it leaves out."""
+    at = executions.shared_folder(spark, "events")
+    x = event_lines(spark, d)
+    _folders(spark, x, f"{at}/logs")
+    x.where("log like '%3'").select("value").write.text(f"{at}/logs/whole")
+    seen = executions.stream_events(spark, f"{at}/logs").select("log", F.col("value").contains("TaskEnd").alias("task"))
+    seen.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("log string, task boolean").parquet(f"{at}/out").groupBy("log").agg(F.count_if("task").alias("tasks"))
+
+
+QUERIES["stream_events"] = _event_stream
+SQL["stream_events"] = duck("SELECT app_id AS log, count(*) AS tasks FROM v_task GROUP BY app_id")
+
+
+def _bucket_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks through a stream in two batches; the second brings some that come too late for their buckets, and is run again."""
+    at, t = executions.shared_folder(spark, "buckets"), view(spark, d, "v_task")
+    write = snapshots.bucket_upsert(f"{at}/out")
+
+    def run(batch: DataFrame, n: int) -> None:
+        write(batch, n)
+        write(batch, n)  # as after a failure: nothing counts twice
+
+    for rows in (t.where("task_id % 97 <> 0"), t.where("task_id % 97 = 0")):
+        rows.write.mode("append").parquet(f"{at}/in")
+        x = spark.readStream.schema(t.schema).parquet(f"{at}/in")
+        x.writeStream.foreachBatch(run).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return snapshots.read_buckets(spark, f"{at}/out")
+
+
+_ontime = lambda c, name: f"(sum(CASE WHEN late THEN 0 ELSE {c} END))::bigint AS {name}"
+QUERIES["stream_bucket_metrics"] = _bucket_stream
+SQL["stream_bucket_metrics"] = duck(f"""WITH w AS (SELECT max(launch_ms) - 600000 AS mark FROM v_task WHERE task_id % 97 <> 0), x AS (SELECT *, launch_ms // 60000 * 60000 AS bucket_ms, task_id % 97 = 0 AND launch_ms // 60000 * 60000 + 60000 <= mark AS late FROM v_task, w)
+SELECT app_id, bucket_ms, {_ontime('1', 'attempts')}, {_ontime('failed::int', 'failed')}, {_ontime('speculative::int', 'speculative')}, {_ontime('run_ms', 'run_ms')}, {_ontime('cpu_ns', 'cpu_ns')}, {_ontime('gc_ms', 'gc_ms')}, {_ontime('fetch_wait_ms', 'fetch_ms')}, count(*) FILTER (late) AS late FROM x GROUP BY ALL""")

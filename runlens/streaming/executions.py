@@ -5,62 +5,113 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from runlens.sources.event_logs import parse_events
+from runlens.sources.event_logs import log_of, parse_events
+from runlens.streaming.snapshots import snapshot_upsert
 
 
 def stream_events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """(log, part, value) of closed log parts as they appear below a path; one folder level names the log."""
+    """(log, part, value) of log parts as they appear below a path. Parts are named as in `log_of`; whole files, files that are
+    still being written and status files are left out, as a log of several forms would count twice and a stream cannot know which
+    of them will come: a stream reads rolled logs, whose parts are closed when they appear."""
     x = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").text(path)
-    file = F.col("_metadata.file_path")
-    part = F.regexp_extract(file, r"events_(\d+)_[^/]*$", 1).try_cast("int")
-    return x.select(F.regexp_replace(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1), "^(eventlog_v2_|log=)", "").alias("log"), F.coalesce(part, F.lit(1 << 30)).alias("part"), "value")
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    log, part, rank = log_of(file)
+    return x.select(log.alias("log"), part.alias("part"), "value", rank.alias("rank")).where(F.col("rank").startswith("0")).drop("rank")
 
 
-def stream_execution_state(lines: DataFrame, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
-    """Executions as they end: log, execution_id, start_ms, end_ms, incomplete.
-
-    State holds the two times of an open execution. One whose other event does not come within `keep_ms` of event time
-    leaves as incomplete, so that state has a bound. For streams only.
-    """
-    one = lambda kind, start: parse_events(lines, kind, "executionId long, time long").select("log", F.col("executionId").alias("execution_id"), F.timestamp_millis("time").alias("ts"), F.lit(start).alias("start"))
-    x = one("SQLExecutionStart", True).unionByName(one("SQLExecutionEnd", False)).withWatermark("ts", late)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end = state.get if state.exists else (None, None)
-        for b in batches:
-            ms = b.ts.astype("int64") // (1_000_000 if b.ts.dtype == "datetime64[ns]" else 1000)
-            if b.start.any():
-                start = min([x for x in (start, int(ms[b.start].min())) if x is not None])
-            if (~b.start).any():
-                end = max([x for x in (end, int(ms[~b.start].max())) if x is not None])
-        if state.hasTimedOut or (start is not None and end is not None):
-            state.remove()
-            yield pd.DataFrame({"log": [key[0]], "execution_id": [key[1]], "start_ms": pd.array([start], "Int64"), "end_ms": pd.array([end], "Int64"), "incomplete": [start is None or end is None]})
-        else:
-            state.update((start, end))
-            state.setTimeoutTimestamp(max((start if end is None else end) + keep_ms, state.getCurrentWatermarkMs() + 1))
+STATE = "log string, execution_id long, start_ms long, end_ms long, job_ids array<long>, status string"
 
-    out = "log string, execution_id long, start_ms long, end_ms long, incomplete boolean"
-    return x.groupBy("log", "execution_id").applyInPandasWithState(step, out, "start long, end long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def snapshot_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch has a folder of its own, so a batch that is run again replaces itself."""
-    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
+def stream_execution_state(lines: DataFrame, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
+    """Executions as they start, go on and end: log, execution_id, start_ms, end_ms, job_ids, status (running, ended, timed_out).
 
-def read_snapshot(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last row of each key over all batches."""
-    x = spark.read.parquet(path)
-    rest = [c for c in x.columns if c not in (*keys, "batch")]
-    return x.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    A row each time something of an execution is seen: while its end is missing it is `running`, also with the jobs known so
+    far. State holds the two times and the jobs of an execution that has not ended; an event-time timer lets one go as
+    `timed_out` that has shown nothing for `keep_ms`, so state has a bound. Events of one that has ended or timed out
+    begin a new row, which the snapshot's order ranks below the final one. For streams only; needs the RocksDB state store.
+    """
+    one = lambda kind, schema, time, of, job: parse_events(lines, kind, schema).select("log", of.alias("execution_id"), F.timestamp_millis(time).alias("ts"), F.lit(kind).alias("kind"), job.alias("job"))
+    none, of_sql = F.lit(None).cast("long"), F.col("executionId")
+    x = one("SQLExecutionStart", "executionId long, time long", "time", of_sql, none).unionByName(one("SQLExecutionEnd", "executionId long, time long", "time", of_sql, none))
+    started = one("JobStart", "`Job ID` long, `Submission Time` long, Properties map<string,string>", "Submission Time", F.col("Properties")["spark.sql.execution.id"].try_cast("long"), F.col("Job ID"))
+    x = x.unionByName(started.where("execution_id is not null")).withWatermark("ts", late)
+
+    class Executions(StatefulProcessor):  # within the function, so that it is sent to tasks whole
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.times = handle.getValueState("times", "start_ms long, end_ms long, seen_ms long")
+            self.jobs = handle.getMapState("jobs", "job long", "seen boolean")
+
+        def row(self, key, start, end, status):
+            jobs = sorted(k[0] for k in self.jobs.keys())
+            return Row(log=key[0], execution_id=key[1], start_ms=start, end_ms=end, job_ids=jobs, status=status)
+
+        def handleInputRows(self, key, rows, timerValues):
+            start, end, seen = self.times.get() or (None, None, 0)
+            for r in rows:
+                ms = int(r.ts.timestamp() * 1000 + 0.5)
+                seen = max(seen, ms)
+                if r.kind == "SQLExecutionStart":
+                    start = ms if start is None else min(start, ms)
+                elif r.kind == "SQLExecutionEnd":
+                    end = ms if end is None else max(end, ms)
+                else:
+                    self.jobs.updateValue((r.job,), (True,))
+            if start is not None and end is not None:
+                yield self.row(key, start, end, "ended")
+                self.forget()
+                return
+            self.times.update((start, end, seen))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
+            self.handle.registerTimer(max(seen + keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            yield self.row(key, start, end, "running")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            start, end, _ = self.times.get() or (None, None, 0)
+            yield self.row(key, start, end, "timed_out")
+            self.forget()
+
+        def forget(self) -> None:
+            self.times.clear()
+            self.jobs.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
+
+        def close(self) -> None:
+            pass
+
+    return x.groupBy("log", "execution_id").transformWithState(Executions(), STATE, "Update", "EventTime")
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_executions(lines: DataFrame, to: str, checkpoint: str, late: str = "1 day", keep_ms: int = 86_400_000) -> None:
+    """Brings the snapshot of executions at a path up to date with the log parts that are there now."""
+    spark = lines.sparkSession
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        rank = F.when(F.col("status") == "ended", 2).when(F.col("status") == "timed_out", 1).otherwise(0)  # a final state goes before a running one, then the one with more jobs
+        x = stream_execution_state(lines, late, keep_ms).withColumns({"rank": rank, "n_jobs": F.size("job_ids"), "block": F.expr("execution_id div 1000")})
+        write = snapshot_upsert(to, ["log", "execution_id", "block"], ["log", "block"], ["rank", "n_jobs"])
+        x.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+
+
+SNAPSHOT = "execution_id long, start_ms long, end_ms long, job_ids array<long>, status string, rank int, n_jobs int, log string, block long"
+
+
+def read_executions(spark: SparkSession, path: str) -> DataFrame:
+    """(log, execution_id, start_ms, end_ms, job_ids, status) of the snapshot: one row an execution, as it was last seen."""
+    return spark.read.schema(SNAPSHOT).parquet(path).drop("rank", "n_jobs", "block")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -74,7 +125,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def run_to_end(lines: DataFrame) -> DataFrame:
     """The executions of logs that are already there, through the stream: lines become log parts, which it reads until none is left."""
     spark, at = lines.sparkSession, shared_folder(lines.sparkSession, "executions")
-    lines.where(F.col("value").contains("SQLExecution")).select("log", "value").repartition("log").write.partitionBy("log").text(f"{at}/logs")
-    x = stream_execution_state(stream_events(spark, f"{at}/logs"))
-    x.writeStream.foreachBatch(snapshot_writer(f"{at}/out")).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
-    return read_snapshot(spark, f"{at}/out", ["log", "execution_id"])
+    lines.where(F.col("value").contains("SQLExecution") | F.col("value").contains("JobStart")).select("log", "value").repartition("log").write.partitionBy("log").text(f"{at}/logs")
+    run_executions(stream_events(spark, f"{at}/logs"), f"{at}/out", f"{at}/check")
+    return read_executions(spark, f"{at}/out")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runlens.sources import event_logs as L
 from runlens.sources import ingest, plans
 from runlens.sources.reports import log_snapshot_key
-from runlens.streaming import executions
+from runlens.streaming import executions, snapshots
 
 UI = "org.apache.spark.sql.execution.ui.SparkListener"
 
@@ -45,17 +45,33 @@ def test_streams(spark, tmp_path):
     log.mkdir(parents=True)
     start, end = UI + "SQLExecutionStart", UI + "SQLExecutionEnd"
     (log / "events_1_app-1").write_text("\n".join(json.dumps(r, separators=(",", ":")) for r in [{"Event": start, "executionId": 1, "time": 5}, {"Event": start, "executionId": 2, "time": 6}, {"Event": end, "executionId": 1, "time": 9}]))
+    job = {"Event": "SparkListenerJobStart", "Job ID": 7, "Submission Time": 7, "Properties": {"spark.sql.execution.id": "1"}}
+    with (log / "events_1_app-1").open("a") as f:
+        f.write("\n" + json.dumps(job, separators=(",", ":")))
+    (tmp_path / "logs" / "app-1").write_text((log / "events_1_app-1").read_text())  # another form of the same log
     out, at = str(tmp_path / "out"), str(tmp_path / "check")
 
     def run():
-        x = executions.stream_execution_state(executions.stream_events(spark, str(tmp_path / "logs")))
-        x.writeStream.foreachBatch(executions.snapshot_writer(out)).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination(100)
+        executions.run_executions(executions.stream_events(spark, str(tmp_path / "logs")), out, at, "0 seconds", 50)
+        return [tuple(r) for r in executions.read_executions(spark, out).orderBy("execution_id").select("execution_id", "start_ms", "end_ms", "job_ids", "status").collect()]
 
+    assert run() == [(1, 5, 9, [7], "ended"), (2, 6, None, [], "running")]
+    (log / "events_2_app-1").write_text("\n".join(json.dumps({"Event": e, "executionId": i, "time": t}, separators=(",", ":")) for e, i, t in [(start, 3, 40), (end, 3, 45), (start, 4, 1000)]))
     run()
-    (log / "events_2_app-1").write_text(json.dumps({"Event": end, "executionId": 2, "time": 20}, separators=(",", ":")))
-    run()
-    got = executions.read_snapshot(spark, out, ["log", "execution_id"]).orderBy("execution_id").collect()
-    assert [tuple(r) for r in got] == [("app-1", 1, 5, 9, False), ("app-1", 2, 6, 20, False)]
+    (log / "events_3_app-1").write_text(json.dumps({"Event": end, "executionId": 4, "time": 1001}, separators=(",", ":")))
+    assert run() == [(1, 5, 9, [7], "ended"), (2, 6, None, [], "timed_out"), (3, 40, 45, [], "ended"), (4, 1000, 1001, [], "ended")]
+
+
+def test_snapshot_keeps_the_newest_row_and_other_partitions(spark, tmp_path):
+    at = str(tmp_path / "out")
+    write = snapshots.snapshot_upsert(at, ["k", "p"], ["p"], ["v"])
+    frame = lambda *rows: spark.createDataFrame(rows, "k long, v long, p long")
+    write(frame((1, 5, 0), (2, 1, 1)), 0)
+    files = set((tmp_path / "out" / "p=1").glob("*.parquet"))
+    write(frame((1, 4, 0), (3, 9, 0)), 1)
+    write(frame((1, 4, 0), (3, 9, 0)), 1)
+    assert set((tmp_path / "out" / "p=1").glob("*.parquet")) == files
+    assert sorted(map(tuple, spark.read.parquet(at).select("k", "v", "p").collect())) == [(1, 5, 0), (2, 1, 1), (3, 9, 0)]
 
 
 def test_snapshot_key_changes_with_any_part(spark):
