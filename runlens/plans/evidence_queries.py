@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, evidence, features, history, rule_sets, rules, waits
+from runlens.operators import dag, evidence, features, history, rule_sets, rules, sketches, waits
 from runlens.operators.intervals import SQL as EXEC
-from runlens.operators.stages import micros, stage_metrics
+from runlens.operators.stages import METRICS, micros, stage_metrics
 from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck
 from runlens.plans.queries import ALL, CORES, CTX, E, K, SQL, TEMPLATE, WITH_LIGHT, _contention, _light, _q, _ratio, findings, register
@@ -191,3 +191,23 @@ s1 AS (SELECT *, CASE WHEN queued OR storm THEN greatest(severity - 1, 0) ELSE s
 SELECT app_id, execution_id, stage_id, rule_id, severity, adjusted, round(score * {_weight('adjusted')} / {_weight('severity')}, 6) AS score, CASE WHEN clk THEN 'LOW' WHEN queued OR storm OR part THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
 concat_ws('; ', CASE WHEN queued THEN 'queue' WHEN storm THEN 'storm' END, CASE WHEN part THEN 'missing events' END, CASE WHEN clk THEN 'clocks' END, CASE WHEN off_path THEN 'off the longest path' END, CASE WHEN rule_id = 'Q-05' AND {_has('Q-12')} THEN 'slow by its disks' END,
   CASE WHEN rule_id = 'S-28' AND {_has('Q-05')} THEN 'hides a slow host' END, CASE WHEN rule_id = 'Q-14' AND app_id IN (SELECT app_id FROM al WHERE rule_id = 'S-26') THEN 'rows multiply' END) AS caveats FROM s3""")
+
+
+# ---- sketches ----
+def _sketched(t: DataFrame) -> DataFrame:
+    """Nine distributions of each application from the sketches of its stages: whether each quantile's rank is within 0.02 of its place."""
+    by_stage = sketches.metric_sketches(t, ["app_id", "execution_id", "stage_id"])
+    points = sketches.sketch_points(sketches.merged_sketches(by_stage, ["app_id"]), ["app_id"]).drop("n")
+    return sketches.rank_errors(points, t, ["app_id"], METRICS).select("app_id", "n", (F.col("worst") <= 0.02).alias("within"))
+
+
+def _sketched_baselines(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    light = _light(t, s, j, e)
+    runs = sketches.baseline_sketches(light, e, _run())
+    points = sketches.sketch_points(sketches.merged_sketches(runs, ["template"], ("duration",)), ["template"], ("duration",)).drop("n")
+    all_ = light.where("duration_ms > 0 and not running").join(e.select(*EXEC, text.template_hash(F.col("description")).alias("template")), EXEC)
+    return sketches.rank_errors(points, all_, ["template"], {"duration": "duration_ms"}).select("template", "n", (F.col("worst") <= 0.02).alias("within"))
+
+
+register("sketched_distributions", _sketched, "v_task", "SELECT app_id, count(*) AS n, true AS within FROM v_task GROUP BY app_id")
+register("sketched_baselines", _sketched_baselines, ALL, f"SELECT md5({TEMPLATE}) AS template, count(*) AS n, true AS within FROM v_exec WHERE end_ms > start_ms GROUP BY 1")
