@@ -124,11 +124,14 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chars: int, modulus: in
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Written as a table in the shared checkpoint folder, dealt into buckets by a key, so that later groupings by it move only
-    the other side."""
+    the other side. Only the catalogue can say how files are dealt, so the table is entered there, looked up and taken out again;
+    the files stay, and the DataFrame knows them."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.format("parquet").option("compression", "zstd").option("path", f"{checkpoint_dir(spark)}/{table}").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of files with a path of their own: the entry goes alone
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

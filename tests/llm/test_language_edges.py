@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from runlens.llm import exact_dedup, language
+from runlens.llm import exact_dedup, language, pitman_yor
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fold int, share double"
 EN = "the quick brown fox jumps over the lazy dog and then it sleeps under a tall tree near the old stone bridge "
@@ -73,3 +73,10 @@ def test_own_columns_outlive_dedup(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _n int, _sha string, nth int")
     kept = exact_dedup.keep_first(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == [rows[0], rows[2]]
+
+
+def test_scores_leave_no_tables_behind(spark):
+    docs = spark.createDataFrame([(k, EN if k % 2 else DE) for k in range(20)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert pitman_yor.score_texts(docs, sweeps=2, burn_in=1).count() == 20
+    assert {t.name for t in spark.catalog.listTables()} == before
