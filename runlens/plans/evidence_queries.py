@@ -86,7 +86,7 @@ pe AS (SELECT template, run, {', '.join(f'({_mean(c)})::bigint AS {n}' for c, n
 ba AS (SELECT *, {', '.join(f'((sum({n}) OVER w * 2 + count({n}) OVER w) // (count({n}) OVER w * 2))::bigint AS base_{n}' for n in _names.values())}, count(*) OVER w AS seen, lag(plan) OVER (PARTITION BY template ORDER BY run) AS last_plan FROM pe JOIN pl USING (template, run) WINDOW w AS {_before})"""
 register("template_causes", lambda *v: evidence.template_causes(_template_history(*v), 1.05, 500, 3, 14, 1.05), ALL, f"""WITH {HIST}, x AS (SELECT * FROM ba WHERE seen >= 3 AND time >= greatest(base_time * 1.05, base_time + 500))
 SELECT template, run, time, base_time, seen, plan <> last_plan AS plan_changed, CASE WHEN {_more('input')} THEN 'INPUT' WHEN {_more('shuffle')} THEN 'SHUFFLE' WHEN {_more('skew')} THEN 'SKEW' WHEN plan <> last_plan THEN 'PLAN' WHEN {_more('wait')} THEN 'QUEUE' ELSE 'UNEXPLAINED' END AS cause,
-CASE WHEN {_more('input')} THEN {_grow('input')} WHEN {_more('shuffle')} THEN {_grow('shuffle')} WHEN {_more('skew')} THEN {_grow('skew')} WHEN plan <> last_plan THEN 1 WHEN {_more('wait')} THEN least({_ratio('wait - base_wait', 'time - base_time')}, 1) ELSE 0 END::double AS share FROM x""")
+CASE WHEN {_more('input')} THEN {_grow('input')} WHEN {_more('shuffle')} THEN {_grow('shuffle')} WHEN {_more('skew')} THEN {_grow('skew')} WHEN plan <> last_plan THEN 1 WHEN {_more('wait')} THEN least({_ratio('wait - base_wait', 'time - base_time')}, 1) ELSE 0 END::double AS share FROM x""", written=True)
 
 
 # ---- rules that need plans, heaps, baselines and windows ----
@@ -133,7 +133,7 @@ register("plan_rules_of_evidence", _plan_rules, f"{ALL} v_node", f"""{PCTX} {rul
     ('S-05', 'scan_files >= 1000 AND scan_bytes <= 8388608 * scan_files', '1'), ('S-06', 'output_files >= 500 AND output_bytes <= 16777216 * output_files', '1'),
     ('S-17', '(sort_merge_join OR shuffled_hash_join) AND small_side_bytes BETWEEN 1 AND 67108864', '1'), ('S-18', 'broadcast_bytes >= 536870912', '2'), ('S-19', 'empty_partition_filters AND scan_files >= 2000', '1'),
     ('S-22', 'baseline_samples >= 3 AND p50_ms >= greatest(1.1 * baseline_p50_ms, baseline_p50_ms + 1000)', 'CASE WHEN plan_changed THEN 2 ELSE 1 END'),
-    ('S-25', 'cartesian OR (nested_loop AND (join_rows >= 1200000 OR join_path_share >= 0.3))', '2'), ('S-26', 'row_amp >= 10 AND join_rows >= 1000000', '2')], 'pctx', E)}""")
+    ('S-25', 'cartesian OR (nested_loop AND (join_rows >= 1200000 OR join_path_share >= 0.3))', '2'), ('S-26', 'row_amp >= 10 AND join_rows >= 1000000', '2')], 'pctx', E)}""", written=True)
 
 
 def _drift(e: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ dr AS (SELECT app_id, ratio AS p50_ratio, regressed_share FROM (SELECT DISTINCT
 z AS (SELECT * FROM (SELECT app_id, max(end_ms) - min(start_ms) AS wall_ms FROM v_exec GROUP BY app_id) LEFT JOIN mo USING (app_id) LEFT JOIN he USING (app_id) LEFT JOIN sy USING (app_id) LEFT JOIN sm USING (app_id) LEFT JOIN dr USING (app_id) LEFT JOIN ck USING (app_id) LEFT JOIN fv USING (app_id) LEFT JOIN trend USING (app_id))
 {rule_sql.found([
     ('Q-04', 'monopoly_minutes >= 1 AND monopoly_share >= 0.6 AND monopoly_active >= 2', '2'), ('Q-07', 'heap_slope <> 0 OR heap_first_quartile IS NOT NULL', '0'), ('Q-10', 'small_file_queries > 0', '1'), ('Q-11', 'systemic_norm >= 1.05 AND systemic_active >= 2', '1'),
-    ('Q-13', 'fetch_failures >= 5 AND (fetch_row_share >= 0.5 OR fetch_rack_share >= 0.5 OR fetch_diffuse)', '2'), ('Q-18', 'p50_ratio >= 1.05 OR regressed_share >= 0.3', '2'), ('DQ-02', 'negative_durations > 0 OR abs(clock_skew_ms) >= 5000', '1')], 'z', 'app_id')}""")
+    ('Q-13', 'fetch_failures >= 5 AND (fetch_row_share >= 0.5 OR fetch_rack_share >= 0.5 OR fetch_diffuse)', '2'), ('Q-18', 'p50_ratio >= 1.05 OR regressed_share >= 0.3', '2'), ('DQ-02', 'negative_durations > 0 OR abs(clock_skew_ms) >= 5000', '1')], 'z', 'app_id')}""", written=True)
 
 
 # ---- interactions ----
@@ -190,7 +190,7 @@ fl AS (SELECT *, rule_id IN ('S-01', 'S-02', 'S-03', 'S-04', 'S-05', 'S-06', 'S-
 s1 AS (SELECT *, CASE WHEN queued OR storm THEN greatest(severity - 1, 0) ELSE severity END AS a FROM fl), s2 AS (SELECT *, CASE WHEN part THEN least(a, 1) ELSE a END AS b FROM s1), s3 AS (SELECT *, CASE WHEN off_path THEN 0 WHEN clk THEN greatest(b - 1, 0) ELSE b END AS adjusted FROM s2)
 SELECT app_id, execution_id, stage_id, rule_id, severity, adjusted, round(score * {_weight('adjusted')} / {_weight('severity')}, 6) AS score, CASE WHEN clk THEN 'LOW' WHEN queued OR storm OR part THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
 concat_ws('; ', CASE WHEN queued THEN 'queue' WHEN storm THEN 'storm' END, CASE WHEN part THEN 'missing events' END, CASE WHEN clk THEN 'clocks' END, CASE WHEN off_path THEN 'off the longest path' END, CASE WHEN rule_id = 'Q-05' AND {_has('Q-12')} THEN 'slow by its disks' END,
-  CASE WHEN rule_id = 'S-28' AND {_has('Q-05')} THEN 'hides a slow host' END, CASE WHEN rule_id = 'Q-14' AND app_id IN (SELECT app_id FROM al WHERE rule_id = 'S-26') THEN 'rows multiply' END) AS caveats FROM s3""")
+  CASE WHEN rule_id = 'S-28' AND {_has('Q-05')} THEN 'hides a slow host' END, CASE WHEN rule_id = 'Q-14' AND app_id IN (SELECT app_id FROM al WHERE rule_id = 'S-26') THEN 'rows multiply' END) AS caveats FROM s3""", written=True)
 
 
 # ---- sketches ----

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.sources.folders import written
+
 BASE = 1704067200000  # fixed value: the first millisecond of the fixture applications
 
 V_TASK = f"""
@@ -96,15 +99,31 @@ SELECT app_id, execution_id, 5, 'SortMergeJoin', 'number of output rows', cast(s
 VIEWS = {"v_task": V_TASK, "v_stage": V_STAGE, "v_job": V_JOB, "v_exec": V_EXEC, "v_executor_event": V_EXECUTOR_EVENT, "v_conf": V_CONF, "v_node": V_NODE}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A telemetry view over the given tables."""
+def _made(spark: SparkSession, sf_dir: str, name: str, get: Callable[[str], DataFrame]) -> DataFrame:
     text = VIEWS[name].replace("//", "div").format(string="string", array="array", empty="cast(array() as array<bigint>)")
     if name == "v_task":
         return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     needs = [x for x in VIEWS if x != name and re.search(rf"\b{x}\b", text)]
     for x in needs:
         text = re.sub(rf"\b{x}\b", "{" + x + "}", text)
-    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in needs})
+    return spark.sql(text, **{x: get(x) for x in needs})
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A telemetry view over the given tables."""
+    return _made(spark, sf_dir, name, lambda x: view(spark, sf_dir, x))
+
+
+def written_views(spark: SparkSession, sf_dir: str, names: list[str]) -> list[DataFrame]:
+    """Views that are written once, as tables of a store would be, for queries that look at them many times."""
+    got: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name not in got:
+            got[name] = written(_made(spark, sf_dir, name, get), name)
+        return got[name]
+
+    return [get(x) for x in names]
 
 
 def duck(sql: str) -> str:

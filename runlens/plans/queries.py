@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import text
 from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
 from runlens.plans import rule_sql
-from runlens.plans.fixtures import duck, view
+from runlens.plans.fixtures import duck, view, written_views
 from runlens.streaming import buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def register(name: str, make: Callable[..., DataFrame], views: str, sql: str | None = None) -> None:
-    """Registers make(view, ...) over the named views, with its SQL."""
-    QUERIES[name] = lambda spark, d: make(*[view(spark, d, v) for v in views.split()])
+def register(name: str, make: Callable[..., DataFrame], views: str, sql: str | None = None, written: bool = False) -> None:
+    """Registers make(view, ...) over the named views, with its SQL. written: the views become tables first, as many parts of the
+    query look at them."""
+    QUERIES[name] = lambda spark, d: make(*(written_views(spark, d, views.split()) if written else [view(spark, d, v) for v in views.split()]))
     if sql:
         SQL[name] = duck(sql)
 
@@ -124,10 +125,10 @@ def _contention(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataF
 
 
 ALL = "v_task v_stage v_job v_exec"
-register("query_contention", _contention, ALL, f"{CONT} SELECT * FROM cont")
+register("query_contention", _contention, ALL, f"{CONT} SELECT * FROM cont", written=True)
 register("starvation_windows", lambda *v: _contention(*v).where("limited and own_share <= 0.2").select("app_id", "execution_id", "own_share"), ALL, f"{CONT} SELECT {E}, own_share FROM cont WHERE limited AND own_share <= 0.2")
 register("top_resource_hogs", lambda *v: queue.top_resource_hogs(_contention(*v)), ALL, f"{CONT} SELECT {E}, place, own_core_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY own_core_ms DESC, execution_id) AS place FROM cont) WHERE place <= 10")
-register("contention_report", lambda t, s, j, e: queue.contention_report(_contention(t, s, j, e), _util(t, e)), ALL, f"{CONT}, {UTIL[len(SWEEP) + 2:]} SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, (SELECT count(*) FROM util u WHERE u.app_id = cont.app_id AND utilization >= 0.95) AS hot_buckets FROM cont GROUP BY app_id")
+register("contention_report", lambda t, s, j, e: queue.contention_report(_contention(t, s, j, e), _util(t, e)), ALL, f"{CONT}, {UTIL[len(SWEEP) + 2:]} SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, (SELECT count(*) FROM util u WHERE u.app_id = cont.app_id AND utilization >= 0.95) AS hot_buckets FROM cont GROUP BY app_id", written=True)
 _fill = ", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in "completed run_ms cpu_ns fetch_ms gc_ms attempts failed speculative".split())
 register("latency_timeline", lambda t, e: intervals.latency_timeline(e, t, CORES), "v_task v_exec", f"""WITH {UTIL.replace('60000', '300000')}, y AS ({BUCKETS.replace('60000', '300000')}), d AS (SELECT app_id, start_ms // 300000 * 300000 AS bucket_ms, count(*) AS completed, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, quantile_disc(end_ms - start_ms, 0.99) AS p99 FROM v_exec WHERE end_ms > start_ms GROUP BY ALL)
 SELECT app_id, bucket_ms, busy_core_ms, utilization, p50, p95, p99, {_fill}, CASE WHEN y.run_ms IS NULL THEN NULL ELSE least(1.0, {_ratio('y.cpu_ns / 1e6', 'y.run_ms')})::double END AS cpu_efficiency FROM util LEFT JOIN d USING (app_id, bucket_ms) LEFT JOIN y USING (app_id, bucket_ms)""")
@@ -136,7 +137,7 @@ _zero = ", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in "submitted complet
 register("occupancy_rollup", lambda t, j, e: intervals.occupancy_rollup(t, e, j, CORES), "v_task v_job v_exec", f"""WITH {UTIL.replace('60000', '10000')}, k AS (SELECT app_id, w, bucket_ms // w * w AS b, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean, max(utilization) AS peak, {_ratio('count(*) FILTER (utilization >= 0.85)', 'count(*)')} AS busy_ratio FROM util, {_wide} GROUP BY app_id, w, bucket_ms // w * w),
 su AS (SELECT app_id, w, start_ms // w * w AS b, count(*) AS submitted FROM v_exec, {_wide} GROUP BY ALL), co AS (SELECT app_id, w, (end_ms - 1) // w * w AS b, count(*) AS completed, count(*) FILTER (f) AS failed FROM v_exec LEFT JOIN (SELECT {E}, bool_or(failed) AS f FROM v_job GROUP BY {E}) USING ({E}), {_wide} WHERE end_ms > start_ms GROUP BY ALL),
 rd AS (SELECT app_id, w, launch_ms // w * w AS b, sum(input_bytes + shuffle_read_bytes) AS bytes FROM v_task, {_wide} GROUP BY ALL), ac AS (SELECT k.app_id, k.w, k.b, count(*) AS active FROM k JOIN (SELECT v.app_id, start_ms, CASE WHEN end_ms > start_ms THEN end_ms ELSE win.z END AS z FROM v_exec v JOIN win USING (app_id)) e ON e.app_id = k.app_id AND e.start_ms < k.b + k.w AND e.z > k.b AND e.z > e.start_ms GROUP BY ALL)
-SELECT app_id, w AS width_ms, b AS bucket_ms, mean, peak, busy_ratio, {_zero} FROM k LEFT JOIN su USING (app_id, w, b) LEFT JOIN co USING (app_id, w, b) LEFT JOIN rd USING (app_id, w, b) LEFT JOIN ac USING (app_id, w, b)""")
+SELECT app_id, w AS width_ms, b AS bucket_ms, mean, peak, busy_ratio, {_zero} FROM k LEFT JOIN su USING (app_id, w, b) LEFT JOIN co USING (app_id, w, b) LEFT JOIN rd USING (app_id, w, b) LEFT JOIN ac USING (app_id, w, b)""", written=True)
 
 # ---- stage graphs and estimates ----
 _path = lambda w, name: f"""WITH RECURSIVE n AS (SELECT {E}, stage_id, {w} AS w, any_value(parent_ids) AS ps FROM v_stage JOIN v_task USING ({K}) GROUP BY {K}), d AS (SELECT {E}, stage_id, w AS dist FROM n UNION ALL SELECT n.app_id, n.execution_id, n.stage_id, d.dist + n.w FROM d JOIN n ON n.app_id = d.app_id AND n.execution_id = d.execution_id AND list_contains(n.ps, d.stage_id))

@@ -25,7 +25,7 @@ def sql_findings(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> Data
 
 SCTX = f"""WITH sctx AS (SELECT g.app_id, g.execution_id, wall_ms, gap_ratio, jobs, job_p50, wait_ratio, 1 AS critical_ms, failed_tasks, speculative, 0 AS speculative_killed, sort_merge_join, shuffled_hash_join, cartesian, nested_loop, empty_partition_filters, adaptive
 FROM ({SQL['driver_gap']}) g JOIN ({SQL['job_fragmentation']}) USING ({E}) JOIN ({SQL['plan_features']}) USING ({E}) LEFT JOIN ({SQL['sql_queue_wait']}) USING ({E}) JOIN (SELECT {E}, count(*) FILTER (failed) AS failed_tasks, count(*) FILTER (speculative) AS speculative FROM v_task GROUP BY {E}) USING ({E}))"""
-register("evaluate_sql_rules", sql_findings, ALL, f"{SCTX} {found(rule_sql.EXECUTION, 'sctx', E)}")
+register("evaluate_sql_rules", sql_findings, ALL, f"{SCTX} {found(rule_sql.EXECUTION, 'sctx', E)}", written=True)
 
 
 # ---- applications ----
@@ -48,9 +48,9 @@ LEFT JOIN (SELECT app_id, count(DISTINCT rule_id || execution_id) AS memory_pres
 LEFT JOIN (SELECT app_id, count(*) AS partial_stages FROM ({SQL['partial_stages']}) GROUP BY app_id) USING (app_id)
 LEFT JOIN (SELECT app_id, count(*) FILTER (finish_ms < launch_ms) AS negative_durations FROM v_task GROUP BY app_id) USING (app_id) LEFT JOIN ({SQL['queue_window']}) USING (app_id))"""
 BOTH = rule_sets.QUEUE_RULES + rule_sets.DQ_RULES
-register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}")
+register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}", written=True)
 _case = lambda k: "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{a[k]}'" for r, a in rule_sets.ADVICE.items()) + " END"
-register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})")
+register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})", written=True)
 
 # ---- older rules ----
 register("legacy_rules", lambda t, s: rules.evaluate_rules(rules.stage_contexts(t, s, CORES), rule_sets.LEGACY_RULES, {}, stages.STAGE), "v_task v_stage", f"{CTX} {found(rule_sql.OLD_STAGE, 'ctx', K)}")
@@ -74,7 +74,7 @@ def _signals(t: DataFrame, s: DataFrame) -> DataFrame:
 
 register("light_signals", _signals, "v_task v_stage", LIGHT_SIG)
 _n = lambda ids: "count(DISTINCT execution_id) FILTER (rule_id IN (" + ", ".join(f"'{i}'" for i in ids) + "))"
-register("rollup_s_to_q", lambda t, s, j, e: rule_sets.rollup_s_to_q(findings(t, s).select(*EXEC, "rule_id").unionByName(sql_findings(t, s, j, e).select(*EXEC, "rule_id"))), ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sets.ROLLUP.items())} FROM x GROUP BY app_id")
+register("rollup_s_to_q", lambda t, s, j, e: rule_sets.rollup_s_to_q(findings(t, s).select(*EXEC, "rule_id").unionByName(sql_findings(t, s, j, e).select(*EXEC, "rule_id"))), ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sets.ROLLUP.items())} FROM x GROUP BY app_id", written=True)
 
 
 def _capable(e: DataFrame) -> DataFrame:

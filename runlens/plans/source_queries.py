@@ -14,6 +14,7 @@ from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _q, _conte
 from runlens.plans.rule_queries import BOTH, QVIEWS, T, _queue_ctx
 from runlens.sources import event_logs as L
 from runlens.sources import ingest, plans, reports
+from runlens.sources.folders import shared_folder
 from runlens.streaming import executions, snapshots
 
 
@@ -112,14 +113,14 @@ def _queue_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: Dat
 
 
 flat = lambda df, keys: df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("report"))
-register("write_sql_report", lambda *v: flat(_sql_report(*v), ["app_id", "execution_id"]), ALL)
-register("write_queue_report", lambda *v: flat(_queue_report(*v), ["app_id"]), QVIEWS)
+register("write_sql_report", lambda *v: flat(_sql_report(*v), ["app_id", "execution_id"]), ALL, written=True)
+register("write_queue_report", lambda *v: flat(_queue_report(*v), ["app_id"]), QVIEWS, written=True)
 
 
 # ---- logs as files, late ids, heaps and backlogs ----
 def _read_back(spark: SparkSession, d: str) -> DataFrame:
     """Lines that were written as text files and are read as logs: how many there are of each kind."""
-    at = executions.shared_folder(spark, "logs")
+    at = shared_folder(spark, "logs")
     event_lines(spark, d).select("value").write.text(at)
     kind = F.regexp_extract("value", r'"Event":"(?:[\w.]+\.)?SparkListener([A-Za-z]+)"', 1).alias("kind")
     return L.read_event_logs(spark, at).select(kind).groupBy("kind").agg(F.count("*").alias("lines")).where(F.col("kind").isin("TaskEnd", "StageCompleted", "JobStart", "JobEnd", "SQLExecutionStart", "SQLExecutionEnd"))
@@ -197,7 +198,7 @@ def _folders(spark: SparkSession, rows: DataFrame, at: str, mode: str = "error")
 
 def ingested(spark: SparkSession, d: str) -> tuple[str, str]:
     """(logs, store): the views as log files, ingested."""
-    at = executions.shared_folder(spark, "ingest")
+    at = shared_folder(spark, "ingest")
     _folders(spark, event_lines(spark, d), f"{at}/logs")
     ingest.ingest(spark, f"{at}/logs", f"{at}/store", {"form": 1})
     return f"{at}/logs", f"{at}/store"
@@ -236,7 +237,7 @@ SQL["logs_to_findings"] = SQL["rank_findings"]
 # ---- streams ----
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """Lines by log that a stream of log parts sees; every third log also lies there as one file, which it leaves out."""
-    at = executions.shared_folder(spark, "events")
+    at = shared_folder(spark, "events")
     x = event_lines(spark, d)
     _folders(spark, x, f"{at}/logs")
     x.where("log like '%3'").select("value").write.text(f"{at}/logs/whole")
@@ -251,7 +252,7 @@ SQL["stream_events"] = duck("SELECT app_id AS log, count(*) AS tasks FROM v_task
 
 def _bucket_stream(spark: SparkSession, d: str) -> DataFrame:
     """Tasks through a stream in two batches; the second brings some that come too late for their buckets, and is run again."""
-    at, t = executions.shared_folder(spark, "buckets"), view(spark, d, "v_task")
+    at, t = shared_folder(spark, "buckets"), view(spark, d, "v_task")
     write = snapshots.bucket_upsert(f"{at}/out")
 
     def run(batch: DataFrame, n: int) -> None:

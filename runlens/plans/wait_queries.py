@@ -23,9 +23,9 @@ SQL["sampled_queries"] = SQL["deep_sample"].replace("SELECT app_id, execution_id
 HOLES = f"""busy AS (SELECT {E}, min(a) AS first, max(z) AS last, sum(l)::bigint AS busy FROM (SELECT {E}, g, min(launch_ms) AS a, max(finish_ms) AS z, max(finish_ms) - min(launch_ms) AS l FROM (SELECT *, sum(n) OVER (PARTITION BY {E} ORDER BY launch_ms, finish_ms, task_id) AS g FROM (
   SELECT *, CASE WHEN launch_ms > coalesce(max(finish_ms) OVER (PARTITION BY {E} ORDER BY launch_ms, finish_ms, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS n FROM v_task)) GROUP BY ALL) GROUP BY {E})"""
 register("sql_queue_wait", lambda t, s, j, e: waits.sql_queue_wait(e, t, _contention(t, s, j, e), 0.1), ALL, f"""{CONT}, {HOLES}, w AS (SELECT {E}, pool_utilization, greatest(first - start_ms, 0) + greatest(last - first - busy, 0) AS wait_ms, end_ms - start_ms AS wall FROM v_exec JOIN busy USING ({E}) JOIN cont USING ({E})),
-r AS (SELECT {E}, pool_utilization, wait_ms::bigint AS wait_ms, {_ratio('wait_ms', 'wall')} AS wait_ratio FROM w) SELECT *, CASE WHEN wait_ratio < 0.1 THEN 'SELF' WHEN pool_utilization >= 0.85 THEN 'SLOW_DUE_TO_QUEUE' ELSE 'SCHEDULING_ANOMALY' END AS verdict FROM r""")
+r AS (SELECT {E}, pool_utilization, wait_ms::bigint AS wait_ms, {_ratio('wait_ms', 'wall')} AS wait_ratio FROM w) SELECT *, CASE WHEN wait_ratio < 0.1 THEN 'SELF' WHEN pool_utilization >= 0.85 THEN 'SLOW_DUE_TO_QUEUE' ELSE 'SCHEDULING_ANOMALY' END AS verdict FROM r""", written=True)
 register("leaders", lambda t, s, j, e: queue.leaders(_light(t, s, j, e), waits.sql_queue_wait(e, t, _contention(t, s, j, e), 0.1), 3), ALL, f"""{WITH_LIGHT}, b AS (SELECT {E}, 'slow' AS board, duration_ms AS value FROM light WHERE {DONE} UNION ALL SELECT {E}, 'costly', task_ms FROM light WHERE task_ms > 0 UNION ALL SELECT {E}, 'queued', wait_ms FROM ({SQL['sql_queue_wait']}) WHERE wait_ms > 0)
-SELECT {E}, board, value::bigint AS value, row_number() OVER (PARTITION BY app_id, board ORDER BY value DESC, execution_id) AS place FROM b QUALIFY place <= 3""")
+SELECT {E}, board, value::bigint AS value, row_number() OVER (PARTITION BY app_id, board ORDER BY value DESC, execution_id) AS place FROM b QUALIFY place <= 3""", written=True)
 register("template_failures", lambda t, e: queue.template_failures(features.failure_classes(t), e), "v_task v_exec", f"SELECT app_id, class, template, sum(n)::bigint AS failures, count(DISTINCT execution_id) AS executions FROM (SELECT f.*, md5({TEMPLATE}) AS template FROM ({SQL['failure_classes']}) f JOIN v_exec USING ({E})) GROUP BY GROUPING SETS ((app_id, class, template), (app_id, class), (app_id))")
 EB = f"eb AS (SELECT {E}, unnest(range(start_ms // 60000, (end_ms - 1) // 60000 + 1)) AS b FROM v_exec WHERE end_ms > start_ms)"
 register("sql_queue_context", lambda t, e: waits.sql_queue_context(e, _util(t, e)), "v_task v_exec", f"WITH {UTIL}, {EB}, act AS (SELECT app_id, b, count(*) AS n FROM eb GROUP BY ALL) SELECT {E}, ((2 * sum((round(utilization * 1000000)::BIGINT))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean_busy, ((round(quantile_cont((round(utilization * 1000000)::BIGINT), 0.95) * 20)::BIGINT + 10) // 20) / 1000000.0::DOUBLE AS p95_busy, ((2 * sum((n * 1000000))::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE AS mean_active FROM eb JOIN act USING (app_id, b) JOIN util ON util.app_id = eb.app_id AND bucket_ms = b * 60000 GROUP BY eb.app_id, execution_id".replace(f"SELECT {E}, ((2 *", "SELECT eb.app_id, execution_id, ((2 *"))

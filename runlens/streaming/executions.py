@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from runlens.sources.event_logs import log_of, parse_events
+from runlens.sources.folders import shared_folder
 from runlens.streaming.snapshots import snapshot_upsert
 
 
@@ -114,14 +111,6 @@ def read_executions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(path).drop("rank", "n_jobs", "block")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares, or in a temporary one where none is named, in local sessions only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_end(lines: DataFrame) -> DataFrame:
     """The executions of logs that are already there, through the stream: lines become log parts, which it reads until none is left."""
     spark, at = lines.sparkSession, shared_folder(lines.sparkSession, "executions")
