@@ -85,11 +85,16 @@ def sql_own_core_ms(tasks: DataFrame, cores: int) -> DataFrame:
     return x.groupBy(*SQL).agg(F.sum(F.least("n", F.lit(cores)) * (F.col("next") - F.col("t"))).alias("own_core_ms"))
 
 
-def queue_window(execs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """From the first start to the last end of executions or tasks."""
+def queue_window(execs: DataFrame, tasks: DataFrame, apps: DataFrame | None = None) -> DataFrame:
+    """From the first start to the last end of executions and tasks; where apps (app_id, start_ms, end_ms, each null if unknown) is
+    given, an application's own start and end widen its window, and an application without executions has one too."""
     t = tasks.groupBy("app_id").agg(F.max("finish_ms").alias("last"))
-    e = execs.groupBy("app_id").agg(F.min("start_ms").alias("window_start"), F.max("end_ms").alias("end"))
-    return e.join(t, "app_id").select("app_id", "window_start", F.greatest("end", "last").alias("window_end"))
+    e = execs.groupBy("app_id").agg(F.min(F.when(F.col("start_ms") > 0, F.col("start_ms"))).alias("window_start"), F.max(F.greatest("end_ms", "start_ms")).alias("end"))
+    if apps is None:
+        return e.join(t, "app_id").select("app_id", "window_start", F.greatest("end", "last").alias("window_end"))
+    own = apps.select("app_id", F.when(F.col("start_ms") > 0, F.col("start_ms")).alias("app_start"), F.when(F.col("end_ms") > 0, F.col("end_ms")).alias("app_end"))
+    x = e.join(t, "app_id", "full").join(own, "app_id", "full")
+    return x.select("app_id", F.least("app_start", "window_start").alias("window_start"), F.greatest("app_end", "end", "last").alias("window_end"))
 
 
 def spine(window: DataFrame, width: int) -> DataFrame:

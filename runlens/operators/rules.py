@@ -266,6 +266,25 @@ def bottleneck_clusters(findings: DataFrame, execs: DataFrame) -> DataFrame:
     return x.join(total, "app_id").select("app_id", "rule_id", "affected", ratio(F.col("affected"), F.col("total")).alias("share"))
 
 
+def clusters_of_evidence(signals: DataFrame, findings: DataFrame, light: DataFrame, sampled: DataFrame) -> DataFrame:
+    """For each application and rule the distinct completed executions that a cheap signal or a finding of a sampled one affects.
+
+    signals: light_signals of all executions; findings: rule findings; light: sql_light_metrics; sampled: (app_id, execution_id) of the deep
+    sample. A rule with any cheap evidence was looked for in every completed execution, which are its denominator and give it full
+    coverage; one that only findings know of was looked for in the sample. scope says which.
+    """
+    done = light.where("not running and duration_ms > 0").select("app_id", "execution_id")
+    deep = done.join(sampled.select("app_id", "execution_id").distinct(), ["app_id", "execution_id"], "left_semi")
+    n = light.groupBy("app_id").agg(F.count("*").alias("queries")).join(done.groupBy("app_id").agg(F.count("*").alias("done")), "app_id", "left").join(deep.groupBy("app_id").agg(F.count("*").alias("deep")), "app_id", "left").na.fill(0)
+    cols = ["app_id", "execution_id", "rule_id"]
+    x = signals.select(*cols, F.lit(True).alias("cheap")).join(done, ["app_id", "execution_id"], "left_semi").unionByName(findings.select(*cols, F.lit(False).alias("cheap")).join(deep, ["app_id", "execution_id"], "left_semi"))
+    x = x.groupBy("app_id", "rule_id").agg(F.count_distinct("execution_id").alias("affected"), F.bool_or("cheap").alias("cheap"), F.bool_or(~F.col("cheap")).alias("found")).join(n, "app_id")
+    scope = F.when(F.col("cheap") & F.col("found"), "FULL_QUEUE_LIGHT+DEEP_SAMPLE").when(F.col("cheap"), "FULL_QUEUE_LIGHT").otherwise("DEEP_SAMPLE")
+    share = F.round(F.col("affected") / F.greatest(F.when(F.col("cheap"), F.col("done")).otherwise(F.col("deep")), F.lit(1)), 6)
+    coverage = F.when(F.col("cheap"), F.lit(1.0)).otherwise(ratio(F.col("deep"), F.col("queries")))
+    return x.select("app_id", "rule_id", "affected", share.alias("share"), scope.alias("scope"), coverage.alias("coverage"))
+
+
 def load_thresholds(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
     """(key, value) of all thresholds; with overrides (app_id, key, value) one full set for each application named there."""
     base = spark.createDataFrame([(k, float(v)) for k, v in DEFAULTS.items()], "key string, value double")

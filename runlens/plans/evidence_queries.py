@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, evidence, features, history, rule_sets, rules, sketches, waits
+from runlens.operators import dag, evidence, features, history, intervals, queue, rule_sets, rules, sketches, waits
 from runlens.operators.intervals import SQL as EXEC
 from runlens.operators.stages import METRICS, micros, stage_metrics
 from runlens.plans import rule_sql
@@ -211,3 +211,27 @@ def _sketched_baselines(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame)
 
 register("sketched_distributions", _sketched, "v_task", "SELECT app_id, count(*) AS n, true AS within FROM v_task GROUP BY app_id")
 register("sketched_baselines", _sketched_baselines, ALL, f"SELECT md5({TEMPLATE}) AS template, count(*) AS n, true AS within FROM v_exec WHERE end_ms > start_ms GROUP BY 1")
+
+
+# ---- clusters, windows ----
+def _clusters(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    light = _light(t, s, j, e)
+    ctx = rules.stage_contexts(t, s, CORES)
+    return rules.clusters_of_evidence(rule_sets.light_signals(ctx, T), findings(t, s), light, queue.deep_sample(light, e, 3, 2))
+
+
+register("clusters_of_evidence", _clusters, ALL, f"""{WITH_LIGHT}, dn AS (SELECT app_id, execution_id FROM light WHERE NOT running AND duration_ms > 0), dp AS (SELECT DISTINCT app_id, execution_id FROM ({SQL['deep_sample']}) JOIN dn USING (app_id, execution_id)),
+nn AS (SELECT app_id, count(*) AS queries, (SELECT count(*) FROM dn WHERE dn.app_id = light.app_id) AS done, (SELECT count(*) FROM dp WHERE dp.app_id = light.app_id) AS deep FROM light GROUP BY app_id),
+ev AS (SELECT app_id, execution_id, rule_id, true AS cheap FROM ({SQL['light_signals']}) JOIN dn USING (app_id, execution_id) UNION ALL SELECT app_id, execution_id, rule_id, false FROM ({SQL['evaluate_rules']}) JOIN dp USING (app_id, execution_id)),
+g AS (SELECT app_id, rule_id, count(DISTINCT execution_id) AS affected, bool_or(cheap) AS cheap, bool_or(NOT cheap) AS found FROM ev GROUP BY ALL)
+SELECT app_id, rule_id, affected, round(affected::double / greatest(CASE WHEN cheap THEN done ELSE deep END, 1), 6) AS share, CASE WHEN cheap AND found THEN 'FULL_QUEUE_LIGHT+DEEP_SAMPLE' WHEN cheap THEN 'FULL_QUEUE_LIGHT' ELSE 'DEEP_SAMPLE' END AS scope,
+CASE WHEN cheap THEN 1.0 ELSE {_ratio('deep', 'queries')} END::double AS coverage FROM g JOIN nn USING (app_id)""")
+
+
+def _windows(e: DataFrame, t: DataFrame) -> DataFrame:
+    a = e.groupBy("app_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("z"))
+    apps = a.select("app_id", F.when(~F.col("app_id").endswith("2"), F.col("a") - 5000).alias("start_ms"), F.when(~F.col("app_id").endswith("1"), F.col("z") + 900_000).alias("end_ms"))
+    return intervals.queue_window(e, t, apps)
+
+
+register("queue_window_of_apps", _windows, "v_exec v_task", """SELECT app_id, min(start_ms) - CASE WHEN app_id LIKE '%2' THEN 0 ELSE 5000 END AS window_start, greatest(max(end_ms) + CASE WHEN app_id LIKE '%1' THEN 0 ELSE 900000 END, max(start_ms), (SELECT max(finish_ms) FROM v_task t WHERE t.app_id = e.app_id)) AS window_end FROM v_exec e GROUP BY app_id""")

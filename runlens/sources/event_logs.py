@@ -137,9 +137,14 @@ def _at_least_0(c: str) -> Column:
     return F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
 
 
+#: A task attempt of more than 30 days has a broken clock; cut at bucket edges it would become tens of thousands of rows.
+LONGEST_MS = 30 * 86_400_000
+
+
 def build_task_attempts(lines: DataFrame) -> DataFrame:
     """One row for each task end. Attempts without metrics keep a null run time, so that they count but enter no distribution.
-    valid: launched and finished, in this order; only such attempts take part in sweeps over time."""
+    valid: launched and finished, in this order and
+    within LONGEST_MS; only such attempts take part in sweeps over time."""
     x = parse_events(lines, "TaskEnd")
     m, i = "Task Metrics.", "Task Info."
     launch, finish = F.col(f"{i}Launch Time"), F.col(f"{i}Finish Time")
@@ -149,7 +154,7 @@ def build_task_attempts(lines: DataFrame) -> DataFrame:
         *[_at_least_0(f"{m}{c}").alias(a) for c, a in (("Executor CPU Time", "cpu_ns"), ("JVM GC Time", "gc_ms"), ("Executor Deserialize Time", "deser_ms"), ("Result Size", "result_size"), ("Disk Bytes Spilled", "disk_spill_bytes"), ("Memory Bytes Spilled", "memory_spill_bytes"), ("Shuffle Write Metrics.Shuffle Write Time", "shuffle_write_ns"), ("Shuffle Read Metrics.Fetch Wait Time", "fetch_wait_ms"), ("Shuffle Write Metrics.Shuffle Bytes Written", "shuffle_write_bytes"), ("Input Metrics.Bytes Read", "input_bytes"), ("Output Metrics.Bytes Written", "output_bytes"))],
         (_at_least_0(f"{m}Shuffle Read Metrics.Remote Bytes Read") + _at_least_0(f"{m}Shuffle Read Metrics.Local Bytes Read")).alias("shuffle_read_bytes"),
         F.coalesce(f"{i}Speculative", F.lit(False)).alias("speculative"), F.concat_ws(": ", "Task End Reason.Reason", "Task End Reason.Class Name").alias("reason"), (~F.coalesce("Task End Reason.Reason", F.lit("")).contains("Success")).alias("failed"),
-        F.col("Task End Reason.Block Manager Address.Host").alias("src_host"), F.coalesce((launch > 0) & (finish >= launch), F.lit(False)).alias("valid"),
+        F.col("Task End Reason.Block Manager Address.Host").alias("src_host"), F.coalesce((launch > 0) & (finish >= launch) & (finish - launch <= LONGEST_MS), F.lit(False)).alias("valid"),
     )
 
 

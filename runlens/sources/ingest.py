@@ -129,7 +129,8 @@ def _long(c: str) -> Column:
 
 def telemetry(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The store's tables as operators take them, by app_id: v_task, v_stage, v_job, v_exec, v_executor_event, v_conf, and, under their own
-    names, plan_metrics, plan_changes, heaps, bad_lines and apps."""
+    names, plan_metrics, plan_changes, heaps, bad_lines and apps; clock_errors counts the attempts that v_task leaves out, as their
+    times cannot be."""
     t = {name: table(spark, store, name) for name in ("apps", "jobs", "tasks", "stages", "executions", "executor_events", "plan_metrics", "plan_changes", "heaps", "bad_lines")}
     if t["apps"] is None:
         raise ValueError(f"nothing has been ingested into {store}")
@@ -145,4 +146,5 @@ def telemetry(spark: SparkSession, store: str) -> dict[str, DataFrame]:
         "v_executor_event": t["executor_events"].select("app_id", "executor_id", "time_ms", _long("cores"), "added"),
         "v_conf": t["apps"].select("app_id", F.explode("conf").alias("key", "value")),
     }
+    out["clock_errors"] = t["tasks"].where("not valid").groupBy("app_id").agg(F.count("*").alias("attempts"))
     return out | {name: t[name] for name in ("apps", "plan_metrics", "plan_changes", "heaps", "bad_lines")}
