@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, evidence, features, history, intervals, queue, rule_sets, rules, sketches, waits
+from runlens.operators import dag, evidence, features, history, intervals, losses, queue, rule_sets, rules, sketches, waits
 from runlens.operators.intervals import SQL as EXEC
 from runlens.operators.stages import METRICS, micros, stage_metrics
 from runlens.plans import rule_sql
@@ -235,3 +235,19 @@ def _windows(e: DataFrame, t: DataFrame) -> DataFrame:
 
 
 register("queue_window_of_apps", _windows, "v_exec v_task", """SELECT app_id, min(start_ms) - CASE WHEN app_id LIKE '%2' THEN 0 ELSE 5000 END AS window_start, greatest(max(end_ms) + CASE WHEN app_id LIKE '%1' THEN 0 ELSE 900000 END, max(start_ms), (SELECT max(finish_ms) FROM v_task t WHERE t.app_id = e.app_id)) AS window_end FROM v_exec e GROUP BY app_id""")
+
+
+# ---- losses ----
+register("failure_profile", losses.failure_profile, "v_task v_stage", f"""WITH n AS (SELECT app_id, reason, count(*) AS n FROM v_task WHERE failed GROUP BY ALL), a AS (SELECT app_id, {_ratio('count(*)', '(SELECT sum(num_tasks) FROM v_stage s WHERE s.app_id = v_task.app_id)')} AS amplification FROM v_task GROUP BY app_id)
+SELECT app_id, reason, n, row_number() OVER (PARTITION BY app_id ORDER BY n DESC, reason) AS place, {_ratio('n', 'sum(n) OVER (PARTITION BY app_id)')} AS share, amplification FROM n JOIN a USING (app_id) QUALIFY place <= 3""")
+register("host_reads", losses.host_reads, "v_task", f"""WITH x AS (SELECT app_id, host, sum(input_bytes + shuffle_read_bytes)::bigint AS read_bytes, {_ratio('sum(input_bytes + shuffle_read_bytes) * 1000.0', 'sum(run_ms)')} AS bytes_per_s FROM v_task GROUP BY ALL), m AS (SELECT app_id, quantile_cont(bytes_per_s, 0.5) AS median FROM x GROUP BY app_id)
+SELECT app_id, host, read_bytes, bytes_per_s, {_ratio('bytes_per_s', 'median')} AS of_median FROM x JOIN m USING (app_id)""")
+register("driver_holes", losses.driver_holes, "v_exec v_job", """WITH e AS (SELECT * FROM v_exec WHERE end_ms > start_ms), j AS (SELECT app_id, execution_id, greatest(submission_ms, start_ms) AS a, least(completion_ms, end_ms) AS z FROM v_job JOIN e USING (app_id, execution_id)),
+x AS (SELECT * FROM j WHERE z > a UNION ALL SELECT app_id, execution_id, start_ms, start_ms FROM e UNION ALL SELECT app_id, execution_id, end_ms, end_ms FROM e),
+y AS (SELECT *, max(z) OVER (PARTITION BY app_id, execution_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_ms FROM x) SELECT app_id, execution_id, from_ms, a AS to_ms, a - from_ms AS hole_ms FROM y WHERE a - from_ms >= 1000""")
+register("restart_waste", losses.restart_waste, "v_task v_exec", f"""WITH x AS (SELECT app_id, execution_id, sum(run_ms)::bigint AS c FROM v_task GROUP BY ALL), y AS (SELECT x.*, end_ms <= 0 AS open FROM x JOIN v_exec USING (app_id, execution_id))
+SELECT app_id, count(*) FILTER (open) AS interrupted, coalesce(sum(c) FILTER (open), 0)::bigint AS wasted_core_ms, {_ratio('coalesce(sum(c) FILTER (open), 0)', 'sum(c)')} AS wasted_share FROM y GROUP BY app_id""")
+register("speculation_hosts", losses.speculation_hosts, "v_task", f"""WITH g AS (SELECT {K}, part_idx, bool_or(speculative) AS copied FROM v_task GROUP BY {K}, part_idx), h AS (SELECT {K}, part_idx, host FROM v_task WHERE NOT speculative QUALIFY row_number() OVER (PARTITION BY {K}, part_idx ORDER BY launch_ms, task_id) = 1),
+n AS (SELECT app_id, host, count(*) AS n FROM g JOIN h USING ({K}, part_idx) WHERE copied GROUP BY ALL) SELECT app_id, sum(n)::bigint AS partitions, {_eff('n')} AS hosts, arg_max(host, n * 1000 + substr(host, 6)::int) AS worst_host, {_ratio('max(n)', 'sum(n)')} AS worst_share FROM n GROUP BY app_id""")
+register("executor_loss_retries", losses.executor_loss_retries, "v_task v_executor_event", """WITH g AS (SELECT app_id, executor_id, max(time_ms) AS time_ms FROM v_executor_event WHERE NOT added GROUP BY ALL), x AS (SELECT *, launch_ms <= time_ms AND finish_ms > time_ms AS hit FROM g JOIN v_task USING (app_id, executor_id))
+SELECT app_id, executor_id, time_ms, count(*) FILTER (hit) AS attempts, count(DISTINCT execution_id) FILTER (hit) AS executions, coalesce(sum(time_ms - launch_ms) FILTER (hit), 0)::bigint AS spent_ms, count(*) FILTER (failed) AS failed FROM x GROUP BY ALL""")
