@@ -49,7 +49,7 @@ LEFT JOIN (SELECT app_id, count(*) AS partial_stages FROM ({SQL['partial_stages'
 LEFT JOIN (SELECT app_id, count(*) FILTER (finish_ms < launch_ms) AS negative_durations FROM v_task GROUP BY app_id) USING (app_id) LEFT JOIN ({SQL['queue_window']}) USING (app_id))"""
 BOTH = rule_sets.QUEUE_RULES + rule_sets.DQ_RULES
 register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}", written=True)
-_case = lambda k: "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{a[k]}'" for r, a in rule_sets.ADVICE.items()) + " END"
+_case = lambda k: "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{a[k]}'" for r, a in rule_sql.ADVICE.items()) + " END"
 register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})", written=True)
 
 # ---- older rules ----
@@ -74,7 +74,7 @@ def _signals(t: DataFrame, s: DataFrame) -> DataFrame:
 
 register("light_signals", _signals, "v_task v_stage", LIGHT_SIG)
 _n = lambda ids: "count(DISTINCT execution_id) FILTER (rule_id IN (" + ", ".join(f"'{i}'" for i in ids) + "))"
-register("rollup_s_to_q", lambda t, s, j, e: rule_sets.rollup_s_to_q(findings(t, s).select(*EXEC, "rule_id").unionByName(sql_findings(t, s, j, e).select(*EXEC, "rule_id"))), ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sets.ROLLUP.items())} FROM x GROUP BY app_id", written=True)
+register("rollup_s_to_q", lambda t, s, j, e: rule_sets.rollup_s_to_q(findings(t, s).select(*EXEC, "rule_id").unionByName(sql_findings(t, s, j, e).select(*EXEC, "rule_id"))), ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sql.ROLLUP.items())} FROM x GROUP BY app_id", written=True)
 
 
 def _capable(e: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _overrides(spark, d: str) -> DataFrame:
     return view(spark, d, "v_conf").where(key != "").select("app_id", key.alias("key"), F.col("value").try_cast("double").alias("value"))
 
 
-SQL["load_thresholds"] = duck("SELECT a.app_id, k.key, coalesce(v.value::double, k.value) AS value FROM (SELECT DISTINCT app_id FROM v_conf) a CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'key': '{k}', 'value': {float(v)}::double}}" for k, v in rules.DEFAULTS.items()) + "], recursive := true)) k LEFT JOIN v_conf v ON v.app_id = a.app_id AND v.key = 'runlens.threshold.' || k.key")
+SQL["load_thresholds"] = duck("SELECT a.app_id, k.key, coalesce(v.value::double, k.value) AS value FROM (SELECT DISTINCT app_id FROM v_conf) a CROSS JOIN (SELECT unnest([" + ", ".join(f"{{'key': '{k}', 'value': {float(v)}::double}}" for k, v in rule_sql.THRESHOLDS.items()) + "], recursive := true)) k LEFT JOIN v_conf v ON v.app_id = a.app_id AND v.key = 'runlens.threshold.' || k.key")
 register("finding_evidence", lambda t, s: rules.finding_evidence(findings(t, s), rules.stage_contexts(t, s, CORES), stages.STAGE).select(*stages.STAGE, "rule_id", F.col("evidence")["run_max"].alias("run_max"), F.col("evidence")["n"].alias("n"), F.col("evidence")["heap_peak_ratio"].alias("heap")), "v_task v_stage", f"{FIND} SELECT {K}, rule_id, run_max::varchar AS run_max, n::varchar AS n, NULL::varchar AS heap FROM found JOIN (SELECT {K}, run_max, n FROM ctx) USING ({K})")
 _texts = f"SELECT DISTINCT {E}, severity, rule_id, {_case(0)} || ': ' || {_case(1)} AS a FROM found"
 register("recommendation_digest", lambda t, s: rule_sets.recommendation_digest(findings(t, s), EXEC), "v_task v_stage", f"{FIND}, x AS ({_texts}), y AS (SELECT {E}, rule_id, a, max(severity) AS severity FROM x GROUP BY ALL) SELECT {E}, string_agg(a, '; ' ORDER BY severity DESC, rule_id) AS advice, count(*) FILTER (severity = 2) || ' critical, ' || count(*) FILTER (severity = 1) || ' warnings' AS summary FROM y GROUP BY {E}")

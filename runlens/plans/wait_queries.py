@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text
 from runlens.operators import features, history, queue, waits
+from runlens.plans import rule_sql
 from runlens.plans.queries import ALL, CONT, CORES, CUT, DONE, E, K, NORM, SQL, TEMPLATE, UTIL, WITH_LIGHT, _contention, _light, _q, _ratio, _util, register
 
 
@@ -41,7 +42,7 @@ register("speculation_outcomes", waits.speculation_outcomes, "v_task", f"""WITH
 SELECT {E}, sum(copies)::bigint AS copies, count(*) FILTER (speculative) AS won, (sum(copies) - count(*) FILTER (speculative))::bigint AS lost, sum(total - coalesce(run_ms, 0))::bigint AS extra_ms FROM g LEFT JOIN f USING ({K}, part_idx) WHERE copies > 0 GROUP BY {E}""")
 
 _conf = lambda k: f"max(value) FILTER (key = '{k}')"
-register("config_check", history.config_check, "v_conf", "WITH k AS (SELECT unnest([{" + "}, {".join(f"'key': '{k}', 'advised': '{v}'" for k, v in history.CHECKLIST.items()) + "}]) AS c) SELECT a.app_id, c.key, value AS current, c.advised, coalesce(lower(value) <> lower(c.advised), true) AS issue FROM (SELECT DISTINCT app_id FROM v_conf) a CROSS JOIN k LEFT JOIN v_conf v ON v.app_id = a.app_id AND v.key = c.key")
+register("config_check", history.config_check, "v_conf", "WITH k AS (SELECT unnest([{" + "}, {".join(f"'key': '{k}', 'advised': '{v}'" for k, v in rule_sql.CHECKLIST.items()) + "}]) AS c) SELECT a.app_id, c.key, value AS current, c.advised, coalesce(lower(value) <> lower(c.advised), true) AS issue FROM (SELECT DISTINCT app_id FROM v_conf) a CROSS JOIN k LEFT JOIN v_conf v ON v.app_id = a.app_id AND v.key = c.key")
 SIZE = "CASE WHEN regexp_full_match({x}, '\\d+[kmgt]?') THEN regexp_extract({x}, '^\\d+')::bigint * CASE right({x}, 1) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END ELSE {d} END"
 _on = lambda k: f"coalesce(lower({_conf(k)}) = 'true', true)"
 register("aqe_context", history.aqe_context, "v_conf", f"SELECT app_id, {_on('spark.sql.adaptive.enabled')} AS adaptive, {_on('spark.sql.adaptive.coalescePartitions.enabled')} AS coalesce_partitions, {_on('spark.sql.adaptive.skewJoin.enabled')} AS skew_join, {SIZE.format(x=_conf('spark.sql.adaptive.advisoryPartitionSizeInBytes'), d=64 << 20)} AS advisory_bytes, coalesce({_conf('spark.sql.shuffle.partitions')}::bigint, 200) AS shuffle_partitions FROM v_conf GROUP BY app_id")
