@@ -203,7 +203,7 @@ def given_back(patterns: Plan, counts: np.ndarray, part: float) -> tuple[Plan, n
     return kept, counts
 
 
-def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.99, parts: tuple[float, ...] = (0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1)) -> tuple[Plan, int]:
+def plan(counts: np.ndarray, size: int, passes: int = 6, fill: float = 0.99, parts: tuple[float, ...] = (0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1)) -> tuple[Plan, int]:
     """(plan, tokens that the program's patterns hold) for pieces by length.
 
     The program is solved and rounded; what is left is solved and rounded again, while that places pieces, at most
