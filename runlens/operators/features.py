@@ -99,11 +99,14 @@ def failure_storms(buckets: DataFrame, ratio_: float = 0.1, least: int = 2) -> D
     return buckets.where((F.col("failed") >= least) & (F.col("failed") >= ratio_ * F.col("attempts"))).select("app_id", "bucket_ms", "attempts", "failed")
 
 
-def executor_loss_impact(events: DataFrame, execs: DataFrame) -> DataFrame:
-    """Executions that were active when an executor went."""
-    gone = events.where("not added").select("app_id", "executor_id", "time_ms")
-    active = (F.col("start_ms") <= F.col("time_ms")) & ((F.col("end_ms") > F.col("time_ms")) | (F.col("end_ms") <= 0))
-    return gone.join(execs, "app_id").where(active).select("app_id", "executor_id", "execution_id", "time_ms")
+def executor_loss_impact(events: DataFrame, execs: DataFrame, width: int = 3_600_000) -> DataFrame:
+    """Executions that were active when an executor went. Both meet by bucket, so a loss is held only against executions of its
+    hour; an execution without an end reaches to its application's last loss."""
+    gone = events.where("not added").select("app_id", "executor_id", "time_ms", F.expr(f"time_ms div {width}").alias("b"))
+    e = execs.select(*SQL, "start_ms", "end_ms").join(gone.groupBy("app_id").agg((F.max("time_ms") + 1).alias("last")), "app_id")
+    e = e.withColumn("z", F.least("last", F.when(F.col("end_ms") > 0, F.col("end_ms")))).where("z > start_ms")
+    e = e.withColumn("b", F.explode(F.sequence(F.expr(f"start_ms div {width}"), F.expr(f"(z - 1) div {width}"))))
+    return gone.join(e, ["app_id", "b"]).where("start_ms <= time_ms and time_ms < z").select("app_id", "executor_id", "execution_id", "time_ms")
 
 
 def partial_stages(tasks: DataFrame, stages: DataFrame) -> DataFrame:

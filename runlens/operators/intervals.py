@@ -27,14 +27,28 @@ def peak_cores(events: DataFrame, configured: int) -> DataFrame:
     return core_timeline(events).groupBy("app_id").agg(F.greatest(F.max("cores"), F.lit(configured)).cast("long").alias("cores"))
 
 
-def capacity_core_ms(execs: DataFrame, events: DataFrame, configured: int = 4) -> DataFrame:
+def capacity_core_ms(execs: DataFrame, events: DataFrame, configured: int = 4, width: int = 3_600_000) -> DataFrame:
     """Cores integrated over each execution's window; `configured` cores where an application's log has no executor events.
-    Segments are few an application, so the overlap join is an equi join by application."""
-    done = execs.where("end_ms > start_ms")
-    seg = core_timeline(events).select("app_id", F.col("start_ms").alias("s"), F.coalesce("end_ms", F.lit(1 << 60)).alias("z"), "cores")
-    part = F.greatest(F.least("end_ms", "z") - F.greatest("start_ms", "s"), F.lit(0)) * F.col("cores")
+
+    What was there up to a time is the sum of all buckets before it and a part of its own, so an execution meets only the
+    segments of the two buckets in which it starts and ends, however many executors come and go in its application.
+    """
+    done = execs.where("end_ms > start_ms").select(*SQL, "start_ms", "end_ms")
+    seg = core_timeline(events).join(done.groupBy("app_id").agg(F.max("end_ms").alias("last")), "app_id")
+    seg = seg.select("app_id", F.col("start_ms").alias("a"), F.least("end_ms", "last").alias("z"), "cores").where("z > a")
+    seg = seg.withColumn("b", F.explode(F.sequence(F.expr(f"a div {width}"), F.expr(f"(z - 1) div {width}"))))
+    seg = seg.withColumns({"a": F.greatest("a", F.col("b") * width), "z": F.least("z", (F.col("b") + 1) * width)})
+    w = Window.partitionBy("app_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = seg.groupBy("app_id", "b").agg(F.sum(F.col("cores") * (F.col("z") - F.col("a"))).alias("n"))
+    before = sums.select("app_id", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"))
+    ends = F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("end_ms").alias("t"), F.lit(1).alias("sign")))).alias("p")
+    ends = done.select(*SQL, ends).select(*SQL, "p.*", F.expr(f"(p.t - 1) div {width}").alias("b"))
+    part = F.greatest(F.least("z", "t") - F.col("a"), F.lit(0)) * F.col("cores")
+    x = ends.join(before, ["app_id", "b"]).select(*SQL, (F.col("sign") * F.col("n")).alias("n"))
+    x = x.unionByName(ends.join(seg, ["app_id", "b"]).select(*SQL, (F.col("sign") * part).alias("n"))).groupBy(*SQL).agg(F.sum("n").alias("n"))
+    known = events.select("app_id", F.lit(True).alias("known")).distinct()
     flat = (F.col("end_ms") - F.col("start_ms")) * configured
-    return done.join(seg, "app_id", "left").groupBy(*SQL).agg(F.sum(F.when(F.col("s").isNull(), flat).otherwise(part)).alias("capacity_core_ms"))
+    return done.join(x, SQL, "left").join(known, "app_id", "left").select(*SQL, F.when(F.col("known"), F.coalesce("n", F.lit(0))).otherwise(flat).alias("capacity_core_ms"))
 
 
 def core_utilization(execs: DataFrame, events: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -50,9 +64,10 @@ def _edges(tasks: DataFrame, keys: list[str], start: str, end: str) -> DataFrame
     return x.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
 
 
-def sql_max_concurrency(tasks: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*SQL).orderBy("t")
-    return _edges(tasks, SQL, "launch_ms", "finish_ms").withColumn("n", F.sum("d").over(w)).groupBy(*SQL).agg(F.max("n").alias("max_tasks"))
+def sql_max_concurrency(tasks: DataFrame, width: int = 60_000) -> DataFrame:
+    """Most tasks of an execution at once: its sweep is dealt over buckets, and the largest of their maxima is the whole's."""
+    w = Window.partitionBy(*SQL, "b").orderBy("t")
+    return _edges(cut_tasks(tasks, width), [*SQL, "b"], "a", "z").withColumn("n", F.sum("d").over(w)).groupBy(*SQL).agg(F.max("n").alias("max_tasks"))
 
 
 def sql_avg_concurrency(tasks: DataFrame, execs: DataFrame) -> DataFrame:
@@ -78,10 +93,10 @@ def occupancy_segments(tasks: DataFrame, cores: int, width: int = 60_000) -> Dat
     return x.select("app_id", "b", F.col("t").alias("start_ms"), F.col("next").alias("end_ms"), F.least("n", F.lit(cores)).alias("busy"))
 
 
-def sql_own_core_ms(tasks: DataFrame, cores: int) -> DataFrame:
-    """Core time that each execution holds, capped at the pool."""
-    w = Window.partitionBy(*SQL).orderBy("t")
-    x = _edges(tasks, SQL, "launch_ms", "finish_ms").withColumn("n", F.sum("d").over(w)).withColumn("next", F.lead("t").over(w)).where("next is not null")
+def sql_own_core_ms(tasks: DataFrame, cores: int, width: int = 60_000) -> DataFrame:
+    """Core time that each execution holds, capped at the pool; its sweep is dealt over buckets."""
+    w = Window.partitionBy(*SQL, "b").orderBy("t")
+    x = _edges(cut_tasks(tasks, width), [*SQL, "b"], "a", "z").withColumn("n", F.sum("d").over(w)).withColumn("next", F.lead("t").over(w)).where("next is not null")
     return x.groupBy(*SQL).agg(F.sum(F.least("n", F.lit(cores)) * (F.col("next") - F.col("t"))).alias("own_core_ms"))
 
 
