@@ -34,6 +34,12 @@ def critical_path_ms(stages: DataFrame, tasks: DataFrame) -> DataFrame:
     return _longest(_with_parents(stages, tasks), F.col("longest"), "critical_ms")
 
 
+def longest_by_profile(profile: DataFrame) -> DataFrame:
+    """critical_path_ms from the profiles of stages."""
+    x = profile.where("n is not null and num_tasks is not null")
+    return _longest(x.select("app_id", "execution_id", "stage_id", "parent_ids", F.col("run_max").alias("longest")), F.col("longest"), "critical_ms")
+
+
 def ideal_time_ms(stages: DataFrame, tasks: DataFrame, cores: int) -> DataFrame:
     """Longest path where a stage weighs as much as its task time spread evenly over the cores."""
     return _longest(_with_parents(stages, tasks), F.expr(f"total div {cores}"), "ideal_ms")

@@ -146,12 +146,13 @@ def bucket_peak_tasks(tasks: DataFrame, width: int = 60_000) -> DataFrame:
     return x.groupBy("app_id", (F.col("b") * width).alias("bucket_ms")).agg(F.max("n").alias("peak_tasks"))
 
 
-def query_contention(tasks: DataFrame, execs: DataFrame, light: DataFrame, cores: int, width: int = 60_000) -> DataFrame:
+def query_contention(tasks: DataFrame, execs: DataFrame, light: DataFrame, cores: int, width: int = 60_000, segments: DataFrame | None = None) -> DataFrame:
     """Pool utilisation in each execution's window, its own share of the busy time, and whether it is limited or inefficient.
 
-    Whole buckets of a window join the buckets' sums; only its two edge buckets join segments and clip them.
+    Whole buckets of a window join the buckets' sums; only its two edge buckets join segments and clip them. segments: those of
+    occupancy_segments, where they are written already.
     """
-    seg = occupancy_segments(tasks, cores, width)
+    seg = occupancy_segments(tasks, cores, width) if segments is None else segments
     sums = seg.groupBy("app_id", "b").agg(F.sum(F.col("busy") * (F.col("end_ms") - F.col("start_ms"))).alias("busy"))
     done = execs.where("end_ms > start_ms").select(*SQL, F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
     x = done.withColumn("b", F.explode(F.sequence(F.expr(f"s div {width}"), F.expr(f"(e - 1) div {width}"))))

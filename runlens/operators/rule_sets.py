@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import plan_features
-from runlens.operators import features, history, intervals, waits
+from runlens.operators import features, history, intervals
 from runlens.operators.intervals import SQL
 from runlens.operators.rules import CRITICAL, INFO, STAGE_RULES, WARN, Rule
 from runlens.operators.stages import ratio
@@ -90,35 +90,37 @@ ADVICE = {
 }
 
 
-def sql_contexts(tasks: DataFrame, execs: DataFrame, jobs: DataFrame, waiting: DataFrame, critical: DataFrame, plan_metrics: DataFrame | None = None) -> DataFrame:
-    """One wide row an execution; measurements of plan nodes (app_id, execution_id, scan_files, ...) join where they are known."""
-    t = tasks.groupBy(*SQL).agg(F.count_if("failed").alias("failed_tasks"), F.count_if("speculative").alias("speculative"), F.count_if(F.col("reason").rlike("(?i)killed")).alias("speculative_killed"))
+def sql_contexts(attempts: DataFrame, execs: DataFrame, jobs: DataFrame, waiting: DataFrame, critical: DataFrame, plan_metrics: DataFrame | None = None) -> DataFrame:
+    """One wide row an execution. attempts: profile.attempts_of; measurements of plan nodes (app_id, execution_id, scan_files, ...)
+    join where they are known."""
     e = execs.select(*SQL, *[c.alias(k) for k, c in plan_features(F.col("plan")).items()])
-    x = features.driver_gap(execs, jobs).join(e, SQL).join(t, SQL).join(features.job_fragmentation(jobs), SQL).join(critical, SQL, "left").join(waiting.select(*SQL, "wait_ratio"), SQL, "left")
+    x = features.driver_gap(execs, jobs).join(e, SQL).join(attempts, SQL).join(features.job_fragmentation(jobs), SQL).join(critical, SQL, "left").join(waiting.select(*SQL, "wait_ratio"), SQL, "left")
     return x if plan_metrics is None else x.join(plan_metrics, SQL, "left")
 
 
-def queue_contexts(tasks: DataFrame, stages: DataFrame, execs: DataFrame, jobs: DataFrame, events: DataFrame, conf: DataFrame, utilization: DataFrame, findings: DataFrame, big_bytes: int = 256 << 20) -> DataFrame:
-    """One wide row an application: what the queue and data-quality rules look at."""
+def queue_contexts(profiles: dict[str, DataFrame], fetches: DataFrame, execs: DataFrame, jobs: DataFrame, events: DataFrame, conf: DataFrame, findings: DataFrame) -> DataFrame:
+    """One wide row an application: what the queue and data-quality rules look at. profiles: profile.profiles; fetches:
+    features.fetch_matrix. No tasks are read here but what these stand for."""
     app = "app_id"
-    top = lambda df, *cs: df.groupBy(app).agg(*[F.max(c).alias(n) for c, n in cs])
-    buckets = intervals.bucket_task_metrics(tasks).withColumn("r", ratio(F.col("failed"), F.col("attempts")))
-    hosts = features.host_score(tasks)
-    worst = hosts.groupBy(app).agg(F.max(F.struct("score", "tasks", "stages")).alias("w")).select(app, F.col("w.score").alias("host_score"), F.col("w.tasks").alias("host_tasks"), F.col("w.stages").alias("host_stages"))
-    io = features.host_io(tasks).groupBy(app).agg(F.min("of_median").alias("io_worst_ratio"), F.min_by("tasks", F.struct("of_median", "host")).alias("io_worst_tasks"), F.max("spill_share").alias("io_spill_share"))
-    net = features.fetch_matrix(tasks)
-    net = net.where("host is null").groupBy(app).agg(F.max(F.when(F.col("src_host").isNull(), F.col("failures"))).alias("fetch_failures"), ratio(F.max(F.when(F.col("src_host").isNotNull(), F.col("failures"))), F.max("failures")).alias("fetch_row_share"))
+    stage, host, buckets = profiles["stage"], profiles["host"], profiles["bucket"]
+    tasked = stage.where("n is not null").groupBy(app).agg(
+        ratio(F.sum("gc_raw"), F.sum("run_raw")).alias("gc_ratio"), F.sum("big_results").alias("big_results"), features.p("delay_p50", 0.5).alias("delay_p50"), F.sum("negative").alias("negative_durations"))
+    recorded = stage.where("num_tasks is not null").groupBy(app).agg(F.sum("extra_attempts").alias("stage_retries"), F.nullif(F.count_if(F.coalesce("done", F.lit(0)) < F.col("num_tasks")), F.lit(0)).alias("partial_stages"))
+    gaps = features.driver_gap(execs, jobs).groupBy(app).agg(F.round(F.percentile("gap_ratio", F.lit(0.5)), 6).alias("gap_p50"))
+    storm = F.struct("failed", ratio(F.col("failed"), F.col("attempts")).alias("r"))
+    timed = buckets.groupBy(app).agg(F.count_if(F.col("utilization") >= 0.95).alias("hot_buckets"), F.max(storm).alias("s"))
+    hosts = host.groupBy(app).agg(
+        F.max(F.struct("score", "tasks", "stages")).alias("w"), F.min("of_median").alias("io_worst_ratio"), F.min_by("tasks", F.struct("of_median", "host")).alias("io_worst_tasks"), F.max("spill_share").alias("io_spill_share"))
+    net = fetches.where("host is null").groupBy(app).agg(F.max(F.when(F.col("src_host").isNull(), F.col("failures"))).alias("fetch_failures"), ratio(F.max(F.when(F.col("src_host").isNotNull(), F.col("failures"))), F.max("failures")).alias("fetch_row_share"))
     parts = [
-        history.driver_health(tasks, features.task_scheduler_delay(tasks), features.driver_gap(execs, jobs), big_bytes=big_bytes).drop("bad"), intervals.longest_run_of_buckets(utilization),
-        utilization.groupBy(app).agg(F.count_if(F.col("utilization") >= 0.95).alias("hot_buckets")), events.groupBy(app).agg(F.count_if(~F.col("added")).alias("executors_removed")),
-        history.config_check(conf).groupBy(app).agg(F.count_if("issue").alias("config_issues")), top(buckets.withColumn("big", F.struct("failed", "r")), ("big", "b")).select(app, F.col("b.failed").alias("storm_failed"), F.col("b.r").alias("storm_ratio")),
-        stages.groupBy(app).agg(F.sum("extra_attempts").alias("stage_retries")), features.restart_impact(execs), worst, io, net,
+        gaps, intervals.longest_run_of_buckets(buckets), timed.select(app, "hot_buckets", F.col("s.failed").alias("storm_failed"), F.col("s.r").alias("storm_ratio")),
+        events.groupBy(app).agg(F.count_if(~F.col("added")).alias("executors_removed")), history.config_check(conf).groupBy(app).agg(F.count_if("issue").alias("config_issues")), recorded, features.restart_impact(execs),
+        hosts.select(app, F.col("w.score").alias("host_score"), F.col("w.tasks").alias("host_tasks"), F.col("w.stages").alias("host_stages"), "io_worst_ratio", "io_worst_tasks", "io_spill_share"), net,
         findings.groupBy(app).agg(F.count_distinct(F.when(F.col("rule_id").isin("S-07", "S-08", "S-09"), F.struct("rule_id", "execution_id"))).alias("memory_pressure")),
-        features.partial_stages(tasks, stages).groupBy(app).agg(F.count("*").alias("partial_stages")), tasks.groupBy(app).agg(F.count_if(F.col("finish_ms") < F.col("launch_ms")).alias("negative_durations")),
-        intervals.queue_window(execs, tasks).select(app, (F.col("window_end") - F.col("window_start")).alias("wall_ms")),
+        profiles["window"].select(app, (F.col("window_end") - F.col("window_start")).alias("wall_ms")),
     ]
-    out = parts[0]
-    for x in parts[1:]:
+    out = tasked
+    for x in parts:
         out = out.join(x, app, "left")
     return out
 
@@ -162,7 +164,3 @@ def recommendation_digest(findings: DataFrame, keys: list[str]) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct((-F.col("severity")).alias("order"), "rule_id", "action", "advice")))
     x = x.groupBy(*keys).agg(rows.alias("r"), F.count_if(F.col("severity") == CRITICAL).alias("c"), F.count_if(F.col("severity") == WARN).alias("w"))
     return x.select(*keys, F.array_join(F.transform("r", lambda s: F.concat(s["action"], F.lit(": "), s["advice"])), "; ").alias("advice"), F.format_string("%d critical, %d warnings", "c", "w").alias("summary"))
-
-
-def waiting(tasks: DataFrame, execs: DataFrame, contention: DataFrame) -> DataFrame:
-    return waits.sql_queue_wait(execs, tasks, contention)

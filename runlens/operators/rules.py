@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.operators import features
-from runlens.operators.stages import STAGE, ratio, stage_metrics, task_distributions
+from runlens.operators import profile
+from runlens.operators.stages import ratio
 
 INFO, WARN, CRITICAL = 0, 1, 2
 MI, GI = 1 << 20, 1 << 30
@@ -97,12 +97,8 @@ def filled(text: str, thresholds: dict[str, float], own: bool = False) -> str:
 
 
 def stage_contexts(tasks: DataFrame, stages: DataFrame, cores: int) -> DataFrame:
-    """One wide row a stage with everything that the stage rules look at."""
-    x = task_distributions(tasks)
-    m = stage_metrics(tasks, stages).select(*STAGE, "fetch_sum", "cpu_ratio", "wall_ms", "delay_ms", "failed_attempts", "extra_attempts")
-    out = x.join(m, STAGE).join(features.task_scheduler_delay(tasks), STAGE).join(features.result_pressure(tasks).drop("deser_p95"), STAGE)
-    w = tasks.groupBy(*STAGE).agg(F.sum("shuffle_write_ms").alias("write_ms"), ratio(F.max("shuffle_write_bytes"), F.sum("shuffle_write_bytes")).alias("write_max_share"))
-    return out.join(w, STAGE).join(features.locality_mix(tasks).select(*STAGE, "bad_ratio"), STAGE).withColumn("cores", F.lit(cores))
+    """One wide row a stage with everything that the stage rules look at, in one pass over the tasks."""
+    return profile.contexts_of(profile.stage_profile(tasks, stages), cores)
 
 
 def evaluate_rules(contexts: DataFrame, rules: tuple[Rule, ...], thresholds: dict[str, float], keys: list[str]) -> DataFrame:

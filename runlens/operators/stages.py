@@ -36,17 +36,18 @@ def percentile_of(x: Column, q: float) -> Column:
     return F.floor((F.round(F.percentile(x, F.lit(q)) * 20).cast("long") + 10) / 20) / 1_000_000.0
 
 
-def task_distributions(tasks: DataFrame, exact: bool = True) -> DataFrame:
+def task_distributions(tasks: DataFrame, exact: bool = True, extra: dict[str, Column] | None = None) -> DataFrame:
     """Per stage count, min, quantiles, max and sum of each metric; negatives count as 0.
 
-    One shuffle by stage. With `exact` false the quantiles are mergeable sketches, which combine before the shuffle.
+    One shuffle by stage. With `exact` false the quantiles are mergeable sketches, which combine before the shuffle. extra: more
+    aggregates by name, for the same shuffle.
     """
     aggs = [F.count("*").alias("n")]
     for name, column in METRICS.items():
         x = F.greatest(F.col(column), F.lit(0))
         q = F.percentile(x, F.array(*map(F.lit, POINTS.values()))) if exact else F.percentile_approx(x, list(POINTS.values()), 10_000)
         aggs += [F.min(x).alias(f"{name}_min"), q.alias(f"_{name}"), F.max(x).alias(f"{name}_max"), F.sum(x).alias(f"{name}_sum")]
-    out = tasks.groupBy(*STAGE).agg(*aggs)
+    out = tasks.groupBy(*STAGE).agg(*aggs, *[c.alias(k) for k, c in (extra or {}).items()])
     points = [half_up(F.col(f"_{m}")[k]).alias(f"{m}_{p}") for m in METRICS for k, p in enumerate(POINTS)]
     return out.select(*[c for c in out.columns if not c.startswith("_")], *points)
 

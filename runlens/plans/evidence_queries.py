@@ -12,7 +12,7 @@ from runlens.operators.stages import METRICS, micros, stage_metrics
 from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck
 from runlens.plans.queries import ALL, CORES, CTX, E, K, SQL, TEMPLATE, WITH_LIGHT, _contention, _light, _q, _ratio, findings, register
-from runlens.plans.rule_queries import BOTH, QCTX, QVIEWS, SCTX, T, _queue_ctx, sql_findings
+from runlens.plans.rule_queries import BOTH, QCTX, QVIEWS, SCTX, T, profiled, profiled_contention, profiled_queue_findings, profiled_sql_findings
 from runlens.plans.source_queries import _heap_lines
 from runlens.plans.wait_queries import RUN_SQL, _run, _runs
 from runlens.sources import plans
@@ -165,14 +165,15 @@ z AS (SELECT * FROM (SELECT app_id, max(end_ms) - min(start_ms) AS wall_ms FROM
 
 # ---- interactions ----
 def _interactions(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame, n: DataFrame) -> DataFrame:
-    wait = waits.sql_queue_wait(e, t, _contention(t, s, j, e))
+    p = profiled(t, s, e)
+    wait = waits.sql_queue_wait(e, t, profiled_contention(p, t, j, e))
     busy = wait.where((F.col("wait_ratio") >= T["queue.wait_ratio"]) & (F.col("pool_utilization") >= T["queue.busy_ratio"])).select(*EXEC)
     unknown = F.lit(None).cast("double").alias("join_path_share")
     shares = _path(t, s).join(stage_metrics(t, s).where("read_sum > 0").select("app_id", "execution_id", "stage_id"), ["app_id", "execution_id", "stage_id"], "left_semi").where("execution_id % 2 = 0").groupBy(*EXEC).agg(F.round(F.sum("share"), 6).alias("join_path_share"))
     plan = _plan_rules(t, s, j, e, n).where("rule_id in ('S-17', 'S-26')").join(shares, EXEC, "left").select("app_id", "execution_id", F.lit(None).cast("long").alias("stage_id"), "rule_id", "severity", "score", "join_path_share")
-    stage = findings(t, s).select("app_id", "execution_id", "stage_id", "rule_id", "severity", "score", unknown)
-    run = sql_findings(t, s, j, e).where("rule_id = 'S-28'").select("app_id", "execution_id", F.lit(None).cast("long").alias("stage_id"), "rule_id", "severity", "score", unknown)
-    queues = rules.evaluate_rules(_queue_ctx(t, s, j, e, x, c), BOTH, T, ["app_id"])
+    stage = p["findings"].select("app_id", "execution_id", "stage_id", "rule_id", "severity", "score", unknown)
+    run = profiled_sql_findings(p, t, j, e).where("rule_id = 'S-28'").select("app_id", "execution_id", F.lit(None).cast("long").alias("stage_id"), "rule_id", "severity", "score", unknown)
+    queues = profiled_queue_findings(p, t, j, e, x, c)
     clocks = queues.select("app_id").distinct().where("app_id like '%4'").select("app_id", F.lit("DQ-02").alias("rule_id"), F.lit(1).alias("severity"), F.lit(1.0).alias("score"))
     out = rules.apply_interactions(stage.unionByName(run).unionByName(plan), queues.unionByName(clocks), busy)
     return out.withColumn("caveats", F.array_join("caveats", "; "))

@@ -6,21 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, intervals, rule_sets, rules, stages, waits
+from runlens.operators import dag, features, intervals, profile, rule_sets, rules, stages, waits
 from runlens.operators.intervals import SQL as EXEC
 from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck
-from runlens.plans.queries import ALL, CONT, CORES, CTX, E, FIND, K, QUERIES, SQL, _contention, _light, _util, findings, register
+from runlens.plans.queries import ALL, CONT, CORES, CTX, E, FIND, K, QUERIES, SQL, _light, findings, register
 from runlens.plans.rule_sql import found
 from runlens.plans.wait_queries import STMT
+from runlens.sources.folders import written
 
 T = rules.FIXTURE
 
 
 # ---- executions ----
+def profiled(t: DataFrame, s: DataFrame, e: DataFrame, big_bytes: int = 70_000) -> dict[str, DataFrame]:
+    """Profiles as tables, with the pool's segments, the fetch matrix and the stage findings."""
+    p = profile.profiles(t, s, e, CORES, big_bytes, written)
+    p["segments"] = written(intervals.occupancy_segments(t, CORES), "segments")
+    p["findings"] = rules.evaluate_rules(profile.contexts_of(p["stage"], CORES), rules.STAGE_RULES, T, stages.STAGE)
+    return p
+
+
+def profiled_light(p: dict[str, DataFrame], j: DataFrame, e: DataFrame) -> DataFrame:
+    return stages.sql_light_metrics(profile.complete(p["stage"]), j, e)
+
+
+def profiled_contention(p: dict[str, DataFrame], t: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    return intervals.query_contention(t, e, profiled_light(p, j, e), CORES, segments=p["segments"])
+
+
+def profiled_sql_findings(p: dict[str, DataFrame], t: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    wait = waits.sql_queue_wait(e, t, profiled_contention(p, t, j, e))
+    return rules.evaluate_rules(rule_sets.sql_contexts(profile.attempts_of(p["stage"]), e, j, wait, dag.longest_by_profile(p["stage"])), rule_sets.SQL_RULES, T, EXEC)
+
+
 def sql_findings(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
-    wait = waits.sql_queue_wait(e, t, _contention(t, s, j, e))
-    return rules.evaluate_rules(rule_sets.sql_contexts(t, e, j, wait, dag.critical_path_ms(s, t)), rule_sets.SQL_RULES, T, EXEC)
+    return profiled_sql_findings(profiled(t, s, e), t, j, e)
 
 
 SCTX = f"""WITH sctx AS (SELECT g.app_id, g.execution_id, wall_ms, gap_ratio, jobs, job_p50, wait_ratio, 1 AS critical_ms, failed_tasks, speculative, 0 AS speculative_killed, sort_merge_join, shuffled_hash_join, cartesian, nested_loop, empty_partition_filters, adaptive
@@ -29,8 +50,13 @@ register("evaluate_sql_rules", sql_findings, ALL, f"{SCTX} {found(rule_sql.EXECU
 
 
 # ---- applications ----
-def _queue_ctx(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame) -> DataFrame:
-    return rule_sets.queue_contexts(t, s, e, j, x, c, _util(t, e), findings(t, s), 70_000)
+def profiled_queue_findings(p: dict[str, DataFrame], t: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame) -> DataFrame:
+    ctx = rule_sets.queue_contexts(p, features.fetch_matrix(t), e, j, x, c, p["findings"])
+    return rules.evaluate_rules(ctx, BOTH, T, ["app_id"])
+
+
+def queue_findings(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame) -> DataFrame:
+    return profiled_queue_findings(profiled(t, s, e), t, j, e, x, c)
 
 
 QVIEWS = f"{ALL} v_executor_event v_conf"
@@ -48,9 +74,9 @@ LEFT JOIN (SELECT app_id, count(DISTINCT rule_id || execution_id) AS memory_pres
 LEFT JOIN (SELECT app_id, count(*) AS partial_stages FROM ({SQL['partial_stages']}) GROUP BY app_id) USING (app_id)
 LEFT JOIN (SELECT app_id, count(*) FILTER (finish_ms < launch_ms) AS negative_durations FROM v_task GROUP BY app_id) USING (app_id) LEFT JOIN ({SQL['queue_window']}) USING (app_id))"""
 BOTH = rule_sets.QUEUE_RULES + rule_sets.DQ_RULES
-register("evaluate_queue_rules", lambda *v: rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"]), QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}", written=True)
+register("evaluate_queue_rules", queue_findings, QVIEWS, f"{QCTX} {found(rule_sql.QUEUE, 'qctx', 'app_id')}", written=True)
 _case = lambda k: "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{a[k]}'" for r, a in rule_sql.ADVICE.items()) + " END"
-register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(rules.evaluate_rules(_queue_ctx(*v), BOTH, T, ["app_id"])), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})", written=True)
+register("queue_recommendations", lambda *v: rule_sets.queue_recommendations(queue_findings(*v)), QVIEWS, f"{QCTX} SELECT *, {_case(0)} AS action, {_case(1)} AS advice FROM ({found(rule_sql.QUEUE, 'qctx', 'app_id')})", written=True)
 
 # ---- older rules ----
 register("legacy_rules", lambda t, s: rules.evaluate_rules(rules.stage_contexts(t, s, CORES), rule_sets.LEGACY_RULES, {}, stages.STAGE), "v_task v_stage", f"{CTX} {found(rule_sql.OLD_STAGE, 'ctx', K)}")
@@ -74,7 +100,14 @@ def _signals(t: DataFrame, s: DataFrame) -> DataFrame:
 
 register("light_signals", _signals, "v_task v_stage", LIGHT_SIG)
 _n = lambda ids: "count(DISTINCT execution_id) FILTER (rule_id IN (" + ", ".join(f"'{i}'" for i in ids) + "))"
-register("rollup_s_to_q", lambda t, s, j, e: rule_sets.rollup_s_to_q(findings(t, s).select(*EXEC, "rule_id").unionByName(sql_findings(t, s, j, e).select(*EXEC, "rule_id"))), ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sql.ROLLUP.items())} FROM x GROUP BY app_id", written=True)
+
+
+def _rollup(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    p = profiled(t, s, e)
+    return rule_sets.rollup_s_to_q(p["findings"].select(*EXEC, "rule_id").unionByName(profiled_sql_findings(p, t, j, e).select(*EXEC, "rule_id")))
+
+
+register("rollup_s_to_q", _rollup, ALL, f"WITH x AS (SELECT {E}, rule_id FROM ({SQL['evaluate_rules']}) UNION ALL SELECT {E}, rule_id FROM ({SQL['evaluate_sql_rules']})) SELECT app_id, {', '.join(f'{_n(i)} AS {q}' for q, i in rule_sql.ROLLUP.items())} FROM x GROUP BY app_id", written=True)
 
 
 def _capable(e: DataFrame) -> DataFrame:

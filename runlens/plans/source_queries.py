@@ -11,10 +11,10 @@ from runlens.functions import text
 from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
 from runlens.plans.fixtures import duck, view
 from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _q, _contention, _light, _util, findings, register
-from runlens.plans.rule_queries import BOTH, QVIEWS, T, _queue_ctx
+from runlens.plans.rule_queries import QVIEWS, profiled, profiled_contention, profiled_light, profiled_queue_findings
 from runlens.sources import event_logs as L
 from runlens.sources import ingest, plans, reports
-from runlens.sources.folders import shared_folder
+from runlens.sources.folders import shared_folder, written
 from runlens.streaming import executions, snapshots
 
 
@@ -106,10 +106,11 @@ def _sql_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataF
 
 
 def _queue_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame) -> DataFrame:
-    light, util, cont = _light(t, s, j, e), _util(t, e), _contention(t, s, j, e)
-    summary = queue.queue_summary(light, intervals.queue_window(e, t), intervals.peak_cores(x, CORES))
-    found = rules.evaluate_rules(_queue_ctx(t, s, j, e, x, c), BOTH, T, ["app_id"])
-    return reports.queue_report(summary, util, queue.resource_metrics(light), queue.contention_report(cont, util), found, features.partial_stages(t, s).select("app_id"))
+    p = profiled(t, s, e)
+    light, cont = written(profiled_light(p, j, e), "light"), written(profiled_contention(p, t, j, e), "contention")
+    summary = queue.queue_summary(light, p["window"], intervals.peak_cores(x, CORES))
+    found = profiled_queue_findings(p, t, j, e, x, c)
+    return reports.queue_report(summary, p["bucket"], queue.resource_metrics(light), queue.contention_report(cont, p["bucket"]), found, features.partial_stages(t, s).select("app_id"))
 
 
 flat = lambda df, keys: df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("report"))
