@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from runlens.functions.text import template_hash
 from runlens.operators.intervals import SQL
-from runlens.operators.stages import ratio
+from runlens.operators.stages import mean_of, micros, ratio
 
 COMPLETED = "not running and duration_ms > 0"
+#: How the deep sample is drawn, as reports name it.
+SAMPLING = "slowest executions, and some with spill, fetch waits, gc, skew and of each template"
 #: Condition of each stratum of the deep sample, over light metrics.
 STRATA = {"spill": "spill_bytes > 0", "fetch": "fetch_ratio >= 0.2", "gc": "max_gc >= 0.1", "skew": "max_skew >= 5"}
 
@@ -68,27 +70,34 @@ def queue_summary(light: DataFrame, window: DataFrame, cores: DataFrame) -> Data
 
 
 def utilization_series(buckets: DataFrame) -> DataFrame:
-    return buckets.groupBy("app_id").agg(F.round(F.avg("utilization"), 6).alias("mean"), F.max("utilization").alias("peak"), F.count("*").alias("buckets"))
+    """Mean and peak of an application's buckets and the buckets themselves in order, which the length of its window bounds."""
+    points = F.sort_array(F.collect_list(F.struct("bucket_ms", "utilization")))
+    return buckets.groupBy("app_id").agg(mean_of(micros("utilization")).alias("mean"), F.max("utilization").alias("peak"), F.count("*").alias("buckets"), points.alias("points"))
 
 
-def resource_metrics(light: DataFrame) -> DataFrame:
-    """Spill, quantiles of the largest gc share (basis points) and attempt ratios of every application."""
+def resource_metrics(light: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """Spill, quantiles of the largest gc share (basis points) and attempt ratios of every application, with the means of its
+    buckets' ratios where they are given (profile.bucket_means)."""
     bp = F.floor(F.coalesce("max_gc", F.lit(0.0)) * 10_000 + 0.5).cast("long")
     x = light.withColumn("bp", bp)
     base = F.sum(F.col("failed_attempts") + F.col("extra_attempts") + F.greatest(F.lit(1), F.col("n_stages")))
-    return x.groupBy("app_id").agg(
-        F.sum("spill_bytes").alias("spill_bytes"), F.round(F.avg("bp"), 6).alias("gc_mean_bp"), F.expr("percentile_disc(0.95) within group (order by bp)").cast("long").alias("gc_p95_bp"), F.max("bp").alias("gc_max_bp"),
+    out = x.groupBy("app_id").agg(
+        F.sum("spill_bytes").alias("spill_bytes"), mean_of(F.col("bp") * 1_000_000).alias("gc_mean_bp"), F.expr("percentile_disc(0.95) within group (order by bp)").cast("long").alias("gc_p95_bp"), F.max("bp").alias("gc_max_bp"),
         ratio(F.sum("failed_attempts"), base).alias("failed_ratio"), ratio(F.sum("extra_attempts"), base).alias("extra_ratio"),
     )
+    return out if means is None else out.join(means, "app_id", "left")
 
 
-def contention_report(contention: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Shares of limited and inefficient executions, hot buckets and starved executions."""
+def contention_report(contention: DataFrame, buckets: DataFrame, hogs: int = 10, hot_at: float = 0.95) -> DataFrame:
+    """Shares of limited and inefficient executions, starved executions, hot buckets in order, and the executions that hold the most
+    core time. `starvation_windows` has the starved ones one by one."""
     c = contention.groupBy("app_id").agg(
         ratio(F.count_if("limited"), F.count("*")).alias("limited_share"), ratio(F.count_if("inefficient"), F.count("*")).alias("inefficient_share"),
         F.count_if(F.col("limited") & (F.col("own_share") <= 0.2)).alias("starved"),
     )
-    return c.join(buckets.groupBy("app_id").agg(F.count_if(F.col("utilization") >= 0.95).alias("hot_buckets")), "app_id")
+    top = top_resource_hogs(contention, hogs).groupBy("app_id").agg(F.sort_array(F.collect_list(F.struct("place", "execution_id", "own_core_ms"))).alias("hogs"))
+    hot = buckets.groupBy("app_id").agg(F.count_if(F.col("utilization") >= hot_at).alias("hot_buckets"), F.sort_array(F.collect_list(F.when(F.col("utilization") >= hot_at, F.col("bucket_ms")))).alias("hot_windows"))
+    return c.join(hot, "app_id").join(top, "app_id", "left")
 
 
 def throughput_leaderboards(light: DataFrame, execs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
+from runlens.operators import dag, features, intervals, profile, queue, rules, stages, whatif
 from runlens.plans import rule_sql
 from runlens.plans.fixtures import duck, view, written_views
 from runlens.streaming import buckets
@@ -102,7 +102,17 @@ def _util(t: DataFrame, e: DataFrame) -> DataFrame:
 
 register("bucket_utilization", _util, "v_task v_exec", f"WITH {UTIL} SELECT * FROM util")
 register("hot_windows", lambda t, e: _util(t, e).where("utilization >= 0.95"), "v_task v_exec", f"WITH {UTIL} SELECT * FROM util WHERE utilization >= 0.95")
-register("utilization_series", lambda t, e: queue.utilization_series(_util(t, e)), "v_task v_exec", f"WITH {UTIL} SELECT app_id, round(avg(utilization), 6) AS mean, max(utilization) AS peak, count(*) AS buckets FROM util GROUP BY app_id")
+_micros = lambda c: f"(round({c} * 1000000)::BIGINT)"
+_mean = lambda c: f"((2 * sum({c})::BIGINT + count(*)) // (2 * count(*))) / 1000000.0::DOUBLE"
+_listed = lambda a, *c: F.array_join(F.transform(a, lambda x: F.concat_ws(":", *[f(x).cast("string") for f in c])), " ")
+
+
+def points_as_text(x: DataFrame) -> DataFrame:
+    """Points as `bucket:millionths`, so that all of them are compared."""
+    return x.withColumn("points", _listed("points", lambda p: p["bucket_ms"], lambda p: F.round(p["utilization"] * 1_000_000).cast("long")))
+
+
+register("utilization_series", lambda t, e: points_as_text(queue.utilization_series(_util(t, e))), "v_task v_exec", f"WITH {UTIL} SELECT app_id, {_mean(_micros('utilization'))} AS mean, max(utilization) AS peak, count(*) AS buckets, string_agg(bucket_ms || ':' || {_micros('utilization')}, ' ' ORDER BY bucket_ms) AS points FROM util GROUP BY app_id")
 LONG = "SELECT app_id, max(n) AS n FROM (SELECT app_id, g, count(*)::double AS n FROM (SELECT app_id, bucket_ms - 60000 * row_number() OVER (PARTITION BY app_id ORDER BY bucket_ms) AS g FROM util WHERE utilization {c}) GROUP BY ALL) GROUP BY app_id"
 register("longest_run_of_buckets", lambda t, e: intervals.longest_run_of_buckets(_util(t, e)), "v_task v_exec", f"WITH {UTIL} SELECT a.app_id, coalesce(i.n, 0) AS idle_minutes, coalesce(o.n, 0) AS overload_minutes FROM (SELECT DISTINCT app_id FROM util) a LEFT JOIN ({LONG.format(c='< 0.2')}) i USING (app_id) LEFT JOIN ({LONG.format(c='> 0.95')}) o USING (app_id)")
 CUT = "SELECT *, greatest(launch_ms, b * 60000) AS a, least(finish_ms, (b + 1) * 60000) AS z FROM (SELECT *, unnest(range(launch_ms // 60000, (finish_ms - 1) // 60000 + 1)) AS b FROM v_task)"
@@ -128,7 +138,15 @@ ALL = "v_task v_stage v_job v_exec"
 register("query_contention", _contention, ALL, f"{CONT} SELECT * FROM cont", written=True)
 register("starvation_windows", lambda *v: _contention(*v).where("limited and own_share <= 0.2").select("app_id", "execution_id", "own_share"), ALL, f"{CONT} SELECT {E}, own_share FROM cont WHERE limited AND own_share <= 0.2")
 register("top_resource_hogs", lambda *v: queue.top_resource_hogs(_contention(*v)), ALL, f"{CONT} SELECT {E}, place, own_core_ms FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY own_core_ms DESC, execution_id) AS place FROM cont) WHERE place <= 10")
-register("contention_report", lambda t, s, j, e: queue.contention_report(_contention(t, s, j, e), _util(t, e)), ALL, f"{CONT}, {UTIL[len(SWEEP) + 2:]} SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, (SELECT count(*) FROM util u WHERE u.app_id = cont.app_id AND utilization >= 0.95) AS hot_buckets FROM cont GROUP BY app_id", written=True)
+
+
+def contention_as_text(x: DataFrame) -> DataFrame:
+    return x.withColumns({"hogs": _listed("hogs", lambda h: h["execution_id"], lambda h: h["own_core_ms"]), "hot_windows": F.array_join(F.col("hot_windows").cast("array<string>"), " ")})
+
+
+register("contention_report", lambda t, s, j, e: contention_as_text(queue.contention_report(_contention(t, s, j, e), _util(t, e), 3)), ALL, f"""{CONT}, {UTIL[len(SWEEP) + 2:]}, hg AS (SELECT app_id, string_agg(execution_id || ':' || own_core_ms, ' ' ORDER BY place) AS hogs FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY own_core_ms DESC, execution_id) AS place FROM cont) WHERE place <= 3 GROUP BY app_id),
+hw AS (SELECT app_id, count(*) FILTER (utilization >= 0.95) AS hot_buckets, coalesce(string_agg(bucket_ms, ' ' ORDER BY bucket_ms) FILTER (utilization >= 0.95), '') AS hot_windows FROM util GROUP BY app_id)
+SELECT app_id, {_ratio('count(*) FILTER (limited)', 'count(*)')} AS limited_share, {_ratio('count(*) FILTER (inefficient)', 'count(*)')} AS inefficient_share, count(*) FILTER (limited AND own_share <= 0.2) AS starved, any_value(hot_buckets) AS hot_buckets, any_value(hot_windows) AS hot_windows, any_value(hogs) AS hogs FROM cont JOIN hw USING (app_id) LEFT JOIN hg USING (app_id) GROUP BY app_id""", written=True)
 _fill = ", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in "completed run_ms cpu_ns fetch_ms gc_ms attempts failed speculative".split())
 register("latency_timeline", lambda t, e: intervals.latency_timeline(e, t, CORES), "v_task v_exec", f"""WITH {UTIL.replace('60000', '300000')}, y AS ({BUCKETS.replace('60000', '300000')}), d AS (SELECT app_id, start_ms // 300000 * 300000 AS bucket_ms, count(*) AS completed, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, quantile_disc(end_ms - start_ms, 0.99) AS p99 FROM v_exec WHERE end_ms > start_ms GROUP BY ALL)
 SELECT app_id, bucket_ms, busy_core_ms, utilization, p50, p95, p99, {_fill}, CASE WHEN y.run_ms IS NULL THEN NULL ELSE least(1.0, {_ratio('y.cpu_ns / 1e6', 'y.run_ms')})::double END AS cpu_efficiency FROM util LEFT JOIN d USING (app_id, bucket_ms) LEFT JOIN y USING (app_id, bucket_ms)""")
@@ -180,7 +198,19 @@ register("top_slow_queries", lambda t, s, j, e: queue.top_slow_queries(_light(t,
 register("template_stats", lambda t, s, j, e: queue.template_stats(_light(t, s, j, e), e, intervals.sql_own_core_ms(t, CORES)), ALL, f"{CONT}, ts AS (SELECT app_id, md5({TEMPLATE}) AS template, count(*) AS queries, sum(duration_ms)::bigint AS duration_ms, sum(coalesce(own, task_ms))::bigint AS core_ms, sum(input_bytes)::bigint AS input_bytes, sum(read_bytes)::bigint AS read_bytes FROM light JOIN v_exec USING ({E}) LEFT JOIN own USING ({E}) WHERE {DONE} GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY core_ms DESC, duration_ms DESC, template) AS place FROM ts) WHERE place <= 20")
 register("dominant_shuffle_stage", lambda t, s: queue.dominant_shuffle_stage(stages.stage_metrics(t, s)), "v_task v_stage", f"WITH m AS ({METRICS}) SELECT {E}, stage_id, greatest(read_sum, write_sum) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY {E} ORDER BY greatest(read_sum, write_sum) DESC, stage_id) AS r FROM m) WHERE r = 1")
 register("queue_summary", lambda t, s, j, e, x: queue.queue_summary(_light(t, s, j, e), intervals.queue_window(e, t), intervals.peak_cores(x, CORES)), f"{ALL} v_executor_event", f"{WITH_LIGHT}, win AS (SELECT app_id, min(start_ms) AS window_start, greatest(max(end_ms), (SELECT max(finish_ms) FROM v_task t WHERE t.app_id = e.app_id)) AS window_end FROM v_exec e GROUP BY app_id), {CORE_TL[5:]} SELECT app_id, count(*) AS queries, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (running) AS running, count(*) FILTER (failed) AS failed, any_value(window_start) AS window_start, any_value(window_end) AS window_end, (SELECT greatest(max(cores), {CORES}) FROM tl WHERE tl.app_id = light.app_id)::bigint AS cores FROM light JOIN win USING (app_id) GROUP BY app_id")
-register("resource_metrics", lambda *v: queue.resource_metrics(_light(*v)), ALL, f"{WITH_LIGHT}, x AS (SELECT *, floor(coalesce(max_gc, 0) * 10000 + 0.5)::bigint AS bp FROM light) SELECT app_id, sum(spill_bytes)::bigint AS spill_bytes, round(avg(bp), 6) AS gc_mean_bp, quantile_disc(bp, 0.95) AS gc_p95_bp, max(bp) AS gc_max_bp, {_ratio('sum(failed_attempts)', 'sum(failed_attempts + extra_attempts + greatest(1, n_stages))')} AS failed_ratio, {_ratio('sum(extra_attempts)', 'sum(failed_attempts + extra_attempts + greatest(1, n_stages))')} AS extra_ratio FROM x GROUP BY app_id")
+
+
+def _resources(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    u = profile.utilization_of(intervals.queue_window(e, t), profile.bucket_profile(t, CORES), CORES)
+    return queue.resource_metrics(_light(t, s, j, e), profile.bucket_means(u))
+
+
+_failed = _ratio('sum(failed_attempts)', 'sum(failed_attempts + extra_attempts + greatest(1, n_stages))')
+register("resource_metrics", _resources, ALL, f"""{WITH_LIGHT}, {UTIL}, y AS ({BUCKETS}), rx AS (SELECT *, floor(coalesce(max_gc, 0) * 10000 + 0.5)::bigint AS bp FROM light),
+bm AS (SELECT app_id, utilization, least(1.0, {_ratio('cpu_ns / 1e6', 'run_ms')}) AS ce, {_ratio('y.fetch_ms', 'y.run_ms')} AS fs, {_ratio('y.gc_ms', 'y.run_ms')} AS gs FROM util LEFT JOIN y USING (app_id, bucket_ms)),
+me AS (SELECT app_id, {_mean(_micros('utilization'))} AS mean_utilization, {_mean(_micros('ce'))} AS mean_cpu_efficiency, {_mean(_micros('fs'))} AS mean_fetch_share, {_mean(_micros('gs'))} AS mean_gc_share FROM bm GROUP BY app_id)
+SELECT app_id, sum(spill_bytes)::bigint AS spill_bytes, {_mean('bp * 1000000')} AS gc_mean_bp, quantile_disc(bp, 0.95) AS gc_p95_bp, max(bp) AS gc_max_bp, {_failed} AS failed_ratio, {_failed.replace('sum(failed_attempts))', 'sum(extra_attempts))', 1)} AS extra_ratio, any_value(mean_utilization) AS mean_utilization, any_value(mean_cpu_efficiency) AS mean_cpu_efficiency, any_value(mean_fetch_share) AS mean_fetch_share, any_value(mean_gc_share) AS mean_gc_share
+FROM rx LEFT JOIN me USING (app_id) GROUP BY app_id""", written=True)
 register("throughput_leaderboards", lambda t, s, j, e: queue.throughput_leaderboards(_light(t, s, j, e), e), ALL, f"{WITH_LIGHT}, x AS (SELECT l.*, start_ms // 3600000 * 3600000 AS hour_ms FROM light l JOIN v_exec USING ({E})) SELECT app_id, hour_ms, count(*) AS submitted, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (failed) AS failed, {_ratio(f'count(*) FILTER ({DONE} AND failed IS NOT TRUE)', f'count(*) FILTER ({DONE})')} AS success_rate FROM x GROUP BY GROUPING SETS ((app_id, hour_ms), (app_id))")
 
 # ---- features ----

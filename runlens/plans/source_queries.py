@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import dag, features, intervals, queue, rules, stages, whatif
+from runlens.operators import dag, intervals, profile, queue, rules, stages, whatif
 from runlens.plans.fixtures import duck, view
-from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, _body, _q, _contention, _light, _util, findings, register
+from runlens.plans.queries import ALL, CORES, E, QUERIES, SQL, WITH_LIGHT, _body, _light, _q, _ratio, findings, register
 from runlens.plans.rule_queries import QVIEWS, profiled, profiled_contention, profiled_light, profiled_queue_findings
 from runlens.sources import event_logs as L
 from runlens.sources import ingest, plans, reports
@@ -105,12 +105,24 @@ def _sql_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame) -> DataF
     return reports.sql_report(e, _light(t, s, j, e), findings(t, s), whatif.whatif_cores(stages.stage_metrics(t, s), CORES))
 
 
+def _logs_of(t: DataFrame) -> DataFrame:
+    """Logs that the views stand for; a third of them lie on a file system whose address a report must not show."""
+    at = F.when(F.substr("log", F.lit(5)).cast("long") % 3 == 0, F.concat(F.lit("hdfs://nn1:8020/logs?token=abc,"), "log")).otherwise(F.concat(F.lit("/logs/"), "log"))
+    return reports.log_snapshot_key(_files(t)).select(F.col("log").alias("app_id"), at.alias("source"), F.when(~F.col("log").like("%5"), F.col("key")).alias("key"))
+
+
+def _meta(light: DataFrame, window: DataFrame, t: DataFrame, e: DataFrame, x: DataFrame) -> DataFrame:
+    summary = queue.queue_summary(light, window, intervals.peak_cores(x, CORES))
+    return reports.queue_meta(summary, queue.deep_sample(light, e, 3, 2), t.where("failed and speculative").select("app_id"), _logs_of(t))
+
+
 def _queue_report(t: DataFrame, s: DataFrame, j: DataFrame, e: DataFrame, x: DataFrame, c: DataFrame) -> DataFrame:
     p = profiled(t, s, e)
     light, cont = written(profiled_light(p, j, e), "light"), written(profiled_contention(p, t, j, e), "contention")
     summary = queue.queue_summary(light, p["window"], intervals.peak_cores(x, CORES))
     found = profiled_queue_findings(p, t, j, e, x, c)
-    return reports.queue_report(summary, p["bucket"], queue.resource_metrics(light), queue.contention_report(cont, p["bucket"]), found, features.partial_stages(t, s).select("app_id"))
+    resources = queue.resource_metrics(light, profile.bucket_means(p["bucket"]))
+    return reports.queue_report(summary, p["bucket"], resources, queue.contention_report(cont, p["bucket"]), found, _meta(light, p["window"], t, e, x))
 
 
 flat = lambda df, keys: df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("report"))
@@ -167,6 +179,10 @@ def _backlog(e: DataFrame) -> DataFrame:
 
 KEYS = "SELECT app_id AS log, sha256(array_to_string(list_sort(list(host || ':' || length || ':' || modified)), '|')) AS key FROM (SELECT app_id, host, sum(result_size)::bigint AS length, max(launch_ms) AS modified FROM v_task GROUP BY ALL) GROUP BY app_id"
 register("log_snapshot_key", lambda t: reports.log_snapshot_key(_files(t)), "v_task", KEYS)
+register("queue_meta", lambda t, s, j, e, x: _meta(_light(t, s, j, e), intervals.queue_window(e, t), t, e, x), f"{ALL} v_executor_event", f"""{WITH_LIGHT}, dp AS (SELECT app_id, count(*) AS deep FROM ({SQL['deep_sample']}) GROUP BY app_id), ky AS ({KEYS}), g AS (SELECT app_id, count(*) AS q, count(*) FILTER (NOT running AND duration_ms > 0) AS done, count(*) FILTER (running) AS r FROM light GROUP BY app_id)
+SELECT app_id, q AS light_analysed, coalesce(deep, 0) AS deep_analysed, {_ratio('coalesce(deep, 0)', 'done')} AS coverage, m AS incomplete, r > 0 AS running_snapshot, CASE WHEN substr(app_id, 5)::bigint % 3 = 0 THEN 'hdfs://***/logs?token=***,' ELSE '/logs/' END || app_id AS source,
+  CASE WHEN app_id NOT LIKE '%5' THEN key END AS snapshot_key, 'slowest executions, and some with spill, fetch waits, gc, skew and of each template' AS sampling, CASE WHEN m AND r > 0 THEN 'events are missing; executions still run' WHEN m THEN 'events are missing' WHEN r > 0 THEN 'executions still run' END AS degraded, 'pool is the larger of configured and seen cores' AS assumption
+FROM (SELECT g.*, deep, key, g.app_id IN (SELECT app_id FROM v_task WHERE failed AND speculative) AS m FROM g LEFT JOIN dp USING (app_id) LEFT JOIN ky ON ky.log = g.app_id)""", written=True)
 register("skip_unchanged_logs", _unchanged, "v_task", f"SELECT * FROM ({KEYS}) WHERE log LIKE '%3' OR log LIKE '%7'")
 register("attach_thrift_ids", _claimed, "v_exec", """WITH o AS (SELECT app_id, execution_id, row_number() OVER (PARTITION BY app_id ORDER BY start_ms, execution_id) AS k FROM v_exec WHERE execution_id % 3 <> 0),
 i AS (SELECT app_id, 't' || execution_id AS id, row_number() OVER (PARTITION BY app_id ORDER BY end_ms, 't' || execution_id) AS k FROM v_exec WHERE execution_id % 2 = 0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import redact
 from runlens.operators.intervals import SQL
+from runlens.operators.queue import SAMPLING, utilization_series
+from runlens.operators.stages import ratio
 
 
 def sql_report(execs: DataFrame, light: DataFrame, findings: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -17,21 +19,31 @@ def sql_report(execs: DataFrame, light: DataFrame, findings: DataFrame, estimate
     return execs.select(*SQL, F.struct("start_ms", "end_ms", redact(F.col("description")).alias("description")).alias("target")).join(m, SQL, "left").join(f, SQL, "left").join(w, SQL, "left")
 
 
-def queue_report(summary: DataFrame, utilization: DataFrame, resources: DataFrame, contention: DataFrame, findings: DataFrame, partial: DataFrame) -> DataFrame:
-    """One nested row an application. Lists hold buckets and queue findings, which an application's length bounds."""
+def queue_report(summary: DataFrame, utilization: DataFrame, resources: DataFrame, contention: DataFrame, findings: DataFrame, meta: DataFrame) -> DataFrame:
+    """One nested row an application; all texts that come from outside (in meta, see queue_meta) are masked. Lists hold buckets, the
+    largest consumers and queue findings, which an application's length or a stated number bounds."""
     part = lambda df, name: df.select("app_id", F.struct(*[c for c in df.columns if c != "app_id"]).alias(name))
-    u = utilization.groupBy("app_id").agg(F.sort_array(F.collect_list(F.struct("bucket_ms", "utilization"))).alias("timeline"))
     f = findings.groupBy("app_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "rule_id", "severity"))).alias("findings"))
-    x = part(summary, "summary").join(u, "app_id", "left").join(part(resources, "resources"), "app_id", "left").join(part(contention, "contention"), "app_id", "left").join(f, "app_id", "left")
-    return x.join(queue_meta(summary, partial), "app_id", "left")
+    x = part(summary, "summary").join(part(utilization_series(utilization), "utilization"), "app_id", "left").join(part(resources, "resources"), "app_id", "left")
+    return x.join(part(contention, "contention"), "app_id", "left").join(f, "app_id", "left").join(part(meta, "meta"), "app_id", "left")
 
 
-def queue_meta(summary: DataFrame, partial: DataFrame) -> DataFrame:
-    """How far an application's figures can be trusted. partial: app_id of those with missing events."""
-    p = F.coalesce("_p", F.lit(False))
-    x = summary.join(partial.select("app_id", F.lit(True).alias("_p")).distinct(), "app_id", "left")
-    coverage = F.round(F.col("completed") / F.greatest(F.col("queries"), F.lit(1)), 6)
-    return x.select("app_id", F.struct(coverage.alias("coverage"), p.alias("incomplete"), F.when(p, "events are missing").alias("degraded"), F.lit("pool is the larger of configured and seen cores").alias("assumption")).alias("meta"))
+def queue_meta(summary: DataFrame, sample: DataFrame, partial: DataFrame, logs: DataFrame) -> DataFrame:
+    """How far an application's figures can be trusted, one row each.
+
+    sample: the executions of the deep sample; partial: app_id of those with missing events; logs: app_id, source, key (of
+    log_snapshot_key) of each log that was read, null where unknown. Coverage is the share of completed executions that were
+    analysed in depth. An application with executions that still run is a running snapshot. Source and key are masked.
+    """
+    deep = sample.groupBy("app_id").agg(F.count("*").alias("deep"))
+    known = logs.groupBy("app_id").agg(F.min("source").alias("source"), F.min("key").alias("key"))
+    x = summary.join(partial.select("app_id", F.lit(True).alias("p")).distinct(), "app_id", "left").join(deep, "app_id", "left").join(known, "app_id", "left")
+    p, n, running = F.coalesce("p", F.lit(False)), F.coalesce("deep", F.lit(0)), F.col("running") > 0
+    reason = F.concat_ws("; ", F.when(p, "events are missing"), F.when(running, "executions still run"))
+    return x.select(
+        "app_id", F.col("queries").alias("light_analysed"), n.alias("deep_analysed"), ratio(n, F.col("completed")).alias("coverage"), p.alias("incomplete"), running.alias("running_snapshot"),
+        redact(F.col("source")).alias("source"), redact(F.col("key")).alias("snapshot_key"), F.lit(SAMPLING).alias("sampling"), F.nullif(reason, F.lit("")).alias("degraded"),
+        F.lit("pool is the larger of configured and seen cores").alias("assumption"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
