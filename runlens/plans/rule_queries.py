@@ -20,9 +20,8 @@ T = rules.FIXTURE
 
 # ---- executions ----
 def profiled(t: DataFrame, s: DataFrame, e: DataFrame, big_bytes: int = 70_000) -> dict[str, DataFrame]:
-    """Profiles as tables, with the pool's segments, the fetch matrix and the stage findings."""
+    """Profiles as tables, with the stage findings."""
     p = profile.profiles(t, s, e, CORES, big_bytes, written)
-    p["segments"] = written(intervals.occupancy_segments(t, CORES), "segments")
     p["findings"] = rules.evaluate_rules(profile.contexts_of(p["stage"], CORES), rules.STAGE_RULES, T, stages.STAGE)
     return p
 
@@ -32,6 +31,9 @@ def profiled_light(p: dict[str, DataFrame], j: DataFrame, e: DataFrame) -> DataF
 
 
 def profiled_contention(p: dict[str, DataFrame], t: DataFrame, j: DataFrame, e: DataFrame) -> DataFrame:
+    """Contention over the pool's segments, which are written when they are first wanted."""
+    if "segments" not in p:
+        p["segments"] = written(intervals.occupancy_segments(t, CORES), "segments")
     return intervals.query_contention(t, e, profiled_light(p, j, e), CORES, segments=p["segments"])
 
 
