@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runlens.operators import profile
-from runlens.operators.stages import ratio
+from runlens.operators.stages import micros, ratio
 
 INFO, WARN, CRITICAL = 0, 1, 2
 MI, GI = 1 << 20, 1 << 30
@@ -173,7 +173,9 @@ def apply_interactions(executions: DataFrame, queues: DataFrame, busy: DataFrame
     ))
     confidence = F.when(hosts, "LOW").when(low | capped, "MEDIUM").otherwise("HIGH")
     out = x.withColumns({"adjusted": s, "confidence": confidence, "caveats": caveats})
-    return out.select("app_id", "execution_id", "stage_id", "rule_id", "severity", "adjusted", F.round(F.col("score") * weight(F.col("adjusted")) / weight(F.col("severity")), 6).alias("score"), "confidence", "caveats")
+    was = weight(F.col("severity"))
+    scaled = F.floor((micros("score") * weight(F.col("adjusted")) * 2 + was) / (was * 2)) / 1_000_000.0  # half up in whole millionths, so that engines agree
+    return out.select("app_id", "execution_id", "stage_id", "rule_id", "severity", "adjusted", scaled.alias("score"), "confidence", "caveats")
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:

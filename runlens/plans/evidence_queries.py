@@ -189,7 +189,7 @@ UNION ALL SELECT f.app_id, f.execution_id, NULL, rule_id, severity, score, join_
 fl AS (SELECT *, rule_id IN ('S-01', 'S-02', 'S-03', 'S-04', 'S-05', 'S-06', 'S-07', 'S-08', 'S-09', 'S-10', 'S-11', 'S-12', 'S-13') AND execution_id IS NOT NULL AND (app_id, execution_id) IN (SELECT (app_id, execution_id) FROM wt) AS queued, left(rule_id, 2) = 'S-' AND right(rule_id, 2)::int <= 13 AND {_has('Q-16')} AS storm,
   rule_id IN ('S-01', 'S-02', 'S-07', 'S-08', 'S-11') AND {_has('DQ-01')} AS part, rule_id IN ('Q-05', 'Q-12', 'Q-13') AND {_has('DQ-02')} AS clk, rule_id = 'S-17' AND coalesce(join_path_share, 0) <= 0 AS off_path FROM al),
 s1 AS (SELECT *, CASE WHEN queued OR storm THEN greatest(severity - 1, 0) ELSE severity END AS a FROM fl), s2 AS (SELECT *, CASE WHEN part THEN least(a, 1) ELSE a END AS b FROM s1), s3 AS (SELECT *, CASE WHEN off_path THEN 0 WHEN clk THEN greatest(b - 1, 0) ELSE b END AS adjusted FROM s2)
-SELECT app_id, execution_id, stage_id, rule_id, severity, adjusted, round(score * {_weight('adjusted')} / {_weight('severity')}, 6) AS score, CASE WHEN clk THEN 'LOW' WHEN queued OR storm OR part THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
+SELECT app_id, execution_id, stage_id, rule_id, severity, adjusted, ((round(score * 1000000)::BIGINT * {_weight('adjusted')} * 2 + {_weight('severity')}) // ({_weight('severity')} * 2)) / 1000000.0::DOUBLE AS score, CASE WHEN clk THEN 'LOW' WHEN queued OR storm OR part THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
 concat_ws('; ', CASE WHEN queued THEN 'queue' WHEN storm THEN 'storm' END, CASE WHEN part THEN 'missing events' END, CASE WHEN clk THEN 'clocks' END, CASE WHEN off_path THEN 'off the longest path' END, CASE WHEN rule_id = 'Q-05' AND {_has('Q-12')} THEN 'slow by its disks' END,
   CASE WHEN rule_id = 'S-28' AND {_has('Q-05')} THEN 'hides a slow host' END, CASE WHEN rule_id = 'Q-14' AND app_id IN (SELECT app_id FROM al WHERE rule_id = 'S-26') THEN 'rows multiply' END) AS caveats FROM s3""", written=True)
 
