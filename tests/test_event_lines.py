@@ -1,5 +1,8 @@
 """Event lines made of the views: who reads one kind computes that kind alone."""
 
+from pyspark.sql import functions as F
+
+from runlens.plans import source_queries
 from runlens.plans.source_queries import event_lines
 from runlens.sources import event_logs as L
 
@@ -14,3 +17,14 @@ def test_a_kind_is_read_without_the_others(spark):
         plan = one._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and plan.count(" Relation [") == 1 and "Window" not in plan
         assert one.count() >= least
+
+
+def test_log_files_are_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "shared_folder", lambda spark, name: str(tmp_path / name))
+    lines = event_lines(spark, SF)
+    raw = lines.agg(F.sum(F.length("value"))).first()[0]
+    source_queries._read_back(spark, SF)
+    source_queries._folders(spark, lines, str(tmp_path / "folders"))
+    for name in ("logs", "folders"):
+        files = [f for f in (tmp_path / name).rglob("part-*") if f.is_file()]
+        assert 0 < sum(f.stat().st_size for f in files) < raw / 5
