@@ -49,3 +49,12 @@ def test_hosts_without_a_name_and_tasks_without_an_execution(spark):
     p = spark.sql("select 'a' app_id, e execution_id, 1L stage_id, 2L n, m run_p50 from values (7L, 10L), (8L, 20L) as x(e, m)")
     got = {r["host"]: (r["tasks"], r["stages"], r["score"]) for r in profile.host_profile(t, p).collect()}
     assert got == {"h": (2, 1, 1.5), None: (1, 1, 2.0)}
+
+
+@pytest.mark.parametrize("name", ["evaluate_sql_rules", "rollup_s_to_q", "clusters_of_evidence"])
+def test_profiles_that_no_one_reads_are_not_made(spark, monkeypatch, name):
+    made = []
+    for step in ("host_profile", "bucket_profile"):
+        monkeypatch.setattr(profile, step, lambda *a, step=step, **k: made.append(step))
+    QUERIES[name](spark, SF)
+    assert made == []
