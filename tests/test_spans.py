@@ -13,7 +13,7 @@ def rows(df, columns):
     return sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["build_jobs", "build_executions", "executor_events", "plan_drift"])
+@pytest.mark.parametrize("name", ["build_apps", "build_jobs", "build_executions", "executor_events", "plan_drift"])
 def test_tasks_that_no_one_reads_are_not_written(spark, monkeypatch, name):
     written, write = [], fixtures.written
     monkeypatch.setattr(fixtures, "written", lambda df, name, by=(): written.append((name, df)) or write(df, name, by))
@@ -23,7 +23,7 @@ def test_tasks_that_no_one_reads_are_not_written(spark, monkeypatch, name):
     assert plan.count("Exchange hashpartitioning") == 1 and "l_extendedprice" not in plan and "l_shipdate" not in plan
 
 
-@pytest.mark.parametrize("name", ["build_jobs", "build_executions", "executor_events"])
+@pytest.mark.parametrize("name", ["build_apps", "build_jobs", "build_executions", "executor_events"])
 def test_ties_of_tasks(spark, tmp_path, name):
     """Tasks that agree in all that their times depend on and differ elsewhere, whole copies, and large orders."""
     at = str(tmp_path / "lineitem.parquet")
