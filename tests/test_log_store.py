@@ -80,3 +80,19 @@ def test_a_walk_of_a_plan_reads_its_text_once(spark):
     assert len(re.findall("regexp_extract_all", x._jdf.queryExecution().optimizedPlan().toString())) == 1
     got = [None if r.w is None else [tuple(n) for n in r.w] for r in x.collect()]
     assert got == [[("", 2, "[]"), ('A \\"x\\"', 1, '[{"name":"r ] \\"","accumulatorId":1,"metricType":"sum"}]')], [], None]
+
+
+def test_paths_of_lines_are_cut_once(spark, tmp_path):
+    names = ["log=app-1/part-00003-x.txt", "log=app 2%/events_x", "log=c/events_7_c", "eventlog_v2_d/events_12_d", "eventlog_v2_d/other", "events_x", "e+f.inprogress", "g.lz4.inprogress"]
+    for name in names:
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(name)
+    raw = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path))
+    log, part, rank = L.log_of(F.concat(F.lit(f"file:{tmp_path}/"), "value"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(L.lines_by_log(raw)) == rows(raw.select(log, part, "value"))
+    rolled = L.lines_by_log(raw, rolled=True)
+    assert rows(rolled) == rows(raw.where(rank.startswith("0")).select(log, part, "value")) and rolled.count() == 4
+    plan = rolled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index") <= 8  # name and folder (two cuts), and three times the name in the condition on both
