@@ -65,7 +65,7 @@ def test_lines_of_tasks_are_decoded_once_by_an_ingest(spark, tmp_path, monkeypat
     listed, make = [], L.list_logs
     monkeypatch.setattr(L, "list_logs", lambda *a: listed.append(make(*a)) or listed[-1])
     monkeypatch.setattr(L, "parse_events", lambda lines, kind, schema=None: kinds.append(kind) or parse(lines, kind, schema))
-    before = {k: spark.conf.get(k) for k in (folders.LISTING, folders.OPENING)}
+    before = {k: spark.conf.get(k) for k in (folders.LISTING, folders.OPENING, folders.TAKING)}
     assert [(r.log, r.lines) for r in ingest.ingest(spark, str(tmp_path / "logs"), str(tmp_path / "store")).collect()] == [("a", 3)]
     assert kinds.count("TaskEnd") == 1 and before == {k: spark.conf.get(k) for k in before}
     assert [(r.id, r.total) for r in plans.accumulators(ingest.table(spark, str(tmp_path / "store"), "lines")).orderBy("id").collect()] == [(3, 20), (4, 14)]
